@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than one row in HOT_SHARE; so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1000
+#: Rows under which a key is never hot.
+HOT_ROWS = 50
 #: Parts into which the rows of a hot key are dealt in a join.
 SALTS = 64
 
@@ -66,7 +68,7 @@ def hot_hashes(df: DataFrame, keys: list[str], rows: Column | None = None) -> li
     """
     counts = df.groupBy(F.xxhash64(*keys).alias("h")).agg(F.sum(rows if rows is not None else F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return [r.h for r in counts.where((F.col("n") > 1) & (F.col("n") * HOT_SHARE > total)).select("h").collect()]
+    return [r.h for r in counts.where((F.col("n") >= HOT_ROWS) & (F.col("n") * HOT_SHARE > total)).select("h").collect()]
 
 
 def is_hot(keys: list[str], hot: list[int]) -> Column:

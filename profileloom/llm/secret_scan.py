@@ -91,6 +91,10 @@ def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     out = salted_join(rows, findings, ["blob"], hot_hashes(rows, ["blob"]), ["doc_id"], "left")
     spans = F.coalesce(F.col("spans"), F.array().cast("array<struct<start:long,kind:int,end:long>>"))
     out = out.withColumn("spans", spans)
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE)]
+
+    def count_of(k: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+
+    counts = [count_of(k).alias(f"n_{kind}") for k, kind in enumerate(BASE)]
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
     return out.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans_text"), "spans")

@@ -71,6 +71,7 @@ class Codec:
             if not v.bpe or len(p) == 1 or self._whole(p):
                 self.automaton.add_word(p, p)
         self.automaton.make_automaton()
+        self.known = {p for p in self.ids if len(p) == 1}
         # a piece with a space after another character would join segments
         self.split = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.bytes = [p.replace(SPACE, " ").encode() for p in v.pieces]
@@ -176,47 +177,47 @@ class Codec:
         return tuple(v.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")) if v.byte_ids else (v.unknown,)
 
     def encode_segment(self, text: str) -> tuple[int, ...]:
+        """Ids of a segment. Characters that are no piece are joined by none, so the known runs between them stand alone."""
+        if self.known.issuperset(text):
+            return self._encode_known(text)
+        out: list[int] = []
+        run = 0
+        for k, c in enumerate(text):
+            if c not in self.known:
+                out += (*(self._encode_known(text[run:k]) if run < k else ()), *self._unknown(c))
+                run = k + 1
+        return (*out, *(self._encode_known(text[run:]) if run < len(text) else ()))
+
+    def _encode_known(self, text: str) -> tuple[int, ...]:
+        ids, n = self.ids, len(text)
         if self.v.bpe and SPACE * 2 in text:  # runs of spaces are pieces of equal rank, which only the place tells apart
-            return tuple(chain.from_iterable((self.ids[s],) if s in self.ids else self._unknown(s) for s in self.merge(text)[0]))
-        n, bpe, scores, ids = len(text), self.v.bpe, self.v.scores, self.ids
-        best: list[tuple | None] = [None] * (n + 1)  # score, piece before the place, where it starts
-        best[0] = (0.0, "", -1)
-        place = 0
-        penalty = min(scores) - 10.0
-
-        def settle(upto: int) -> None:
-            """A character that no step reaches is unknown."""
-            nonlocal place
-            while place < upto:
-                place += 1
-                if best[place] is None and best[place - 1] is not None:
-                    c = text[place - 1]
-                    if c not in ids:
-                        best[place] = (best[place - 1][0] + penalty, "", place - 1)
-
-        for end, piece in self.automaton.iter(text):
-            end += 1
-            settle(end - 1)
-            start = end - len(piece)
-            before = best[start]
-            if before is None:
-                continue
-            if bpe:
-                if best[end] is None and (not before[1] or self.may_follow(before[1], piece)):
-                    best[end] = (0.0, piece, start)
-            else:
-                score = before[0] + scores[ids[piece]]
-                if best[end] is None or score > best[end][0]:
-                    best[end] = (score, piece, start)
-        settle(n)
-        if best[n] is None:
-            return tuple(chain.from_iterable((ids[s],) if s in ids else self._unknown(s) for s in self.merge(text)[0]))
+            return tuple(ids[s] for s in self.merge(text)[0])
+        last: list[str | None] = [None] * (n + 1)  # the last piece of the best encoding up to a place
+        if self.v.bpe:
+            seams = self.seams
+            for at, piece in self.automaton.iter(text):
+                end = at + 1
+                if last[end] is None:
+                    start = end - len(piece)
+                    if start:
+                        before = last[start]
+                        good = before is not None and ((known := seams.get((before, piece))) or known is None and self.may_follow(before, piece))
+                        if not good:
+                            continue
+                    last[end] = piece
+        else:
+            scores, best = self.v.scores, [0.0] + [-_NEVER] * n
+            for at, piece in self.automaton.iter(text):
+                score = best[at + 1 - len(piece)] + scores[ids[piece]]
+                if score > best[at + 1]:
+                    best[at + 1], last[at + 1] = score, piece
         out, at = [], n
         while at > 0:
-            _, piece, start = best[at]
-            out.append((ids[piece],) if piece else self._unknown(text[start]))
-            at = start
-        return tuple(chain.from_iterable(reversed(out)))
+            if last[at] is None:  # ranks that contradict each other: by definition then
+                return tuple(ids[s] for s in self.merge(text)[0])
+            out.append(ids[last[at]])
+            at -= len(last[at])
+        return tuple(reversed(out))
 
     def encode(self, text: str) -> np.ndarray:
         if not text:

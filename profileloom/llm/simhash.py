@@ -16,7 +16,7 @@ from profileloom.llm.components import connected_components
 
 SEED, BITS = 42, 64
 #: Fingerprints of a bucket that one task compares with each other; larger buckets are compared part by part.
-PART = 2048
+PART = 1024
 #: Pairs of (64 fingerprints, one fingerprint) that are compared at a time.
 AT_ONCE = 1 << 16
 _BYTES = np.uint64(0x0101010101010101)
@@ -186,7 +186,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     # where a bucket is split in k parts, part p meets the parts above it: rows go to one group for each other part
     parts = F.ceil(F.col("n") / PART).cast("int")
-    rows = keyed.join(counts, "key").withColumn("k", parts).withColumn("p", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
+    rows = salted_join(keyed, counts, ["key"], hot_hashes(keyed, ["key"]), ["fp"]).withColumn("k", parts).withColumn("p", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
     rows = rows.withColumn("q", F.explode(F.expr("sequence(0, k - 1)")))
     rows = rows.select("fp", "key", F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high"))
 
