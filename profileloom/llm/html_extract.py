@@ -43,10 +43,10 @@ class Block:
 
 
 class _Element:
-    __slots__ = ("core", "noise", "parent", "path", "soft", "tag")
+    __slots__ = ("article", "core", "noise", "parent", "path", "soft", "tag")
 
-    def __init__(self, tag: str, path: str, parent: _Element | None, noise: bool, soft: bool):
-        self.tag, self.path, self.parent, self.noise, self.soft, self.core = tag, path, parent, noise, soft, False
+    def __init__(self, tag: str, path: str, parent: _Element | None, noise: bool, soft: bool, article: bool = False):
+        self.tag, self.path, self.parent, self.noise, self.soft, self.article, self.core = tag, path, parent, noise, soft, article, False
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -116,8 +116,9 @@ def parse_page(page: str) -> list[Block]:
             hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
             noise = tag in NOISE or hidden or given.get("role", "").lower() in ROLES
             label = tag + "".join(f".{_DIGITS.sub('0', n)}" for n in names[:4])
-            element = _Element(tag, f"{stack[-1].path}/{label}" if len(stack[-1].path) < 400 else stack[-1].path, stack[-1], noise, soft)
-            if tag in ("article", "main") and not soft or given.get("role") == "main":
+            article = tag in ("article", "main") and not soft or given.get("role") == "main"
+            element = _Element(tag, f"{stack[-1].path}/{label}" if len(stack[-1].path) < 400 else stack[-1].path, stack[-1], noise, soft, article)
+            if article:
                 core = element
                 while core is not None:
                     core.core = True
@@ -147,7 +148,7 @@ def parse_page(page: str) -> list[Block]:
             chain.append(element)
             element = element.parent
         for e in reversed(chain):
-            inside = inside or e.tag in ("article", "main") and not e.soft
+            inside = inside or e.article
             # a name or a header says little of an element that holds the article, or of a header in it
             noise = noise or e.noise and not e.core or e.soft and not e.core and not (e.tag == "header" and inside)
         return noise, inside
