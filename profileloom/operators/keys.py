@@ -52,12 +52,12 @@ def relationship_measured(child: DataFrame, child_key: list[str], parent: DataFr
     parents = parent.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(parent_key))).distinct().withColumn("found", F.lit(True))
     fans = fans.join(parents, keys, "left")
     histogram = fans.groupBy(F.col("found").isNotNull().alias("found"), "fan").agg(F.count("*").alias("n"))
-    met = histogram.where("found")
-    quantiles = nearest_rank(met.withColumn("one", F.lit(1)), ["one"], "fan", "n", {"fan_p50": 50, "fan_p95": 95, "fan_p99": 99, "fan_max": 100}).drop("one")
-    counts = histogram.agg(F.coalesce(F.sum(F.col("fan") * F.col("n")), F.lit(0)).alias("non_null_rows"), F.coalesce(F.sum(F.when(F.col("found"), F.col("n"))), F.lit(0)).alias("distinct_parents"), F.coalesce(F.sum(F.when(~F.col("found"), F.col("fan") * F.col("n"))), F.lit(0)).alias("orphan_rows"))
-    rows = child.agg(F.count("*").alias("child_rows")).join(parents.agg(F.count("*").alias("parent_rows"))).join(counts)
+    one = F.lit(1).alias("one")  # the parts of the result have a row each
+    quantiles = nearest_rank(histogram.where("found").select("*", one), ["one"], "fan", "n", {"fan_p50": 50, "fan_p95": 95, "fan_p99": 99, "fan_max": 100})
+    counts = histogram.agg(one, F.coalesce(F.sum(F.col("fan") * F.col("n")), F.lit(0)).alias("non_null_rows"), F.coalesce(F.sum(F.when(F.col("found"), F.col("n"))), F.lit(0)).alias("distinct_parents"), F.coalesce(F.sum(F.when(~F.col("found"), F.col("fan") * F.col("n"))), F.lit(0)).alias("orphan_rows"))
+    rows = child.agg(one, F.count("*").alias("child_rows")).join(parents.agg(one, F.count("*").alias("parent_rows")), "one").join(counts, "one")
     rows = rows.withColumn("coverage", F.when(F.col("parent_rows") > 0, F.col("distinct_parents") / F.col("parent_rows")).otherwise(0.0))
-    return rows.join(quantiles, how="left")
+    return rows.join(quantiles, "one", "left").drop("one")
 
 
 def relationship_inferred(edges: DataFrame, columns: DataFrame) -> DataFrame:

@@ -19,20 +19,38 @@ COMPLEXITY = ("trivial", "trivial", "low", "moderate", "high", "high", "very-hig
 _SCRUB = re.compile(r"--[^\n]*|/\*.*?(?:\*/|\Z)|'(?:[^']|'')*(?:'|\Z)", re.S)
 
 
+def numbered(df: DataFrame, group: str, order: str) -> DataFrame:
+    """df with `number`: the row's place, from 1, within its group by a hexadecimal hash.
+
+    Groups are few and rows many, so places are counted in buckets of the hash's first digits, and the totals of the
+    buckets, 4096 for each group at most, are summed first.
+    """
+    rows = df.withColumn("_bucket", F.substring(order, 1, 3))
+    totals = rows.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rank = F.row_number().over(W.partitionBy(group, "_bucket").orderBy(order))
+    rows = rows.withColumn("_rank", rank).join(totals.select(group, "_bucket", before.alias("_before")), [group, "_bucket"])
+    return rows.withColumn("number", F.col("_rank") + F.col("_before")).drop("_bucket", "_rank", "_before")
+
+
+def label(prefix: Column | str, number: Column) -> Column:
+    """prefix-001 and so on; numbers over 999 keep all their digits."""
+    digits = number.cast("string")
+    return F.concat(prefix if isinstance(prefix, Column) else F.lit(prefix), F.lit("-"), F.when(F.length(digits) < 3, F.lpad(digits, 3, "0")).otherwise(digits))
+
+
+def anonymous_ids(df: DataFrame, kind: str, hash_: str) -> DataFrame:
+    """df with object_id, the kind and the row's place among its kind by a keyed hash: ids that tell nothing of the names."""
+    return numbered(df, kind, hash_).withColumn("object_id", label(F.col(kind), F.col("number"))).drop("number")
+
+
 def object_inventory(objects: DataFrame) -> DataFrame:
-    """(object_id, kind, status): ids count within a kind by hash; no requirement is complete unless requirements were read.
+    """(object_id, kind, hash, status): ids by kind and hash; no requirements are complete only where none apply.
 
-    objects: kind, hash, requirement_status, n_requirements. Kinds are few and objects many, so ranks are counted in
-    buckets of the hash's first digits and the buckets' totals summed first.
+    objects: kind, hash, requirement_status, n_requirements.
     """
-    rows = objects.withColumn("bucket", F.substring("hash", 1, 2))
-    totals = rows.groupBy("kind", "bucket").agg(F.count("*").alias("n"))
-    totals = totals.select("kind", "bucket", F.coalesce(F.sum("n").over(W.partitionBy("kind").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    rank = F.row_number().over(W.partitionBy("kind", "bucket").orderBy("hash"))
-    rows = rows.withColumn("rank", rank).join(totals, ["kind", "bucket"])
-    number = (F.col("rank") + F.col("before")).cast("string")
     status = F.when((F.col("requirement_status") == "complete") & (F.col("n_requirements") == 0), "not_applicable").otherwise(F.col("requirement_status"))
-    return rows.select(F.concat("kind", F.lit("-"), F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)).alias("object_id"), "kind", "hash", status.alias("status"))
+    return anonymous_ids(objects, "kind", "hash").select("object_id", "kind", "hash", status.alias("status"))
 
 
 def feature_counts(texts: DataFrame, key: str, text: str, features: dict[str, tuple[str, ...]] = FEATURES) -> DataFrame:

@@ -108,9 +108,9 @@ def bundle_totals(sources: DataFrame) -> DataFrame:
 def top_tables(tables: DataFrame, k: int = 10) -> DataFrame:
     """The k largest counted tables, ties by id, and their share of all bytes."""
     rows = tables.where("counted")
-    total = rows.agg(F.sum("table_bytes").alias("_total"))
+    total = rows.agg(F.sum("table_bytes")).first()[0]
     best = rows.select("table_id", "table_bytes").orderBy(F.desc("table_bytes"), "table_id").limit(k)
-    return best.join(F.broadcast(total)).select("table_id", "table_bytes", (F.col("table_bytes") / F.col("_total")).alias("share"))
+    return best.withColumn("share", F.col("table_bytes") / F.lit(total))
 
 
 def type_mix(columns: DataFrame) -> DataFrame:

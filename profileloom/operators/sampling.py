@@ -31,9 +31,10 @@ def sample_key_ranges(df: DataFrame, key: str, n: int, windows: int = 4) -> Data
 
     Least and greatest key come from one aggregate; ranking by range keeps a quota in each task before its shuffle.
     """
-    ends = df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-    window = F.least(F.lit(windows - 1), div((F.col(key) - F.col("_lo")) * windows, F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1))))
-    rows = df.join(F.broadcast(ends)).withColumn("key_range", window.cast("long")).drop("_lo", "_hi")
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    span = max((high or 0) - (low or 0), 1)
+    window = F.least(F.lit(windows - 1), div((F.col(key) - F.lit(low or 0)) * windows, span))
+    rows = df.withColumn("key_range", window.cast("long"))
     rank = F.row_number().over(W.partitionBy("key_range").orderBy(key))
     rows = rows.withColumn("_rank", rank).where(F.col("_rank") <= n // windows + 1)
     return rows.where(F.col("_rank") <= n // windows + (F.col("key_range") < n % windows).cast("int")).drop("_rank")

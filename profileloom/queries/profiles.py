@@ -10,6 +10,7 @@ from profileloom.functions import tokens as T
 from profileloom.operators import cells as C
 from profileloom.operators import columns as P
 from profileloom.operators import compression as Z
+from profileloom.operators import objects as O
 from profileloom.operators import sampling as S
 from profileloom.queries import load, query
 from profileloom.sources import files
@@ -380,12 +381,11 @@ def keyed_hash(spark, sf_dir):
     return load(spark, sf_dir, "customer").select("c_custkey", T.keyed_hash("customer", [F.col("c_name"), F.col("c_mktsegment")], b"key").alias("hash"))
 
 
-@query("""WITH s AS (SELECT c_custkey, c_mktsegment FROM customer) SELECT c_custkey, 'table-' || lpad(CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256(CAST(c_custkey AS VARCHAR))) AS VARCHAR), 6, '0') AS table_label, c_mktsegment FROM s""")
+@query("""WITH s AS (SELECT c_custkey, c_mktsegment, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256(CAST(c_custkey AS VARCHAR))) AS VARCHAR) AS n FROM customer)
+SELECT c_custkey, c_mktsegment, c_mktsegment || '-' || CASE WHEN length(n) < 3 THEN lpad(n, 3, '0') ELSE n END AS object_id FROM s""")
 def anonymous_ids(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    rank = F.row_number().over(W.partitionBy("c_mktsegment").orderBy(F.sha2(F.col("c_custkey").cast("string"), 256)))
-    return load(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("table-"), F.lpad(rank.cast("string"), 6, "0")).alias("table_label"), "c_mktsegment")
+    customers = load(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.sha2(F.col("c_custkey").cast("string"), 256).alias("hash"))
+    return O.anonymous_ids(customers, "c_mktsegment", "hash").select("c_custkey", "c_mktsegment", "object_id")
 
 
 def _band_sql(x: str, bands: tuple) -> str:
