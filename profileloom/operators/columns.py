@@ -130,6 +130,11 @@ def approx_distinct(cells: DataFrame, error: float = 0.02) -> DataFrame:
     return cells.groupBy("column_name").agg(F.approx_count_distinct("cell", error).alias("approx_distinct"), F.hll_sketch_agg("cell", 12).alias("sketch"))
 
 
+def merge_sketches(files: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct values over files from their sketches, which unlike their counts can be united."""
+    return files.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("approx_distinct"))
+
+
 def unique_uplift(columns: DataFrame, indexes: DataFrame) -> DataFrame:
     """columns with the estimate raised to the non-null rows where one plain unique key covers just this column.
 
@@ -190,3 +195,10 @@ def text_style(text: Column) -> Column:
 def text_style_profile(cells: DataFrame) -> DataFrame:
     """(column_name, style, n): styles of the cells of each column."""
     return cells.where(F.col("cell").isNotNull()).groupBy("column_name", text_style(F.col("cell")).alias("style")).agg(F.count("*").alias("n"))
+
+
+def column_style(cells: DataFrame) -> DataFrame:
+    """(column_name, style): the style of most cells of a column; mixed unless it is that of over half of them."""
+    styles = text_style_profile(cells).where("style <> ''")
+    best = styles.groupBy("column_name").agg(F.max_by("style", F.struct("n", "style")).alias("style"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    return best.select("column_name", F.when(F.col("most") * 2 > F.col("all"), F.col("style")).otherwise("mixed").alias("style"))

@@ -104,3 +104,21 @@ def complexity_profile(observations: DataFrame) -> DataFrame:
     coverage = F.when(none, "not-applicable").when(all_unknown, "unknown").when(c("unknown") == 0, "complete").otherwise("partial")
     band = F.when(none, "not-applicable").when(all_unknown, "unknown").when((c("unknown") == 0) | (low == "very-high"), low).otherwise("unknown")
     return out.select("dimension", *names, "not_applicable", "unknown", coverage.alias("coverage"), band.alias("band"))
+
+
+def complexity_overall(observations: DataFrame, population_complete: bool = True, analyzed: bool = True) -> DataFrame:
+    """One row: eligible, fully, partially and unassessed objects, and the overall band, the highest of the dimensions'.
+
+    An object is fully assessed if no dimension is unknown, and unassessed if all are. The band is definite if it is
+    the highest already, or if the population is complete and every object fully assessed.
+    """
+    known = F.col("state") != "unknown"
+    each = observations.groupBy("object_id").agg(F.min(known).alias("all_known"), F.max(known).alias("some_known"))
+    counts = each.agg(F.count("*").alias("eligible"), *(F.coalesce(F.sum(x.cast("long")), F.lit(0)).alias(n) for n, x in (("fully", F.col("all_known")), ("partially", ~F.col("all_known") & F.col("some_known")), ("unassessed", ~F.col("some_known")))))
+    order = ("trivial", "low", "moderate", "high", "very-high")
+    rank = F.array_position(F.array(*map(F.lit, order)), F.col("band"))
+    top = complexity_profile(observations).agg(F.lit(1).alias("one"), F.coalesce(F.max(rank), F.lit(0)).alias("rank"))
+    band = F.element_at(F.array(*map(F.lit, order)), F.greatest(F.col("rank"), F.lit(1)).cast("int"))
+    sure = (band == "very-high") | (F.lit(population_complete) & (F.col("fully") == F.col("eligible")))
+    overall = F.when(F.col("eligible") == 0, "not-applicable" if population_complete else "unknown").when(F.lit(analyzed) & sure, band).otherwise("unknown")
+    return counts.withColumn("one", F.lit(1)).join(top, "one").select("eligible", "fully", "partially", "unassessed", overall.alias("overall_band"))

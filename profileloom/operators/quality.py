@@ -97,6 +97,34 @@ def relationship_rules() -> list[tuple[str, Column]]:
     ]
 
 
+def length_rules() -> list[tuple[str, Column]]:
+    c = F.col
+    return [("negative-length", (c("length_avg") < 0) | (c("length_p95") < 0)), ("lengths-without-rows", (c("length_avg") > 0) & (c("non_null_rows") == 0))]
+
+
+def compression_rules() -> list[tuple[str, Column]]:
+    c = F.col
+    return [
+        ("negative-ratio", (c("ratio") < 0) | F.isnan("ratio")),
+        ("ratio-without-sample", (c("ratio") > 0) & (c("sample_bytes") == 0)),
+        ("spread-without-ratio", (c("ratio_stddev") > 0) & (c("ratio") == 0)),
+    ]
+
+
+def range_rules() -> list[tuple[str, Column]]:
+    """For value ranges: magnitudes and times come in full or not at all."""
+    c = F.col
+    some = lambda *names: [c(n).isNotNull() for n in names]
+    low, high, sign = some("magnitude_min", "magnitude_max", "has_negative")
+    span, decade = some("time_span", "time_recent_decade")
+    return [
+        ("decade-not-whole", c("time_recent_decade") % 10 != 0),
+        ("magnitude-incomplete", (low != high) | (high != sign)),
+        ("magnitudes-out-of-order", c("magnitude_min") > c("magnitude_max")),
+        ("time-incomplete", span != decade),
+    ]
+
+
 def contract_violations(df: DataFrame, keys: Sequence[str], rules: Sequence[tuple[str, Column]]) -> DataFrame:
     """keys and rule for every rule that a row breaks, in one pass over the rows. A rule on what is missing isn't broken."""
     broken = F.filter(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in rules)), lambda x: x.isNotNull())

@@ -47,6 +47,14 @@ def scaled_distinct(distinct: Number | str, source_rows: Number | str, rows: Num
     return F.when(r > 0, F.least(F.greatest(near, F.lit(1)), r)).otherwise(0)
 
 
+def effective_distinct(estimated: Number | str, observed: Number | str, biased: Column, sample_rows: Number | str, non_null: Number | str, source_rows: Number | str) -> Column:
+    """The source's distinct values: a near-unique lower bound of a biased sample is widened to the source's non-null rows."""
+    e, o, s, n, r = (_col(x) for x in (estimated, observed, sample_rows, non_null, source_rows))
+    near = biased & (n > 0) & (o * 20 >= n * 19) & (e <= o) & (s > 0)
+    wide = div(r.cast("decimal(19,0)") * n.cast("decimal(18,0)") + div(s, 2), F.greatest(s, F.lit(1)).cast("decimal(19,0)")).cast("long")
+    return F.least(F.greatest(F.when(near, F.greatest(e, wide)).otherwise(e), o), F.greatest(r, F.lit(1)))
+
+
 def permute_index(index: Number | str, count: Number | str, salt: int = 0) -> Column:
     """A one-to-one map of 0..count-1 for counts up to 2^31.
 

@@ -255,6 +255,24 @@ def contract_violations(spark, sf_dir):
     return Q.contract_violations(rows, ["table_id"], Q.cardinality_rules())
 
 
+@query("""WITH f AS (SELECT l_partkey AS edge_id, count(*) AS n, count(DISTINCT l_suppkey) AS d, CAST(sum(CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END) AS BIGINT) AS orphans FROM lineitem GROUP BY 1),
+r AS (SELECT edge_id, unnest([CASE WHEN d > n - orphans THEN 'parents-above-rows' END, CASE WHEN orphans > n - orphans THEN 'orphans-above-rows' END, CASE WHEN edge_id % 2 = 0 AND orphans > 0 THEN 'validated-with-orphans' END, CASE WHEN d / 10 > 1 THEN 'coverage-out-of-range' END]) AS rule FROM f) SELECT * FROM r WHERE rule IS NOT NULL""")
+def relationship_violations(spark, sf_dir):
+    """Parts as edges to ten suppliers; first lines of orders count as orphans."""
+    f = load(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("edge_id")).agg(F.count("*").alias("n"), F.countDistinct("l_suppkey").alias("distinct_parents"), F.sum((F.col("l_linenumber") == 1).cast("long")).alias("orphan_rows"))
+    rows = f.select("edge_id", "distinct_parents", "orphan_rows", (F.col("n") - F.col("orphan_rows")).alias("non_null_rows"), (F.col("distinct_parents") / 10).alias("coverage"), (F.col("edge_id") % 2 == 0).alias("validated"))
+    return Q.contract_violations(rows, ["edge_id"], Q.relationship_rules())
+
+
+@query("""SELECT l_suppkey AS source_id, 'row-total-differs' AS rule FROM lineitem GROUP BY 1 HAVING l_suppkey % 6 = 0 UNION ALL SELECT l_suppkey, 'byte-total-differs' FROM lineitem GROUP BY 1 HAVING l_suppkey % 9 = 0""")
+def totals_violations(spark, sf_dir):
+    """Suppliers' totals, some one too high, against the sums of their parts."""
+    tables = load(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("source_id"), F.col("l_partkey").alias("table_id")).agg(F.count("*").alias("rows"), F.sum("l_orderkey").alias("table_bytes")).withColumn("counted", F.lit(True))
+    totals = tables.groupBy("source_id").agg(F.sum("rows").alias("rows"), F.sum("table_bytes").alias("table_bytes"))
+    totals = totals.select("source_id", (F.col("rows") + (F.col("source_id") % 6 == 0).cast("long")).alias("rows"), (F.col("table_bytes") + (F.col("source_id") % 9 == 0).cast("long")).alias("table_bytes"))
+    return Q.totals_violations(totals, tables)
+
+
 @query("""WITH p AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'view' WHEN 1 THEN 'function' ELSE 'trigger' END AS kind, sha256(CAST(p_partkey AS VARCHAR)) AS hash, p_size FROM part),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY hash) AS VARCHAR) AS n FROM p)
 SELECT kind || '-' || CASE WHEN length(n) < 3 THEN lpad(n, 3, '0') ELSE n END AS object_id, kind, hash, CASE WHEN p_size % 2 = 0 AND p_size % 4 = 0 THEN 'not_applicable' WHEN p_size % 2 = 0 THEN 'complete' ELSE 'partial' END AS status FROM r""")
@@ -284,7 +302,17 @@ COMPLEX_SQL = """o AS (SELECT l_returnflag || l_linestatus AS dimension, CASE WH
 l AS (SELECT *, CASE WHEN n_6 > 0 THEN 'very-high' WHEN n_5 + n_4 > 0 THEN 'high' WHEN n_3 > 0 THEN 'moderate' WHEN n_2 > 0 THEN 'low' ELSE 'trivial' END AS low FROM h)
 SELECT dimension, n_0, n_1, n_2, n_3, n_4, n_5, n_6, not_applicable, unknown, CASE WHEN unknown = 0 THEN 'complete' ELSE 'partial' END AS coverage, CASE WHEN unknown = 0 OR low = 'very-high' THEN low ELSE 'unknown' END AS band FROM l""")
 def complexity_profile(spark, sf_dir):
+    return O.complexity_profile(_observations(spark, sf_dir))
+
+
+@query(f"""WITH {COMPLEX_SQL.replace("SELECT l_returnflag", "SELECT l_orderkey, l_returnflag")}, e AS (SELECT l_orderkey, bool_and(state <> 'unknown') AS a, bool_or(state <> 'unknown') AS s FROM o GROUP BY 1)
+SELECT count(*) AS eligible, count(*) FILTER (a) AS fully, count(*) FILTER (NOT a AND s) AS partially, count(*) FILTER (NOT s) AS unassessed, CASE WHEN count(*) = count(*) FILTER (a) THEN 'high' ELSE 'unknown' END AS overall_band FROM e""")
+def complexity_overall(spark, sf_dir):
+    return O.complexity_overall(_observations(spark, sf_dir))
+
+
+def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as observations of orders in six dimensions."""
     k = F.col("l_partkey") % 10
     state = F.when((k == 0) & (F.col("l_returnflag") != "A"), "unknown").when(k == 1, "not-applicable").otherwise("assessed")
-    rows = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("object_id"), F.concat("l_returnflag", "l_linestatus").alias("dimension"), (F.col("l_quantity") % 6).alias("bucket"), state.alias("state"))
-    return O.complexity_profile(rows)
+    return load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("object_id"), F.concat("l_returnflag", "l_linestatus").alias("dimension"), (F.col("l_quantity") % 6).alias("bucket"), state.alias("state"))

@@ -285,6 +285,19 @@ def text_style(spark, sf_dir):
     return P.text_style_profile(event_cells(spark, sf_dir).select("column_name", "cell").union(pages).union(docs))
 
 
+@query()
+def column_style(spark, sf_dir):
+    pages = load(spark, sf_dir, "pages").select(F.lit("html").alias("column_name"), F.col("html").alias("cell"))
+    return P.column_style(event_cells(spark, sf_dir).where("column_name <> 'event_type'").select("column_name", "cell").union(pages))
+
+
+@query()
+def merge_sketches(spark, sf_dir):
+    """Distinct texts by language, from a sketch for each source."""
+    docs = load(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.hll_sketch_agg("text", 12).alias("sketch"))
+    return P.merge_sketches(docs, ["lang"])
+
+
 @query(f"""WITH {CELLS_SQL} SELECT column_name, count(*) AS cells, CAST(sum(CASE WHEN cell IS NULL THEN 1 ELSE 1 + CASE WHEN strlen(cell) < 128 THEN 1 WHEN strlen(cell) < 16384 THEN 2 ELSE 3 END + strlen(cell) END) AS BIGINT) AS encoded_bytes FROM cells GROUP BY 1""")
 def encoded_size(spark, sf_dir):
     return C.encoded_size_profile(event_cells(spark, sf_dir))

@@ -144,3 +144,15 @@ def test_write_profile(spark, tmp_path):
     files.write_profile({"columns": rows}, str(tmp_path), "r1")
     files.write_profile({"columns": rows}, str(tmp_path), "r2")
     assert spark.read.parquet(f"{tmp_path}/columns").count() == 2
+
+
+def test_effective_distinct(spark):
+    rows = spark.createDataFrame([(100, 100, True, 100, 100, 5000), (100, 100, False, 100, 100, 5000), (30, 30, True, 100, 100, 5000)], "e long, o long, b boolean, s long, n long, r long")
+    got = [r[0] for r in rows.select(M.effective_distinct("e", "o", F.col("b"), "s", "n", "r")).collect()]
+    assert got == [5000, 100, 30]
+
+
+def test_range_and_compression_rules(spark):
+    rows = spark.createDataFrame([(1, 2, 1, True, "days", 1995, 0.0, 10, 0.5), (2, 1, None, None, None, None, 2.0, 0, 0.0)], "k int, magnitude_min int, magnitude_max int, has_negative boolean, time_span string, time_recent_decade int, ratio double, sample_bytes long, ratio_stddev double")
+    got = {tuple(r) for r in Q.contract_violations(rows, ["k"], Q.range_rules() + Q.compression_rules()).collect()}
+    assert got == {(1, "decade-not-whole"), (1, "magnitudes-out-of-order"), (1, "spread-without-ratio"), (2, "magnitude-incomplete"), (2, "ratio-without-sample")}
