@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from profileloom.llm.common import text_or_empty
 
 #: Bounds of the sample a language is learned from: documents, code points of each, and code points of distinct words.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORD_CHARS = 200, 20_000, 40_000
-#: Distinct words whose phrase counts a worker keeps.
-KEPT_WORDS = 200_000
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORD_CHARS = 200, 20_000, 30_000
+#: Distinct words whose phrase counts a worker keeps, and texts that it unpacks at a time.
+KEPT_WORDS, SLICE = 150_000, 500
 _BITS = 40
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -141,19 +142,15 @@ def learn(docs: DataFrame) -> dict[str, str]:
 _models: dict[str, LanguageModel] = {}
 
 
-def predictor(spark: SparkSession, model: dict[str, str]) -> Callable[[Column], Column]:
-    """A column function: text to struct<lang_pred, score>. The sample, not the automata, goes to the executors."""
-    sample, name = spark.sparkContext.broadcast(model), uuid.uuid4().hex
-
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if name not in _models:  # a worker builds the automata once
-            _models.clear()
-            _models[name] = LanguageModel(sample.value)
-        for texts in batches:
-            yield pd.DataFrame([_models[name].predict(t) for t in texts], columns=["lang_pred", "score"])
-
-    return predict
+def _predictions(name: str, sample: dict[str, str], texts: pa.Array) -> Iterator[tuple[str, float]]:
+    """Predictions for a column of texts, of which few are Python objects at a time."""
+    if name not in _models:  # a worker builds the automata once
+        _models.clear()
+        gc.collect()
+        _models[name] = LanguageModel(sample)
+    for at in range(0, len(texts), SLICE):
+        for text in texts.slice(at, SLICE).to_pylist():
+            yield _models[name].predict(text or "")
 
 
 def identify_languages(docs: DataFrame, model: dict[str, str] | None = None) -> DataFrame:
@@ -163,14 +160,27 @@ def identify_languages(docs: DataFrame, model: dict[str, str] | None = None) ->
     to the next; the counts add up over the text, and the language with fewest phrases is predicted, with its lead
     over the second as score. Null texts and those without letters get und and score 0, and so do all if nothing was
     learned. Null ids and repeated rows are judged as they are; an empty table gives no rows; columns other than
-    doc_id, text and (to learn) lang aren't read.
+    doc_id, text and (to learn) lang aren't read. The sample, not the automata, goes to the executors.
     """
-    predict = predictor(docs.sparkSession, learn(docs) if model is None else model)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), predict(text_or_empty("text")).alias("p"))
-    return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")
+    sample, name = docs.sparkSession.sparkContext.broadcast(learn(docs) if model is None else model), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = list(_predictions(name, sample.value, batch.column("text")))
+            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_or_empty("text").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def reject_unidentified(docs: DataFrame) -> DataFrame:
     """docs without the rows whose language can't be told; all columns stay as they are."""
-    predict = predictor(docs.sparkSession, learn(docs))
-    return docs.where(predict(text_or_empty("text"))["lang_pred"] != "und")
+    sample, name = docs.sparkSession.sparkContext.broadcast(learn(docs)), uuid.uuid4().hex
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([s[0] != "und" for s in _predictions(name, sample.value, batch.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
