@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from profileloom.llm.common import cut, hot_hashes, salted_join, text_or_empty
 
 #: A site's style tree decides from so many different pages on; nodes below LEAST_IMPORTANCE are removed.
 LEAST_PAGES, LEAST_IMPORTANCE, DAMPING = 10, 0.1, 0.9
+#: Pages that a worker unpacks at a time.
+SLICE = 200
 #: Rows of removed nodes up to which they are broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -160,6 +163,14 @@ def _host(url: str) -> str:
     return re.split(r"[/?#]", url.split("://", 1)[1], maxsplit=1)[0].lower() if "://" in url else ""
 
 
+def main_text(page: str, removed: list[str] | None) -> str:
+    """Lines of the page's article, without the nodes at the removed paths."""
+    good = [b for b in parse_page(page) if not b.noise]
+    good = [b for b in good if b.inside] or good
+    gone = set(removed or ())
+    return "\n".join(b.text for b in good if b.path not in gone)
+
+
 def style_tree(pages: DataFrame) -> DataFrame:
     """(host, path, importance, pages): the nodes with text of each site's merged pages, and how much they tell.
 
@@ -213,18 +224,13 @@ def extract_text(pages: DataFrame) -> DataFrame:
     else:
         rows = salted_join(rows, low, ["host"], hot_hashes(rows, ["host"]), ["page_id"], "left")
 
-    @F.pandas_udf("string")
-    def main_text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for htmls, lows in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for page, paths in zip(htmls, lows, strict=True):
-                blocks, removed = parse_page(page), set(paths if paths is not None else ())
-                good = [b for b in blocks if not b.noise]
-                good = [b for b in good if b.inside] or good
-                out.append("\n".join(b.text for b in good if b.path not in removed))
-            yield pd.Series(out, dtype=str)
-
-    rows = rows.select("page_id", "url", main_text("html", "low").alias("text"))
-    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
-
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                out += [main_text(page, paths) for page, paths in zip(part.column("html").to_pylist(), part.column("low").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
+    rows = rows.select("page_id", "url", "html", "low").mapInArrow(run, "page_id long, url string, text string")
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
