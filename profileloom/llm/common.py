@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,23 @@ SALTS = 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+class Remembered(dict):
+    """Results of a function by argument, of the last `size` to 2 * `size` arguments: when full, what is held becomes the old generation."""
+
+    def __init__(self, function: Callable, size: int):
+        self.function, self.size, self.old = function, size, {}
+
+    def __missing__(self, key: object) -> object:
+        value = self.old.get(key)
+        if value is None:
+            value = self.function(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+import gc
+import hashlib
 import heapq
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructType
 
-from profileloom.llm.common import as_documents
+from profileloom.llm.common import Remembered, as_documents
 
 SPACE = "▁"
-#: Distinct segments whose ids a worker keeps, and their greatest length.
-KEPT_SEGMENTS, KEPT_LENGTH = 300_000, 64
+#: Distinct segments whose ids a worker keeps.
+KEPT_SEGMENTS = 200_000
+#: Texts that a worker unpacks at a time.
+SLICE = 500
 _NEVER = float("inf")
 
 
@@ -72,26 +77,21 @@ class Codec:
                 self.automaton.add_word(p, p)
         self.automaton.make_automaton()
         self.known = {p for p in self.ids if len(p) == 1}
-        # a piece with a space after another character would join segments
-        self.split = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        # texts fall apart where no piece can join what is left and right of a place
+        letters = "".join(re.escape(c) for c in sorted(self.known) if c.isalpha())
+        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
+            self.segment = re.compile(".+", re.S)
+        elif not letters or any(x.isalpha() and not y.isalpha() for p in self.ids for x, y in zip(p, p[1:], strict=False)):
+            self.segment = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        else:
+            self.segment = re.compile(f"{SPACE}*[^{letters}{SPACE}]*[{letters}]+|{SPACE}*[^{letters}{SPACE}]+|{SPACE}+")
         self.bytes = [p.replace(SPACE, " ").encode() for p in v.pieces]
         for b, i in enumerate(v.byte_ids):
             self.bytes[i] = bytes([b])
         for i, normal in enumerate(v.normal):
             if not normal and i not in set(v.byte_ids):
                 self.bytes[i] = b" \xe2\x81\x87 " if i == v.unknown else b""
-        codec = self
-
-        class Kept(dict):
-            def __missing__(self, segment: str) -> tuple[int, ...]:
-                if len(self) >= KEPT_SEGMENTS:
-                    self.clear()
-                out = codec.encode_segment(segment)
-                if len(segment) <= KEPT_LENGTH:
-                    self[segment] = out
-                return out
-
-        self.kept = Kept()
+        self.kept = Remembered(self.encode_segment, KEPT_SEGMENTS)
 
     def _rank(self, piece: str) -> float:
         i = self.ids.get(piece)
@@ -167,7 +167,7 @@ class Codec:
                 i += 1
             else:
                 j += 1
-        if len(self.seams) >= 1_000_000:
+        if len(self.seams) >= 300_000:
             self.seams.clear()
         self.seams[key] = good
         return good
@@ -223,44 +223,62 @@ class Codec:
         if not text:
             return np.zeros(0, np.int32)
         text = SPACE + text.replace(" ", SPACE)
-        segments = _SEGMENT.findall(text) if self.split else [text]
-        return np.fromiter(chain.from_iterable(map(self.kept.__getitem__, segments)), np.int32)
+        return np.fromiter(chain.from_iterable(map(self.kept.__getitem__, self.segment.findall(text))), np.int32)
 
-    def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    def decode(self, ids: Iterable[int]) -> str:
+        text = b"".join(map(self.bytes.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
-_SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _codecs: dict[str, Codec] = {}
 
 
 def _on_worker(name: str, vocabulary: Vocabulary) -> Codec:
     if name not in _codecs:  # a worker builds the automaton once
         _codecs.clear()
+        gc.collect()
         _codecs[name] = Codec(vocabulary)
     return _codecs[name]
 
 
 class SentencePiece:
-    """Encoding and decoding columns of a DataFrame. Only the vocabulary of the model, read on the driver, goes to the executors."""
+    """Encodes and decodes columns of DataFrames. Only the model's vocabulary, read on the driver, goes to the executors."""
 
-    def __init__(self, df: DataFrame, model_path: str, bpe: bool = True):
-        shared, name = df.sparkSession.sparkContext.broadcast(read_vocabulary(model_path, bpe)), f"{model_path}:{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, model_path: str, bpe: bool = True):
+        self.shared, self.name = spark.sparkContext.broadcast(read_vocabulary(model_path, bpe)), f"{model_path}:{uuid.uuid4().hex}"
 
-        @F.pandas_udf("array<int>")
-        def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            codec = _on_worker(name, shared.value)
-            for texts in batches:
-                yield pd.Series([codec.encode(t) for t in texts], dtype=object)
+    def _with_columns(self, df: DataFrame, source: str, types: list[tuple[str, DataType, pa.DataType]], make: Callable[[Codec, list], list[list]]) -> DataFrame:
+        """df with columns (name, type, Arrow type) that `make` gives for slices of a column; the other columns pass as they are."""
+        shared, name, at = self.shared, self.name, df.columns.index(source)
 
-        @F.pandas_udf("string")
-        def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codec = _on_worker(name, shared.value)
-            for rows in batches:
-                yield pd.Series([codec.decode(np.asarray(r, np.int32)) for r in rows], dtype=str)
+            for batch in batches:
+                for k in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(k, SLICE)
+                    made = make(codec, part.column(at).to_pylist())
+                    new = [pa.array(values, kind) for values, (_, _, kind) in zip(made, types, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *(t[0] for t in types)])
+
+        schema = StructType([*df.schema.fields])
+        for n, kind, _ in types:
+            schema = schema.add(n, kind)
+        return df.mapInArrow(run, schema)
+
+    def encode(self, df: DataFrame, text: str, ids: str) -> DataFrame:
+        return self._with_columns(df, text, [(ids, ArrayType(IntegerType()), pa.list_(pa.int32()))], lambda codec, texts: [[codec.encode(t or "") for t in texts]])
 
-        self.encode, self.decode = encode, decode
+    def decode(self, df: DataFrame, ids: str, text: str) -> DataFrame:
+        return self._with_columns(df, ids, [(text, StringType(), pa.string())], lambda codec, rows: [[codec.decode(r or ()) for r in rows]])
+
+    def round_trip(self, df: DataFrame, text: str, ids: str, decoded_sha256: str) -> DataFrame:
+        """encode() and decode() in one pass; of the decoded text its SHA-256 is returned."""
+
+        def make(codec: Codec, texts: list) -> list[list]:
+            encoded = [codec.encode(t or "") for t in texts]
+            return [encoded, [hashlib.sha256(codec.decode(e).encode("utf-8", "replace")).hexdigest() for e in encoded]]
+
+        return self._with_columns(df, text, [(ids, ArrayType(IntegerType()), pa.list_(pa.int32())), (decoded_sha256, StringType(), pa.string())], make)
 
 
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
@@ -270,10 +288,5 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     space. Null ids and repeated rows are encoded as they are; an empty table gives no rows; columns other than doc_id
     and text aren't read. Nothing is shuffled.
     """
-    docs = as_documents(docs)
-    model = SentencePiece(docs, model_path)
-    rows = docs.select("doc_id", model.encode("text").alias("ids"))
-    rows = rows.select("doc_id", "ids", model.decode("ids").alias("decoded"))
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
-
-
+    rows = SentencePiece(docs.sparkSession, model_path).round_trip(as_documents(docs), "text", "ids", "decoded_sha256")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")

@@ -11,7 +11,7 @@ from profileloom.llm.html_extract import extract_text, style_tree
 from profileloom.llm.language_id import SuffixAutomaton, identify_languages, learn
 from profileloom.llm.mixture import mix_sources, mixed_texts
 from profileloom.llm.queries import MODEL_PATH, URL_RULES
-from profileloom.llm.sentencepiece_codec import Codec, Vocabulary, encode_documents, read_vocabulary
+from profileloom.llm.sentencepiece_codec import Codec, SentencePiece, Vocabulary, encode_documents, read_vocabulary
 from profileloom.llm.simhash import bit_planes, fingerprint_links, within_radius
 from profileloom.llm.url_filter import judge_urls
 
@@ -163,6 +163,9 @@ def test_codec_equals_the_library(spark, sf_dir, docs, no_docs):
     got = encode_documents(docs, MODEL_PATH).collect()
     want = Counter((r.doc_id, tuple(model.encode(r.text or ""))) for r in docs.collect())
     assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want
+    model_columns = SentencePiece(spark, MODEL_PATH)
+    back = model_columns.decode(model_columns.encode(docs.select("doc_id", "text"), "text", "ids"), "ids", "decoded").collect()
+    assert all(r.decoded == (r.text or "") for r in back) and len(back) == docs.count()
     assert all(r.n_tokens == len(r.ids) for r in got) and encode_documents(no_docs, MODEL_PATH).collect() == []
 
 
