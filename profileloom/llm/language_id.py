@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from profileloom.llm.common import text_or_empty
+from profileloom.llm.common import Remembered, text_or_empty
 
 #: Bounds of the sample a language is learned from: documents, code points of each, and code points of distinct words.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORD_CHARS = 200, 20_000, 30_000
 #: Distinct words whose phrase counts a worker keeps, and texts that it unpacks at a time.
-KEPT_WORDS, SLICE = 150_000, 500
+KEPT_WORDS, SLICE = 100_000, 500
 _BITS = 40
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -73,21 +73,14 @@ class LanguageModel:
     def __init__(self, texts: dict[str, str]):
         self.languages = sorted(texts)
         self.automata = [SuffixAutomaton(texts[k]) for k in self.languages]
-        model = self
-
-        class Counts(dict):
-            """Phrase counts of a word for all languages, side by side in one integer."""
-
-            def __missing__(self, word: str) -> int:
-                if len(self) >= KEPT_WORDS:
-                    self.clear()
-                spaced, out = f" {word} ", 0
-                for k, automaton in enumerate(model.automata):
-                    out |= automaton.phrases(spaced) << (_BITS * k)
-                self[word] = out
-                return out
-
-        self.counts = Counts()
+        self.counts = Remembered(self._count, KEPT_WORDS)
+
+    def _count(self, word: str) -> int:
+        """Phrase counts of a word for all languages, side by side in one integer."""
+        spaced, out = f" {word} ", 0
+        for k, automaton in enumerate(self.automata):
+            out |= automaton.phrases(spaced) << (_BITS * k)
+        return out
 
     def predict(self, text: str) -> tuple[str, float]:
         """The language that needs the fewest phrases, ties by name, and its lead over the second as a share of the latter's."""
