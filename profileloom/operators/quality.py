@@ -55,6 +55,7 @@ def fidelity_score(sources: DataFrame, tables: DataFrame, columns: DataFrame, ed
     level = None
     for least, name in BANDS:
         level = (F.when if level is None else level.when)(c("overall_score") >= least, name)
+    # fixed values: names of limitations
     notes = {
         "biased-column-sampling": c("biased"),
         "cardinality-lower-bounds": c("low"),

@@ -91,6 +91,7 @@ def bundle_totals(sources: DataFrame) -> DataFrame:
     single = c("relationship").isin("independent", "replica") & (c("good") > 0)
     shards = (c("relationship") == "shard") & c("complete") & (c("good") == c("members"))
     value = lambda s: F.when(single, c(f"one.{s}")).when(shards, c(f"sum_{s}")).otherwise(0)
+    # fixed values: names of limitations
     notes = {
         "failed-sources": (c("good") < c("members")) | (c("relationship").isin("independent", "replica") & (c("good") == 0)),
         "replica-group-disagreement": (c("relationship") == "replica") & (c("versions") > 1),

@@ -26,30 +26,55 @@ def profile_per_file(df: DataFrame) -> DataFrame:
     return files.select(F.concat(F.lit("table-"), F.lpad(number, 3, "0")).alias("table_id"), F.element_at(F.split("file", "/"), -1).alias("file"), "n_rows")
 
 
+#: Schemes of stores from which a task reads the footers only.
+RANGE_SCHEMES = ("file", "hdfs", "s3", "gs")
+_FOOTER = "file string, column_name string, row_group int, n long, nulls long, packed long, raw long, codec string"
+
+
+def _chunks(path: str, source: object) -> list[tuple]:
+    """A row for each column chunk that a Parquet footer lists."""
+    import pyarrow.parquet as pq
+
+    meta, out = pq.ParquetFile(source).metadata, []
+    for g in range(meta.num_row_groups):
+        for k in range(meta.num_columns):
+            c = meta.row_group(g).column(k)
+            nulls = c.statistics.null_count if c.statistics is not None and c.statistics.has_null_count else None
+            out.append((path, c.path_in_schema, g, c.num_values, nulls, c.total_compressed_size, c.total_uncompressed_size, c.compression))
+    return out
+
+
 def footer_rows(df: DataFrame) -> DataFrame:
     """(file, column_name, row_group, values, nulls, packed_bytes, raw_bytes, codec) from the footers of a Parquet table's files.
 
-    Files are read as binary by Spark, which reaches any store it has; a task holds one file at a time.
+    Paths are dealt over tasks, which read the footers alone from stores that give ranges of files. From other stores
+    Spark reads the files, one of them in a task's memory at a time.
     """
     import pyarrow as pa
-    import pyarrow.parquet as pq
+    from pyarrow import fs
 
-    paths = [p for f in df.inputFiles() for p in [f]]
-    files = df.sparkSession.read.format("binaryFile").load(paths).select("path", "content")
+    spark, paths = df.sparkSession, df.inputFiles()
+    names = ["file", "column_name", "row_group", "n", "nulls", "packed", "raw", "codec"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                meta = pq.ParquetFile(pa.BufferReader(content)).metadata
-                for g in range(meta.num_row_groups):
-                    for k in range(meta.num_columns):
-                        c = meta.row_group(g).column(k)
-                        nulls = c.statistics.null_count if c.statistics is not None and c.statistics.has_null_count else None
-                        out.append((path, c.path_in_schema, g, c.num_values, nulls, c.total_compressed_size, c.total_uncompressed_size, c.compression))
-            yield pd.DataFrame(out, columns=["file", "column_name", "row_group", "n", "nulls", "packed", "raw", "codec"]).astype({"nulls": "Int64"})
-
-    rows = files.mapInPandas(run, "file string, column_name string, row_group int, n long, nulls long, packed long, raw long, codec string")
+            for path in batch["path"]:
+                store, name = fs.FileSystem.from_uri(path)
+                with store.open_input_file(name) as source:
+                    out += _chunks(path, source)
+            yield pd.DataFrame(out, columns=names).astype({"nulls": "Int64"})
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [row for path, content in zip(batch["path"], batch["content"], strict=True) for row in _chunks(path, pa.BufferReader(content))]
+            yield pd.DataFrame(out, columns=names).astype({"nulls": "Int64"})
+
+    if all(p.split(":", 1)[0] in RANGE_SCHEMES for p in paths):
+        listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths) // 32 + 1))
+        rows = listed.mapInPandas(ranges, _FOOTER)
+    else:
+        rows = spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(whole, _FOOTER)
     return rows.withColumnsRenamed({"n": "values", "packed": "packed_bytes", "raw": "raw_bytes"})
 
 

@@ -156,3 +156,12 @@ def test_range_and_compression_rules(spark):
     rows = spark.createDataFrame([(1, 2, 1, True, "days", 1995, 0.0, 10, 0.5), (2, 1, None, None, None, None, 2.0, 0, 0.0)], "k int, magnitude_min int, magnitude_max int, has_negative boolean, time_span string, time_recent_decade int, ratio double, sample_bytes long, ratio_stddev double")
     got = {tuple(r) for r in Q.contract_violations(rows, ["k"], Q.range_rules() + Q.compression_rules()).collect()}
     assert got == {(1, "decade-not-whole"), (1, "magnitudes-out-of-order"), (1, "spread-without-ratio"), (2, "magnitude-incomplete"), (2, "ratio-without-sample")}
+
+
+def test_footers(spark, tmp_path, monkeypatch):
+    spark.range(1000).selectExpr("id", "if(id % 4 = 0, null, cast(id as string)) AS t").repartition(3).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    near = {r.column_name: r for r in files.storage_profile(df).collect()}
+    assert near["t"].nulls == 250 and near["id"].values == 1000 and near["id"].row_groups == 3 and near["t"].ratio > 0
+    monkeypatch.setattr(files, "RANGE_SCHEMES", ())
+    assert {r.column_name: r for r in files.storage_profile(df).collect()} == near
