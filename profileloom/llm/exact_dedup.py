@@ -11,51 +11,58 @@ from profileloom.llm.common import as_documents, cut, hot_hashes, is_hot, lower_
 BLOCK = 4096
 #: Buckets in which keys are sorted into names, and bits for the place within one.
 BUCKETS, PLACE_BITS = 1 << 16, 40
+_PLACE = ["doc_id", "sha", "left_", "idx"]
 
 
 def _named(rows: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
     """`keep` and an integer name for each row, equal where all keys are equal and only there.
 
     The keys of a bucket are sorted, and a name is the bucket and the key's place in it. A hash picks the bucket, but
-    equality rests on the keys themselves. Keys with over a thousandth of the rows are first reduced to one row each
-    by map-side aggregation, get their names in buckets above the others, and meet their rows in a broadcast join of
-    at most a thousand keys, so that no task gets all rows of one key.
+    equality rests on the keys themselves. Keys with over a thousandth of the rows, a thousand at most, are reduced to
+    one row each by map-side aggregation, named in buckets above the others and broadcast to their rows, which are
+    then dealt over the buckets without their keys, so that no task gets all rows of one key.
     """
     hot = hot_hashes(rows, keys)
     bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
 
-    def names(df: DataFrame, offset: int) -> Column:
+    def names(offset: int) -> Column:
         place = F.dense_rank().over(W.partitionBy("_bucket").orderBy(*keys)).cast("long")
         return F.shiftleft(F.col("_bucket") + F.lit(offset), PLACE_BITS) + place
 
-    cold = (rows.where(~is_hot(keys, hot)) if hot else rows).withColumn("_bucket", bucket)
-    out = cold.withColumn("name", names(cold, 0)).select(*keep, "name")
-    if hot:
-        few = rows.where(is_hot(keys, hot)).select(*keys).groupBy(*keys).count().drop("count").withColumn("_bucket", bucket)
-        few = few.withColumn("name", names(few, BUCKETS)).drop("_bucket")
-        out = out.union(rows.where(is_hot(keys, hot)).join(F.broadcast(few), keys).select(*keep, "name"))
-    return out
+    if not hot:
+        return rows.withColumn("_bucket", bucket).withColumn("name", names(0)).select(*keep, "name")
+    few = rows.where(is_hot(keys, hot)).select(*keys).distinct().withColumn("_bucket", bucket)
+    few = few.select(*keys, names(BUCKETS).alias("_name"))
+    rows = rows.join(F.broadcast(few), keys, "left")
+    cold = F.col("_name").isNull()
+    rows = rows.withColumn("_bucket", F.when(cold, bucket).otherwise(F.pmod(F.xxhash64(*keep), F.lit(BUCKETS))))
+    rows = rows.select(*keep, "_name", "_bucket", *(F.when(cold, F.col(k)).alias(k) for k in keys))
+    return rows.withColumn("name", F.coalesce("_name", names(0))).select(*keep, "name")
+
 
+def named_blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(doc_id, sha, left_, idx, name): each row's normalised text cut into blocks of `block` code points, and the blocks named."""
+    text = lower_ascii(F.col("text"))
+    blocks = F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)))
+    rows = docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("sha"), blocks.alias("blocks"))
+    rows = rows.select("doc_id", "sha", F.size("blocks").alias("left_"), F.posexplode("blocks").alias("idx", "block"))
+    return cut(_named(rows, ["block"], _PLACE))
 
-def block_identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+
+def identities(blocks: DataFrame) -> DataFrame:
     """(doc_id, sha, level, name): equal (level, name) exactly for equal normalised texts; one row per doc_id and text.
 
-    Texts are cut into blocks of `block` code points, the blocks are named, and neighbouring names are paired and named
-    again until one is left. Only the first level shuffles text; the others shuffle integers, half as many each time.
+    Neighbouring names are paired and named again until each text has one. Only the naming of blocks shuffles text;
+    the levels shuffle integers, half as many each time.
     """
-    text = lower_ascii(F.col("text"))
-    blocks = F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)))
-    rows = docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("sha"), F.size(blocks).alias("left_"), F.posexplode(blocks).alias("idx", "block"))
-    at = ["doc_id", "sha", "left_", "idx"]
-    current = cut(_named(rows, ["block"], at))
-    done, level = [], 0
+    current, done, level = blocks, [], 0
     while True:
         done.append(current.where("left_ = 1").select("doc_id", "sha", F.lit(level).alias("level"), "name").distinct())
         if (current.agg(F.max("left_")).first()[0] or 0) <= 1:
             break
         half = F.col("idx").bitwiseAND(1)
         pairs = current.where("left_ > 1").groupBy("doc_id", "sha", F.expr("(left_ + 1) div 2").cast("int").alias("left_"), F.expr("idx div 2").cast("int").alias("idx")).agg(F.max(F.when(half == 0, F.col("name"))).alias("first"), F.coalesce(F.max(F.when(half == 1, F.col("name"))), F.lit(-1)).alias("second"))
-        current, level = cut(_named(pairs, ["first", "second"], at)), level + 1
+        current, level = cut(_named(pairs, ["first", "second"], _PLACE)), level + 1
     out = done[0]
     for more in done[1:]:
         out = out.union(more)
@@ -69,10 +76,9 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     than any other (a group of those only has keep_id null and keeps one row). Of several rows with the kept doc_id,
     one is kept. An empty table gives no rows; columns other than doc_id and text aren't read.
     """
-    docs = as_documents(docs)
-    ids = block_identities(docs, block)
-    rows = docs.select("doc_id", F.unhex(F.sha2(lower_ascii(F.col("text")), 256)).alias("sha"))
-    key, ids = rows.groupBy("doc_id", "sha").agg(F.count("*").alias("copies")), ids.withColumnsRenamed({"doc_id": "d", "sha": "s"})
+    blocks = named_blocks(as_documents(docs), block)
+    ids = identities(blocks).withColumnsRenamed({"doc_id": "d", "sha": "s"})
+    key = blocks.where("idx = 0").groupBy("doc_id", "sha").agg(F.count("*").alias("copies"))  # every row has a first block
     named = cut(key.join(ids, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sha") == F.col("s"))).select("doc_id", "sha", "copies", "level", "name"))
     groups = named.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
     out = salted_join(named, groups, ["level", "name"], hot_hashes(named, ["level", "name"]), ["doc_id"])

@@ -21,9 +21,27 @@ def pairs(df):
     return [(r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()]
 
 
+@pytest.fixture(params=[False, True], ids=["cold", "hot"])
+def hot(request, monkeypatch):
+    """With hot, every key that occurs twice takes the way of keys with a large share of the rows."""
+    from profileloom.llm import common
+
+    if request.param:
+        monkeypatch.setattr(common, "HOT_ROWS", 2)
+    return request.param
+
+
+def test_hot_hashes(spark):
+    from profileloom.llm.common import hot_hashes
+
+    rows = spark.range(10_000).selectExpr("if(id < 4000, 7, id) AS k")
+    assert hot_hashes(rows, ["k"]) == [rows.where("k = 7").selectExpr("xxhash64(k)").first()[0]]
+    assert hot_hashes(rows.limit(0), ["k"]) == []
+
+
 @pytest.mark.parametrize("block", [4096, 16])
-def test_exact_duplicates(spark, sf_dir, docs, block):
-    for df in (docs, real(spark, sf_dir)):
+def test_exact_duplicates(spark, sf_dir, docs, block, hot):
+    for df in (docs,) if hot or block == 16 else (docs, real(spark, sf_dir)):
         rows = pairs(df)
         groups = defaultdict(list)
         for i, t in rows:
@@ -47,8 +65,8 @@ def brute_fingerprint(text, width=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def test_near_duplicates(spark, sf_dir, docs):
-    for df in (docs, real(spark, sf_dir)):
+def test_near_duplicates(spark, sf_dir, docs, hot):
+    for df in (docs,) if hot else (docs, real(spark, sf_dir)):
         rows = [(i, brute_fingerprint(t)) for i, t in pairs(df)]
         root = list(range(len(rows)))
 
@@ -99,7 +117,7 @@ def brute_secrets(text):
     return sorted(found)
 
 
-def test_secrets(spark, sf_dir, docs):
+def test_secrets(spark, sf_dir, docs, hot):
     more = spark.createDataFrame([(100, "token= \"ab\" token=token: abcdef api-key: zz apikey='abc.def=='"), (101, "-----BEGIN RSA PRIVATE KEY-----\nabc+/=\n-----END RSA PRIVATE KEY----- https://me:pass1@h/ " + "f" * 24 + "g" + "0" * 23)], "doc_id long, text string")
     for df in (docs, real(spark, sf_dir), more):
         want = Counter()
@@ -157,3 +175,12 @@ def test_empty_tables(no_docs):
 
 def test_rows_are_stated():
     assert any(i is None for i, *_ in ROWS) and any(t is None for _, t, *_ in ROWS)
+
+
+def test_remembered():
+    from profileloom.llm.common import Remembered
+
+    asked = []
+    kept = Remembered(lambda k: asked.append(k) or k * 2, 3)
+    assert [kept[k] for k in (1, 2, 3, 1, 4, 1, 5, 6, 7, 1, 8, 9, 2)] == [2, 4, 6, 2, 8, 2, 10, 12, 14, 2, 16, 18, 4]
+    assert asked.count(1) == 1 and asked.count(2) == 2 and len(kept) <= 3
