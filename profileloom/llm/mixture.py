@@ -16,8 +16,8 @@ BLOCK, CHUNK = 128, 1 << 16
 STEP, MODULUS = 1327217885, 1 << 31
 #: Equal cells of the points, by which slots meet the source whose part they fall in.
 CELLS = 1 << 12
-#: Documents that a bucket of the shuffled order has on average.
-BUCKET_ROWS = 4096
+#: Documents that a bucket of the shuffled order has on average, and the least number of buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 4096, 256
 
 _BEFORE = (W.unboundedPreceding, -1)
 
@@ -90,7 +90,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: floa
     sizes = cut(totals.withColumn("source", source).select("key", "source", "source_size", "n"))
     targets = cut(source_targets(sizes.select("source", "source_size"), weights, share, limit).join(sizes.select(F.col("source").alias("s"), "key", "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source"))
     n, slots = targets.agg(F.sum("n"), F.round(F.sum("target") / block).cast("long")).first()
-    buckets = max(1, (n or 0) // BUCKET_ROWS)
+    buckets = max(LEAST_BUCKETS, (n or 0) // BUCKET_ROWS)
     rows = salted_join(rows, targets.drop("n"), ["key"], hot_hashes(sizes, ["key"], F.col("n")), ["doc_id", "size"]).drop("key")
     rows = rows.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.pmod("h", F.lit(buckets)))
     before = F.coalesce(F.sum("in_bucket").over(W.partitionBy("source_no").orderBy("bucket").rowsBetween(*_BEFORE)), F.lit(0))
