@@ -68,9 +68,8 @@ def scan_ledger(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
         picked = picked.join(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
     # ids repeat with other texts only in odd tables; the pair is the key
     rows = docs.join(picked.withColumnRenamed("blob", "b").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("picked")) & (F.col("blob") == F.col("b")), "left_semi")
-    new = cut(scan_blobs(rows).where(F.size("spans") > 0).dropDuplicates(["blob", "rule_version"]))
-    clean = picked.join(new.select("blob"), "blob", "left_anti").select("blob", F.lit(RULE_VERSION).alias("rule_version"), F.array().cast(new.schema["spans"].dataType).alias("spans"))
-    out = new.union(clean)
+    # written before any filter on the findings, which Spark would otherwise apply to all rows ahead of the join
+    out = cut(scan_blobs(rows).dropDuplicates(["blob", "rule_version"]))
     return out if ledger is None else ledger.select("blob", "rule_version", "spans").union(out)
 
 
