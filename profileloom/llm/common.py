@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -36,6 +37,18 @@ class Remembered(dict):
         return value
 
 
+_model: dict[str, object] = {}
+
+
+def on_worker(name: str, build: Callable[[], object]) -> object:
+    """A model that a Python worker builds once; it holds one at a time, as workers outlive the stages of a session."""
+    if name not in _model:
+        _model.clear()
+        gc.collect()
+        _model[name] = build()
+    return _model[name]
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

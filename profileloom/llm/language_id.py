@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import uuid
 from collections.abc import Iterator
@@ -12,12 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from profileloom.llm.common import Remembered, text_or_empty
+from profileloom.llm.common import Remembered, on_worker, text_or_empty
 
 #: Bounds of the sample a language is learned from: documents, code points of each, and code points of distinct words.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORD_CHARS = 200, 20_000, 30_000
 #: Distinct words whose phrase counts a worker keeps, and texts that it unpacks at a time.
-KEPT_WORDS, SLICE = 100_000, 500
+KEPT_WORDS, SLICE = 60_000, 500
 _BITS = 40
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -132,18 +131,12 @@ def learn(docs: DataFrame) -> dict[str, str]:
     return out
 
 
-_models: dict[str, LanguageModel] = {}
-
-
 def _predictions(name: str, sample: dict[str, str], texts: pa.Array) -> Iterator[tuple[str, float]]:
     """Predictions for a column of texts, of which few are Python objects at a time."""
-    if name not in _models:  # a worker builds the automata once
-        _models.clear()
-        gc.collect()
-        _models[name] = LanguageModel(sample)
+    model = on_worker(name, lambda: LanguageModel(sample))
     for at in range(0, len(texts), SLICE):
         for text in texts.slice(at, SLICE).to_pylist():
-            yield _models[name].predict(text or "")
+            yield model.predict(text or "")
 
 
 def identify_languages(docs: DataFrame, model: dict[str, str] | None = None) -> DataFrame:

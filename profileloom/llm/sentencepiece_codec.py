@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import heapq
 import re
@@ -18,11 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructType
 
-from profileloom.llm.common import Remembered, as_documents
+from profileloom.llm.common import Remembered, as_documents, on_worker
 
 SPACE = "▁"
 #: Distinct segments whose ids a worker keeps.
-KEPT_SEGMENTS = 200_000
+KEPT_SEGMENTS = 120_000
 #: Texts that a worker unpacks at a time.
 SLICE = 500
 _NEVER = float("inf")
@@ -167,7 +166,7 @@ class Codec:
                 i += 1
             else:
                 j += 1
-        if len(self.seams) >= 300_000:
+        if len(self.seams) >= 200_000:
             self.seams.clear()
         self.seams[key] = good
         return good
@@ -230,17 +229,6 @@ class Codec:
         return text[1:] if text[:1] == " " else text
 
 
-_codecs: dict[str, Codec] = {}
-
-
-def _on_worker(name: str, vocabulary: Vocabulary) -> Codec:
-    if name not in _codecs:  # a worker builds the automaton once
-        _codecs.clear()
-        gc.collect()
-        _codecs[name] = Codec(vocabulary)
-    return _codecs[name]
-
-
 class SentencePiece:
     """Encodes and decodes columns of DataFrames. Only the model's vocabulary, read on the driver, goes to the executors."""
 
@@ -252,7 +240,7 @@ class SentencePiece:
         shared, name, at = self.shared, self.name, df.columns.index(source)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            codec = _on_worker(name, shared.value)
+            codec = on_worker(name, lambda: Codec(shared.value))
             for batch in batches:
                 for k in range(0, batch.num_rows, SLICE):
                     part = batch.slice(k, SLICE)

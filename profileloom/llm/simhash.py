@@ -7,6 +7,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ SEED, BITS = 42, 64
 PART = 1024
 #: Pairs of (64 fingerprints, one fingerprint) that are compared at a time.
 AT_ONCE = 1 << 16
+#: Texts that a worker unpacks at a time.
+SLICE = 500
 _BYTES = np.uint64(0x0101010101010101)
 
 
@@ -60,14 +63,16 @@ def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint of every row's text as a signed long; 0 for texts without words."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests = [shingle_hashes(t, width) for t in batch.text]
-            counts = np.array([len(d) // 8 for d in digests], np.int64)
-            hashes = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64)
-            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "fp": majority_bits(hashes, counts).view(np.int64)})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                digests = [shingle_hashes(t, width) for t in part.column("text").to_pylist()]
+                counts = np.array([len(d) // 8 for d in digests], np.int64)
+                hashes = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(majority_bits(hashes, counts).view(np.int64))], ["doc_id", "fp"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def _band_keys(fp: Column, radius: int) -> Column:
