@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from profileloom.llm.common import load, stored
 from profileloom.llm.exact_dedup import exact_duplicates
+from profileloom.llm.jaccard import first_of_near_copies
 from profileloom.llm.language_id import reject_unidentified
 from profileloom.llm.mixture import mixed_texts
 from profileloom.llm.queries import MODEL_PATH
 from profileloom.llm.sentencepiece_codec import encode_documents
-from profileloom.llm.simhash import near_duplicates
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, near_duplicates(docs).where("doc_id <=> component_id"))
+    return _only(docs, first_of_near_copies(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from profileloom.llm.queries import MODEL_PATH, URL_RULES
 from profileloom.llm.sentencepiece_codec import Codec, SentencePiece, Vocabulary, encode_documents, read_vocabulary
 from profileloom.llm.simhash import bit_planes, fingerprint_links, within_radius
 from profileloom.llm.url_filter import judge_urls
+from text_rows import ascii_lower
 
 
 def real(spark, sf_dir):
@@ -237,3 +238,47 @@ def test_pipeline(spark, sf_dir, docs):
         if k == 2:
             assert kept == {2, 5, 7, 9, 10, 13, 14}
     assert {"doc_id", "ids"} <= set(at.columns)
+
+
+def test_near_stage_misses_no_pair(spark, sf_dir):
+    """Near copies are those of 5-word Jaccard similarity 0.8, with or without counts, by brute force; SimHash within 3 bits misses most of them."""
+    rng = np.random.default_rng(5)
+    rows = [(r.doc_id, r.text or "") for r in real(spark, sf_dir).collect()]
+    for n in (4, 6, 8, 9, 12, 30, 77, 200, 1500):
+        for copy in range(6):
+            words = [f"w{rng.integers(10_000)}" for _ in range(n + 4)]
+            edited = list(words)
+            for _ in range(max(1, n // (48 + 4 * copy))):
+                edited[rng.integers(len(edited))] = "edit"
+            rows += [(10**6 + len(rows), " ".join(words)), (10**6 + len(rows) + 1, " ".join(edited)), (10**6 + len(rows) + 2, " ".join([*words, *["tail"] * (n // 5)]))]
+    # a long chain of near copies, of which the ends have little in common
+    chain = [f"c{k}" for k in range(400)]
+    rows += [(2 * 10**6 + k, " ".join(chain[8 * k : 8 * k + 120])) for k in range(30)]
+
+    def shingles(text):
+        words = ascii_lower(text).split()
+        return Counter(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else Counter()
+
+    def alike(x, y):
+        fits = 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 5 * len(x.keys() & y.keys()) >= 4 * len(x.keys() | y.keys())
+        n, m = x.total(), y.total()
+        return fits or 5 * min(n, m) >= 4 * max(n, m) and 5 * (x & y).total() >= 4 * (x | y).total()
+
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if alike(sets[a], sets[b]):
+                root[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = min(i, least.get(find(k), i))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_stage(spark, docs, sf_dir).collect())
+    assert got == sorted(least.values())
+    assert len(got) < len(rows) - 60
