@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from profileloom.llm.common import load, stored
+from profileloom.llm.common import load, lower_ascii, stored, text_or_empty
 from profileloom.llm.exact_dedup import exact_duplicates
 from profileloom.llm.jaccard import first_of_near_copies
 from profileloom.llm.language_id import reject_unidentified
@@ -16,10 +17,16 @@ from profileloom.llm.queries import MODEL_PATH
 from profileloom.llm.sentencepiece_codec import encode_documents
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """One row of docs for each row of ids (doc_id); ids are distinct, and so are those of docs but for repeated rows."""
-    ids = ids.select(F.col("doc_id").alias("_id"))
-    return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row of docs for each row of kept (doc_id, text_sha256 as of exact_duplicates), which are distinct.
+
+    Of several rows with one doc_id and text, one is taken; ranking drops the others before the shuffle.
+    """
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    rows = docs.withColumn("_doc", F.col("doc_id").cast("long")).withColumn("_key", F.sha2(lower_ascii(text_or_empty("text")), 256))
+    rank = F.row_number().over(W.partitionBy("_doc", "_key").orderBy(F.xxhash64(*docs.columns)))
+    rows = rows.withColumn("_rank", rank).where("_rank = 1")
+    return rows.join(kept, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_sha")), "left_semi").select(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -282,3 +282,22 @@ def test_near_stage_misses_no_pair(spark, sf_dir):
     got = sorted(r.doc_id for r in corpus_pipeline.near_stage(spark, docs, sf_dir).collect())
     assert got == sorted(least.values())
     assert len(got) < len(rows) - 60
+
+
+def test_stages_keep_one_of_repeated_rows(spark, sf_dir, docs):
+    """Rows without id, whole-row repeats and other texts of a kept id: one row for each distinct text."""
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    none = [(None, f"text {k} of a row that has no id at all, as others", "en", "a", 1) for k in (1, 2, 3, 3)]
+    more = [(12, "The Same id with an other text, 😀 token=😀 secret=\"abcdefgh\"", "en", "a", 1), (40, "a row without id and with some words", "en", "a", 1)]
+    docs = docs.union(spark.createDataFrame(none + more, docs.schema))
+    best = {}
+    for r in docs.collect():
+        key = ascii_lower(r.text or "")
+        best[key] = max(best.get(key, -1), -1 if r.doc_id is None else r.doc_id)
+    exact = corpus_pipeline.exact_stage(spark, docs, sf_dir)
+    assert Counter((-1 if r.doc_id is None else r.doc_id, ascii_lower(r.text or "")) for r in exact.collect()) == Counter((i, t) for t, i in best.items())
+    repeated = exact.union(exact).union(docs.where("doc_id = 12"))
+    near = corpus_pipeline.near_stage(spark, repeated, sf_dir).collect()
+    texts = Counter(ascii_lower(r.text or "") for r in near)
+    assert max(texts.values()) == 1 and sum(r.doc_id is None for r in near) == 3
+    assert {r.doc_id for r in near} == {None, 2, 4, 5, 7, 9, 10, 11, 12, 13, 14, 40}
