@@ -91,7 +91,7 @@ def fk_load_level(tables: DataFrame, edges: DataFrame) -> DataFrame:
     """
     links = _cut(edges.select("child", "parent").where(F.col("child") != F.col("parent")).distinct())
     left, placed, level = _cut(tables.select("table_id").distinct()), None, 0
-    while level < MAX_ROUNDS:
+    while True:
         waiting = links.join(left.select(F.col("table_id").alias("parent")), "parent", "left_semi").select(F.col("child").alias("table_id")).distinct()
         ready = left.join(waiting, "table_id", "left_anti")
         now = _cut(ready.select("table_id", F.lit(level).cast("long").alias("level")))

@@ -97,6 +97,14 @@ def test_graphs(spark):
     assert G.fk_cycles(nothing).collect() == [] and len(G.fk_load_level(tables, nothing).collect()) == 8
 
 
+def test_load_levels_have_no_cap(spark, monkeypatch):
+    """A chain of more tables than rounds elsewhere may take: every table gets its level."""
+    monkeypatch.setattr(G, "MAX_ROUNDS", 2)
+    edges = spark.createDataFrame([(k + 1, k) for k in range(4)] + [(8, 9), (9, 8), (10, 9)], "child int, parent int")
+    tables = spark.createDataFrame([(k,) for k in (*range(5), 8, 9, 10)], "table_id int")
+    assert {tuple(r) for r in G.fk_load_level(tables, edges).collect()} == {(k, k) for k in range(5)}
+
+
 def test_bundles(spark):
     schema = "source_id string, relationship string, group_id string, group_complete boolean, succeeded boolean, scope string, table_count long, row_count long, table_bytes long, index_bytes long"
     rows = [("a", "independent", "g1", True, True, "complete", 1, 10, 100, 5), ("b", "replica", "g2", True, True, "complete", 2, 20, 200, 6), ("c", "replica", "g2", True, True, "complete", 2, 21, 200, 6), ("d", "shard", "g3", True, True, "complete", 3, 30, 300, 7), ("e", "shard", "g3", True, False, "complete", 3, 30, 300, 7)]
