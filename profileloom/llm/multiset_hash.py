@@ -10,6 +10,8 @@ from profileloom.llm.common import as_documents, cut
 
 #: A fingerprint is LANES sums modulo MODULUS; a paragraph adds a number from -128 to 127 to each.
 LANES, MODULUS = 64, 1 << 16
+#: Likeness is taken from the same sums modulo WIDE, which 16 million repeats of a paragraph don't wrap.
+WIDE = 1 << 32
 #: Paragraphs end at line ends and at the marks that end a sentence, which they include; no code point is left out.
 PARAGRAPH = r"[^\n.!?;]+[\n.!?;]*|[\n.!?;]+"
 #: Ranges of ids in which the next document is looked for.
@@ -20,6 +22,10 @@ def _signed(x: Column) -> Column:
     return (F.pmod(x + F.lit(MODULUS // 2), F.lit(MODULUS)) - F.lit(MODULUS // 2)).cast("short")
 
 
+def _signed_wide(x: Column) -> Column:
+    return (F.pmod(x + F.lit(WIDE // 2), F.lit(WIDE)) - F.lit(WIDE // 2)).cast("int")
+
+
 def combined(a: Column, b: Column, sign: int = 1) -> Column:
     """Lanes of the union of two multisets, or (sign -1) of the first without the second: paragraphs go in and out by sums alone."""
     return F.transform(F.arrays_zip(a.alias("x"), b.alias("y")), lambda p: _signed(p["x"].cast("int") + sign * p["y"].cast("int")))
@@ -31,7 +37,7 @@ def as_hex(lanes: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """1 for equal fingerprints, about 0 for texts without common paragraphs.
+    """1 for equal lanes, about 0 for texts without common paragraphs; lanes must not have wrapped.
 
     The lanes of a difference of multisets have a mean square in proportion to the sum of its squared counts, so
     1 - |a-b|^2 / (|a|^2 + |b|^2) estimates the share of common paragraphs, with an error of about 1/sqrt(LANES).
@@ -40,12 +46,13 @@ def likeness(a: Column, b: Column) -> Column:
     def squares(v: Column) -> Column:
         return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
 
-    apart, both = squares(combined(a, b, -1)), squares(a) + squares(b)
+    difference = F.transform(F.arrays_zip(a.alias("x"), b.alias("y")), lambda p: p["x"].cast("double") - p["y"].cast("double"))
+    apart, both = squares(difference), squares(a) + squares(b)
     return F.when(apart == 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - apart / both)))
 
 
-def fingerprint_lanes(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and lanes (array<short>) for rows (keys, text), one for each key; texts with one key are one multiset.
+def fingerprint_lanes(texts: DataFrame, keys: list[str], wide: bool = False) -> DataFrame:
+    """keys and lanes (array<short>; wide: array<int>) for rows (keys, text), one for each key; texts with one key are one multiset.
 
     Lanes of all paragraphs are summed by codegen'd aggregation; where texts are already dealt by the keys, no shuffle.
     """
@@ -54,7 +61,7 @@ def fingerprint_lanes(texts: DataFrame, keys: list[str]) -> DataFrame:
     hashes = [F.xxhash64("unit", F.lit(k)).alias(f"h{k}") for k in range(LANES // 8)]
     units = units.select(*keys, F.col("unit").isNotNull().cast("long").alias("one"), *hashes)
     lane = [F.sum(F.when(F.col("one") == 1, F.shiftrightunsigned(f"h{k // 8}", 8 * (k % 8)).bitwiseAND(255) - 128).otherwise(0)).alias(f"s{k}") for k in range(LANES)]
-    return units.groupBy(*keys).agg(*lane).select(*keys, F.array(*(_signed(F.col(f"s{k}")) for k in range(LANES))).alias("lanes"))
+    return units.groupBy(*keys).agg(*lane).select(*keys, F.array(*((_signed_wide if wide else _signed)(F.col(f"s{k}")) for k in range(LANES))).alias("lanes"))
 
 
 def next_rows(rows: DataFrame) -> DataFrame:
@@ -100,7 +107,7 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     texts = whole.select("key", "doc_id", "copies", "n_chars", "next_key", both.alias("t"))
     texts = texts.select("key", "doc_id", "copies", "n_chars", "next_key", "t.v", F.when(F.col("t.v") == 1, F.sha2("t.text", 256)).alias("sha"), "t.text")
     kept = ["key", "doc_id", "copies", "n_chars", "next_key", "v", "sha"]
-    lanes = fingerprint_lanes(texts, kept)
+    lanes = fingerprint_lanes(texts, kept, wide=True)
     by_key = cut(lanes.groupBy("key", "doc_id", "copies", "n_chars", "next_key").agg(F.max(F.when(F.col("v") == 0, F.col("lanes"))).alias("a"), F.max(F.when(F.col("v") == 1, F.col("lanes"))).alias("b"), F.max("sha").alias("edited_sha256")))
     ahead = by_key.select(F.col("key").alias("next_key"), F.col("a").alias("c"))
     out = by_key.join(ahead, "next_key").withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))

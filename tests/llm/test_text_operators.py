@@ -184,3 +184,13 @@ def test_remembered():
     kept = Remembered(lambda k: asked.append(k) or k * 2, 3)
     assert [kept[k] for k in (1, 2, 3, 1, 4, 1, 5, 6, 7, 1, 8, 9, 2)] == [2, 4, 6, 2, 8, 2, 10, 12, 14, 2, 16, 18, 4]
     assert asked.count(1) == 1 and asked.count(2) == 2 and len(kept) <= 3
+
+
+def test_likeness_of_many_repeats(spark):
+    """Half the repeats share most of their squared counts; other paragraphs share none, however often they are repeated."""
+    line, other = "one line, again and again\n", "quite an other one\n"
+    rows = [(1, line * 10_000), (2, line * 5_000), (3, other * 10_000), (4, other * 10_000)]
+    got = {r.doc_id: r for r in document_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert abs(got[1].near_next - 0.8) < 1e-9 and got[3].near_next == 1
+    assert got[2].near_next < 0.4 and got[4].near_next < 0.4
+    assert len(got[1].fingerprint) == 256
