@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,19 +57,23 @@ class UrlTrie:
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow") -> DataFrame:
     """page_id, host, path, rule (host and path of the rule that holds, or null) and verdict for every row of `pages`.
 
-    The trie of the rules, a list the caller writes, goes to the executors; pages aren't shuffled. A null url or one
-    without :// has empty host and path and gets the default verdict. Repeated rows give repeated results; only
-    page_id and url are read, so other columns can't clash.
+    The trie of the rules, a list the caller writes, goes to the executors; pages aren't shuffled. The longest rule
+    holds, of equally long ones that with the longer host, and of equal ones block. A null url or one without :// has
+    empty host and path and gets the default verdict; urls may be of any length. Repeated rows give repeated results, null ids stay
+    null, an empty table gives no rows; only page_id and url are read, so other columns can't clash.
     """
     trie = pages.sparkSession.sparkContext.broadcast(UrlTrie(rules))
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [trie.value.match(h, p) for h, p in zip(batch.host, batch.path, strict=True)]
-            yield batch.assign(rule=[r and r.host + r.path for r in found], verdict=[r.action if r else default for r in found])
+            hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
+            found = [trie.value.match(h, p) for h, p in zip(hosts, paths, strict=True)]
+            rule = pa.array([r and r.host + r.path for r in found], pa.string())
+            verdict = pa.array([r.action if r else default for r in found], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, rule, verdict], [*batch.schema.names, "rule", "verdict"])
 
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     shape = r"(?s)^.*?://([^/?#]*)([^?#]*)"
     host = F.translate(F.regexp_extract(url, shape, 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     parts = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), F.regexp_extract(url, shape, 2).alias("path"))
-    return parts.mapInPandas(judge, "page_id long, host string, path string, rule string, verdict string")
+    return parts.mapInArrow(judge, "page_id long, host string, path string, rule string, verdict string")
