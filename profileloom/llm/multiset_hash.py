@@ -14,8 +14,8 @@ LANES, MODULUS = 64, 1 << 16
 WIDE = 1 << 32
 #: Paragraphs end at line ends and at the marks that end a sentence, which they include; no code point is left out.
 PARAGRAPH = r"[^\n.!?;]+[\n.!?;]*|[\n.!?;]+"
-#: Ranges of ids in which the next document is looked for.
-RANGES = 256
+#: Rows of a range of ids in which the next document is looked for, and the least number of ranges.
+RANGE_ROWS, LEAST_RANGES = 100_000, 64
 
 
 def _signed(x: Column) -> Column:
@@ -58,23 +58,23 @@ def fingerprint_lanes(texts: DataFrame, keys: list[str], wide: bool = False) ->
     """
     # a text without paragraphs (the empty one) must still give a row
     units = texts.select(*keys, F.explode_outer(F.regexp_extract_all(F.col("text"), F.lit(PARAGRAPH), F.lit(0))).alias("unit"))
-    hashes = [F.xxhash64("unit", F.lit(k)).alias(f"h{k}") for k in range(LANES // 8)]
+    # the lane number seeds the hash of the text, so that texts that collide in one hash differ in the others
+    hashes = [F.xxhash64(F.lit(k), "unit").alias(f"h{k}") for k in range(LANES // 8)]
     units = units.select(*keys, F.col("unit").isNotNull().cast("long").alias("one"), *hashes)
     lane = [F.sum(F.when(F.col("one") == 1, F.shiftrightunsigned(f"h{k // 8}", 8 * (k % 8)).bitwiseAND(255) - 128).otherwise(0)).alias(f"s{k}") for k in range(LANES)]
     return units.groupBy(*keys).agg(*lane).select(*keys, F.array(*((_signed_wide if wide else _signed)(F.col(f"s{k}")) for k in range(LANES))).alias("lanes"))
 
 
-def next_rows(rows: DataFrame) -> DataFrame:
-    """key and next_key for rows (key, doc_id): the next row by (doc_id, key), null ids first; the last row's is the first row.
+def next_rows(rows: DataFrame, n: int) -> DataFrame:
+    """key and next_key for rows (key, doc_id), n of them: the next row by (doc_id, key), null ids first; the last row's is the first row.
 
-    Rows are ordered within ranges of ids of about equal size; only the first row of each range, RANGES rows at most, is
-    ordered over all ranges.
+    Rows are dealt into ranges of (doc_id, key), of RANGE_ROWS rows on average, so that equal and missing ids are split
+    by key. Rows are ordered within ranges, and only the first row of each range over all ranges.
     """
-    cuts = rows.approxQuantile("doc_id", [k / RANGES for k in range(1, RANGES)], 1 / (4 * RANGES)) if rows.take(1) else []
-    bounds = F.array(*(F.lit(int(c)) for c in sorted(set(cuts)))).cast("array<bigint>")
-    rows = rows.withColumn("range", F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))), F.lit(0)))
-    inside = rows.withColumn("next_key", F.lead("key").over(W.partitionBy("range").orderBy("doc_id", "key")))
-    firsts = rows.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "key")).alias("first"))
+    ranges = max(LEAST_RANGES, n // RANGE_ROWS)
+    dealt = cut(rows.repartitionByRange(ranges, "doc_id", "key").withColumn("range", F.spark_partition_id()))
+    inside = dealt.withColumn("next_key", F.lead("key").over(W.partitionBy("range").orderBy("doc_id", "key")))
+    firsts = dealt.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "key")).alias("first"))
     ahead = F.coalesce(F.lead("first").over(W.orderBy("range")), F.first("first").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, 0)))
     firsts = firsts.select("range", ahead["key"].alias("ahead"))
     return inside.join(F.broadcast(firsts), "range").select("key", F.coalesce("next_key", "ahead").alias("next_key"))
@@ -96,7 +96,7 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     rows = cut(docs.groupBy("key", "doc_id").agg(F.count("*").alias("copies"), F.max(F.length("text")).alias("n_chars")))
     # one row of each key; ranking drops repeated rows before the shuffle
     docs = docs.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("key"))).where("rank = 1").drop("rank")
-    order = cut(next_rows(rows.select("key", "doc_id")))
+    order = cut(next_rows(rows.select("key", "doc_id"), rows.count()))
     owners = order.join(rows, "key")
     heads = docs.select(F.col("key").alias("next_key"), "text")
     heads = heads.join(owners.select("key", "doc_id", "copies", "n_chars", "next_key"), "next_key")
@@ -112,4 +112,3 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     ahead = by_key.select(F.col("key").alias("next_key"), F.col("a").alias("c"))
     out = by_key.join(ahead, "next_key").withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
     return out.select("doc_id", F.col("n_chars").cast("long"), "edited_sha256", as_hex(F.col("a")).alias("fingerprint"), as_hex(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
-
