@@ -22,30 +22,41 @@ KINDS = (
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
 )
 BASE = ("assign", "access", "hex")
+#: Matches whose lengths are summed up at a time.
+RUN = 256
 #: A plain search that any match of the pattern contains, to skip most texts.
 _NEEDS = {"pem": "-----BEGIN ", "jwt": "eyJ", "userinfo": "://", "github": "gh", "access": "AKIA"}
 
 
 def _spans(text: Column, order: int) -> Column:
-    """array of (start, kind order, end) of the kind's matches, in code points: match lengths and the lengths of the pieces between them."""
+    """array of (start, kind order, end) of the kind's matches, in code points: match lengths and the lengths of the pieces between them.
+
+    Lengths are summed up within runs of RUN matches and over the runs, so no list is copied once for each match.
+    """
     kind, pattern, group, least = KINDS[order]
     # a run of hex digits under the least length can be passed over as such: what is left of it can't match
     pattern = "[0-9a-f]{24,}" if kind == "hex" else pattern
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     between = F.split(text, pattern, -1)
-    zero = F.lit(0).cast("long")
-    nothing = F.array().cast("array<struct<start:long,kind:int,end:long>>")
-    start = F.struct(zero.alias("at"), nothing.alias("found"))
+    zero, span = F.lit(0).cast("long"), "array<struct<start:long,kind:int,end:long>>"
+    nothing = F.array().cast(span)
     parts = F.arrays_zip(F.transform(whole, F.length).alias("n"), F.transform(inner, F.length).alias("m"), F.transform(F.slice(between, 1, F.size(whole)), F.length).alias("gap"))
+    runs = F.transform(F.sequence(F.lit(0), F.call_function("div", F.size(whole) - 1, F.lit(RUN)).cast("int")), lambda k: F.slice(parts, k * RUN + 1, RUN))
 
     def step(done: Column, x: Column) -> Column:
         a = done["at"] + x["gap"]
         b = a + x["n"]
-        span = F.struct(a.alias("start"), F.lit(order).alias("kind"), b.alias("end"))
-        return F.struct(b.alias("at"), F.when(x["m"] >= least, F.concat(done["found"], F.array(span))).otherwise(done["found"]).alias("found"))
+        one = F.struct(a.alias("start"), F.lit(order).alias("kind"), b.alias("end"))
+        return F.struct(b.alias("at"), F.when(x["m"] >= least, F.concat(done["found"], F.array(one))).otherwise(done["found"]).alias("found"))
+
+    inside = F.transform(runs, lambda run: F.aggregate(run, F.struct(zero.alias("at"), nothing.alias("found")), step))
+    begins = F.aggregate(inside, F.array(zero), lambda done, run: F.concat(done, F.array(F.element_at(done, -1) + run["at"])))
+
+    def moved(run: Column, begin: Column) -> Column:
+        return F.transform(run["found"], lambda s: F.struct((s["start"] + begin).alias("start"), s["kind"].alias("kind"), (s["end"] + begin).alias("end")))
 
-    found = F.aggregate(parts, start, step)["found"]
+    found = F.flatten(F.zip_with(inside, F.slice(begins, 1, F.size(inside)), moved)).cast(span)
     needs = F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else F.lit(True)
     return F.when(needs & F.rlike(text, F.lit(pattern)), found).otherwise(nothing)
 
