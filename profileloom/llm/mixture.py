@@ -47,79 +47,127 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, limit
     return sizes.select("source", "source_no", "source_size", target.alias("target"))
 
 
-def schedule(targets: DataFrame, slots: int, block: int, rounds: int) -> DataFrame:
-    """(source_no, block, times): how often each block of each source is drawn in `slots` slots.
+def schedule(targets: DataFrame, slots: int, block: int) -> DataFrame:
+    """(source_no, block, times): how often each block of each source is drawn whole in `slots` slots.
 
     Slot i has the point i * STEP mod MODULUS, which falls into one source's part of the cumulative targets. The rank
-    of a slot among the slots of its source names the block it draws, round after round, `rounds` at most. Ranks are
-    counted within chunks of the schedule and the chunks' totals summed first, so no task holds all slots of a source.
+    of a slot among the slots of its source names the block it draws, round after round. Ranks are counted within
+    chunks of the schedule and the chunks' totals summed first, so no task holds all slots of a source. The points
+    fall evenly, but not to the slot: a source stops at its quota of whole blocks, and blocks of the quota that the
+    slots left undrawn are drawn after them. targets: source_no, target, blocks, quota.
     """
     spark = targets.sparkSession
     upto = F.sum("target").over(W.orderBy("source_no"))
     whole = F.sum("target").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     parts = targets.where("target > 0").withColumn("high", F.floor(upto / whole * MODULUS)).withColumn("low", F.coalesce(F.lag("high").over(W.orderBy("source_no")), F.lit(0)))
     width = MODULUS // CELLS
-    parts = parts.where("high > low").withColumn("cell", F.explode(F.sequence(F.expr(f"low div {width}"), F.expr(f"(high - 1) div {width}")))).select("cell", "low", "high", "source_no")
+    cells = F.sequence(F.expr(f"low div {width}"), F.expr(f"(high - 1) div {width}"))
+    parts = parts.where("high > low").withColumn("cell", F.explode(cells)).select("cell", "low", "high", "source_no")
     point = F.pmod(F.pmod(F.col("id"), F.lit(MODULUS)) * F.lit(STEP), F.lit(MODULUS))
-    drawn = spark.range(slots).select("id", F.expr(f"id div {CHUNK}").alias("chunk"), point.alias("point")).withColumn("cell", F.expr(f"point div {width}"))
-    drawn = drawn.join(parts, "cell").where("point >= low and point < high").select("id", "chunk", "source_no")
-    totals = drawn.groupBy("source_no", "chunk").agg(F.count("*").alias("n"))
+    drawn = spark.range(slots).select("id", F.expr(f"id div {CHUNK}").alias("chunk"), point.alias("point"))
+    drawn = drawn.withColumn("cell", F.expr(f"point div {width}")).join(parts, "cell")
+    drawn = drawn.where("point >= low and point < high").select("id", "chunk", "source_no")
+    totals = cut(drawn.groupBy("source_no", "chunk").agg(F.count("*").alias("n")))
     before = F.coalesce(F.sum("n").over(W.partitionBy("source_no").orderBy("chunk").rowsBetween(*_BEFORE)), F.lit(0))
-    totals = totals.select("source_no", "chunk", before.alias("before")).join(targets.select("source_no", F.ceil(F.col("source_size") / block).alias("blocks")), "source_no")
-    ranks = drawn.withColumn("rank", F.row_number().over(W.partitionBy("source_no", "chunk").orderBy("id")) - 1).join(totals, ["source_no", "chunk"]).withColumn("rank", F.col("rank") + F.col("before"))
-    return ranks.where(F.col("rank") < F.col("blocks") * rounds).groupBy("source_no", F.expr("rank % blocks").alias("block")).agg(F.count("*").alias("times"))
+    quotas = targets.where("quota > 0").select("source_no", "blocks", "quota")
+    chunks = totals.select("source_no", "chunk", before.alias("before")).join(quotas, "source_no")
+    rank = F.row_number().over(W.partitionBy("source_no", "chunk").orderBy("id")) - 1
+    ranks = drawn.withColumn("rank", rank).join(chunks, ["source_no", "chunk"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranks = ranks.where("rank < quota").select("source_no", "blocks", "rank")
+    got = quotas.join(totals.groupBy("source_no").agg(F.sum("n").alias("n")), "source_no", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    late = got.where("n < quota").select("source_no", "blocks", F.explode(F.expr("sequence(n, quota - 1)")).alias("rank"))
+    return ranks.union(late).groupBy("source_no", F.expr("rank % blocks").alias("block")).agg(F.count("*").alias("times"))
+
+
+def _plan(docs: DataFrame, weights: Sequence[int], share: float, limit: int, block: int, seed: int) -> DataFrame:
+    """(row, doc_id, size, source_size, target, rounds array<long>): one row for each row of docs; equal rows share `row`."""
+    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    words = word_count(text_or_empty("text"))
+    rows = docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), words.alias("size"))
+    # rows that repeat in full are one row here, which stands for all of them
+    rows = cut(rows.groupBy("row", "doc_id", "key", "size").agg(F.count("*").alias("copies")))
+    totals = rows.groupBy("key").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count("*").alias("n"))
+    source = F.when(F.col("key") != "", F.substring("key", 2, 2**31 - 1))
+    sizes = cut(totals.withColumn("source", source).select("key", "source", "source_size", "n"))
+    targets = source_targets(sizes.select("source", "source_size"), weights, share, limit)
+    named = sizes.select(F.col("source").alias("s"), "key", "n")
+    targets = targets.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
+    # a source gives `give` words: whole rounds of its blocks, then `quota` blocks in all and `part` words of the next
+    give = F.round("target").cast("long")
+    targets = targets.withColumn("give", give).withColumn("blocks", F.ceil(F.col("source_size") / block))
+    rest = F.expr("if(source_size > 0, give % source_size, 0)")
+    quota = F.expr("if(source_size > 0, give div source_size, 0)") * F.col("blocks") + F.call_function("div", rest, F.lit(block))
+    targets = cut(targets.withColumn("quota", quota).withColumn("part", rest % block))
+    n, slots = targets.agg(F.sum("n"), F.sum("quota")).first()
+    buckets = max(LEAST_BUCKETS, (n or 0) // BUCKET_ROWS)
+    given = targets.select("key", "source_no", "source_size", "target", "blocks", "quota", "part")
+    rows = salted_join(rows, given, ["key"], hot_hashes(sizes, ["key"], F.col("n")), ["row"]).drop("key")
+    rows = rows.withColumn("h", F.xxhash64("row", F.lit(seed))).withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    rows = rows.withColumn("mass", F.col("size") * F.col("copies"))
+    before = F.coalesce(F.sum("in_bucket").over(W.partitionBy("source_no").orderBy("bucket").rowsBetween(*_BEFORE)), F.lit(0))
+    ahead = rows.groupBy("source_no", "bucket").agg(F.sum("mass").alias("in_bucket")).select("source_no", "bucket", before.alias("before"))
+    within = F.sum("mass").over(W.partitionBy("source_no", "bucket").orderBy("h", "row").rowsBetween(W.unboundedPreceding, 0)) - F.col("mass")
+    rows = rows.withColumn("within", within).join(ahead, ["source_no", "bucket"])
+    rows = rows.withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)")))
+    start = F.col("before") + F.col("within") + F.col("copy") * F.col("size")
+    kept = ["row", "copy", "doc_id", "size", "source_no", "source_size", "target", "start", "blocks", "quota", "part"]
+    rows = rows.withColumn("start", start).select(*kept)
+    spans = F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")
+    pieces = rows.where("size > 0").withColumn("block", F.explode(spans))
+    drawn = schedule(targets.select("source_no", "target", "blocks", "quota"), slots or 0, block)
+    pieces = pieces.join(drawn, ["source_no", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    begin, end = F.greatest(F.col("start"), F.col("block") * block), F.col("start") + F.col("size")
+    overlap = F.least(end, (F.col("block") + 1) * block) - begin
+    last = F.when(F.col("quota") % F.col("blocks") == F.col("block"), F.col("part")).otherwise(0)
+    partly = F.greatest(F.least(end, F.col("block") * block + last) - begin, F.lit(0))
+    taken = [F.sum(F.when(F.col("times") > r, overlap).when(F.col("times") == r, partly).otherwise(0)) for r in range(limit)]
+    some = pieces.groupBy(*kept).agg(F.array(*taken).alias("rounds"))
+    none = rows.where("size = 0").withColumn("rounds", F.array(*(F.lit(0).cast("long") for _ in range(limit))))
+    return some.union(none).select("row", "doc_id", "size", "source_size", "target", "rounds")
+
+
+def row_key() -> Column:
+    """SHA-256 of a row's doc_id, source and text: equal for rows that equal each other in all of them."""
+    framed = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in ("doc_id", "source")]
+    return F.unhex(F.sha2(F.concat(*(F.concat(F.length(c).cast("string"), F.lit(":"), c) for c in framed), text_or_empty("text")), 256))
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, limit: int = 2, block: int = BLOCK, seed: int = 42) -> DataFrame:
     """doc_id, size, source_size, target, taken and round_1 ... round_<limit> for every row of `docs`.
 
     The documents of a source, in an order shuffled by hash, form one long row of words that is cut into blocks of
-    `block` words; the schedule says how often each block is drawn. taken is the number of the document's words so
+    `block` words; the schedule says how often each block is drawn, and the first words of one more block fill what is
+    left, so a source of any size gives its target, to the word. taken is the number of the document's words so
     drawn, repeats counted; round_r those drawn in round r, which are always the first words of the document. No
     document exceeds `limit` times its size. Running sums are taken within buckets of the shuffled order and over the
     buckets' totals, so a source with most rows is dealt over many tasks.
 
-    Null text has size 0 and takes nothing; null source is a source of its own; null ids and repeated rows are mixed
-    like others; an empty table gives no rows; columns other than doc_id, source and text aren't read.
+    Null text has size 0 and takes nothing; null source is a source of its own; rows without id are mixed like others.
+    Rows that are equal in doc_id, source and text are counted as one before any shuffle and told apart only by their
+    places. An empty table gives no rows; columns other than doc_id, source and text aren't read.
     """
-    rounds = [f"round_{r + 1}" for r in range(limit)]
-    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), word_count(text_or_empty("text")).alias("size")))
-    totals = rows.groupBy("key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    source = F.when(F.col("key") != "", F.substring("key", 2, 2**31 - 1))
-    sizes = cut(totals.withColumn("source", source).select("key", "source", "source_size", "n"))
-    targets = cut(source_targets(sizes.select("source", "source_size"), weights, share, limit).join(sizes.select(F.col("source").alias("s"), "key", "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source"))
-    n, slots = targets.agg(F.sum("n"), F.round(F.sum("target") / block).cast("long")).first()
-    buckets = max(LEAST_BUCKETS, (n or 0) // BUCKET_ROWS)
-    rows = salted_join(rows, targets.drop("n"), ["key"], hot_hashes(sizes, ["key"], F.col("n")), ["doc_id", "size"]).drop("key")
-    rows = rows.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    before = F.coalesce(F.sum("in_bucket").over(W.partitionBy("source_no").orderBy("bucket").rowsBetween(*_BEFORE)), F.lit(0))
-    ahead = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("in_bucket")).select("source_no", "bucket", before.alias("before"))
-    within = F.sum("size").over(W.partitionBy("source_no", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
-    rows = rows.withColumn("within", within).join(ahead, ["source_no", "bucket"]).withColumn("start", F.col("before") + F.col("within"))
-    kept = ["doc_id", "size", "source_no", "source_size", "target", "start"]
-    pieces = rows.where("size > 0").select(*kept, F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
-    pieces = pieces.join(schedule(targets.select("source_no", "source_size", "target"), slots or 0, block, limit), ["source_no", "block"], "left")
-    overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    taken = [F.sum(F.when(F.col("times") > r, overlap).otherwise(0)).alias(name) for r, name in enumerate(rounds)]
-    some = pieces.groupBy(*kept).agg(*taken)
-    none = rows.where("size = 0").select(*kept, *(F.lit(0).cast("long").alias(r) for r in rounds))
-    return some.union(none).select("doc_id", "size", "source_size", "target", sum((F.col(r) for r in rounds[1:]), F.col(rounds[0])).alias("taken"), *rounds)
-
-
-def mixed_texts(docs: DataFrame, **how: object) -> DataFrame:
+    plan = _plan(docs, weights, share, limit, block, seed)
+    rounds = [F.col("rounds")[r].alias(f"round_{r + 1}") for r in range(limit)]
+    taken = F.aggregate("rounds", F.lit(0).cast("long"), lambda done, x: done + x)
+    return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *rounds)
+
+
+def mixed_texts(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, limit: int = 2, block: int = BLOCK, seed: int = 42) -> DataFrame:
     """The mix itself, with the columns of `docs`: for each round, every document with the words it takes in that round.
 
     A document that a round takes whole keeps its text as it is; one at the end of what its source gives is cut to
-    the words taken, joined by spaces. n_chars, if there is one, follows the text.
+    the words taken, joined by spaces. n_chars, if there is one, follows the text. Null and empty texts take no words
+    and aren't in the mix; null ids and sources are mixed like others. Of rows that are equal in doc_id, source and text, each
+    takes one of their shares, in an order by the hash of all columns, so reruns agree. An empty table gives no rows.
     """
-    plan = mix_sources(docs, **how)
-    rounds = [c for c in plan.columns if c.startswith("round_")]
-    taken = plan.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.first(F.array(*rounds)).alias("_rounds"))
-    size = word_count(text_or_empty("text"))
-    rows = docs.withColumn("_n", size).join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")))
-    rows = rows.withColumn("_take", F.explode("_rounds")).where("_take > 0")
-    cut_text = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_take").cast("int")), " ")
+    plan = _plan(docs, weights, share, limit, block, seed)
+    taken = plan.groupBy(F.col("row").alias("_row")).agg(F.sort_array(F.collect_list("rounds"), False).alias("_shares"))
+    rows = docs.withColumn("_row", row_key())
+    rows = rows.withColumn("_copy", F.row_number().over(W.partitionBy("_row").orderBy(F.xxhash64(*docs.columns))))
+    rows = rows.join(taken, "_row").withColumn("_n", word_count(text_or_empty("text")))
+    rows = rows.withColumn("_take", F.explode(F.element_at("_shares", F.col("_copy")))).where("_take > 0")
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    cut_text = F.array_join(F.slice(words, F.lit(1), F.col("_take").cast("int")), " ")
     rows = rows.withColumn("text", F.when(F.col("_take") == F.col("_n"), F.col("text")).otherwise(cut_text))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
