@@ -1,25 +1,27 @@
-"""Main text of web pages: markup roles and a style tree of each site."""
+"""Main text of web pages by a style tree of each site, with what markup says of an element as a prior."""
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from profileloom.llm.common import cut, hot_hashes, salted_join, text_or_empty
+from profileloom.llm.common import cut, hot_hashes, salted_join, stored, text_or_empty
 
-#: A site's style tree decides from so many different pages on; nodes below LEAST_IMPORTANCE are removed.
-LEAST_PAGES, LEAST_IMPORTANCE, DAMPING = 10, 0.1, 0.9
-#: Pages that a worker unpacks at a time.
-SLICE = 200
-#: Rows of removed nodes up to which they are broadcast.
-BROADCAST_ROWS = 100_000
+#: A branch goes if its importance, of 0 to 1, is under LEAST. DAMPING: how far presentation counts more, the more styles a node has.
+LEAST, DAMPING = 0.1, 0.9
+#: Prior of an element by its markup, and how many pages' evidence it is worth: the article itself, and what markup says
+#: nothing of. What markup calls noise keeps the third share of its importance whatever the pages say.
+ARTICLE, PLAIN, NOISE_SHARE = (1.0, 4.0), (0.5, 1.0), 0.05
+#: Elements nested deeper are taken for children of the last one within.
+DEPTH = 128
+#: Pages that a worker unpacks at a time, and removed nodes up to which they are broadcast (8 bytes each).
+SLICE, BROADCAST_NODES = 200, 1_000_000
 
 #: HTML elements by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -30,207 +32,354 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 #: Words that class and id attributes use for what isn't the article.
 NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal newsletter subscribe subscription signup menu menus nav navbar navigation breadcrumb breadcrumbs sidebar widget widgets footer masthead toolbar share sharing social related recommended comments comment commentlist discussion disqus replies reply respond login search pagination pager copyright skip".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?][^>]*>""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++)))?""")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_STOP = re.compile(r"""[>"']""")
 _PART = re.compile(r"[^a-z0-9]+")
 _DIGITS = re.compile(r"\d+")
+_IN_PARAGRAPH = frozenset("td th li article section div blockquote button".split())
+_SAME = {"li": (("li",), ("ul", "ol", "menu")), "dd": (("dd", "dt"), ("dl",)), "dt": (("dd", "dt"), ("dl",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tr": (("tr",), ("table",))}
 
 
-class Block:
-    """A run of text in one element: its path of styles, whether it stands in noise, and in the article."""
+def _hash(text: str, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), seed) >> 1
 
-    __slots__ = ("inside", "noise", "path", "style", "text")
 
-    def __init__(self, path: str, style: str, text: str, noise: bool, inside: bool):
-        self.path, self.style, self.text, self.noise, self.inside = path, style, text, noise, inside
+class Element:
+    """A node of the page: its place in the merged tree of the site, and what its markup says of it."""
 
+    __slots__ = ("article", "children", "core", "depth", "noise", "parent", "path", "said", "soft", "tag")
 
-class _Element:
-    __slots__ = ("article", "core", "noise", "parent", "path", "soft", "tag")
+    def __init__(self, tag: str, label: str, parent: Element | None, noise: bool = False, soft: bool = False, article: bool = False, site: int = 0):
+        self.tag, self.parent, self.noise, self.soft, self.article = tag, parent, noise, soft, article
+        self.core, self.children, self.said = False, [], None
+        self.depth = parent.depth + 1 if parent else 0
+        # elements of a site with the same labels down to them are one node of its tree
+        self.path = _hash(label, parent.path if parent else site)
+        if parent:
+            parent.children.append(label)
 
-    def __init__(self, tag: str, path: str, parent: _Element | None, noise: bool, soft: bool, article: bool = False):
-        self.tag, self.path, self.parent, self.noise, self.soft, self.article, self.core = tag, path, parent, noise, soft, article, False
+    def judged(self) -> tuple[bool, bool]:
+        """(noise, inside): whether markup calls the element or one above noise, and whether it is in the article."""
+        if self.said is None:
+            noise, inside = self.parent.judged() if self.parent else (False, False)
+            inside = inside or self.article
+            # a name or a header says little of an element that holds the article, or of a header in it
+            named = self.soft and not (self.tag == "header" and inside)
+            self.said = noise or not self.core and (self.noise or named), inside
+        return self.said
+
+
+def _tag_end(page: str, at: int, quotes: bool) -> tuple[int, bool]:
+    """Place of the > that ends the tag, and whether quotes still count: once they don't pair up, they are plain characters from there on."""
+    i = at
+    while quotes:
+        m = _STOP.search(page, i)
+        if m is None:
+            quotes = False
+        elif m[0] == ">":
+            return m.start(), True
+        else:
+            i = page.find(m[0], m.end()) + 1
+            quotes = i > 0
+    return page.find(">", at), False
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in reversed(list(_ATTRIBUTE.finditer(text)))}
 
 
-def parse_page(page: str) -> list[Block]:
-    """The page's blocks in order, with character references decoded and white space squeezed; what is never shown is left out."""
-    root = _Element("", "", None, False, False)
-    stack, found, parts, style, at = [root], [], [], [], 0
+def parse_page(page: str, site: int = 0) -> tuple[list[Element], list[tuple[Element, str]]]:
+    """(elements, blocks): the page's elements, and its texts in order with the block element that holds each.
 
-    def text(piece: str) -> None:
-        if piece:
-            parts.append(piece)
+    Character references are decoded and white space squeezed; what is never shown is left out. Time is linear in the
+    page: tags are found by plain searches, elements carry what is known of those above, and no search goes up more
+    than DEPTH elements.
+    """
+    root = Element("", "", None, site=site)
+    elements, blocks, stack, parts, flat = [root], [], [root], [], {}
+    at, size, quotes = 0, len(page), True
 
     def flush() -> None:
         line = " ".join(html.unescape("".join(parts)).split()) if parts else ""
+        parts.clear()
         if line:
             owner = stack[-1]
             while owner.parent is not None and owner.tag not in BLOCKS:
                 owner = owner.parent
-            found.append((owner, ",".join(style), line))
-        parts.clear()
-        style.clear()
-
-    def close(upto: int) -> None:
-        del stack[upto:]
+            blocks.append((owner, line))
 
-    def open_index(names: tuple[str, ...], within: tuple[str, ...]) -> int | None:
+    def close_open(names: Iterable[str], within: Iterable[str]) -> None:
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in names:
-                return k
+                del stack[k:]
+                return
             if stack[k].tag in within:
-                return None
-        return None
-
-    while m := _TOKEN.search(page, at):
-        text(page[at : m.start()])
-        at = m.end()
-        if m[1]:
-            tag = m[1].lower()
-            if tag in RAW and not m[2].rstrip().endswith("/"):
-                if tag in ("head", "noscript", "template", "svg", "math", "object", "canvas", "select", "audio", "video"):
-                    end = re.compile(rf"</{tag}\s*>|<body\b" if tag == "head" else rf"</{tag}\s*>", re.I).search(page, at)
-                else:
-                    end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = (end.start() if end and end[0][1] != "/" else end.end()) if end else len(page)
-                continue
-            if tag in BLOCKS or tag == "option":
-                flush()
-                if tag not in ("html", "body") and (k := open_index(("p",), ("td", "th", "li", "article", "section", "div", "blockquote", "button"))) is not None:
-                    close(k)
-                if tag in ("li", "dd", "dt", "td", "th", "tr"):
-                    same, bounds = {"li": (("li",), ("ul", "ol", "menu")), "dd": (("dd", "dt"), ("dl",)), "dt": (("dd", "dt"), ("dl",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tr": (("tr",), ("table",))}[tag]
-                    if (k := open_index(same, bounds)) is not None:
-                        close(k)
-            elif tag == "br":
-                text(" ")
-            if tag not in BLOCKS and len(style) < 8:
-                style.append(tag)
-            if tag in VOID:
-                continue
-            given = _attributes(m[2]) if m[2] else {}
-            names = f"{given.get('class', '')} {given.get('id', '')}".lower().split()
-            soft = tag not in ("html", "body", "main", "article") and any(n in NAMES or not NAMES.isdisjoint(_PART.split(n)) for n in names) or tag == "header"
-            soft = soft or tag == "article" and not NAMES.isdisjoint({"comment", "comments", "reply"} & {p for n in names for p in _PART.split(n)})
-            hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
-            noise = tag in NOISE or hidden or given.get("role", "").lower() in ROLES
-            label = tag + "".join(f".{_DIGITS.sub('0', n)}" for n in names[:4])
-            article = tag in ("article", "main") and not soft or given.get("role") == "main"
-            element = _Element(tag, f"{stack[-1].path}/{label}" if len(stack[-1].path) < 400 else stack[-1].path, stack[-1], noise, soft, article)
-            if article:
-                core = element
-                while core is not None:
-                    core.core = True
-                    core = core.parent
-            if not m[2].rstrip().endswith("/"):
-                stack.append(element)
-        elif m[3]:
-            tag = m[3].lower()
+                return
+
+    while at < size:
+        begin = page.find("<", at)
+        if begin < 0:
+            break
+        after = page[begin + 1 : begin + 2]
+        if begin > at:
+            parts.append(page[at:begin])
+        if page.startswith("<!--", begin):
+            at = page.find("-->", begin + 4) + 3
+            if at < 3:
+                return elements, _finish(flush, blocks)
+            continue
+        closing = after == "/"
+        name = _NAME.match(page, begin + 2) if closing else _NAME.match(page, begin + 1)
+        if name is None and after not in ("!", "?"):
+            parts.append("<")
+            at = begin + 1
+            continue
+        if name is None or closing:
+            end = page.find(">", begin)
+        else:
+            end, quotes = _tag_end(page, name.end(), quotes)
+        if end < 0:  # a tag without end, and all that follows, is never shown
+            return elements, _finish(flush, blocks)
+        at = end + 1
+        if name is None:
+            continue
+        tag = name[0].lower()
+        if closing:
             if tag in BLOCKS:
                 flush()
+            if flat.get(tag):
+                flat[tag] -= 1
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    close(k)
+                    del stack[k:]
                     break
                 if tag not in BLOCKS and stack[k].tag in BLOCKS:
                     break
-            if tag == "p":
-                flush()
-    text(page[at:])
+            continue
+        attributes = page[name.end() : end]
+        empty = attributes.rstrip().endswith("/")
+        if tag in RAW and not empty:
+            at = _raw_end(page, at, tag)
+            continue
+        if tag in BLOCKS or tag == "option":
+            flush()
+            if tag not in ("html", "body"):
+                close_open(("p",), _IN_PARAGRAPH)
+            if tag in _SAME:
+                close_open(*_SAME[tag])
+        elif tag == "br":
+            parts.append(" ")
+        if tag in VOID:
+            stack[-1].children.append(tag)
+            continue
+        given = _attributes(attributes) if attributes else {}
+        names = f"{given.get('class', '')} {given.get('id', '')}".lower().split()
+        words = {p for n in names for p in (n, *_PART.split(n))}
+        soft = tag not in ("html", "body", "main", "article") and not NAMES.isdisjoint(words) or tag == "header"
+        soft = soft or tag == "article" and not words.isdisjoint(("comment", "comments", "reply"))
+        hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
+        noise = tag in NOISE or hidden or given.get("role", "").lower() in ROLES
+        article = tag in ("article", "main") and not soft or given.get("role") == "main"
+        label = tag + "".join(f".{_DIGITS.sub('0', n)}" for n in sorted(names))
+        element = Element(tag, label, stack[-1], noise, soft, article)
+        elements.append(element)
+        core = element if article else None
+        while core is not None and not core.core:
+            core.core, core = True, core.parent
+        if not empty:
+            if len(stack) <= DEPTH:
+                stack.append(element)
+            else:
+                flat[tag] = flat.get(tag, 0) + 1
+    if at < size:
+        parts.append(page[at:])
+    return elements, _finish(flush, blocks)
+
+
+def _finish(flush: object, blocks: list) -> list:
     flush()
+    return blocks
 
-    def judged(owner: _Element) -> tuple[bool, bool]:
-        noise = inside = False
-        element: _Element | None = owner
-        chain = []
-        while element is not None:
-            chain.append(element)
-            element = element.parent
-        for e in reversed(chain):
-            inside = inside or e.article
-            # a name or a header says little of an element that holds the article, or of a header in it
-            noise = noise or e.noise and not e.core or e.soft and not e.core and not (e.tag == "header" and inside)
-        return noise, inside
 
-    return [Block(o.path, s, line, *judged(o)) for o, s, line in found]
+def _raw_end(page: str, at: int, tag: str) -> int:
+    """Where what follows a raw element's start tag is shown again."""
+    if tag in ("script", "style", "textarea", "iframe", "title"):
+        end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+        return end.end() if end else len(page)
+    end = re.compile(rf"</{tag}\s*>|<body\b" if tag == "head" else rf"</{tag}\s*>", re.I).search(page, at)
+    if end is None:
+        return len(page)
+    return end.end() if end[0][1] == "/" else end.start()
 
 
 def _host(url: str) -> str:
     return re.split(r"[/?#]", url.split("://", 1)[1], maxsplit=1)[0].lower() if "://" in url else ""
 
 
-def main_text(page: str, removed: list[str] | None) -> str:
-    """Lines of the page's article, without the nodes at the removed paths."""
-    good = [b for b in parse_page(page) if not b.noise]
-    good = [b for b in good if b.inside] or good
-    gone = set(removed or ())
-    return "\n".join(b.text for b in good if b.path not in gone)
+#: What markup says of a node on a page: nothing, that it is in the article, or that it is noise.
+UNSAID, INSIDE, NOISY = 0, 1, 2
+_NODES = "array<struct<path:long,up:long,depth:int,style:long,leaf:boolean,prior:int>>"
+_BLOCKS = "array<struct<path:long,content:long,prior:int,text:string>>"
+_PAGES = f"page_id long, url string, key binary, sign long, nodes {_NODES}, blocks {_BLOCKS}"
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, importance, pages): the nodes with text of each site's merged pages, and how much they tell.
+def page_nodes(url: str, page: str) -> tuple[bytes, int, list[tuple], list[tuple]]:
+    """(key, sign, nodes, blocks) of a page: see parsed_pages."""
+    elements, texts = parse_page(page, _hash(_host(url)))
+    articles = any(owner.judged() == (False, True) for owner, _ in texts)
 
-    Pages of a host with equal markup trees share nodes. A node's presentation importance is the entropy, base the
-    number of the site's different pages, of the styles inside it; its content importance is 1 less the mean entropy of
-    its texts over pages, so text on every page counts 0 and text on one page 1; both are mixed by DAMPING to the
-    power of the number of styles. Counts are combined before each shuffle, so a large host is spread over tasks.
+    def prior(e: Element) -> int:
+        noise, inside = e.judged()
+        # in a page with an article, text beside it is noise; what holds the article isn't
+        return NOISY if noise or articles and not inside and not e.core else INSIDE if inside else UNSAID
+
+    nodes: dict[int, tuple] = {}
+    for e in elements:
+        _, _, _, style, leaf, _ = nodes.get(e.path, (0, 0, 0, 0, True, 0))
+        nodes[e.path] = e.path, e.parent.path if e.parent else None, e.depth, _hash("\n".join(e.children), style), leaf and not e.children, prior(e)
+    blocks = [(o.path, _hash(text, o.path), NOISY if articles and not o.judged()[1] else prior(o), text) for o, text in texts]
+    key = xxhash.xxh3_128_digest(f"{url}\n{page}".encode("utf-8", "replace"))
+    return key, _hash("\n".join(text for _, text in texts)), list(nodes.values()), blocks
+
+
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, url, key, sign, nodes, blocks) for every page, parsed once.
+
+    nodes: path, up (the node above), depth, style (what its elements hold, in order), leaf (whether that is text
+    alone) and prior; blocks, in page order: path, content (of path and text), prior and text. Paths are hashes of the
+    host and of the labels down to the node. key is equal for equal pages; sign is a hash of all texts, so that pages of a site that say
+    the same count as one.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lists(rows: list[list[tuple]], names: tuple[str, ...], types: tuple[pa.DataType, ...]) -> pa.ListArray:
+        ends = [0]
+        for r in rows:
+            ends.append(ends[-1] + len(r))
+        flat = list(zip(*(x for r in rows for x in r), strict=True)) or [()] * len(names)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(f, t) for f, t in zip(flat, types, strict=True)], names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        long, small = pa.int64(), pa.int32()
         for batch in batches:
-            out: set[tuple] = set()
-            for url, page in zip(batch.url, batch.html, strict=True):
-                host, blocks = _host(url), parse_page(page)
-                sign = xxhash.xxh64_intdigest("\n".join(b.text for b in blocks)) >> 1
-                out.update((host, b.path, b.style, xxhash.xxh64_intdigest(b.text) >> 1, sign) for b in blocks)
-            yield pd.DataFrame(sorted(out), columns=["host", "path", "style", "content", "sign"])
-
-    rows = pages.select(text_or_empty("url").alias("url"), text_or_empty("html").alias("html"))
-    rows = rows.mapInPandas(run, "host string, path string, style string, content long, sign long").distinct()
-    pages_of = rows.groupBy("host", "sign").count().groupBy("host").agg(F.count("*").alias("pages"))
-    uses = rows.groupBy("host", "path", "style", "content").agg(F.count("*").alias("n"))
-    by_content = uses.groupBy("host", "path", "content").agg(F.sum("n").alias("n")).groupBy("host", "path").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("n_log_n"))
-    by_style = uses.groupBy("host", "path", "style").agg(F.sum("n").alias("n")).groupBy("host", "path").agg(F.count("*").alias("styles"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("s_log_s"))
-    nodes = by_content.join(by_style, ["host", "path"]).join(pages_of, "host").where(F.col("pages") >= LEAST_PAGES)
-    base = F.log(F.col("pages").cast("double"))
-    content = 1 - F.least(F.lit(1.0), F.col("n_log_n") / F.col("total") / base)
-    shape = F.least(F.lit(1.0), (F.log(F.col("total").cast("double")) - F.col("s_log_s") / F.col("total")) / base)
-    weight = F.pow(F.lit(DAMPING), F.col("styles"))
-    return nodes.select("host", "path", ((1 - weight) * shape + weight * content).alias("importance"), "pages")
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                made = [page_nodes(u or "", h) for u, h in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True)]
+                nodes = lists([m[2] for m in made], ("path", "up", "depth", "style", "leaf", "prior"), (long, long, small, long, pa.bool_(), small))
+                blocks = lists([m[3] for m in made], ("path", "content", "prior", "text"), (long, long, small, pa.string()))
+                columns = [part.column("page_id"), part.column("url"), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], long), nodes, blocks]
+                yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "key", "sign", "nodes", "blocks"])
+
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_or_empty("html").alias("html"))
+    return rows.mapInArrow(run, _PAGES)
+
+
+def _entropy(n_log_n: Column, n: Column, pages: Column) -> Column:
+    """Entropy, base the number of pages, of counts with the sum n and the sum of n * log(n); 1 for one page."""
+    return F.when(pages <= 1, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.log(n.cast("double")) - n_log_n / n) / F.log(pages.cast("double")))))
+
+
+def _n_log_n(n: str) -> Column:
+    return F.col(n) * F.log(F.col(n).cast("double"))
+
+
+def style_tree(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((path, up, depth, pages, importance) of element nodes, (content, pages, importance) of content nodes) of all sites' merged pages.
+
+    A content node is a text at an element node. On n of the m pages that have the element, it has importance
+    1 - log(n) / log(m): 0 if all pages repeat it, 1 if one has it or if there is one page. An element's presentation
+    importance is the entropy, base m, of its styles over pages. Its importance is that of what it holds, the mean of its
+    texts and children weighted by text length, damped towards the presentation importance the more styles it has;
+    for an element of text alone it is the mean. Importances are composed level by level from the deepest elements up. Counts are
+    combined before each shuffle, so that a large site is spread over tasks.
+    """
+    seen = parsed.select("sign", F.explode("nodes").alias("n")).groupBy("n.path", "n.up", "n.depth", "sign").agg(F.min("n.style").alias("style"), F.min("n.leaf").alias("leaf"))
+    styles = seen.groupBy("path", "up", "depth", "style").agg(F.count("*").alias("k"), F.min("leaf").alias("leaf"))
+    nodes = styles.groupBy("path", "up", "depth").agg(F.sum("k").alias("pages"), F.count("*").alias("styles"), F.sum(_n_log_n("k")).alias("kk"), F.min("leaf").alias("leaf"))
+    nodes = nodes.select("path", "up", "depth", "pages", "styles", "leaf", _entropy(F.col("kk"), F.col("pages"), F.col("pages")).alias("shape"))
+    texts = parsed.select("sign", F.explode("blocks").alias("b")).groupBy("b.path", "b.content", "sign").agg(F.max(F.octet_length("b.text")).alias("size"))
+    texts = texts.groupBy("path", "content").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    same = F.when(F.col("pages") <= 1, 1.0).otherwise(1 - F.least(F.lit(1.0), F.log(F.col("n").cast("double")) / F.log(F.col("pages").cast("double"))))
+    contents = cut(texts.join(nodes.select("path", "pages"), "path").select("path", "content", "n", "size", "pages", same.alias("importance")))
+    weight = (F.col("n") * F.col("size")).cast("double")
+    held = contents.groupBy("path").agg(F.sum(weight).alias("weight"), F.sum(weight * F.col("importance")).alias("mass"))
+    nodes = cut(nodes.join(held, "path", "left").na.fill(0.0, ["weight", "mass"]))
+    done, below = None, None
+    for depth in range(nodes.agg(F.max("depth")).first()[0] or 0, -1, -1):
+        level = nodes.where(F.col("depth") == depth)
+        if below is not None:
+            level = level.join(below, "path", "left").na.fill(0.0, ["weight_below", "mass_below"])
+            level = level.withColumn("weight", F.col("weight") + F.col("weight_below")).withColumn("mass", F.col("mass") + F.col("mass_below"))
+        mean = F.when(F.col("weight") > 0, F.col("mass") / F.col("weight")).otherwise(1.0)
+        kept = F.pow(F.lit(DAMPING), F.col("styles"))
+        importance = F.when(F.col("leaf"), mean).otherwise((1 - kept) * F.col("shape") + kept * mean)
+        level = cut(level.select("path", "up", "depth", "pages", "weight", importance.alias("importance")))
+        below = level.groupBy(F.col("up").alias("path")).agg(F.sum("weight").alias("weight_below"), F.sum(F.col("weight") * F.col("importance")).alias("mass_below"))
+        done = level if done is None else done.union(level)
+    return done.select("path", "up", "depth", "pages", "importance"), contents.select("content", "pages", "importance")
+
+
+def unimportant(elements: DataFrame, contents: DataFrame) -> DataFrame:
+    """(code): nodes to remove, as twice the node's hash and what markup says of it on the page (UNSAID or INSIDE).
+
+    The pages' importance counts as much as there are pages but one, against the prior of the markup.
+    """
+    rows = elements.select(F.col("path").alias("node"), "pages", "importance").union(contents)
+    rows = rows.where("pages > 1").withColumn("said", F.explode(F.array(F.lit(UNSAID), F.lit(INSIDE))))
+    more = F.col("pages") - 1
+    believed = [(F.lit(prior * worth) + more * F.col("importance")) / (F.lit(worth) + more) for prior, worth in (PLAIN, ARTICLE)]
+    low = F.when(F.col("said") == INSIDE, believed[1]).otherwise(believed[0]) < LEAST
+    return rows.where(low).select((F.shiftleft("node", 1) + F.col("said")).alias("code"))
+
+
+def _code(node: int, prior: int) -> int:
+    code = 2 * node + prior
+    return code - (1 << 64) if code >= 1 << 63 else code
+
+
+def kept_text(nodes: list[dict], blocks: list[dict], removed: frozenset[int] | set[int]) -> str:
+    """The page's blocks, one to a line, without the branches and texts that are noise or in `removed`."""
+    lost: dict[int | None, bool] = {None: False}
+    for n in sorted(nodes, key=lambda n: n["depth"]):
+        lost[n["path"]] = lost.get(n["up"], False) or n["prior"] == NOISY or _code(n["path"], n["prior"]) in removed
+    return "\n".join(b["text"] for b in blocks if b["prior"] != NOISY and not lost[b["path"]] and _code(b["content"], b["prior"]) not in removed)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for every row of `pages`: the article's blocks in page order, one to a line.
 
-    Left out are elements that markup or their names call menus, headers, footers, sidebars, forms, notices, adverts or
-    comments, what lies outside article or main where a page has one, and nodes that the site's style tree finds
-    unimportant; a header or name that holds the article itself doesn't count. A null url belongs to the site without
-    a host, null html gives empty text. Null ids and repeated rows are extracted as they are; an empty table gives no
-    rows; columns other than page_id, url and html aren't read. A site loses nodes that at least nine tenths of its
-    pages repeat, so there are no more of them, on average, than blocks of a page; up to BROADCAST_ROWS they are
-    broadcast, else joined by host with salted hosts.
+    Branches and texts go whose importance is under LEAST. The pages of a site say how important they are: what most of
+    them repeat isn't, and neither is a branch that mostly holds such text. What markup says is the prior: an article
+    needs many more pages against it; and menus, headers, footers, sidebars, forms, notices, adverts, comments and what
+    stands beside the article of a page that has one keep a share (NOISE_SHARE) of their importance, which is under LEAST
+    whatever the pages say. A header or name that holds the article itself doesn't count.
+
+    A null url belongs to the site without a host, null html gives empty text; ids may be null. Equal pages count once and get equal
+    texts; pages may be of any length; an empty table gives no rows; columns other than page_id, url and html aren't read. Pages are
+    parsed once and written to the shared folder. Removed nodes are broadcast up to BROADCAST_NODES, 8 bytes each; beyond, they are joined by node.
     """
-    low = style_tree(pages).where(F.col("importance") < LEAST_IMPORTANCE)
-    low = cut(low.groupBy("host").agg(F.collect_list("path").alias("low")))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_or_empty("html").alias("html"))
-    known = F.when(F.contains(F.coalesce("url", F.lit("")), F.lit("://")), F.lower(F.regexp_extract("url", r"(?s)^.*?://([^/?#]*)", 1))).otherwise("")
-    rows = rows.withColumn("host", known)
-    if low.agg(F.coalesce(F.sum(F.size("low")), F.lit(0))).first()[0] <= BROADCAST_ROWS:
-        rows = rows.join(F.broadcast(low), "host", "left")
+    parsed = stored(parsed_pages(pages))
+    low = cut(unimportant(*style_tree(parsed)))
+    if low.count() <= BROADCAST_NODES:
+        every = parsed.sparkSession.sparkContext.broadcast(frozenset(r.code for r in low.collect()))
+        rows = parsed.select("page_id", "url", "nodes", "blocks", F.lit(None).cast("array<long>").alias("low"))
     else:
-        rows = salted_join(rows, low, ["host"], hot_hashes(rows, ["host"]), ["page_id"], "left")
+        every = None
+        code = lambda node, said: F.shiftleft(node, 1) + said
+        on_page = F.concat(F.transform("nodes", lambda n: code(n["path"], n["prior"])), F.transform("blocks", lambda b: code(b["content"], b["prior"])))
+        uses = parsed.select("key", F.explode(F.array_distinct(on_page)).alias("code"))
+        found = salted_join(uses, low.distinct(), ["code"], hot_hashes(uses, ["code"]), ["key"]).groupBy("key").agg(F.collect_set("code").alias("low"))
+        rows = parsed.join(found, "key", "left").select("page_id", "url", "nodes", "blocks", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                out += [main_text(page, paths) for page, paths in zip(part.column("html").to_pylist(), part.column("low").to_pylist(), strict=True)]
+                for nodes, blocks, own in zip(*(part.column(c).to_pylist() for c in ("nodes", "blocks", "low")), strict=True):
+                    out.append(kept_text(nodes, blocks, every.value if every else set(own or ())))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
-    rows = rows.select("page_id", "url", "html", "low").mapInArrow(run, "page_id long, url string, text string")
+    rows = rows.mapInArrow(run, "page_id long, url string, text string")
     return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 import sentencepiece
 from profileloom.llm.components import connected_components
-from profileloom.llm.html_extract import extract_text, style_tree
+from profileloom.llm import html_extract as HE
+from profileloom.llm.html_extract import extract_text, parse_page, parsed_pages, style_tree, unimportant
 from profileloom.llm.language_id import SuffixAutomaton, identify_languages, learn
 from profileloom.llm.mixture import mix_sources, mixed_texts, row_key
 from profileloom.llm.queries import MODEL_PATH, URL_RULES
@@ -175,8 +176,83 @@ def test_html(spark):
     assert got[101].text == got[102].text == "" and got[103].text == "just text & no markup <"
     assert got[None].text == "a\nb" and got[104].text == "In" and got[100].n_chars == len(got[100].text)
     assert extract_text(df.limit(0)).collect() == []
-    low = {r.path for r in style_tree(df).where("importance < 0.1").collect()}
-    assert any(p.endswith("div.box") for p in low) and not any("content" in p for p in low)
+
+
+def brute_tree(rows):
+    """Importance of element and content nodes, from the pages' nodes and blocks, by recursion."""
+    import math
+
+    styles, held, up, leaf, size, done = defaultdict(dict), defaultdict(set), {}, defaultdict(lambda: True), {}, {}
+    for r in rows:
+        for n in r.nodes:
+            styles[n.path][r.sign] = min(n.style, styles[n.path].get(r.sign, n.style))
+            up[n.path], leaf[n.path] = n.up, leaf[n.path] and n.leaf
+        for b in r.blocks:
+            held[b.path, b.content].add(r.sign)
+            size[b.content] = len(b.text.encode())
+    contents = {}
+    for (p, c), signs in held.items():
+        m = len(styles[p])
+        contents[c] = m, 1 - math.log(len(signs)) / math.log(m) if m > 1 else 1.0
+
+    def weigh(p):
+        parts = [(len(s) * size[c], contents[c][1]) for (q, c), s in held.items() if q == p] + [weigh(q) for q, u in up.items() if u == p]
+        weight = sum(w for w, _ in parts)
+        mean = sum(w * i for w, i in parts) / weight if weight else 1.0
+        m, uses = len(styles[p]), Counter(styles[p].values())
+        shape = -sum(k / m * math.log(k / m, m) for k in uses.values()) if m > 1 else 1.0
+        kept = 0.9 ** len(uses)
+        done[p] = m, mean if leaf[p] else (1 - kept) * shape + kept * mean
+        return weight, done[p][1]
+
+    for p, u in up.items():
+        if u is None:
+            weigh(p)
+    return done, contents
+
+
+def test_style_tree_by_brute_force(spark, monkeypatch):
+    """Sites without article or telling names: the tree finds what they repeat, and a side branch with a changing part."""
+    rows = []
+    for k in range(12):
+        side = f"<div class='left'><p>Our friends and partners, all of them named here at length</p><p>More of the same, every day</p><p>{k}</p></div>"
+        main = "".join(f"<p>Paragraph {j} of the story {k} is told only here</p>" for j in range(1 + k % 3))
+        rows.append((k, f"http://only.tree/{k}", f"<body><div class='top'>The same line on top</div>{side}<div class='mid'>{main}<p>All rights are kept</p></div></body>"))
+    rows += [(50 + k, f"http://two.pages/{k}", f"<body><div>Same</div><div>Other {k}</div></body>") for k in range(2)]
+    df = spark.createDataFrame(rows + rows[:3], "page_id long, url string, html string")
+    parsed = parsed_pages(df)
+    elements, contents = style_tree(parsed)
+    want_elements, want_contents = brute_tree(parsed.collect())
+    near = lambda xs: {k: (m, round(i, 9)) for k, (m, i) in xs.items()}
+    assert near({r.path: (r.pages, r.importance) for r in elements.collect()}) == near(want_elements)
+    assert near({r.content: (r.pages, r.importance) for r in contents.collect()}) == near(want_contents)
+    got = {r.page_id: r.text for r in extract_text(df).collect()}
+    for k in range(12):
+        assert got[k] == "\n".join(f"Paragraph {j} of the story {k} is told only here" for j in range(1 + k % 3))
+    assert got[50] == "Same\nOther 0"
+    monkeypatch.setattr(HE, "BROADCAST_NODES", 0)
+    assert {r.page_id: r.text for r in extract_text(df).collect()} == got
+    assert unimportant(elements, contents).count() > 0
+
+
+@pytest.mark.parametrize("part", ["<div>", "<a '", "<a '>'", "<p><b><i>", "<b><i></b>", "<!-- ", "<script>", "</div>", "<", "<ul><li><span>", '<a b="', "<table><tr><td></p>", "<head>", "<a b=c "])
+def test_pages_of_broken_markup_are_parsed_in_linear_time(part):
+    import time
+
+    def took(size):
+        began = time.process_time()
+        parse_page(part * (size // len(part)) + "<p>end")
+        return time.process_time() - began
+
+    assert took(800_000) < 9 * took(200_000) + 0.2
+
+
+def test_html_repeats_and_long_pages(spark):
+    """Repeated rows give repeated results, and whole texts come through, however long."""
+    long = " ".join(f"w{k}" for k in range(200_000))
+    rows = [(1, "http://a.b/1", f"<article><p>{long}</p></article>")] * 3 + [(None, None, "<p>x &amp; y</p>")] * 2
+    got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert Counter((r.page_id, r.text) for r in got) == Counter({(1, long): 3, (None, "x & y"): 2})
 
 
 def test_html_on_pages(spark, sf_dir):
