@@ -9,7 +9,7 @@ import sentencepiece
 from profileloom.llm.components import connected_components
 from profileloom.llm import html_extract as HE
 from profileloom.llm.html_extract import extract_text, parse_page, parsed_pages, style_tree, unimportant
-from profileloom.llm.language_id import SuffixAutomaton, identify_languages, learn
+from profileloom.llm.language_id import identify_languages, learn
 from profileloom.llm.mixture import mix_sources, mixed_texts, row_key
 from profileloom.llm.queries import MODEL_PATH, URL_RULES
 from profileloom.llm.sentencepiece_codec import Codec, SentencePiece, Vocabulary, encode_documents, read_vocabulary
@@ -40,18 +40,43 @@ def test_urls(spark):
     assert judge_urls(rows.limit(0), URL_RULES).collect() == []
 
 
-def test_suffix_automaton():
-    text, parts = "abcabxabcd", SuffixAutomaton("abcabxabcd")
+def brute_phrases(text, word):
+    """Phrases of the greedy parse of a word into longest parts of a text; a code point it lacks is one."""
+    n = 0
+    while word:
+        k = 1
+        while k < len(word) and word[: k + 1] in text:
+            k += 1
+        word, n = word[k:], n + 1
+    return n
 
-    def brute(word):
-        n = 0
-        while word:
-            k = max((k for k in range(1, len(word) + 1) if word[:k] in text), default=1)
-            word, n = word[k:], n + 1
-        return n
 
-    for word in ("", "abc", "abcabc", "zab", "xx", "abxabcdz", "dabz", "bcabxabcdabcabx"):
-        assert parts.phrases(word) == brute(word), word
+def test_cross_parsing_by_brute_force(monkeypatch):
+    import math
+    import random
+
+    from profileloom.llm import language_id as L
+
+    texts = {"x": " abc abx abcd the theatre ", "y": " dcba xba bca ette eht é "}
+    model = L.LanguageModel(texts)
+    rng = random.Random(3)
+    words = ["abc abx", "The theatre, 12 abcd!", "zz Zab", "É é ½ ② x", "a", *("".join(rng.choice("abcdtheé xyzß.") for _ in range(200)) for _ in range(20)), "12 ½ ² ①", ""]
+    for piece in (4096, 7):
+        monkeypatch.setattr(L, "PIECE", piece)
+        for text, (lang, score) in zip(words, model.predict(words), strict=True):
+            run = L.running_text(text)
+            if not run:
+                assert (lang, score) == ("und", 0.0)
+                continue
+            line, pieces = f" {run} ", []
+            while line:
+                end = len(line) if len(line) <= piece else max((k + 1 for k in range(1, piece) if line[k] == " "), default=piece)
+                pieces.append(line[:end])
+                line = line[end:]
+            n = sum(map(len, pieces))
+            assert n == len(run) + 2
+            want = sorted((sum(brute_phrases(t, p) for p in pieces) * math.log2(len(t)) / n, k) for k, t in texts.items())
+            assert lang == want[0][1] and abs(score - (want[1][0] - want[0][0]) / want[1][0]) < 1e-12
 
 
 def test_languages(spark, sf_dir, docs, no_docs):
@@ -68,6 +93,7 @@ def test_languages(spark, sf_dir, docs, no_docs):
     assert identify_languages(no_docs).collect() == []
     assert {r.lang_pred for r in identify_languages(docs.where("lang is null")).collect()} == {"und"}
     assert set(learn(docs)) <= {"en", "fr", "de"}
+    assert all(len(t) <= 40_000 + 40 for t in learn(real(spark, sf_dir)).values())
 
 
 def water(sizes, weights, total, limit):
