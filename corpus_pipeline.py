@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from profileloom.llm.common import load, lower_ascii, stored, text_or_empty
 from profileloom.llm.exact_dedup import exact_duplicates
 from profileloom.llm.jaccard import first_of_near_copies
-from profileloom.llm.language_id import reject_unidentified
+from profileloom.llm.language_id import with_known_language
 from profileloom.llm.mixture import mixed_texts
 from profileloom.llm.queries import MODEL_PATH
 from profileloom.llm.sentencepiece_codec import encode_documents
@@ -30,7 +30,7 @@ def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return reject_unidentified(docs)
+    return with_known_language(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
