@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ RUN = 256
 _NEEDS = {"pem": "-----BEGIN ", "jwt": "eyJ", "userinfo": "://", "github": "gh", "access": "AKIA"}
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often, or in which loops, it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _spans(text: Column, order: int) -> Column:
     """array of (start, kind order, end) of the kind's matches, in code points: match lengths and the lengths of the pieces between them.
 
@@ -42,7 +49,10 @@ def _spans(text: Column, order: int) -> Column:
     zero, span = F.lit(0).cast("long"), "array<struct<start:long,kind:int,end:long>>"
     nothing = F.array().cast(span)
     parts = F.arrays_zip(F.transform(whole, F.length).alias("n"), F.transform(inner, F.length).alias("m"), F.transform(F.slice(between, 1, F.size(whole)), F.length).alias("gap"))
-    runs = F.transform(F.sequence(F.lit(0), F.call_function("div", F.size(whole) - 1, F.lit(RUN)).cast("int")), lambda k: F.slice(parts, k * RUN + 1, RUN))
+
+    def in_runs(all_parts: Column) -> Column:
+        last = F.call_function("div", F.size(all_parts) - 1, F.lit(RUN)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(all_parts, k * RUN + 1, RUN))
 
     def step(done: Column, x: Column) -> Column:
         a = done["at"] + x["gap"]
@@ -50,13 +60,15 @@ def _spans(text: Column, order: int) -> Column:
         one = F.struct(a.alias("start"), F.lit(order).alias("kind"), b.alias("end"))
         return F.struct(b.alias("at"), F.when(x["m"] >= least, F.concat(done["found"], F.array(one))).otherwise(done["found"]).alias("found"))
 
-    inside = F.transform(runs, lambda run: F.aggregate(run, F.struct(zero.alias("at"), nothing.alias("found")), step))
-    begins = F.aggregate(inside, F.array(zero), lambda done, run: F.concat(done, F.array(F.element_at(done, -1) + run["at"])))
-
     def moved(run: Column, begin: Column) -> Column:
         return F.transform(run["found"], lambda s: F.struct((s["start"] + begin).alias("start"), s["kind"].alias("kind"), (s["end"] + begin).alias("end")))
 
-    found = F.flatten(F.zip_with(inside, F.slice(begins, 1, F.size(inside)), moved)).cast(span)
+    def joined(inside: Column) -> Column:
+        begins = F.aggregate(inside, F.array(zero), lambda done, run: F.concat(done, F.array(F.element_at(done, -1) + run["at"])))
+        return F.flatten(F.zip_with(inside, F.slice(begins, 1, F.size(inside)), moved))
+
+    inside = F.transform(_once(parts, in_runs), lambda run: F.aggregate(run, F.struct(zero.alias("at"), nothing.alias("found")), step))
+    found = _once(inside, joined).cast(span)
     needs = F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else F.lit(True)
     return F.when(needs & F.rlike(text, F.lit(pattern)), found).otherwise(nothing)
 
