@@ -87,24 +87,35 @@ def test_near_duplicates(spark, sf_dir, docs, hot):
         assert got == want
 
 
-def test_license_base(spark, sf_dir, docs):
-    for df in (docs, real(spark, sf_dir)):
+def test_licenses_by_brute_force(spark, sf_dir, docs):
+    import math
+
+    mit = next(t.text for t in TEMPLATES if t.label == "mit" and not t.base)
+    more = spark.createDataFrame([(1, f"x, {mit.upper()}; the MIT-License."), (2, "Permission is hereby granted, free of charge, to any person obtaining a copy of nothing"), (3, "license apache license apache apache license cc by cc by sa"), (4, "public license general gnu")], "doc_id long, text string")
+    for df in (docs, real(spark, sf_dir), more):
+        texts = [(i, re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(t))) for i, t in pairs(df)]
+        known = {w for t in TEMPLATES for w in t.mandatory}
+        idf = {w: math.log((1 + len(texts)) / (1 + sum(w in set(words) for _, words in texts))) for w in known}
         want = Counter()
-        for i, t in pairs(df):
-            words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(t))
-            at, labels, base_labels = [], set(), set()
-            for phrase in TEMPLATES:
-                p = phrase.phrase.split()
+        for i, words in texts:
+            at, labels, base_labels, places, share = [], set(), set(), 0.0, 0.0
+            for template in TEMPLATES:
+                p, text = template.mandatory, template.words
                 hits = [k for k in range(len(words) - len(p) + 1) if words[k : k + len(p)] == p]
-                if hits:
-                    labels.add(phrase.label)
-                if hits and phrase.base:
+                rare = sorted(set(p), key=lambda w: (-idf[w], w))[:2]
+                share = max(share, sum(w in words for w in rare) / len(rare))
+                for k in hits:
+                    labels.add(template.label)
+                    begin = k - template.lead
+                    places = max(places, sum(0 <= begin + j < len(words) and words[begin + j] == w for j, w in enumerate(text)) / len(text))
+                if hits and template.base:
                     at += hits
-                    base_labels.add(phrase.label)
-            want[i, len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels))] += 1
+                    base_labels.add(template.label)
+            score = 0.5 + places / 2 if labels else share / 2
+            want[i, len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), round(score, 9)] += 1
         got = scan_licenses(df).collect()
-        assert Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in got) == want
-        assert all(0 <= r.score <= 1 for r in got)
+        assert Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, round(r.score, 9)) for r in got) == want
+    assert {r.doc_id: r.labels for r in scan_licenses(more).collect()} == {1: "mit", 2: "mit", 3: "apache,cc-by,cc-by-sa", 4: ""}
 
 
 def brute_secrets(text):
@@ -130,6 +141,22 @@ def test_secrets(spark, sf_dir, docs, hot):
         assert Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans_text) for r in got) == want
 
 
+def test_many_secrets_in_one_text(spark):
+    """A hundred thousand matches in one text: places stay right, and time grows with the matches, not their square."""
+    import time
+
+    def took(n):
+        text = "token=abcdef " * n
+        began = time.time()
+        r = scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+        last = f"assign:{13 * (n - 1)}:{13 * n - 1}"
+        assert r.n_assign == n and r.spans_text.endswith(last) and r.spans_text.count(",") == n - 1
+        return time.time() - began
+
+    took(1000)
+    assert took(100_000) < 20 * took(10_000) + 5
+
+
 def test_secret_ledger(spark, docs):
     old = scan_ledger(docs.where("doc_id < 12"))
     old = spark.createDataFrame(old.collect(), old.schema)
@@ -158,6 +185,40 @@ def test_document_fingerprints(spark, sf_dir, docs):
     assert mean([r.near_edited for r in long]) > 0.3 > mean([r.near_next for r in long])
 
 
+def test_fingerprints_by_brute_force(spark, sf_dir, docs):
+    """Lanes, hex, likeness of the edited and the next text, from the definition; 1,000 repeats among them."""
+    from profileloom.llm.multiset_hash import LANES
+
+    def seeded(k, unit):
+        seed = xxhash.xxh64_intdigest(k.to_bytes(4, "little"), 42)  # Spark hashes an int as four bytes
+        return xxhash.xxh64_intdigest(unit.encode(), seed)
+
+    def lanes(text):
+        sums = [0] * LANES
+        for unit, n in Counter(re.findall(PARAGRAPH, text)).items():
+            for k in range(LANES):
+                sums[k] += n * ((seeded(k // 8, unit) >> (8 * (k % 8)) & 255) - 128)
+        return sums
+
+    def like(a, b):
+        apart, both = sum((x - y) ** 2 for x, y in zip(a, b)), sum(x * x for x in a) + sum(y * y for y in b)
+        return 1.0 if not apart else max(0.0, min(1.0, 1 - apart / both))
+
+    more = spark.createDataFrame([(1, "Again.\n" * 1000 + "End."), (2, "Again.\n" * 500), (3, "Other. " * 70_000), (None, "Lone. Row."), (None, None), (9, "")], "doc_id long, text string")
+    for df in (docs, more):
+        rows = pairs(df)
+        keys = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(f"{'' if r[0] is None else r[0]}:{r[1]}".encode()).digest()))
+        follow = {k: keys[(n + 1) % len(keys)] for n, k in enumerate(keys)}
+        want = Counter()
+        for i, text in rows:
+            n, after = len(text), follow[i, text][1]
+            a, b, c = (lanes(t) for t in (text, text[: n - n // 2] + after[: n // 2], after))
+            hexes = ["".join(f"{x % 65536:04x}" for x in v) for v in (a, b)]
+            want[i, *hexes, round(like(a, b), 9), round(like(a, c), 9)] += 1
+        got = document_fingerprints(df).collect()
+        assert Counter((r.doc_id, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
+
+
 def test_fingerprint_arithmetic(spark):
     rows = spark.createDataFrame([(1, "One here. Two there.\nThree"), (2, "Two there.\nOne here. Three"), (3, "One here."), (4, " Two there.\nThree"), (5, "")], "id long, text string")
     assert [len(x) for x in re.findall(PARAGRAPH, "One here. Two")] == [9, 4]
