@@ -1,8 +1,8 @@
-"""Near copies by the exact Jaccard similarity of word shingles."""
+"""The exact check of near copies: links by the Jaccard similarity of word shingles, after those that fingerprints propose."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from profileloom.llm.common import cut, hot_hashes, lower_ascii, salted_join, stored, text_or_empty
 from profileloom.llm.components import connected_components
-from profileloom.llm.simhash import shingle_hashes
+from profileloom.llm.shingles import majority_bits, shingle_hashes
 
 WIDTH = 5
 #: Sets are near copies if their Jaccard similarity is LIKE[0] / LIKE[1] or more.
@@ -22,15 +22,15 @@ SLICE, KEYS_AT_ONCE = 200, 200_000
 #: Members of a bucket that meet each other in one part of a join.
 PART = 256
 #: Rounds in which buckets compare their members with one of them only.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 #: Rows of candidates up to which they are broadcast.
 BROADCAST_ROWS = 200_000
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-def shingle_bag(text: str, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, more): the sorted distinct hashes of the text's shingles, and one for each further occurrence of one."""
-    every = np.sort(np.frombuffer(shingle_hashes(text, width), ">u8").astype(np.uint64))
+def shingle_bag(every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, more) for a text's shingle hashes: the sorted distinct ones, and one for each further occurrence of one."""
+    every = np.sort(every)
     if not len(every):
         return every, every
     new = np.r_[True, every[1:] != every[:-1]]
@@ -43,6 +43,10 @@ def shingle_bag(text: str, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     return every[new], more ^ (more >> np.uint64(29))
 
 
+def _hashes(text: str, width: int) -> np.ndarray:
+    return np.frombuffer(shingle_hashes(text, width), ">u8").astype(np.uint64)
+
+
 def node_of(hashes: np.ndarray, more: np.ndarray) -> int:
     """A signed number for the shingles of a text with their counts."""
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes() + more.tobytes(), 7)).astype(np.int64))
@@ -94,49 +98,27 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def _nodes(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text_sha256, node, n, m) of every row: numbers of distinct and of further shingles."""
+    """(doc_id, text_sha256, node, n, m, fp, keys) of every row: numbers of distinct and of further shingles, the fingerprint and the keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                bags = [shingle_bag(t, width) for t in part.column("text").to_pylist()]
-                sizes = [pa.array([len(b[k]) for b in bags], pa.int64()) for k in range(2)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_sha256"), pa.array([node_of(*b) for b in bags], pa.int64()), *sizes], ["doc_id", "text_sha256", "node", "n", "m"])
+                every = [_hashes(t, width) for t in part.column("text").to_pylist()]
+                bags = [shingle_bag(e) for e in every]
+                keys = [np.concatenate([keys_of(h), keys_of(np.concatenate([h, more]))]) if len(more) else keys_of(h) for h, more in bags]
+                prints = majority_bits(np.concatenate([*every, np.zeros(0, np.uint64)]), np.array([len(e) for e in every], np.int64))
+                ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+                flat = pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64))
+                columns = [pa.array([node_of(*b) for b in bags], pa.int64()), *(pa.array([len(b[k]) for b in bags], pa.int64()) for k in range(2)), pa.array(prints.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), flat)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_sha256"), *columns], ["doc_id", "text_sha256", "node", "n", "m", "fp", "keys"])
 
-    return _named(docs).mapInArrow(run, "doc_id long, text_sha256 string, node long, n long, m long")
+    return _named(docs).mapInArrow(run, "doc_id long, text_sha256 string, node long, n long, m long, fp long, keys array<long>")
 
 
-def _buckets(docs: DataFrame, width: int) -> DataFrame:
+def _buckets(rows: DataFrame) -> DataFrame:
     """(key, node): the keys that more than one node has, once for each of them."""
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
-        nodes: list[int] = []
-        held = 0
-
-        def flushed() -> pa.RecordBatch:
-            node = np.repeat(np.array(nodes, np.int64), [len(k) for k in found])
-            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(node)], ["key", "node"])
-            found.clear()
-            nodes.clear()
-            return out
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                for text in batch.slice(at, SLICE).column("text").to_pylist():
-                    hashes, more = shingle_bag(text, width)
-                    keys = keys_of(hashes)
-                    found.append(np.concatenate([keys, keys_of(np.concatenate([hashes, more]))]) if len(more) else keys)
-                    nodes.append(node_of(hashes, more))
-                    held += len(found[-1])
-                    if held > KEYS_AT_ONCE:
-                        yield flushed()
-                        held = 0
-                if found:
-                    yield flushed()
-                    held = 0
-
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -156,8 +138,8 @@ def _buckets(docs: DataFrame, width: int) -> DataFrame:
                 key, node = key[last:], node[last:]
         yield several(key, node)
 
-    rows = docs.select(text_or_empty("text").alias("text")).mapInArrow(keyed, "key long, node long")
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(shared, "key long, node long")
+    keyed = rows.select(F.explode("keys").alias("key"), "node")
+    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(shared, "key long, node long")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -166,7 +148,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
-                bags = [shingle_bag(t, width) for t in batch.slice(at, SLICE).column("text").to_pylist()]
+                bags = [shingle_bag(_hashes(t, width)) for t in batch.slice(at, SLICE).column("text").to_pylist()]
                 lists = [pa.array([b[k].view(np.int64) for b in bags], pa.list_(pa.int64())) for k in range(2)]
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(*b) for b in bags], pa.int64()), *lists], ["node", "hashes", "more"])
 
@@ -183,26 +165,35 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where((common * (p + q) >= size * p) | ((common + further) * (p + q) >= (size + more) * p)).select("a", "b")
 
 
-def near_links(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, text_sha256, node, n, m) of every row, links (a, b) of nodes): links join what all near copies would join.
+def near_links(docs: DataFrame, width: int, proposed: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, text_sha256, node, n, m, fp) of every row, links (a, b) of nodes): links join what all near copies would join.
 
-    Each bucket first compares its members with one of them, which another bucket's hash picks anew, and then, of what
-    no link has joined by then, all pairs whose sizes allow it. Both are confirmed by the sets themselves.
+    proposed gives links between fingerprints (fp), which are confirmed first. Then each bucket of nodes that share a
+    part of their shingles compares its members with one of them, and last, of what no link has joined by then, all
+    pairs whose sizes allow it. All are confirmed by the sets themselves, and no pair is confirmed twice.
     """
-    rows = stored(_nodes(docs, width))
-    buckets = cut(_buckets(docs, width))
-    sizes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.min(F.struct("doc_id", "text_sha256")).alias("row"))
-    few = cut(sizes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "n", "m", "row.*"))
+    whole = stored(_nodes(docs, width))
+    rows = whole.drop("keys")
+    buckets = cut(_buckets(whole.select("node", "keys")))
+    nodes = cut(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.first("fp").alias("fp"), F.min(F.struct("doc_id", "text_sha256")).alias("row")))
+    prints = cut(nodes.groupBy("fp").agg(F.min("node").alias("one")))
+    ends = cut(proposed(prints.select("fp")))
+    first = ends.join(prints.select(F.col("fp").alias("a"), F.col("one").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("one").alias("y")), "b").select("x", "y")
+    first = first.union(nodes.join(prints, "fp").select(F.col("one").alias("x"), F.col("node").alias("y"))).where("x <> y")
+    first = cut(first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    some = buckets.select("node").union(first.select("a")).union(first.select("b")).distinct()
+    few = cut(nodes.join(some, "node", "left_semi").select("node", "n", "m", "row.*"))
     texts = few.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
     texts = F.broadcast(texts) if few.count() <= BROADCAST_ROWS else texts
     texts = _named(docs).join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_sha256") == F.col("_sha")), "left_semi")
     sets = stored(_sets(texts, width).dropDuplicates(["node"]))
     buckets = cut(salted_join(buckets, few.select("node", "n", "m"), ["node"], hot_hashes(buckets, ["node"]), ["key"]))
-    links = cut(buckets.where("false").select(F.col("node").alias("a"), F.col("node").alias("b")))
+    links = cut(_confirmed(first, sets))
+    tried = first
     p, q = LIKE
     for turn in range(STAR_ROUNDS + 1):
         roots = connected_components(links)
-        open_ = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_ = cut(buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
         counts = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)), "node", "n", "m", "root")).alias("one"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
         counts = counts.where("low <> high").select("key", "one.node", "one.n", "one.m", "one.root", "members").withColumnsRenamed({"node": "b", "n": "bn", "m": "bm", "root": "broot"})
         if turn < STAR_ROUNDS:
@@ -217,21 +208,6 @@ def near_links(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFram
         sizes_fit = F.expr(f"least(n, bn) * {q} >= greatest(n, bn) * {p} or least(n + m, bn + bm) * {q} >= greatest(n + m, bn + bm) * {p}")
         fits = (F.col("root") != F.col("broot")) & sizes_fit
         pairs = pairs.where(fits).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        links = cut(links.union(_confirmed(pairs, sets)))
+        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+        links, tried = cut(links.union(_confirmed(pairs, sets))), tried.union(pairs)
     return rows, links
-
-
-def first_of_near_copies(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, text_sha256) of one row of each group of near copies: the smallest doc_id, null only where no row has one.
-
-    Groups are joined over links between texts whose word shingles have a Jaccard similarity of LIKE or more, either
-    as sets or with their counts; no such pair is missed. A-Z are lower-cased, words parted by ASCII white space, texts of fewer words than a
-    shingle are one; texts without words are near copies of each other. text_sha256 is as in exact_duplicates. Shingles and
-    sets of them are told apart by 64-bit hashes. An empty table gives no rows; columns other than doc_id and text
-    aren't read.
-    """
-    rows, links = near_links(docs, width)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_sha256")).alias("first")
-    least = rows.groupBy("node").agg(first)
-    least = least.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return least.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_sha256")

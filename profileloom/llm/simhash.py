@@ -3,61 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from profileloom.llm.common import as_documents, cut, hot_hashes, salted_join
 from profileloom.llm.components import connected_components
+from profileloom.llm.jaccard import WIDTH, near_links
+from profileloom.llm.shingles import majority_bits, shingle_hashes
 
-SEED, BITS = 42, 64
+BITS = 64
 #: Fingerprints of a bucket that one task compares with each other; larger buckets are compared part by part.
 PART = 1024
 #: Pairs of (64 fingerprints, one fingerprint) that are compared at a time.
 AT_ONCE = 1 << 16
 #: Texts that a worker unpacks at a time.
 SLICE = 500
-_BYTES = np.uint64(0x0101010101010101)
-
-
-def shingle_hashes(text: str, width: int) -> bytes:
-    """XXH64 digests, one after the other, of the text's word shingles; A-Z lower-cased, words parted by ASCII white space."""
-    words = text.encode("utf-8", "replace").lower().split()
-    line = b" ".join(words)
-    if not words:
-        return b""
-    if len(words) <= width:
-        return xxhash.xxh64_digest(line, SEED)
-    ends = list(accumulate(len(w) + 1 for w in words))
-    starts, digest = [0, *ends], xxhash.xxh64_digest
-    return b"".join([digest(line[a : b - 1], SEED) for a, b in zip(starts, ends[width - 1 :], strict=False)])
-
-
-def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Fingerprints of consecutive runs of `counts` hashes: bit set if it is in over half of the run's hashes.
-
-    Each bit of a byte is summed for all eight bytes of a word at once, over pieces of up to 255 hashes.
-    """
-    out = np.zeros(len(counts), np.uint64)
-    full = np.flatnonzero(counts)
-    if not len(full):
-        return out
-    ends = np.cumsum(counts)
-    begins = ends - counts
-    cuts = np.concatenate([np.arange(begins[i], ends[i], 255) for i in full])
-    owner = np.repeat(np.arange(len(full)), -(-counts[full] // 255))
-    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    for k in range(8):
-        sums = np.add.reduceat((hashes >> np.uint64(k)) & _BYTES, cuts)
-        ones = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8).astype(np.int64), first, axis=0)
-        bits = (ones * 2 > counts[full][:, None]).astype(np.uint8)
-        out[full] |= np.ascontiguousarray(bits).view(np.uint64).ravel() << np.uint64(k)
-    return out
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -235,3 +200,21 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
     named = salted_join(groups, named, ["root"], hot_hashes(groups, ["root"]), ["fp"]).select("fp", "component_id")
     out = salted_join(rows, named, ["fp"], hot_hashes(groups, ["fp"], F.col("n")), ["doc_id"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_near_copies(docs: DataFrame, width: int = WIDTH, radius: int = 3) -> DataFrame:
+    """(doc_id, text_sha256) of one row of each group of near copies: the smallest doc_id, null only where no row has one.
+
+    Near copies are texts whose word shingles have a Jaccard similarity of 4/5 or more, either as sets or with their counts. Texts
+    with fingerprints at most `radius` bits apart are found first, by bit-sliced comparison, and linked if their
+    shingles say so. Fingerprints of near copies can differ in more bits, so the exact check goes on to those (near_links),
+    and no pair is missed. A-Z are lower-cased, words parted by ASCII white space, texts of fewer words than a
+    shingle are one; texts without words (null ones, too) are near copies of each other. text_sha256 is as in
+    exact_duplicates. Repeated rows are one; shingles and sets of them are told apart by 64-bit hashes. An empty table
+    gives no rows; columns other than doc_id and text aren't read.
+    """
+    rows, links = near_links(docs, width, lambda fps: fingerprint_links(fps, radius))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_sha256")).alias("first")
+    least = rows.groupBy("node").agg(first)
+    least = least.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return least.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_sha256")
