@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from profileloom.llm.common import load, lower_ascii, stored, text_or_empty
 from profileloom.llm.exact_dedup import exact_duplicates
-from profileloom.llm.jaccard import first_of_near_copies
 from profileloom.llm.language_id import with_known_language
 from profileloom.llm.mixture import mixed_texts
 from profileloom.llm.queries import MODEL_PATH
 from profileloom.llm.sentencepiece_codec import encode_documents
+from profileloom.llm.simhash import first_of_near_copies
 
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -30,22 +30,27 @@ def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs whose language can be told, with that language as lang; null and empty texts and those without letters go."""
     return with_known_language(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each distinct text, that of the largest doc_id; of repeated rows one stays, a null id only where no row has another."""
     return _only(docs, exact_duplicates(docs).where("kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of texts of 5-word Jaccard similarity 0.8, that of the smallest doc_id; ids and repeats as in exact_stage."""
     return _only(docs, first_of_near_copies(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for each round that takes words of a document, with those words; texts without words aren't in it."""
     return mixed_texts(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids and n_tokens of every row; null text counts as empty, repeated rows are repeated."""
     return encode_documents(docs, MODEL_PATH)
 
 
