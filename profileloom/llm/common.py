@@ -68,14 +68,14 @@ def as_documents(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own where it names none."""
+    """The shared folder that the cluster names; where it names none, a folder of our own, but only on a local master."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
-    if current is None:
+    if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-        current = sc.getCheckpointDir()
-    return named or current
+    return named or sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -91,16 +91,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hot_hashes(df: DataFrame, keys: list[str], rows: Column | None = None) -> list[int]:
+def hot_hashes(df: DataFrame, keys: list[str], rows: Column | None = None, total: Callable[[], int] | None = None) -> list[int]:
     """Hashes of the keys that hold over 1/HOT_SHARE of the rows: HOT_SHARE values at most, whatever the input.
 
-    rows: the rows a row of df stands for. The counts are combined before the shuffle, and the hash only decides how
-    rows are dealt, never whether keys are equal.
+    rows: the rows a row of df stands for; total: gives the rows that the share is of, if not those of df. Counts are
+    combined before the shuffle, and the hash only decides how rows are dealt, never whether keys are equal.
     """
     counts = df.groupBy(F.xxhash64(*keys).alias("h")).agg(F.sum(rows if rows is not None else F.lit(1)).alias("n"))
     seen = Observation()  # the total comes with the same job
     top = counts.observe(seen, F.sum("n").alias("total")).orderBy(F.desc("n"), "h").limit(HOT_SHARE).collect()
-    return [r.h for r in top if r.n >= HOT_ROWS and r.n * HOT_SHARE > seen.get["total"]]
+    return [r.h for r in top if r.n >= HOT_ROWS and r.n * HOT_SHARE > (total() if total else seen.get["total"])]
 
 
 def is_hot(keys: list[str], hot: list[int]) -> Column:

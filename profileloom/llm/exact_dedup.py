@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,15 +16,17 @@ BUCKETS, PLACE_BITS = 1 << 16, 40
 _PLACE = ["doc_id", "sha", "left_", "idx"]
 
 
-def _named(rows: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
+def _named(rows: DataFrame, keys: list[str], keep: list[str], some: DataFrame | None = None, total: Callable[[], int] | None = None) -> DataFrame:
     """`keep` and an integer name for each row, equal where all keys are equal and only there.
 
     The keys of a bucket are sorted, and a name is the bucket and the key's place in it. A hash picks the bucket, but
     equality rests on the keys themselves. Keys with over a thousandth of the rows, a thousand at most, are reduced to
     one row each by map-side aggregation, named in buckets above the others and broadcast to their rows, which are
-    then dealt over the buckets without their keys, so that no task gets all rows of one key.
+    then dealt over the buckets without their keys, so that no task gets all rows of one key. some: the rows among which
+    such keys are looked for, where others are known to have none; total: gives the number of all rows then.
     """
-    hot = hot_hashes(rows, keys)
+    some = rows if some is None else some
+    hot = hot_hashes(some, keys, total=total)
     bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
 
     def names(offset: int) -> Column:
@@ -31,7 +35,7 @@ def _named(rows: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
 
     if not hot:
         return rows.withColumn("_bucket", bucket).withColumn("name", names(0)).select(*keep, "name")
-    few = rows.where(is_hot(keys, hot)).select(*keys).distinct().withColumn("_bucket", bucket)
+    few = some.where(is_hot(keys, hot)).select(*keys).distinct().withColumn("_bucket", bucket)
     few = few.select(*keys, names(BUCKETS).alias("_name"))
     rows = rows.join(F.broadcast(few), keys, "left")
     cold = F.col("_name").isNull()
@@ -40,13 +44,26 @@ def _named(rows: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
     return rows.withColumn("name", F.coalesce("_name", names(0))).select(*keep, "name")
 
 
+def _blocks(docs: DataFrame, block: int) -> DataFrame:
+    """(doc_id, sha, left_, idx, block): each row's normalised text cut into blocks; the empty text has one empty block."""
+    docs = docs.select("doc_id", lower_ascii(F.col("text")).alias("text"))
+    blocks = F.when(F.length("text") <= block, F.array("text")).otherwise(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{block}}}"), F.lit(0)))
+    rows = docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha"), blocks.alias("blocks"))
+    return rows.select("doc_id", "sha", F.size("blocks").alias("left_"), F.posexplode("blocks").alias("idx", "block"))
+
+
 def named_blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, sha, left_, idx, name): each row's normalised text cut into blocks of `block` code points, and the blocks named."""
-    text = lower_ascii(F.col("text"))
-    blocks = F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)))
-    rows = docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("sha"), blocks.alias("blocks"))
-    rows = rows.select("doc_id", "sha", F.size("blocks").alias("left_"), F.posexplode("blocks").alias("idx", "block"))
-    return cut(_named(rows, ["block"], _PLACE))
+    """(doc_id, sha, left_, idx, name): each row's normalised text cut into blocks of `block` code points, and the blocks named.
+
+    A text of one block can only be hot if many texts have its lengths, so a pass over lengths, which takes no
+    lower-casing or hashing, leaves few texts to count and reduce.
+    """
+    sizes = ["chars", "octets"]
+    docs = docs.select("doc_id", "text", F.length("text").alias("chars"), F.octet_length("text").alias("octets"))
+    seen = Observation()
+    often = hot_hashes(docs.observe(seen, F.sum(F.greatest(F.ceil(F.col("chars") / block), F.lit(1))).alias("blocks")), sizes)
+    some = docs.where((F.col("chars") > block) | is_hot(sizes, often))
+    return cut(_named(_blocks(docs, block), ["block"], _PLACE, _blocks(some, block), lambda: seen.get["blocks"]))
 
 
 def identities(blocks: DataFrame) -> DataFrame:
