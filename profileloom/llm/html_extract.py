@@ -292,8 +292,13 @@ def style_tree(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     importance is the entropy, base m, of its styles over pages. Its importance is that of what it holds, the mean of its
     texts and children weighted by text length, damped towards the presentation importance the more styles it has;
     for an element of text alone it is the mean. Importances are composed level by level from the deepest elements up. Counts are
-    combined before each shuffle, so that a large site is spread over tasks.
+    combined before each shuffle, so that a large site is spread over tasks. Sites of one page, which lose nothing, are left out
+    while the others can be broadcast (8 bytes each).
     """
+    root = F.element_at("nodes", 1)["path"].alias("root")
+    sites = cut(parsed.select(root, "sign").distinct().groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root"))
+    if sites.count() <= BROADCAST_NODES:
+        parsed = parsed.withColumn("root", F.element_at("nodes", 1)["path"]).join(F.broadcast(sites), "root", "left_semi")
     seen = parsed.select("sign", F.explode("nodes").alias("n")).groupBy("n.path", "n.up", "n.depth", "sign").agg(F.min("n.style").alias("style"), F.min("n.leaf").alias("leaf"))
     styles = seen.groupBy("path", "up", "depth", "style").agg(F.count("*").alias("k"), F.min("leaf").alias("leaf"))
     nodes = styles.groupBy("path", "up", "depth").agg(F.sum("k").alias("pages"), F.count("*").alias("styles"), F.sum(_n_log_n("k")).alias("kk"), F.min("leaf").alias("leaf"))
@@ -301,7 +306,7 @@ def style_tree(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = parsed.select("sign", F.explode("blocks").alias("b")).groupBy("b.path", "b.content", "sign").agg(F.max(F.octet_length("b.text")).alias("size"))
     texts = texts.groupBy("path", "content").agg(F.count("*").alias("n"), F.max("size").alias("size"))
     same = F.when(F.col("pages") <= 1, 1.0).otherwise(1 - F.least(F.lit(1.0), F.log(F.col("n").cast("double")) / F.log(F.col("pages").cast("double"))))
-    contents = cut(texts.join(nodes.select("path", "pages"), "path").select("path", "content", "n", "size", "pages", same.alias("importance")))
+    contents = stored(texts.join(nodes.select("path", "pages"), "path").select("path", "content", "n", "size", "pages", same.alias("importance")))
     weight = (F.col("n") * F.col("size")).cast("double")
     held = contents.groupBy("path").agg(F.sum(weight).alias("weight"), F.sum(weight * F.col("importance")).alias("mass"))
     nodes = cut(nodes.join(held, "path", "left").na.fill(0.0, ["weight", "mass"]))
