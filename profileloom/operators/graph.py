@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_ROUNDS = 200
-
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Checkpoints to the shared folder the cluster names, or to a folder of our own where it names none."""
-    sc = df.sparkSession.sparkContext
+    """Checkpoints to the shared folder the cluster names; where it names none, to a folder of our own, but only on a local master."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
@@ -57,31 +59,73 @@ def fk_plan_status(edges: DataFrame, tables: DataFrame) -> DataFrame:
     return rows.withColumn("claim", first).select("edge_id", F.when((c("basic") == "emitted") & (c("claim.parent") != c("parent")), "unsupported").otherwise(c("basic")).alias("status"))
 
 
-def reachable(edges: DataFrame) -> DataFrame:
-    """All (a, b) such that b is reached from a over one link or more: paths double in length each round until none is new."""
-    a, b = edges.columns[:2]
-    paths = _cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
-    n = paths.count()
-    for _ in range(MAX_ROUNDS):
-        longer = paths.select("a", F.col("b").alias("m")).join(paths.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
-        paths = _cut(paths.union(longer).distinct())
-        now = paths.count()
-        if now == n:
-            return paths
-        n = now
-    raise RuntimeError("the links have paths that are too long")
+def _trimmed(links: DataFrame) -> DataFrame:
+    """links (a, b) without those of nodes that nothing leads to or that lead nowhere, until none is left: what cycles and ways between them have."""
+    links = _cut(links)
+    n = links.count()
+    while n:
+        ends = links.select("a").intersect(links.select(F.col("b").alias("a")))
+        links = links.join(ends, "a", "left_semi").join(ends.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b")
+        links, before = _cut(links), n
+        n = links.count()
+        if n == before:
+            break
+    return links
+
+
+def _spread(marks: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, mark): the greatest mark that reaches each node over links (a, b), its own included; each round goes one link further from what changed."""
+    marks = _cut(marks)
+    changed = marks
+    while changed.take(1):
+        sent = changed.join(links, changed.node == links.a).groupBy(F.col("b").alias("node")).agg(F.max("mark").alias("sent"))
+        both = marks.join(sent, "node", "left").select("node", F.greatest("mark", "sent").alias("mark"), (F.col("sent") > F.col("mark")).alias("more"))
+        both = _cut(both)
+        marks, changed = both.select("node", "mark"), both.where("more").select("node", "mark")
+    return marks
 
 
 def fk_cycles(edges: DataFrame) -> DataFrame:
-    """(child, parent) of edges within a cycle; a table's link to itself is none."""
-    links = edges.select("child", "parent").where(F.col("child") != F.col("parent")).distinct()
-    back = reachable(links).select(F.col("a").alias("parent"), F.col("b").alias("child"))
-    return links.join(back, ["child", "parent"], "left_semi")
+    """(child, parent) of edges within a cycle; a table's link to itself is none. NULL ends have no edge, repeated edges are one.
+
+    Links outside cycles are trimmed. Then each node learns the greatest node that reaches it; nodes with one such
+    root that reach it back are a strongly connected component, whose links are in cycles. The rest goes to the next round. A round has as many
+    rows as there are links, never all pairs of a component.
+    """
+    links = edges.select(F.col("child").alias("a"), F.col("parent").alias("b")).where("a <> b").distinct()
+    found = _cut(links.where("false"))
+    links = _trimmed(links)
+    while links.take(1):
+        nodes = links.select(F.col("a").alias("node")).distinct()
+        roots = _spread(nodes.withColumn("mark", F.col("node")), links)
+        inner = links.join(roots.select(F.col("node").alias("a"), F.col("mark").alias("ra")), "a").join(roots.select(F.col("node").alias("b"), F.col("mark").alias("rb")), "b").where("ra = rb").select("a", "b", "ra")
+        inner = _cut(inner)
+        # back from each root, over the links that stay among its nodes
+        back = _spread(roots.select("node", (F.col("node") == F.col("mark")).cast("int").alias("mark")), inner.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        component = back.where("mark = 1").select("node")
+        hits = inner.join(component.select(F.col("node").alias("a")), "a", "left_semi").join(component.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
+        found = _cut(found.union(hits))
+        gone = component.select(F.col("node").alias("a"))
+        links = _trimmed(links.join(gone, "a", "left_anti").join(gone.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b"))
+    return found.select(F.col("a").alias("child"), F.col("b").alias("parent"))
+
+
+def _jumps(links: DataFrame, rows: int) -> DataFrame:
+    """(node, up): each node's parent's parent and so on, at least `rows` steps up; nodes whose way ends before have none."""
+    jumps, steps = _cut(links), 1
+    while steps < rows and jumps.take(1):
+        jumps = _cut(jumps.select("node", F.col("up").alias("m")).join(jumps.select(F.col("node").alias("m"), "up"), "m").select("node", "up"))
+        steps *= 2
+    return jumps
 
 
 def hierarchy_cycles(links: DataFrame) -> DataFrame:
-    """Nodes whose chain of parents returns to them. links: node, parent."""
-    return reachable(links.select("node", "parent")).where("a = b").select(F.col("a").alias("node"))
+    """Nodes whose chain of parents returns to them. links: node, parent; of several parents of a node the least counts, NULL is none.
+
+    Steps double each round, as many rows as nodes; whoever is still above someone after as many steps as there are nodes is on a cycle.
+    """
+    up = links.where(F.col("node").isNotNull() & F.col("parent").isNotNull()).groupBy("node").agg(F.min("parent").alias("up"))
+    return _jumps(up, up.count()).select(F.col("up").alias("node")).distinct()
 
 
 def fk_load_level(tables: DataFrame, edges: DataFrame) -> DataFrame:
@@ -103,13 +147,25 @@ def fk_load_level(tables: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def partition_rollup(nodes: DataFrame) -> DataFrame:
-    """(root, leaves, largest_leaf) of each hierarchy without a parent. nodes: node, parent, rows."""
-    links = nodes.where(F.col("parent").isNotNull()).select("node", "parent")
-    above = reachable(links)
-    roots = nodes.where(F.col("parent").isNull()).select(F.col("node").alias("root"))
-    leaves = nodes.join(links.select(F.col("parent").alias("node")).distinct(), "node", "left_anti").select("node", "rows")
-    pairs = above.select(F.col("a").alias("node"), F.col("b").alias("root")).join(roots, "root").join(leaves, "node")
-    return pairs.groupBy("root").agg(F.count("*").alias("leaves"), F.max("rows").alias("largest_leaf"))
+    """(root, leaves, largest_leaf) of each hierarchy whose root has parts. nodes: node, parent, rows; one parent for each node.
+
+    Each node's pointer jumps to that of the node above, twice as far each round, until it is at the root. Nodes that
+    only a cycle is above have no root and are left out.
+    """
+    up = nodes.select("node", F.coalesce("parent", "node").alias("up"))
+    at, n, steps = _cut(up), nodes.count(), 1
+    while steps < max(n, 1):
+        further = at.select("node", F.col("up").alias("m")).join(at.select(F.col("node").alias("m"), "up"), "m").select("node", "up")
+        moved = _cut(further)
+        same = at.join(moved, ["node", "up"], "left_anti")
+        at, steps = moved, steps * 2
+        if not same.take(1):
+            break
+    inner = nodes.where(F.col("parent").isNotNull()).select(F.col("parent").alias("node")).distinct()
+    roots = nodes.where(F.col("parent").isNull()).select(F.col("node").alias("up"))
+    leaves = nodes.join(inner, "node", "left_anti").where(F.col("parent").isNotNull()).select("node", "rows")
+    pairs = leaves.join(at, "node").join(roots, "up", "left_semi")
+    return pairs.groupBy(F.col("up").alias("root")).agg(F.count("*").alias("leaves"), F.max("rows").alias("largest_leaf"))
 
 
 def resolve_object_edges(edges: DataFrame, objects: DataFrame, tables: DataFrame) -> DataFrame:
@@ -120,5 +176,3 @@ def resolve_object_edges(edges: DataFrame, objects: DataFrame, tables: DataFrame
     out = edges.join(objects.select(F.col("identity").alias("target"), F.col("id").alias("o")), "target", "left").join(tables.select(F.col("identity").alias("target"), F.col("id").alias("t")), "target", "left")
     found = F.coalesce("o", "t")
     return out.select("object_id", found.alias("target_id"), F.when(found.isNull(), F.when(F.col("in_scope"), "target-not-visible").otherwise("outside-selected-schema")).alias("reason")).distinct()
-
-
