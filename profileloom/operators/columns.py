@@ -14,7 +14,7 @@ from profileloom.functions.rounding import div, quantize_count, quantize_count_a
 
 #: Least rows for an estimate, and the share of distinct values from which a column is near-unique.
 LEAST_ROWS, NEAR_UNIQUE = 128, (20, 19)
-#: Characters of a value that its style is judged by: the definition of a style, not a cap on rows.
+#: Bytes of a value that its style is judged by: the definition of a style, not a cap on rows.
 STYLE_BYTES = 4096
 #: Least bytes of a value and of a column for a payload label, and the share that compressed values need.
 PAYLOAD_VALUE, PAYLOAD_COLUMN, PAYLOAD_SHARE = 4 << 10, 16 << 10, (3, 4)
@@ -97,8 +97,12 @@ def distinct_estimates(cells: DataFrame, source_rows: Column, biased: Column) ->
     """The summary with source_non_null, chao1, birthday, and the estimate that the evidence allows with its method.
 
     source_rows: rows of the source, by the summary's columns and n_rows; biased: whether the rows are a biased sample.
+    Columns without a value have none.
     """
-    summary = frequency_summary(frequency_histogram(cells)).join(null_profile(cells).select("column_name", "n_rows"), "column_name")
+    return _estimated(column_summary(cells).where("non_null > 0"), source_rows, biased)
+
+
+def _estimated(summary: DataFrame, source_rows: Column, biased: Column) -> DataFrame:
     summary = summary.withColumn("source_rows", source_rows).withColumn("biased", biased)
     summary = summary.withColumn("source_non_null", source_non_null(F.col("non_null"), F.col("n_rows"), F.col("source_rows")))
     c = F.col
@@ -110,19 +114,47 @@ def distinct_estimates(cells: DataFrame, source_rows: Column, biased: Column) ->
     return summary.withColumn("estimated_distinct", estimate).withColumn("method", method)
 
 
-def cardinality_profile(cells: DataFrame, source_rows: Column, biased: Column) -> DataFrame:
-    """The block of a column that is shared: counts on the grid, the estimate within its bounds, fractions in two-hundredths."""
+def column_summary(cells: DataFrame) -> DataFrame:
+    """frequency_summary, frequency quantiles and n_rows of each column by one scan: cells are counted by value, NULL among them, and those counts by column."""
+    c, f, n = F.col, F.col("frequency"), F.col("n_values")
+    counts = cells.groupBy("column_name", "cell").agg(F.count("*").alias("frequency"))
+    histogram = counts.groupBy("column_name", c("cell").isNull().alias("missing"), "frequency").agg(F.count("*").alias("n_values"))
+    known = F.when(~c("missing"), n).otherwise(0)
+    histogram = histogram.withColumn("_upto", F.sum(known).over(W.partitionBy("column_name").orderBy("frequency").rangeBetween(W.unboundedPreceding, 0))).withColumn("_all", F.sum(known).over(W.partitionBy("column_name")))
+    some = lambda x: F.when(~c("missing"), x)
+    total = lambda x: F.coalesce(F.sum(some(x)), F.lit(0))
+    rank = lambda p: F.min(some(F.when(c("_upto") >= div(c("_all") * p + 99, 100), f)))
+    out = histogram.groupBy("column_name").agg(
+        F.sum(f * n).alias("n_rows"),
+        total(n).alias("observed_distinct"),
+        total(f * n).alias("non_null"),
+        total(F.when(f == 1, n).otherwise(0)).alias("f1"),
+        total(F.when(f == 2, n).otherwise(0)).alias("f2"),
+        F.max(some(f)).alias("frequency_max"),
+        total(n * div(f * (f - 1), 2)).alias("collision_pairs"),
+        *(rank(p).alias(f"frequency_p{p}") for p in (50, 95, 99)),
+    )
+    return out.withColumn("top_value_fraction", F.when(c("non_null") > 0, c("frequency_max") / c("non_null")))
+
+
+def cardinality_profile(cells: DataFrame, source_rows: Column, biased: Column, bias_reason: str = "deterministic-first-n-rows", layout: str = "row") -> DataFrame:
+    """The block of a column that is shared, for columns with rows and values; none has more rows than its source.
+
+    sample_rows are the rows read, at most those of the source; non-null rows, distinct values and frequencies are on the grid and within
+    their bounds; an estimate is at least the observed values and at most the source's rows, and equals them where
+    nothing is estimated. complete_source_read: whether all of the source was read. source_rows and biased are columns over n_rows.
+    """
     c = F.col
-    full = distinct_estimates(cells, source_rows, biased).join(frequency_quantiles(frequency_histogram(cells)).drop("frequency_max"), "column_name")
-    full = full.where((c("n_rows") > 0) & (c("source_rows") >= c("n_rows")) & (c("non_null") > 0))
-    rows = quantize_count(c("n_rows"))
-    full = full.withColumn("sample_rows", rows).withColumn("non_null_rows", quantize_non_null_rows("n_rows", "sample_rows", "non_null"))
-    full = full.withColumn("observed", quantize_count_at_most("observed_distinct", "non_null_rows"))
-    estimated = F.greatest(c("observed"), quantize_count_at_most("estimated_distinct", F.greatest(c("source_non_null"), c("observed"))))
-    top = quantize_fraction("top_value_fraction")
+    full = _estimated(column_summary(cells), source_rows, biased)
+    full = full.where((c("n_rows") > 0) & (c("source_rows") > 0) & (c("non_null") > 0)).withColumn("sample_rows", F.least("n_rows", "source_rows"))
+    full = full.withColumn("non_null_rows", quantize_non_null_rows("n_rows", "sample_rows", "non_null")).withColumn("observed", quantize_count_at_most("observed_distinct", "non_null_rows"))
+    unestimated = c("method").isin("complete", "lower-bound-biased", "lower-bound-small")
+    estimated = F.when(unestimated, c("observed")).otherwise(F.greatest(c("observed"), quantize_count_at_most("estimated_distinct", "source_rows")))
     bounded = {name: quantize_count_at_most(name, "non_null_rows").alias(name) for name in ("frequency_p50", "frequency_p95", "frequency_p99", "frequency_max")}
-    published = (c("sample_rows") - c("non_null_rows")) / c("sample_rows")
-    return full.select("column_name", "sample_rows", "non_null_rows", c("observed").alias("observed_distinct"), estimated.alias("estimated_distinct"), top.alias("top_value_fraction"), *bounded.values(), published.alias("null_fraction"), "method")
+    null_fraction = (c("sample_rows") - c("non_null_rows")) / c("sample_rows")
+    complete = c("n_rows") >= c("source_rows")
+    reason = F.when(c("biased"), bias_reason).otherwise("")
+    return full.select("column_name", complete.alias("complete_source_read"), "sample_rows", "non_null_rows", c("observed").alias("observed_distinct"), estimated.alias("estimated_distinct"), quantize_fraction("top_value_fraction").alias("top_value_fraction"), *bounded.values(), null_fraction.alias("null_fraction"), "method", F.lit(layout).alias("sample_layout"), c("biased").alias("sampled_with_bias"), reason.alias("bias_reason"))
 
 
 def approx_distinct(cells: DataFrame, error: float = 0.02) -> DataFrame:
@@ -136,13 +168,14 @@ def merge_sketches(files: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def unique_uplift(columns: DataFrame, indexes: DataFrame) -> DataFrame:
-    """columns with the estimate raised to the non-null rows where one plain unique key covers just this column.
+    """columns whose estimate is the source's non-null rows where one plain unique key covers just this column.
 
-    indexes: table_id, cols array<int>, is_unique, expression, prefixed. columns: table_id, ordinal, estimated_distinct, source_non_null, method.
+    It is at least the observed values and at most the table's rows. indexes: table_id, cols array<int>, is_unique, expression, prefixed.
+    columns: table_id, ordinal, observed_distinct, estimated_distinct, source_non_null, table_rows, method.
     """
     keys = indexes.where((F.size("cols") == 1) & F.col("is_unique") & ~F.col("expression") & ~F.col("prefixed")).select("table_id", F.col("cols")[0].alias("ordinal")).distinct().withColumn("unique_key", F.lit(True))
     out = columns.join(keys, ["table_id", "ordinal"], "left").withColumn("unique_key", F.coalesce("unique_key", F.lit(False)))
-    lifted = F.when(F.col("unique_key"), F.greatest("estimated_distinct", "source_non_null")).otherwise(F.col("estimated_distinct"))
+    lifted = F.when(F.col("unique_key"), F.least(F.greatest("source_non_null", "observed_distinct"), F.greatest("table_rows", "observed_distinct"))).otherwise(F.col("estimated_distinct"))
     return out.withColumn("estimated_distinct", lifted).withColumn("method", F.when(F.col("unique_key"), F.concat("method", F.lit("; unique constraint"))).otherwise(F.col("method")))
 
 
@@ -173,28 +206,41 @@ def payload_profile(values: DataFrame) -> DataFrame:
     return out.withColumn("style", F.when(most, "precompressed").otherwise(""))
 
 
-def text_style(text: Column) -> Column:
-    """The style of one text, by its first bytes: hex, base64, numeric-text, json, xml, natural-text or mixed; '' if empty."""
-    s = F.substring(text, 1, STYLE_BYTES)
-    n, trimmed, begun = F.length(s), F.regexp_replace(s, r"[ \t\n\r]+$", ""), F.regexp_replace(s, r"^\s+", "")
-    bare = F.regexp_replace(begun, r'"(?:[^"\\]|\\.)*"', "")
+def style_prefix(text: Column) -> Column:
+    """The first STYLE_BYTES bytes of a text, without a code point cut in two."""
+    head = F.call_function("make_valid_utf8", F.substring(F.encode(text, "utf-8"), 1, STYLE_BYTES).cast("string"))
+    return F.when(F.octet_length(text) <= STYLE_BYTES, text).otherwise(F.regexp_replace(head, "\ufffd+$", ""))
 
-    def times(c: str) -> Column:
-        return F.length(bare) - F.length(F.replace(bare, F.lit(c), F.lit("")))
 
-    json = begun.rlike(r"^[{\[]") & (times(":") > 0) & (times("{") == times("}")) & (times("[") == times("]")) & (times('"') == 0)
-    xml = begun.startswith("<?xml") | (begun.rlike("^<[A-Za-z!]") & begun.contains(">"))
-    letters, spaces, digits = (n - F.length(F.regexp_replace(s, c, "")) for c in ("[A-Za-z]", "[ \t\n\r]", "[0-9]"))
+def text_styles(texts: DataFrame, text: str) -> DataFrame:
+    """texts with `style`, of the first bytes of a text: hex, base64, numeric-text, json, xml, natural-text or mixed; '' if empty, NULL for NULL.
+
+    What a style looks at is computed in steps, once for each text, and only for texts that begin like it. Strings in JSON are dropped by
+    two patterns, pairs of backslash and character and then quoted runs, neither of which recurses.
+    """
+    c, n = F.col, F.length("_s")
+    rows = texts.withColumn("_s", style_prefix(c(text)))
+    begun = F.regexp_replace("_s", r"^\s+", "")
+    rows = rows.withColumn("_json", F.when(F.rlike("_s", F.lit(r"^\s*[{\[]")), F.regexp_replace(F.regexp_replace(begun, r"(?s)\\.", ""), r'"[^"]*"', "")))
+    rows = rows.withColumn("_xml", F.when(F.rlike("_s", F.lit("^\\s*<[A-Za-z!?]")), begun))
+    rows = rows.withColumn("_packed", F.rtrim("_s", F.lit(" \t\n\r")))
+    times = lambda x: F.length("_json") - F.length(F.replace(c("_json"), F.lit(x), F.lit("")))
+    json = c("_json").isNotNull() & (times(":") > 0) & (times("{") == times("}")) & (times("[") == times("]")) & (times('"') == 0)
+    xml = c("_xml").startswith("<?xml") | (c("_xml").rlike("^<[A-Za-z!]") & c("_xml").contains(">"))
+    letters, spaces, digits = (F.regexp_count("_s", F.lit(p)) for p in ("[A-Za-z]", "[ \t\n\r]", "[0-9]"))
     natural = (n >= 32) & (letters > div(n, 2)) & (spaces > 0) & (n - letters - spaces - digits < div(n, 4))
-    base64 = (F.length(trimmed) >= 16) & (F.length(trimmed) % 4 == 0) & trimmed.rlike("^[A-Za-z0-9+/=]+$") & trimmed.rlike("[A-Z]") & trimmed.rlike("[a-z]")
-    out = F.when(n == 0, "").when((n >= 16) & (n % 2 == 0) & s.rlike("^[0-9a-fA-F]+$"), "hex").when(base64, "base64")
-    out = out.when(s.rlike(r"^[0-9.,+eE \t\n\r-]+$") & s.rlike("[0-9]"), "numeric-text")
-    return F.when(text.isNotNull(), out.when(json, "json").when(xml, "xml").when(natural, "natural-text").otherwise("mixed"))
+    packed = c("_packed")
+    base64 = (F.length(packed) >= 16) & (F.length(packed) % 4 == 0) & packed.rlike("^[A-Za-z0-9+/=]+$") & packed.rlike("[A-Z]") & packed.rlike("[a-z]")
+    out = F.when(n == 0, "").when((n >= 16) & (n % 2 == 0) & c("_s").rlike("^[0-9a-fA-F]+$"), "hex").when(base64, "base64")
+    out = out.when(c("_s").rlike(r"^[0-9.,+eE \t\n\r-]+$") & c("_s").rlike("[0-9]"), "numeric-text")
+    style = F.when(c("_s").isNotNull(), out.when(json, "json").when(xml, "xml").when(natural, "natural-text").otherwise("mixed"))
+    return rows.withColumn("style", style).drop("_s", "_json", "_xml", "_packed")
 
 
 def text_style_profile(cells: DataFrame) -> DataFrame:
-    """(column_name, style, n): styles of the cells of each column."""
-    return cells.where(F.col("cell").isNotNull()).groupBy("column_name", text_style(F.col("cell")).alias("style")).agg(F.count("*").alias("n"))
+    """(column_name, style, n): styles of the cells of each column. Cells with equal first bytes have one style and are counted first."""
+    heads = cells.where(F.col("cell").isNotNull()).groupBy("column_name", style_prefix(F.col("cell")).alias("cell")).agg(F.count("*").alias("k"))
+    return text_styles(heads, "cell").groupBy("column_name", "style").agg(F.sum("k").alias("n"))
 
 
 def column_style(cells: DataFrame) -> DataFrame:

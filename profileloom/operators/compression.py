@@ -13,8 +13,6 @@ from profileloom.functions.tokens import entropy_from_ratio
 
 #: Raw bytes of a block whose ratio varies, and rows of a frame.
 BLOCK_BYTES, FRAME_ROWS = 64 << 10, 1000
-#: Rows of a frame run that one group compresses.
-BLOCK_ROWS = 512
 
 
 def _zstd(raw: bytes) -> int:
@@ -34,20 +32,20 @@ def column_compression(cells: DataFrame) -> DataFrame:
     rows = cells.join(totals, "column_name").withColumn("part", F.pmod(F.xxhash64("row_id"), F.col("groups")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, block, held, column = [], [], 0, None
+        out, block, held, at = [], [], 0, (None, None)
 
         def flush() -> None:
             nonlocal block, held
             raw = b"".join(block)
             if raw:
-                out.append((column, len(raw), _zstd(raw)))
+                out.append((at[0], len(raw), _zstd(raw)))
             block, held = [], 0
 
         for batch in batches:
-            for name, cell in zip(batch.column_name, batch.cell, strict=True):
-                if name != column:
+            for name, part, cell in zip(batch.column_name, batch.part, batch.cell, strict=True):
+                if (name, part) != at:  # groups that share a partition don't share a block
                     flush()
-                    column = name
+                    at = name, part
                 raw = b"\0" if cell is None else b"\1" + cell.encode()
                 block.append(raw)
                 held += len(raw)
@@ -56,7 +54,7 @@ def column_compression(cells: DataFrame) -> DataFrame:
         flush()
         yield pd.DataFrame(out, columns=["column_name", "raw", "packed"])
 
-    rows = rows.repartition("column_name", "part").sortWithinPartitions("column_name", "part", "row_id").select("column_name", "cell")
+    rows = rows.repartition("column_name", "part").sortWithinPartitions("column_name", "part", "row_id", "cell").select("column_name", "part", "cell")
     blocks = rows.mapInPandas(run, "column_name string, raw long, packed long")
     out = blocks.groupBy("column_name").agg(F.sum("raw").alias("raw_bytes"), F.sum("packed").alias("packed_bytes"), F.coalesce(F.stddev_pop(F.col("raw") / F.col("packed")), F.lit(0.0)).alias("ratio_stddev"))
     return out.select("column_name", "raw_bytes", "packed_bytes", (F.col("raw_bytes") / F.col("packed_bytes")).alias("ratio"), "ratio_stddev")
@@ -65,20 +63,41 @@ def column_compression(cells: DataFrame) -> DataFrame:
 def frame_compression(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """One row (frames, raw_bytes, packed_bytes, ratio) for the table packed by frames of FRAME_ROWS rows, column by column.
 
-    A frame is 1000 consecutive values of the integer key; each is packed in its own task group, as a descriptor, the
-    lengths (0xFFFFFFFF for NULL) and the payloads of each column.
+    Rows are dealt by the hash of key and columns over as many groups as the table has frames, and each group is cut, in the order of key
+    and columns, into frames of FRAME_ROWS rows at most: a key that repeats or is NULL is dealt like others, and rows that are equal in all
+    of them make as many frames as they need. A frame is a descriptor, the lengths (0xFFFFFFFF for NULL) and the payloads of each column.
     """
-    frames = df.select(F.expr(f"{key} div {FRAME_ROWS}").alias("frame"), key, *(F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)))
+    cells = [F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)]
+    rows = df.select(F.col(key).alias("key"), *cells)
+    order = ["key", *(f"c{i}" for i in range(len(columns)))]
+    groups = max(1, df.count() // FRAME_ROWS)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(*order), F.lit(groups)))
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for i in range(len(columns)):
-            values = [None if v is None else v.encode() for v in frame.sort_values(key)[f"c{i}"]]
-            out.append(i.to_bytes(4, "little") + b"".join((0xFFFFFFFF if v is None else len(v)).to_bytes(4, "little") for v in values) + b"".join(v for v in values if v))
-        raw = b"".join(out)
-        return pd.DataFrame({"raw": [len(raw)], "packed": [_zstd(raw)]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame, at, out = [], None, []
+
+        def flush() -> None:
+            if not frame:
+                return
+            raw = b""
+            for i in range(len(columns)):
+                values = [r[i] for r in frame]
+                raw += i.to_bytes(4, "little") + b"".join((0xFFFFFFFF if v is None else len(v)).to_bytes(4, "little") for v in values) + b"".join(v for v in values if v)
+            out.append((len(raw), _zstd(raw)))
+            frame.clear()
+
+        for batch in batches:
+            for part, *values in zip(batch["part"], *(batch[f"c{i}"] for i in range(len(columns))), strict=True):
+                if part != at or len(frame) == FRAME_ROWS:
+                    flush()
+                    at = part
+                frame.append([None if v is None else v.encode() for v in values])
+            yield pd.DataFrame(out, columns=["raw", "packed"])
+            out.clear()
+        flush()
+        yield pd.DataFrame(out, columns=["raw", "packed"])
 
-    packed = frames.groupBy("frame").applyInPandas(pack, "raw long, packed long")
+    packed = rows.repartition("part").sortWithinPartitions("part", *order).mapInPandas(run, "raw long, packed long")
     return packed.agg(F.count("*").alias("frames"), F.sum("raw").alias("raw_bytes"), F.sum("packed").alias("packed_bytes"), (F.sum("raw") / F.sum("packed")).alias("ratio"))
 
 

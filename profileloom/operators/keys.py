@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profileloom.functions.rounding import div
+from profileloom.functions.rounding import div, quantize_count, quantize_count_at_most, quantize_fraction
 from profileloom.operators.columns import nearest_rank
 
 
@@ -63,19 +63,32 @@ def relationship_measured(child: DataFrame, child_key: list[str], parent: DataFr
 def relationship_inferred(edges: DataFrame, columns: DataFrame) -> DataFrame:
     """Relationship statistics of each edge from its child columns' profiles, without reading the tables.
 
-    edges: edge_id, child_id, cols array<int>, child_rows, parent_rows. columns: table_id, ordinal, sample_rows,
-    non_null_rows, estimated_distinct, frequency_p50, frequency_p95, frequency_p99, frequency_max, biased. Fan-out of a
-    composite key is the mean of its columns', halves up. An edge with a column that isn't profiled is left out; one
-    whose columns are all NULL keeps its counts only.
+    edges: edge_id, child_id, cols array<int>, child_rows, parent_rows, validated. columns: table_id, ordinal, sample_rows,
+    non_null_rows, observed_distinct, estimated_distinct, frequency_p50, frequency_p95, frequency_p99, frequency_max, biased. An edge has none
+    if a side has no rows, a column stands twice in it or one isn't profiled. Columns count as independent: the non-null share and the
+    distinct values multiply, the latter up to the non-null rows, the child's and the parent's. Fan-outs are those of the only
+    column, or for composite keys the mean, rounded up; each is at least the one before, and all are on the grid within the non-null rows. An
+    inference finds no orphans: orphan_rows is 0 and the method says so.
     """
     c = F.col
-    parts = edges.select("edge_id", "child_id", "child_rows", "parent_rows", F.size("cols").alias("width"), F.explode("cols").alias("ordinal"))
-    parts = parts.join(columns, (c("child_id") == c("table_id")) & (parts.ordinal == columns.ordinal))
-    fans = ("frequency_p50", "frequency_p95", "frequency_p99", "frequency_max")
-    share = F.product(c("non_null_rows") / c("sample_rows"))
-    out = parts.groupBy("edge_id", "child_rows", "parent_rows", "width").agg(F.count("*").alias("known"), F.min("sample_rows").alias("sample_rows"), share.alias("share"), F.product(c("estimated_distinct").cast("double")).alias("product"), F.max(c("biased").cast("int")).alias("b"), *(div(F.sum(f) + div(F.count("*"), 2), F.count("*")).alias(f) for f in fans))
+    fans = ("p50", "p95", "p99", "max")
+    usable = edges.where((c("child_rows") > 0) & (c("parent_rows") > 0) & (F.size(F.array_distinct("cols")) == F.size("cols")))
+    parts = usable.select("edge_id", "child_id", "child_rows", "parent_rows", "validated", F.size("cols").alias("width"), F.explode("cols").alias("ordinal"))
+    known = columns.withColumnRenamed("table_id", "child_id").where(c("sample_rows") > 0)
+    parts = parts.join(known, ["child_id", "ordinal"])
+    seen = F.greatest("observed_distinct", F.lit(1)).cast("double")
+    most = F.greatest("estimated_distinct", "observed_distinct", F.lit(1)).cast("double")
+    out = parts.groupBy("edge_id", "child_rows", "parent_rows", "validated", "width").agg(F.count("*").alias("known"), F.min("sample_rows").alias("least"), F.product(c("non_null_rows") / c("sample_rows")).alias("share"), F.product(seen).alias("seen"), F.product(most).alias("most"), F.max("biased").alias("biased"), *(F.max(f"frequency_{f}").alias(f"one_{f}") for f in fans))
     out = out.where(c("known") == c("width"))
-    source = F.floor(c("share") * c("child_rows") + 0.5)
-    found = F.least(c("product"), source.cast("double"), c("parent_rows").cast("double")).cast("long")
-    some = c("share") > 0
-    return out.select("edge_id", "sample_rows", source.cast("long").alias("source_non_null"), found.alias("distinct_parents"), F.when(some & (c("parent_rows") > 0), found / c("parent_rows")).otherwise(0.0).alias("coverage"), *(F.when(some, c(f)).alias(f.replace("frequency", "fan")) for f in fans), (c("b") == 1).alias("sampled_with_bias"))
+    rounded = lambda x: F.floor(x + 0.5).cast("long")
+    out = out.withColumn("sample_rows", quantize_count("least"))
+    out = out.withColumn("non_null_rows", F.least(quantize_count(rounded(c("least") * c("share"))), c("sample_rows")))
+    out = out.withColumn("distinct_parents", quantize_count(F.least("seen", c("non_null_rows").cast("double")).cast("long")))
+    scaled = F.greatest(rounded(c("child_rows") * c("share")), F.lit(1)).cast("double")
+    out = out.withColumn("estimated_parents", F.least("most", scaled, c("parent_rows").cast("double")).cast("long"))
+    mean = F.when(c("distinct_parents") > 0, div(c("non_null_rows") + c("distinct_parents") - 1, F.greatest("distinct_parents", F.lit(1)))).otherwise(0)
+    raw = [F.when(c("width") == 1, c(f"one_{f}")).otherwise(mean) for f in fans]
+    rising = [F.greatest(*raw[: k + 1]) if k else raw[0] for k in range(len(fans))]
+    shown = [quantize_count_at_most(x, "non_null_rows").alias(f"fan_{f}") for f, x in zip(fans, rising, strict=True)]
+    method = F.concat(F.lit("inferred from column profiles; "), F.when(c("validated"), "valid constraint").otherwise("unvalidated constraint"))
+    return out.select("edge_id", "sample_rows", "non_null_rows", "distinct_parents", "estimated_parents", quantize_fraction(c("estimated_parents") / c("parent_rows")).alias("coverage"), *shown, F.lit(0).cast("long").alias("orphan_rows"), c("biased").alias("sampled_with_bias"), method.alias("method"))

@@ -33,10 +33,15 @@ def numbered(df: DataFrame, group: str, order: str) -> DataFrame:
     return rows.withColumn("number", F.col("_rank") + F.col("_before")).drop("_bucket", "_rank", "_before")
 
 
+def padded(number: Column, width: int) -> Column:
+    """A number with leading zeros up to the width; longer ones keep all their digits."""
+    digits = number.cast("string")
+    return F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)
+
+
 def label(prefix: Column | str, number: Column) -> Column:
     """prefix-001 and so on; numbers over 999 keep all their digits."""
-    digits = number.cast("string")
-    return F.concat(prefix if isinstance(prefix, Column) else F.lit(prefix), F.lit("-"), F.when(F.length(digits) < 3, F.lpad(digits, 3, "0")).otherwise(digits))
+    return F.concat(prefix if isinstance(prefix, Column) else F.lit(prefix), F.lit("-"), padded(number, 3))
 
 
 def anonymous_ids(df: DataFrame, kind: str, hash_: str) -> DataFrame:
@@ -54,8 +59,8 @@ def object_inventory(objects: DataFrame) -> DataFrame:
 
 
 def feature_counts(texts: DataFrame, key: str, text: str, features: dict[str, tuple[str, ...]] = FEATURES) -> DataFrame:
-    """(key, feature, n): occurrences of each feature's words, by one regular expression for each feature."""
-    counts = [F.struct(F.lit(name).alias("feature"), F.regexp_count(F.lower(text), F.lit(rf"\b(?:{'|'.join(words)})\b")).cast("long").alias("n")) for name, words in sorted(features.items())]
+    """(key, feature, n): occurrences of each feature's words between anything but letters, digits and _, by one regular expression for each feature."""
+    counts = [F.struct(F.lit(name).alias("feature"), F.regexp_count(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(words)})(?![\p{{L}}\p{{N}}_])")).cast("long").alias("n")) for name, words in sorted(features.items())]
     return texts.select(key, F.explode(F.array(*counts)).alias("f")).select(key, "f.feature", "f.n").where("n > 0")
 
 

@@ -79,11 +79,12 @@ def cardinality_rules() -> list[tuple[str, Column]]:
     return [
         ("bias-needs-reason", c("sampled_with_bias") != (c("bias_reason") != "")),
         ("distinct-above-non-null", c("observed_distinct") > c("non_null_rows")),
-        ("estimate-below-observed", c("estimated_distinct") < c("observed_distinct")),
+        ("estimate-below-observed", (c("estimated_distinct") != 0) & (c("estimated_distinct") < c("observed_distinct"))),
         ("fraction-out-of-range", (c("top_value_fraction") < 0) | (c("top_value_fraction") > 1)),
         ("max-frequency-above-rows", c("frequency_max") > c("non_null_rows")),
         ("non-null-above-sample", c("non_null_rows") > c("sample_rows")),
-        ("null-fraction-disagrees", F.abs(c("null_fraction") * c("sample_rows") - (c("sample_rows") - c("non_null_rows"))) > 0.5),
+        ("null-fraction-disagrees", F.abs(c("null_fraction") - (c("sample_rows") - c("non_null_rows")) / c("sample_rows")) > 1e-12),
+        ("nothing-known-but-counted", (c("non_null_rows") == 0) & ((c("estimated_distinct") != 0) | (c("top_value_fraction") != 0))),
         ("percentiles-out-of-order", (c("frequency_p50") > c("frequency_p95")) | (c("frequency_p95") > c("frequency_p99")) | (c("frequency_p99") > c("frequency_max"))),
     ]
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profileloom.functions.rounding import Number, _col, div
+from profileloom.operators.objects import padded
 
 #: The calendar of generated dates has 28 days in a month; first years of dates and timestamps.
 DAYS_PER_YEAR, DATE_YEAR, TIMESTAMP_YEAR, LAST_YEAR = 12 * 28, 2020, 2024, 9999
@@ -36,7 +37,7 @@ def generation_plan(tables: DataFrame, scale: float, max_rows: int, prefix: str
     wanted = F.floor(F.col("rows") * F.lit(float(scale)) + 0.5).cast("long")
     rows = F.when(F.col("rows") > 0, F.least(F.greatest(wanted, F.lit(1)), F.lit(max_rows))).otherwise(0)
     number = F.row_number().over(W.orderBy("table_id"))  # one row for each table of a profile
-    return tables.select("table_id", F.concat(F.lit(prefix), F.lpad(number.cast("string"), 4, "0")).alias("name"), rows.cast("long").alias("rows"))
+    return tables.select("table_id", F.concat(F.lit(prefix), padded(number, 4)).alias("name"), rows.cast("long").alias("rows"))
 
 
 def scaled_distinct(distinct: Number | str, source_rows: Number | str, rows: Number | str) -> Column:

@@ -16,6 +16,7 @@ from profileloom.operators import objects as O
 from profileloom.operators import quality as Q
 from profileloom.operators import rollups as U
 from profileloom.queries import load, query
+from profileloom.queries.profiles import q_count, q_most
 from profileloom.sources import files
 
 
@@ -73,16 +74,29 @@ def relationship_measured(spark, sf_dir):
     return K.relationship_measured(load(spark, sf_dir, "lineitem"), ["l_orderkey"], parents, ["o_orderkey"])
 
 
-@query("""WITH c AS (SELECT o_custkey AS id, count(*) AS n, CAST(sum(CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END) AS BIGINT) AS nn, count(DISTINCT o_orderpriority) AS d FROM orders GROUP BY 1),
-e AS (SELECT id, n, n * 10 AS child_rows, 40 AS parent_rows, nn, d, floor(nn / n * (n * 10) + 0.5) AS src FROM c)
-SELECT id AS edge_id, n AS sample_rows, CAST(src AS BIGINT) AS source_non_null, CAST(least(d, src, 40) AS BIGINT) AS distinct_parents, CASE WHEN nn > 0 THEN CAST(least(d, src, 40) AS BIGINT) / 40 ELSE 0 END AS coverage,
-  CASE WHEN nn > 0 THEN 1 END::BIGINT AS fan_p50, CASE WHEN nn > 0 THEN 2 END::BIGINT AS fan_p95, CASE WHEN nn > 0 THEN 3 END::BIGINT AS fan_p99, CASE WHEN nn > 0 THEN n END AS fan_max, n % 2 = 0 AS sampled_with_bias FROM e""")
+INFERRED_SQL = f"""WITH c AS (SELECT o_custkey AS id, count(*) AS n, CAST(sum(CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END) AS BIGINT) AS nn, count(DISTINCT o_orderpriority) AS d, count(DISTINCT o_orderstatus) AS d2 FROM orders GROUP BY 1),
+e AS (SELECT *, id % 2 = 0 AS two, nn / n AS share, {q_count('n')} AS sr FROM c WHERE id % 50 > 0),
+f AS (SELECT *, least({q_count('CAST(floor(n * share + 0.5) AS BIGINT)')}, sr) AS nnr FROM e),
+g AS (SELECT *, {q_count('least(greatest(d, 1) * CASE WHEN two THEN d2 ELSE 1 END, nnr)')} AS dp, CAST(least(greatest(2 * d, 1) * CASE WHEN two THEN d2 ELSE 1 END, greatest(floor(n * 10 * share + 0.5), 1), id % 50) AS BIGINT) AS ep FROM f),
+h AS (SELECT *, CASE WHEN dp > 0 THEN (nnr + dp - 1) // greatest(dp, 1) ELSE 0 END AS mean FROM g),
+k AS (SELECT *, CASE WHEN two THEN mean ELSE 1 END AS a, CASE WHEN two THEN mean ELSE 2 END AS b, CASE WHEN two THEN mean ELSE greatest(2, d) END AS m FROM h)
+SELECT id AS edge_id, CAST(sr AS BIGINT) AS sample_rows, CAST(nnr AS BIGINT) AS non_null_rows, CAST(dp AS BIGINT) AS distinct_parents, ep AS estimated_parents, floor(ep / (id % 50) * 200 + 0.5) / 200 AS coverage,
+  CAST({q_most('a', 'nnr')} AS BIGINT) AS fan_p50, CAST({q_most('b', 'nnr')} AS BIGINT) AS fan_p95, CAST({q_most('b', 'nnr')} AS BIGINT) AS fan_p99, CAST({q_most('m', 'nnr')} AS BIGINT) AS fan_max, CAST(0 AS BIGINT) AS orphan_rows, n % 2 = 0 AS sampled_with_bias,
+  'inferred from column profiles; ' || CASE WHEN n % 3 = 0 THEN 'valid constraint' ELSE 'unvalidated constraint' END AS method FROM k"""
+
+
+@query(INFERRED_SQL)
 def relationship_inferred(spark, sf_dir):
-    """An edge for each customer, from a profile of their orders."""
-    c = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"), F.sum((F.col("o_orderstatus") != "F").cast("long")).alias("nn"), F.countDistinct("o_orderpriority").alias("d"))
-    columns = c.select(F.col("id").alias("table_id"), F.lit(1).alias("ordinal"), F.col("n").alias("sample_rows"), F.col("nn").alias("non_null_rows"), F.col("d").alias("estimated_distinct"), F.lit(1).cast("long").alias("frequency_p50"), F.lit(2).cast("long").alias("frequency_p95"), F.lit(3).cast("long").alias("frequency_p99"), F.col("n").alias("frequency_max"), (F.col("n") % 2 == 0).alias("biased"))
-    edges = c.select(F.col("id").alias("edge_id"), F.col("id").alias("child_id"), F.array(F.lit(1)).alias("cols"), (F.col("n") * 10).alias("child_rows"), F.lit(40).alias("parent_rows"))
-    return K.relationship_inferred(edges, columns)
+    """An edge for each customer, from a profile of their orders; even customers have a key of two columns, every 50th a parent without rows."""
+    orders = load(spark, sf_dir, "orders")
+    c = orders.groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"), F.sum((F.col("o_orderstatus") != "F").cast("long")).alias("nn"), F.countDistinct("o_orderpriority").alias("d"), F.countDistinct("o_orderstatus").alias("d2"))
+    shared = [F.col("id").alias("table_id"), F.col("n").alias("sample_rows")]
+    one = lambda x: F.lit(x).cast("long")
+    columns = c.select(*shared, F.lit(1).alias("ordinal"), F.col("nn").alias("non_null_rows"), F.col("d").alias("observed_distinct"), (F.col("d") * 2).alias("estimated_distinct"), one(1).alias("frequency_p50"), one(2).alias("frequency_p95"), one(1).alias("frequency_p99"), F.col("d").alias("frequency_max"), (F.col("n") % 2 == 0).alias("biased"))
+    more = c.select(*shared, F.lit(2).alias("ordinal"), F.col("n").alias("non_null_rows"), F.col("d2").alias("observed_distinct"), F.col("d2").alias("estimated_distinct"), *(one(1).alias(f"frequency_{f}") for f in ("p50", "p95", "p99", "max")), F.lit(False).alias("biased"))
+    cols = F.when(F.col("id") % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    edges = c.select(F.col("id").alias("edge_id"), F.col("id").alias("child_id"), cols.alias("cols"), (F.col("n") * 10).alias("child_rows"), (F.col("id") % 50).alias("parent_rows"), (F.col("n") % 3 == 0).alias("validated"))
+    return K.relationship_inferred(edges, columns.unionByName(more))
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,24 +142,24 @@ def fk_plan_status(spark, sf_dir):
     return G.fk_plan_status(edges, tables.union(parents))
 
 
-#: A sparse graph over 240 tables with some cycles, from the least orders of each pair.
-GRAPH_SQL = """g AS (SELECT DISTINCT o_custkey % 240 AS child, (o_custkey % 240 + 1 + o_orderkey % 3) % 240 AS parent FROM orders WHERE o_custkey % 240 < 232 AND o_orderkey % 40 = 0 AND o_orderkey % 3 < 2
-  UNION SELECT DISTINCT 3 + 10 * (o_custkey % 24) AS child, 10 * (o_custkey % 24) AS parent FROM orders WHERE o_custkey % 4 = 0)"""
+#: Links between customers: each one's first and last order, by key, points at another.
+GRAPH_SQL = """k AS (SELECT max(c_custkey) AS top FROM customer), o AS (SELECT o_custkey AS child, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders GROUP BY 1),
+g AS (SELECT child, lo % top + 1 AS parent FROM o, k UNION SELECT child, hi % top + 1 FROM o, k)"""
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, n = load(spark, sf_dir, "orders"), F.col("o_custkey") % 240
-    on = o.where((n < 232) & (F.col("o_orderkey") % 40 == 0) & (F.col("o_orderkey") % 3 < 2)).select(n.alias("child"), ((n + 1 + F.col("o_orderkey") % 3) % 240).alias("parent"))
-    back = o.where("o_custkey % 4 = 0").select((3 + 10 * (F.col("o_custkey") % 24)).alias("child"), (10 * (F.col("o_custkey") % 24)).alias("parent"))
-    return on.union(back).distinct()
+    top = F.lit(load(spark, sf_dir, "customer").agg(F.max("c_custkey")).first()[0])
+    o = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("child")).agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
+    return o.select("child", F.explode(F.array(F.col("lo") % top + 1, F.col("hi") % top + 1)).alias("parent")).distinct()
 
 
-@query(f"WITH RECURSIVE {GRAPH_SQL}, r AS (SELECT child AS a, parent AS b FROM g WHERE child <> parent UNION SELECT r.a, g.parent FROM r JOIN g ON r.b = g.child WHERE g.child <> g.parent) SELECT DISTINCT child, parent FROM g WHERE child <> parent AND EXISTS (SELECT 1 FROM r WHERE r.a = g.parent AND r.b = g.child)")
+@query(f"WITH RECURSIVE {GRAPH_SQL}, r AS (SELECT child AS a, parent AS b FROM g WHERE child <> parent UNION SELECT r.a, g.parent FROM r JOIN g ON r.b = g.child WHERE g.child <> g.parent) SELECT g.child, g.parent FROM g JOIN r ON r.a = g.parent AND r.b = g.child WHERE g.child <> g.parent")
 def fk_cycles(spark, sf_dir):
+    """Customers as tables, with two links each."""
     return G.fk_cycles(_graph(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {GRAPH_SQL}, r AS (SELECT child AS a, parent AS b FROM g UNION SELECT r.a, g.parent FROM r JOIN g ON r.b = g.child) SELECT DISTINCT a AS node FROM r WHERE a = b")
+@query(f"WITH RECURSIVE {GRAPH_SQL}, f AS (SELECT child, min(parent) AS parent FROM g GROUP BY 1), r AS (SELECT child AS a, parent AS b FROM f UNION SELECT r.a, f.parent FROM r JOIN f ON r.b = f.child) SELECT a AS node FROM r WHERE a = b")
 def hierarchy_cycles(spark, sf_dir):
     return G.hierarchy_cycles(_graph(spark, sf_dir).select(F.col("child").alias("node"), "parent"))
 
@@ -245,8 +259,8 @@ def fidelity_score(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT o_custkey AS id, count(*) AS n, CAST(sum(CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END) AS BIGINT) AS nn, count(DISTINCT o_orderpriority) AS d, max(o_orderkey) % 7 AS m FROM orders GROUP BY 1)
-SELECT id AS table_id, rule FROM p, (VALUES ('bias-needs-reason'), ('distinct-above-non-null'), ('estimate-below-observed'), ('fraction-out-of-range'), ('max-frequency-above-rows'), ('null-fraction-disagrees')) r(rule)
-WHERE CASE rule WHEN 'bias-needs-reason' THEN m = 3 WHEN 'distinct-above-non-null' THEN d > nn WHEN 'estimate-below-observed' THEN m < d WHEN 'fraction-out-of-range' THEN m > 4 WHEN 'max-frequency-above-rows' THEN m > nn ELSE m = 1 AND n >= 2 END""")
+SELECT id AS table_id, rule FROM p, (VALUES ('bias-needs-reason'), ('distinct-above-non-null'), ('estimate-below-observed'), ('fraction-out-of-range'), ('max-frequency-above-rows'), ('nothing-known-but-counted'), ('null-fraction-disagrees')) r(rule)
+WHERE CASE rule WHEN 'bias-needs-reason' THEN m = 3 WHEN 'distinct-above-non-null' THEN d > nn WHEN 'estimate-below-observed' THEN m <> 0 AND m < d WHEN 'nothing-known-but-counted' THEN nn = 0 AND m <> 0 WHEN 'fraction-out-of-range' THEN m > 4 WHEN 'max-frequency-above-rows' THEN m > nn ELSE m = 1 AND n >= 2 END""")
 def contract_violations(spark, sf_dir):
     """A profile for each customer, wrong in some ways by number."""
     m, n, nn, d = (F.col(k) for k in ("m", "n", "nn", "d"))
@@ -289,10 +303,14 @@ def definition_census(spark, sf_dir):
 
 
 
-@query("SELECT doc_id, 'the' AS feature, CAST(len([x FOR x IN string_split_regex(text, '[^A-Za-z]+') IF x = 'the']) AS BIGINT) AS n FROM documents WHERE lang = 'en' AND len([x FOR x IN string_split_regex(text, '[^A-Za-z]+') IF x = 'the']) > 0 UNION ALL SELECT doc_id, 'with-from', CAST(len([x FOR x IN string_split_regex(text, '[^A-Za-z]+') IF x IN ('with', 'from')]) AS BIGINT) FROM documents WHERE lang = 'en' AND len([x FOR x IN string_split_regex(text, '[^A-Za-z]+') IF x IN ('with', 'from')]) > 0")
+_WORDS_SQL = r"len([x FOR x IN string_split_regex(lower(text), '[^\p{{L}}\p{{N}}_]+') IF x IN ({})])"
+
+
+@query(f"""SELECT doc_id, feature, CAST(n AS BIGINT) AS n FROM (SELECT doc_id, 'article' AS feature, {_WORDS_SQL.format("'the', 'a', 'an'")} AS n FROM documents
+UNION ALL SELECT doc_id, 'from-with', {_WORDS_SQL.format("'with', 'from'")} FROM documents) WHERE n > 0""")
 def feature_counts(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.regexp_replace(F.regexp_replace("text", "[^A-Za-z]+", " "), r"\b[A-Z][A-Za-z]*", "X").alias("text"))
-    return O.feature_counts(docs, "doc_id", "text", {"the": ("the",), "with-from": ("with", "from")})
+    """Words of all texts, whatever their language."""
+    return O.feature_counts(load(spark, sf_dir, "documents"), "doc_id", "text", {"article": ("the", "a", "an"), "from-with": ("with", "from")})
 
 
 COMPLEX_SQL = """o AS (SELECT l_returnflag || l_linestatus AS dimension, CASE WHEN l_partkey % 10 = 0 AND l_returnflag <> 'A' THEN 'unknown' WHEN l_partkey % 10 = 1 THEN 'not-applicable' ELSE 'assessed' END AS state, l_quantity % 6 AS bucket FROM lineitem)"""

@@ -11,7 +11,7 @@ from profileloom.plans import generation as G
 from profileloom.queries import load, query
 
 
-@query("WITH t AS (SELECT l_suppkey AS table_id, count(*) AS n FROM lineitem GROUP BY 1) SELECT table_id, 't' || lpad(CAST(row_number() OVER (ORDER BY table_id) AS VARCHAR), 4, '0') AS name, CAST(least(greatest(floor(n * 0.37 + 0.5), 1), 200) AS BIGINT) AS rows FROM t")
+@query("WITH t AS (SELECT l_suppkey AS table_id, count(*) AS n FROM lineitem GROUP BY 1) SELECT table_id, 't' || CASE WHEN row_number() OVER (ORDER BY table_id) < 1000 THEN lpad(CAST(row_number() OVER (ORDER BY table_id) AS VARCHAR), 4, '0') ELSE CAST(row_number() OVER (ORDER BY table_id) AS VARCHAR) END AS name, CAST(least(greatest(floor(n * 0.37 + 0.5), 1), 200) AS BIGINT) AS rows FROM t")
 def generation_plan(spark, sf_dir):
     tables = load(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("table_id")).agg(F.count("*").alias("rows"))
     return G.generation_plan(tables, 0.37, 200)
@@ -105,8 +105,8 @@ def _events_profile(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, l
 
 def column_profile(df: DataFrame) -> DataFrame:
     cells = C.long_cells(df)
-    summary = P.frequency_summary(P.frequency_histogram(cells))
-    return P.null_profile(cells).join(summary, "column_name").join(P.length_profile(cells), "column_name").select("column_name", "n_rows", "null_fraction", "observed_distinct", "top_value_fraction", "length_avg", "length_p95")
+    summary = P.column_summary(cells).withColumn("null_fraction", (F.col("n_rows") - F.col("non_null")) / F.col("n_rows"))
+    return summary.join(P.length_profile(cells), "column_name").select("column_name", "n_rows", "null_fraction", "observed_distinct", "top_value_fraction", "length_avg", "length_p95")
 
 
 @query()

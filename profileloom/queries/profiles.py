@@ -232,16 +232,23 @@ def distinct_estimate(spark, sf_dir):
     return event_estimates(spark, sf_dir).select("column_name", "estimated_distinct", "method")
 
 
-@query(f"""WITH {ESTIMATE_SQL.replace("true AS biased", "false AS biased")}, fr AS (SELECT column_name, frequency, row_number() OVER (PARTITION BY column_name ORDER BY frequency) AS r, count(*) OVER (PARTITION BY column_name) AS k FROM freq),
+#: From the definition of the shared block: the estimate by the rows and their bias, then bounds and grids in turn.
+BLOCK_SQL = f"""WITH {ESTIMATE_SQL.replace("true AS biased", "column_name = 'props' AS biased").replace("count(*) * 10 AS source_rows", "count(*) * CASE WHEN column_name = 'event_type' THEN 1 ELSE 10 END AS source_rows")},
+fr AS (SELECT column_name, frequency, row_number() OVER (PARTITION BY column_name ORDER BY frequency) AS r, count(*) OVER (PARTITION BY column_name) AS k FROM freq),
 fq AS (SELECT column_name, min(CASE WHEN r >= (50 * k + 99) // 100 THEN frequency END) AS p50, min(CASE WHEN r >= (95 * k + 99) // 100 THEN frequency END) AS p95, min(CASE WHEN r >= (99 * k + 99) // 100 THEN frequency END) AS p99 FROM fr GROUP BY 1),
-a AS (SELECT est.*, p50, p95, p99, {q_count("n_rows")} AS sr, CASE WHEN non_null < 128 THEN observed_distinct ELSE chao1 END AS ed, CASE WHEN non_null < 128 THEN 'lower-bound-small' ELSE 'chao1' END AS method FROM est JOIN fq USING (column_name)),
-b AS (SELECT *, CASE WHEN non_null >= n_rows THEN sr WHEN sr <= 1 THEN 1 ELSE {q_most("least(greatest(CAST((CAST(non_null AS HUGEINT) * sr + n_rows // 2) // n_rows AS BIGINT), 1), sr - 1)", "(sr - 1)")} END AS nn FROM a),
+a AS (SELECT est.*, p50, p95, p99, least(n_rows, source_rows) AS sr, CASE WHEN source_rows = n_rows THEN 'complete' WHEN biased AND birthday IS NOT NULL THEN 'birthday' WHEN biased THEN 'lower-bound-biased' WHEN non_null < 128 THEN 'lower-bound-small' ELSE 'chao1' END AS method FROM est JOIN fq USING (column_name)),
+b AS (SELECT *, CASE method WHEN 'birthday' THEN birthday WHEN 'chao1' THEN chao1 ELSE observed_distinct END AS ed, CASE WHEN non_null >= n_rows THEN sr WHEN sr <= 1 THEN 1 ELSE {q_most("least(greatest(CAST((CAST(non_null AS HUGEINT) * sr + n_rows // 2) // n_rows AS BIGINT), 1), sr - 1)", "(sr - 1)")} END AS nn FROM a),
 c AS (SELECT *, {q_most("observed_distinct", "nn")} AS ob FROM b)
-SELECT column_name, CAST(sr AS BIGINT) AS sample_rows, CAST(nn AS BIGINT) AS non_null_rows, CAST(ob AS BIGINT) AS observed_distinct, CAST(greatest(ob, {q_most("ed", "greatest(source_non_null, ob)")}) AS BIGINT) AS estimated_distinct,
+SELECT column_name, n_rows >= source_rows AS complete_source_read, CAST(sr AS BIGINT) AS sample_rows, CAST(nn AS BIGINT) AS non_null_rows, CAST(ob AS BIGINT) AS observed_distinct, CAST(CASE WHEN method IN ('birthday', 'chao1') THEN greatest(ob, {q_most("ed", "source_rows")}) ELSE ob END AS BIGINT) AS estimated_distinct,
   floor(top_value_fraction * 200 + 0.5) / 200 AS top_value_fraction, CAST({q_most("p50", "nn")} AS BIGINT) AS frequency_p50, CAST({q_most("p95", "nn")} AS BIGINT) AS frequency_p95, CAST({q_most("p99", "nn")} AS BIGINT) AS frequency_p99, CAST({q_most("frequency_max", "nn")} AS BIGINT) AS frequency_max,
-  (sr - nn) / sr AS null_fraction, method FROM c""")
+  (sr - nn) / sr AS null_fraction, method, 'row' AS sample_layout, biased AS sampled_with_bias, CASE WHEN biased THEN 'deterministic-first-n-rows' ELSE '' END AS bias_reason FROM c"""
+
+
+@query(BLOCK_SQL)
 def cardinality_profile(spark, sf_dir):
-    return P.cardinality_profile(event_cells(spark, sf_dir), F.col("n_rows") * SOURCE_FACTOR, F.lit(False))
+    """Columns of events: one read whole, one a biased sample, one neither."""
+    name = F.col("column_name")
+    return P.cardinality_profile(event_cells(spark, sf_dir), F.col("n_rows") * F.when(name == "event_type", 1).otherwise(SOURCE_FACTOR), name == "props")
 
 
 @query()
@@ -249,14 +256,16 @@ def approx_distinct(spark, sf_dir):
     return P.approx_distinct(event_cells(spark, sf_dir)).drop("sketch")
 
 
-@query("""WITH c AS (SELECT user_id AS table_id, 1 AS ordinal, count(DISTINCT event_type) AS estimated_distinct, count(*) AS source_non_null FROM events GROUP BY 1)
-SELECT CAST(table_id AS BIGINT) AS table_id, CAST(ordinal AS INTEGER) AS ordinal, CASE WHEN table_id % 3 = 0 THEN greatest(estimated_distinct, source_non_null) ELSE estimated_distinct END AS estimated_distinct, source_non_null,
+@query("""WITH c AS (SELECT user_id AS table_id, 1 AS ordinal, count(DISTINCT event_type) AS d, count(event_type) - user_id % 2 AS nn, count(*) AS n FROM events GROUP BY user_id)
+SELECT CAST(table_id AS BIGINT) AS table_id, CAST(ordinal AS INTEGER) AS ordinal, d AS observed_distinct, CASE WHEN table_id % 3 = 0 THEN least(greatest(nn, d), greatest(n, d)) ELSE n * 2 END AS estimated_distinct, nn AS source_non_null, n AS table_rows,
   CASE WHEN table_id % 3 = 0 THEN 'chao1; unique constraint' ELSE 'chao1' END AS method, table_id % 3 = 0 AS unique_key FROM c""")
 def unique_uplift(spark, sf_dir):
-    """Each user's events as a table; users divisible by 3 have a plain unique key."""
-    events = load(spark, sf_dir, "events")
-    columns = events.groupBy(F.col("user_id").alias("table_id")).agg(F.countDistinct("event_type").alias("estimated_distinct"), F.count("*").alias("source_non_null")).withColumn("ordinal", F.lit(1)).withColumn("method", F.lit("chao1"))
-    indexes = events.select(F.col("user_id").alias("table_id")).distinct().select("table_id", F.when(F.col("table_id") % 2 == 0, F.array(F.lit(1))).otherwise(F.array(F.lit(1))).alias("cols"), (F.col("table_id") % 3 == 0).alias("is_unique"), F.lit(False).alias("expression"), F.lit(False).alias("prefixed"))
+    """Each user's events as a table; users divisible by 3 have a plain unique key, others one of two columns, and estimates are too high."""
+    n = F.count("*")
+    columns = load(spark, sf_dir, "events").groupBy(F.col("user_id").alias("table_id")).agg(F.countDistinct("event_type").alias("observed_distinct"), (n * 2).alias("estimated_distinct"), n.alias("table_rows"))
+    columns = columns.withColumn("source_non_null", F.col("table_rows") - F.col("table_id") % 2).withColumn("ordinal", F.lit(1)).withColumn("method", F.lit("chao1"))
+    cols = F.when(F.col("table_id") % 3 == 0, F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2)))
+    indexes = columns.select("table_id", cols.alias("cols"), F.lit(True).alias("is_unique"), F.lit(False).alias("expression"), F.lit(False).alias("prefixed"))
     return P.unique_uplift(columns, indexes)
 
 
@@ -288,7 +297,7 @@ def text_style(spark, sf_dir):
 @query()
 def column_style(spark, sf_dir):
     pages = load(spark, sf_dir, "pages").select(F.lit("html").alias("column_name"), F.col("html").alias("cell"))
-    return P.column_style(event_cells(spark, sf_dir).where("column_name <> 'event_type'").select("column_name", "cell").union(pages))
+    return P.column_style(event_cells(spark, sf_dir).select("column_name", "cell").union(pages))
 
 
 @query()
@@ -371,9 +380,9 @@ def round_bytes(spark, sf_dir):
     return _counts(spark, sf_dir).select("o_orderkey", R.round_bytes(x).alias("bytes"), R.round_sample_bytes(x).alias("sample_bytes"))
 
 
-@query(f"WITH {N_SQL} SELECT o_orderkey, CAST({q_count('x')} AS BIGINT) AS near, CAST({q_most('x', 'y')} AS BIGINT) AS at_most FROM n WHERE y > 0")
+@query(f"WITH {N_SQL} SELECT o_orderkey, CAST({q_count('x')} AS BIGINT) AS near, CAST({q_most('x', 'y')} AS BIGINT) AS at_most FROM n")
 def quantize_count(spark, sf_dir):
-    return _counts(spark, sf_dir).where("y > 0").select("o_orderkey", R.quantize_count("x").alias("near"), R.quantize_count_at_most("x", "y").alias("at_most"))
+    return _counts(spark, sf_dir).select("o_orderkey", R.quantize_count("x").alias("near"), R.quantize_count_at_most("x", "y").alias("at_most"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN isfinite(v) THEN floor(least(greatest(v, 0), 1) * 200 + 0.5) / 200 ELSE 0 END AS fraction, floor(l_quantity * 20 + 0.5) / 20 AS ratio FROM (SELECT *, l_discount * 3 - l_tax AS v FROM lineitem)")

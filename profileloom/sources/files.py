@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from profileloom.operators.objects import label
+
 
 def scan_dataset(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
     """A file or folder of Parquet, Avro, JSON, CSV or ORC files."""
@@ -22,8 +24,8 @@ def profile_per_file(df: DataFrame) -> DataFrame:
     from pyspark.sql import Window as W
 
     files = df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n_rows"))
-    number = F.row_number().over(W.orderBy("file")).cast("string")
-    return files.select(F.concat(F.lit("table-"), F.lpad(number, 3, "0")).alias("table_id"), F.element_at(F.split("file", "/"), -1).alias("file"), "n_rows")
+    number = F.row_number().over(W.orderBy("file"))
+    return files.select(label("table", number).alias("table_id"), F.element_at(F.split("file", "/"), -1).alias("file"), "n_rows")
 
 
 #: Schemes of stores from which a task reads the footers only.

@@ -53,9 +53,31 @@ def test_letters_and_types(spark):
 
 
 def test_styles(spark):
-    texts = ["", "deadbeef" * 2, "QUJDREVGR0hJSktMTU5PUA==", "1,234.5e-6", '{"a": [1, 2]}', '{"a": [1, 2}', "<a>x</a>", "Some words that are plain enough to read.", "??", None]
-    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k")
-    assert [r[0] for r in rows.select(P.text_style(F.col("t"))).collect()] == ["", "hex", "base64", "numeric-text", "json", "mixed", "xml", "natural-text", "mixed", None]
+    texts = ["", "deadbeef" * 2, "QUJDREVGR0hJSktMTU5PUA==\n", "1,234.5e-6", '{"a": [1, 2]}', '{"a": [1, 2}', "<a>x</a>", "Some words that are plain enough to read.", "??", None, '{"a": "' + "x" * 4000 + '"}', '{"a": "' + '\\"' * 500 + '"}', '["' + "é" * 4096 + '": 1]', '{"a}": "\\"{"}', "<!x>", "<1>"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = [r.style for r in P.text_styles(rows, "t").orderBy("k").collect()]
+    assert got == ["", "hex", "base64", "numeric-text", "json", "mixed", "xml", "natural-text", "mixed", None, "json", "json", "mixed", "json", "xml", "mixed"]
+    cells = rows.select(F.lit("c").alias("column_name"), F.col("t").alias("cell"))
+    assert {r.style: r.n for r in P.text_style_profile(cells.union(cells)).collect()} == {"": 2, "hex": 2, "base64": 2, "numeric-text": 2, "json": 8, "mixed": 8, "xml": 4, "natural-text": 2}
+
+
+def test_ids_keep_their_digits(spark, tmp_path):
+    made = M.generation_plan(spark.range(10_050).selectExpr("id AS table_id", "10L AS rows"), 1.0, 5)
+    assert made.select("name").distinct().count() == 10_050 and made.where("name = 't10050' OR name = 't0001'").count() == 2
+    assert values(spark, [7, 999, 1000, 12_345], O.label("table", F.col("x"))) == [("table-007",), ("table-999",), ("table-1000",), ("table-12345",)]
+
+
+def test_compression_does_not_depend_on_partitions(spark):
+    """The same blocks and frames, however many partitions the groups fall in; keys that are NULL or repeat are dealt over frames."""
+    rows = spark.range(30_000).selectExpr("id % 3 AS column_no", "id AS row_id", "sha2(cast(id % 500 as string), 256) AS cell", "if(id % 2 = 0, null, 1) AS key")
+    cells, got, frames = rows.selectExpr("concat('c', column_no) AS column_name", "row_id", "cell"), set(), set()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("1", "4", "16"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.add(tuple(sorted((r.column_name, r.raw_bytes, r.packed_bytes, round(r.ratio_stddev, 9)) for r in Z.column_compression(cells).collect())))
+        frames.add(tuple(Z.frame_compression(rows, "key", ["cell", "row_id"]).first()[:3]))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == len(frames) == 1 and 30 <= next(iter(frames))[0] < 90
 
 
 def test_profiles_of_nothing_and_of_nulls(spark):
@@ -93,13 +115,35 @@ def test_graphs(spark):
     tables = spark.createDataFrame([(k,) for k in range(1, 9)], "table_id int")
     assert {tuple(r) for r in G.fk_load_level(tables, edges).collect()} == {(5, 0), (7, 0), (8, 0), (6, 1)}
     assert {r.node for r in G.hierarchy_cycles(edges.toDF("node", "parent")).collect()} == {1, 2, 3, 5}
+    assert [r.root for r in G.partition_rollup(spark.createDataFrame([(1, None, 5), (2, 1, 6), (3, 2, 7), (4, 2, 9), (5, 6, 1), (6, 5, 1), (7, None, 2)], "node int, parent int, rows int")).collect()] == [1]
     nothing = edges.limit(0)
     assert G.fk_cycles(nothing).collect() == [] and len(G.fk_load_level(tables, nothing).collect()) == 8
 
 
-def test_load_levels_have_no_cap(spark, monkeypatch):
-    """A chain of more tables than rounds elsewhere may take: every table gets its level."""
-    monkeypatch.setattr(G, "MAX_ROUNDS", 2)
+def test_cycles_by_brute_force(spark):
+    import random
+
+    rng = random.Random(7)
+    for n, m in ((12, 14), (30, 45), (40, 44)):
+        edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+        reach = {(a, b) for a, b in edges if a != b}
+        while more := {(a, d) for a, b in reach for c, d in reach if b == c} - reach:
+            reach |= more
+        df = spark.createDataFrame([*edges, (None, 1)], "child int, parent int")
+        assert {tuple(r) for r in G.fk_cycles(df).collect()} == {(a, b) for a, b in edges if a != b and (b, a) in reach}
+        up = {a: min(y for x, y in edges if x == a) for a, _ in edges}
+        on = set()
+        for a in up:
+            b = up[a]
+            for _ in range(n):
+                if b == a:
+                    on.add(a)
+                b = up.get(b, -1)
+        assert {r.node for r in G.hierarchy_cycles(df.toDF("node", "parent")).collect()} == on
+
+
+def test_load_levels_have_no_cap(spark):
+    """Every table of a chain gets its level, tables on or behind a cycle none."""
     edges = spark.createDataFrame([(k + 1, k) for k in range(4)] + [(8, 9), (9, 8), (10, 9)], "child int, parent int")
     tables = spark.createDataFrame([(k,) for k in (*range(5), 8, 9, 10)], "table_id int")
     assert {tuple(r) for r in G.fk_load_level(tables, edges).collect()} == {(k, k) for k in range(5)}
