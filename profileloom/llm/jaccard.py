@@ -23,33 +23,22 @@ SLICE, KEYS_AT_ONCE = 200, 200_000
 PART = 256
 #: Rounds in which buckets compare their members with one of them only.
 STAR_ROUNDS = 1
+#: Fingerprints of near copies differ in at most so many bits. At a similarity of just 0.8 one in seven bits differs on
+#: average (the angle of the sets over pi), and more than 22 of 64 in about one pair of 100,000; of alike texts in fewer yet.
+NEAR_BITS = 22
 #: Rows of candidates up to which they are broadcast.
 BROADCAST_ROWS = 200_000
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-def shingle_bag(every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, more) for a text's shingle hashes: the sorted distinct ones, and one for each further occurrence of one."""
-    every = np.sort(every)
-    if not len(every):
-        return every, every
-    new = np.r_[True, every[1:] != every[:-1]]
-    if new.all():
-        return every, every[:0]
-    starts = np.flatnonzero(new)
-    turn = np.arange(len(every)) - np.repeat(starts, np.diff(np.r_[starts, len(every)]))
-    more = every[~new] + turn[~new].astype(np.uint64) * _C3
-    more = (more ^ (more >> np.uint64(31))) * _C2
-    return every[new], more ^ (more >> np.uint64(29))
+def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
+    """The sorted distinct hashes of a text's word shingles."""
+    return np.unique(np.frombuffer(shingle_hashes(text, width), ">u8").astype(np.uint64))
 
 
-def _hashes(text: str, width: int) -> np.ndarray:
-    return np.frombuffer(shingle_hashes(text, width), ">u8").astype(np.uint64)
-
-
-def node_of(hashes: np.ndarray, more: np.ndarray) -> int:
-    """A signed number for the shingles of a text with their counts."""
-    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes() + more.tobytes(), 7)).astype(np.int64))
+def node_of(hashes: np.ndarray) -> int:
+    """A signed number for a set of shingles."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 7)).astype(np.int64))
 
 
 def size_class(n: int) -> tuple[int, int, int]:
@@ -98,27 +87,35 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def _nodes(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text_sha256, node, n, m, fp, keys) of every row: numbers of distinct and of further shingles, the fingerprint and the keys."""
+    """(doc_id, text_sha256, node, n, fp) of every row: its set of shingles, how many they are, and the fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                every = [_hashes(t, width) for t in part.column("text").to_pylist()]
-                bags = [shingle_bag(e) for e in every]
-                keys = [np.concatenate([keys_of(h), keys_of(np.concatenate([h, more]))]) if len(more) else keys_of(h) for h, more in bags]
-                prints = majority_bits(np.concatenate([*every, np.zeros(0, np.uint64)]), np.array([len(e) for e in every], np.int64))
-                ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-                flat = pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64))
-                columns = [pa.array([node_of(*b) for b in bags], pa.int64()), *(pa.array([len(b[k]) for b in bags], pa.int64()) for k in range(2)), pa.array(prints.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), flat)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_sha256"), *columns], ["doc_id", "text_sha256", "node", "n", "m", "fp", "keys"])
+                digests = [shingle_hashes(t, width) for t in part.column("text").to_pylist()]
+                every = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64)
+                counts = np.array([len(d) // 8 for d in digests], np.int64)
+                sets = [np.unique(x) for x in np.split(every, np.cumsum(counts)[:-1])]
+                columns = [pa.array([node_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(majority_bits(every, counts).view(np.int64))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_sha256"), *columns], ["doc_id", "text_sha256", "node", "n", "fp"])
 
-    return _named(docs).mapInArrow(run, "doc_id long, text_sha256 string, node long, n long, m long, fp long, keys array<long>")
+    return _named(docs).mapInArrow(run, "doc_id long, text_sha256 string, node long, n long, fp long")
 
 
-def _buckets(rows: DataFrame) -> DataFrame:
+def _buckets(docs: DataFrame, width: int) -> DataFrame:
     """(key, node): the keys that more than one node has, once for each of them."""
 
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                sets = [shingle_set(t, width) for t in batch.slice(at, SLICE).column("text").to_pylist()]
+                keys = [keys_of(x) for x in sets]
+                node = np.repeat(np.array([node_of(x) for x in sets], np.int64), [len(k) for k in keys])
+                flat = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
+                for k in range(0, len(flat), KEYS_AT_ONCE):
+                    yield pa.RecordBatch.from_arrays([pa.array(flat[k : k + KEYS_AT_ONCE]), pa.array(node[k : k + KEYS_AT_ONCE])], ["key", "node"])
+
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -138,64 +135,61 @@ def _buckets(rows: DataFrame) -> DataFrame:
                 key, node = key[last:], node[last:]
         yield several(key, node)
 
-    keyed = rows.select(F.explode("keys").alias("key"), "node")
-    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(shared, "key long, node long")
+    rows = docs.select(text_or_empty("text").alias("text")).mapInArrow(keyed, "key long, node long")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(shared, "key long, node long")
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(node, hashes, more) for rows (text)."""
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """(node, hashes) for rows (text), one of each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
-                bags = [shingle_bag(_hashes(t, width)) for t in batch.slice(at, SLICE).column("text").to_pylist()]
-                lists = [pa.array([b[k].view(np.int64) for b in bags], pa.list_(pa.int64())) for k in range(2)]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(*b) for b in bags], pa.int64()), *lists], ["node", "hashes", "more"])
+                sets = [shingle_set(t, width) for t in batch.slice(at, SLICE).column("text").to_pylist()]
+                hashes = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in sets], pa.int64()), hashes], ["node", "hashes"])
 
-    return docs.select("text").mapInArrow(run, "node long, hashes array<long>, more array<long>")
+    return texts.select("text").mapInArrow(run, "node long, hashes array<long>")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are near copies."""
+def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are near copies. Sets are made of one text of each node that stands in a pair."""
     p, q = LIKE
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"), F.col("more").alias("u")), "a")
-    both = one.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"), F.col("more").alias("v")), "b")
-    common, size = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-    further, more = F.size(F.array_intersect("u", "v")), F.size("u") + F.size("v")
-    return both.where((common * (p + q) >= size * p) | ((common + further) * (p + q) >= (size + more) * p)).select("a", "b")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    few = cut(nodes.join(ends, "node", "left_semi").select(F.col("row.doc_id").alias("_id"), F.col("row.text_sha256").alias("_sha")))
+    some = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
+    texts = _named(docs).join(some, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_sha256") == F.col("_sha")), "left_semi")
+    sets = stored(_sets(texts, width)).dropDuplicates(["node"])
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
+    both = one.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common * (p + q) >= (F.size("x") + F.size("y")) * p).select("a", "b")
 
 
 def near_links(docs: DataFrame, width: int, proposed: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, text_sha256, node, n, m, fp) of every row, links (a, b) of nodes): links join what all near copies would join.
+    """((doc_id, text_sha256, node, n, fp) of every row, links (a, b) of nodes): links join what near copies would join.
 
     proposed gives links between fingerprints (fp), which are confirmed first. Then each bucket of nodes that share a
     part of their shingles compares its members with one of them, and last, of what no link has joined by then, all
-    pairs whose sizes allow it. All are confirmed by the sets themselves, and no pair is confirmed twice.
+    pairs. Pairs are compared by size, then by fingerprint (NEAR_BITS), and those that are left are confirmed by their
+    sets, no pair twice.
     """
-    whole = stored(_nodes(docs, width))
-    rows = whole.drop("keys")
-    buckets = cut(_buckets(whole.select("node", "keys")))
-    nodes = cut(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.first("fp").alias("fp"), F.min(F.struct("doc_id", "text_sha256")).alias("row")))
+    rows = stored(_nodes(docs, width))
+    nodes = cut(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min(F.struct("doc_id", "text_sha256")).alias("row")))
     prints = cut(nodes.groupBy("fp").agg(F.min("node").alias("one")))
-    ends = cut(proposed(prints.select("fp")))
+    ends = proposed(prints.select("fp"))
     first = ends.join(prints.select(F.col("fp").alias("a"), F.col("one").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("one").alias("y")), "b").select("x", "y")
     first = first.union(nodes.join(prints, "fp").select(F.col("one").alias("x"), F.col("node").alias("y"))).where("x <> y")
     first = cut(first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    some = buckets.select("node").union(first.select("a")).union(first.select("b")).distinct()
-    few = cut(nodes.join(some, "node", "left_semi").select("node", "n", "m", "row.*"))
-    texts = few.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    texts = F.broadcast(texts) if few.count() <= BROADCAST_ROWS else texts
-    texts = _named(docs).join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_sha256") == F.col("_sha")), "left_semi")
-    sets = stored(_sets(texts, width).dropDuplicates(["node"]))
-    buckets = cut(salted_join(buckets, few.select("node", "n", "m"), ["node"], hot_hashes(buckets, ["node"]), ["key"]))
-    links = cut(_confirmed(first, sets))
-    tried = first
+    links, tried = cut(_confirmed(first, docs, nodes, width)), first
+    buckets = cut(_buckets(docs, width))
+    buckets = cut(salted_join(buckets, nodes.select("node", "n", "fp"), ["node"], hot_hashes(buckets, ["node"]), ["key"]))
     p, q = LIKE
     for turn in range(STAR_ROUNDS + 1):
         roots = connected_components(links)
         open_ = cut(buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-        counts = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)), "node", "n", "m", "root")).alias("one"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
-        counts = counts.where("low <> high").select("key", "one.node", "one.n", "one.m", "one.root", "members").withColumnsRenamed({"node": "b", "n": "bn", "m": "bm", "root": "broot"})
+        counts = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)), "node", "n", "fp", "root")).alias("one"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
+        counts = counts.where("low <> high").select("key", "one.node", "one.n", "one.fp", "one.root", "members").withColumnsRenamed({"node": "b", "n": "bn", "fp": "bfp", "root": "broot"})
         if turn < STAR_ROUNDS:
             pairs = salted_join(open_, counts, ["key"], hot_hashes(open_, ["key"]), ["node"])
         else:
@@ -203,11 +197,10 @@ def near_links(docs: DataFrame, width: int, proposed: Callable[[DataFrame], Data
             rest = salted_join(open_, counts.select("key", "members"), ["key"], hot_hashes(open_, ["key"]), ["node"])
             rest = cut(rest.withColumn("k", F.ceil(F.col("members") / PART)).drop("members"))
             left = rest.withColumn("part", F.explode(F.expr("sequence(0L, k - 1)"))).drop("k")
-            right = rest.select("key", F.pmod(F.xxhash64("node"), F.col("k")).alias("part"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("m").alias("bm"), F.col("root").alias("broot"))
+            right = rest.select("key", F.pmod(F.xxhash64("node"), F.col("k")).alias("part"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("fp").alias("bfp"), F.col("root").alias("broot"))
             pairs = left.join(right, ["key", "part"])
-        sizes_fit = F.expr(f"least(n, bn) * {q} >= greatest(n, bn) * {p} or least(n + m, bn + bm) * {q} >= greatest(n + m, bn + bm) * {p}")
-        fits = (F.col("root") != F.col("broot")) & sizes_fit
-        pairs = pairs.where(fits).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+        close = F.expr(f"least(n, bn) * {q} >= greatest(n, bn) * {p}") & (F.bit_count(F.col("fp").bitwiseXOR(F.col("bfp"))) <= NEAR_BITS)
+        pairs = pairs.where((F.col("root") != F.col("broot")) & close).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
         pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        links, tried = cut(links.union(_confirmed(pairs, sets))), tried.union(pairs)
+        links, tried = cut(links.union(_confirmed(pairs, docs, nodes, width))), tried.union(pairs)
     return rows, links

@@ -205,13 +205,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
 def first_of_near_copies(docs: DataFrame, width: int = WIDTH, radius: int = 3) -> DataFrame:
     """(doc_id, text_sha256) of one row of each group of near copies: the smallest doc_id, null only where no row has one.
 
-    Near copies are texts whose word shingles have a Jaccard similarity of 4/5 or more, either as sets or with their counts. Texts
-    with fingerprints at most `radius` bits apart are found first, by bit-sliced comparison, and linked if their
-    shingles say so. Fingerprints of near copies can differ in more bits, so the exact check goes on to those (near_links),
-    and no pair is missed. A-Z are lower-cased, words parted by ASCII white space, texts of fewer words than a
-    shingle are one; texts without words (null ones, too) are near copies of each other. text_sha256 is as in
-    exact_duplicates. Repeated rows are one; shingles and sets of them are told apart by 64-bit hashes. An empty table
-    gives no rows; columns other than doc_id and text aren't read.
+    Near copies are texts whose sets of word shingles have a Jaccard similarity of 4/5 or more. Texts with fingerprints
+    at most `radius` bits apart are found first, by bit-sliced comparison, and linked if their shingles say so.
+    Fingerprints of near copies can differ in more bits, so the exact check goes on to those (near_links): it looks at all
+    texts that share a part of their shingles, which near copies always do, and that are at most NEAR_BITS bits apart.
+    A-Z are lower-cased, words parted by ASCII white space, texts of fewer words than a shingle are one; texts without words
+    (null ones, too) are near copies of each other. text_sha256 is as in exact_duplicates. Repeated rows are one; shingles
+    and sets of them are told apart by 64-bit hashes. An empty table gives no rows; columns other than doc_id and
+    text aren't read.
     """
     rows, links = near_links(docs, width, lambda fps: fingerprint_links(fps, radius))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_sha256")).alias("first")
