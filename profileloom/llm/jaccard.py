@@ -23,11 +23,12 @@ SLICE, KEYS_AT_ONCE = 200, 200_000
 PART = 256
 #: Rounds in which buckets compare their members with one of them only.
 STAR_ROUNDS = 1
-#: Fingerprints of near copies differ in at most so many bits. At a similarity of just 0.8 one in seven bits differs on
-#: average (the angle of the sets over pi), and more than 22 of 64 in about one pair of 100,000; of alike texts in fewer yet.
-NEAR_BITS = 22
-#: Rows of candidates up to which they are broadcast.
-BROADCAST_ROWS = 200_000
+#: Two fingerprints of near copies, of 64 bits each, differ in at most so many bits. At a similarity of just 0.8 one in seven bits
+#: differs on average (the angle of the sets over pi), and more than 38 of 128 in about one pair of 100,000; of alike texts in fewer yet.
+#: Sets of fewer shingles, whose majorities are often ties, aren't compared by fingerprint.
+NEAR_BITS, FEW = 38, 8
+#: Rows of candidates, and bytes of their sets, up to which they are broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8 << 20
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -36,6 +37,12 @@ def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.frombuffer(shingle_hashes(text, width), ">u8").astype(np.uint64))
 
 
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same shingles."""
+    mixed = (hashes ^ (hashes >> np.uint64(33))) * _C2
+    return (mixed ^ (mixed >> np.uint64(29))) * _C3
+
+
 def node_of(hashes: np.ndarray) -> int:
     """A signed number for a set of shingles."""
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 7)).astype(np.int64))
@@ -87,7 +94,7 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def _nodes(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text_sha256, node, n, fp) of every row: its set of shingles, how many they are, and the fingerprint."""
+    """(doc_id, text_sha256, node, n, fp, fp2) of every row: its set of shingles, how many they are, and the set's fingerprints by two hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,10 +104,12 @@ def _nodes(docs: DataFrame, width: int) -> DataFrame:
                 every = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64)
                 counts = np.array([len(d) // 8 for d in digests], np.int64)
                 sets = [np.unique(x) for x in np.split(every, np.cumsum(counts)[:-1])]
-                columns = [pa.array([node_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(majority_bits(every, counts).view(np.int64))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_sha256"), *columns], ["doc_id", "text_sha256", "node", "n", "fp"])
+                sizes, flat = np.array([len(x) for x in sets], np.int64), np.concatenate(sets)
+                prints = [pa.array(majority_bits(x, sizes).view(np.int64)) for x in (flat, _mixed(flat))]
+                columns = [pa.array([node_of(x) for x in sets], pa.int64()), pa.array(sizes), *prints]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_sha256"), *columns], ["doc_id", "text_sha256", "node", "n", "fp", "fp2"])
 
-    return _named(docs).mapInArrow(run, "doc_id long, text_sha256 string, node long, n long, fp long")
+    return _named(docs).mapInArrow(run, "doc_id long, text_sha256 string, node long, n long, fp long, fp2 long")
 
 
 def _buckets(docs: DataFrame, width: int) -> DataFrame:
@@ -159,23 +168,25 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int)
     few = cut(nodes.join(ends, "node", "left_semi").select(F.col("row.doc_id").alias("_id"), F.col("row.text_sha256").alias("_sha")))
     some = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
     texts = _named(docs).join(some, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_sha256") == F.col("_sha")), "left_semi")
-    sets = stored(_sets(texts, width)).dropDuplicates(["node"])
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
-    both = one.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    sets = stored(_sets(texts, width).dropDuplicates(["node"]))
+    size = sets.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    small = F.broadcast if 8 * size <= BROADCAST_BYTES else lambda rows: rows
+    one = pairs.join(small(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))), "a")
+    both = one.join(small(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common * (p + q) >= (F.size("x") + F.size("y")) * p).select("a", "b")
 
 
 def near_links(docs: DataFrame, width: int, proposed: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, text_sha256, node, n, fp) of every row, links (a, b) of nodes): links join what near copies would join.
+    """((doc_id, text_sha256, node, n, fp, fp2) of every row, links (a, b) of nodes): links join what near copies would join.
 
     proposed gives links between fingerprints (fp), which are confirmed first. Then each bucket of nodes that share a
-    part of their shingles compares its members with one of them, and last, of what no link has joined by then, all
-    pairs. Pairs are compared by size, then by fingerprint (NEAR_BITS), and those that are left are confirmed by their
+    part of their shingles compares its members with one of them, by a hash that is the same in all buckets, so that a
+    group of near copies compares with few; and last, of what no link has joined by then, all pairs. Pairs are compared by size, then by fingerprint (NEAR_BITS), and those that are left are confirmed by their
     sets, no pair twice.
     """
     rows = stored(_nodes(docs, width))
-    nodes = cut(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min(F.struct("doc_id", "text_sha256")).alias("row")))
+    nodes = cut(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.min(F.struct("doc_id", "text_sha256")).alias("row")))
     prints = cut(nodes.groupBy("fp").agg(F.min("node").alias("one")))
     ends = proposed(prints.select("fp"))
     first = ends.join(prints.select(F.col("fp").alias("a"), F.col("one").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("one").alias("y")), "b").select("x", "y")
@@ -183,13 +194,13 @@ def near_links(docs: DataFrame, width: int, proposed: Callable[[DataFrame], Data
     first = cut(first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     links, tried = cut(_confirmed(first, docs, nodes, width)), first
     buckets = cut(_buckets(docs, width))
-    buckets = cut(salted_join(buckets, nodes.select("node", "n", "fp"), ["node"], hot_hashes(buckets, ["node"]), ["key"]))
+    buckets = cut(salted_join(buckets, nodes.select("node", "n", "fp", "fp2"), ["node"], hot_hashes(buckets, ["node"]), ["key"]))
     p, q = LIKE
     for turn in range(STAR_ROUNDS + 1):
         roots = connected_components(links)
         open_ = cut(buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-        counts = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)), "node", "n", "fp", "root")).alias("one"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
-        counts = counts.where("low <> high").select("key", "one.node", "one.n", "one.fp", "one.root", "members").withColumnsRenamed({"node": "b", "n": "bn", "fp": "bfp", "root": "broot"})
+        counts = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node"), "node", "n", "fp", "fp2", "root")).alias("one"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
+        counts = counts.where("low <> high").select("key", "one.node", "one.n", "one.fp", "one.fp2", "one.root", "members").withColumnsRenamed({"node": "b", "n": "bn", "fp": "bfp", "fp2": "bfp2", "root": "broot"})
         if turn < STAR_ROUNDS:
             pairs = salted_join(open_, counts, ["key"], hot_hashes(open_, ["key"]), ["node"])
         else:
@@ -197,9 +208,9 @@ def near_links(docs: DataFrame, width: int, proposed: Callable[[DataFrame], Data
             rest = salted_join(open_, counts.select("key", "members"), ["key"], hot_hashes(open_, ["key"]), ["node"])
             rest = cut(rest.withColumn("k", F.ceil(F.col("members") / PART)).drop("members"))
             left = rest.withColumn("part", F.explode(F.expr("sequence(0L, k - 1)"))).drop("k")
-            right = rest.select("key", F.pmod(F.xxhash64("node"), F.col("k")).alias("part"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("fp").alias("bfp"), F.col("root").alias("broot"))
+            right = rest.select("key", F.pmod(F.xxhash64("node"), F.col("k")).alias("part"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("fp").alias("bfp"), F.col("fp2").alias("bfp2"), F.col("root").alias("broot"))
             pairs = left.join(right, ["key", "part"])
-        close = F.expr(f"least(n, bn) * {q} >= greatest(n, bn) * {p}") & (F.bit_count(F.col("fp").bitwiseXOR(F.col("bfp"))) <= NEAR_BITS)
+        close = F.expr(f"least(n, bn) * {q} >= greatest(n, bn) * {p} and (least(n, bn) < {FEW} or bit_count(fp ^ bfp) + bit_count(fp2 ^ bfp2) <= {NEAR_BITS})")
         pairs = pairs.where((F.col("root") != F.col("broot")) & close).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
         pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
         links, tried = cut(links.union(_confirmed(pairs, docs, nodes, width))), tried.union(pairs)

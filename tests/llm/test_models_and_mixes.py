@@ -373,7 +373,7 @@ def test_pipeline(spark, sf_dir, docs):
         if k == 1:
             assert kept == {2, 5, 7, 8, 9, 10, 13, 14}
         if k == 2:
-            assert kept == {2, 5, 7, 9, 10, 13, 14}
+            assert kept == {2, 5, 7, 8, 9, 10, 13, 14}  # 7 and 8 repeat a line and share just over half of their different shingles
     assert {"doc_id", "ids"} <= set(at.columns)
 
 
