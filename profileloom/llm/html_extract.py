@@ -16,8 +16,8 @@ from profileloom.llm.common import cut, hot_hashes, salted_join, stored, text_or
 #: A branch goes if its importance, of 0 to 1, is under LEAST. DAMPING: how far presentation counts more, the more styles a node has.
 LEAST, DAMPING = 0.1, 0.9
 #: Prior of an element by its markup, and how many pages' evidence it is worth: the article itself, and what markup says
-#: nothing of. What markup calls noise keeps the third share of its importance whatever the pages say.
-ARTICLE, PLAIN, NOISE_SHARE = (1.0, 4.0), (0.5, 1.0), 0.05
+#: nothing of. What markup calls noise goes whatever the pages say.
+ARTICLE, PLAIN = (1.0, 4.0), (0.5, 1.0)
 #: Elements nested deeper are taken for children of the last one within.
 DEPTH = 128
 #: Pages that a worker unpacks at a time, and removed nodes up to which they are broadcast (8 bytes each).
@@ -357,8 +357,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     Branches and texts go whose importance is under LEAST. The pages of a site say how important they are: what most of
     them repeat isn't, and neither is a branch that mostly holds such text. What markup says is the prior: an article
     needs many more pages against it; and menus, headers, footers, sidebars, forms, notices, adverts, comments and what
-    stands beside the article of a page that has one keep a share (NOISE_SHARE) of their importance, which is under LEAST
-    whatever the pages say. A header or name that holds the article itself doesn't count.
+    stands beside the article of a page that has one go whatever the pages say. A header or name that holds the article itself doesn't count.
 
     A null url belongs to the site without a host, null html gives empty text; ids may be null. Equal pages count once and get equal
     texts; pages may be of any length; an empty table gives no rows; columns other than page_id, url and html aren't read. Pages are
