@@ -13,8 +13,10 @@ from profileloom.operators.objects import padded
 
 #: The calendar of generated dates has 28 days in a month; first years of dates and timestamps.
 DAYS_PER_YEAR, DATE_YEAR, TIMESTAMP_YEAR, LAST_YEAR = 12 * 28, 2020, 2024, 9999
-#: Shares of the tail of a skewed column around its median, 95th and 99th percentile frequency.
-TAIL = (50, 45, 5)
+#: Per cent of a skewed column's values that take the median and the 95th percentile of its frequencies; the rest takes the 99th.
+TAIL = (50, 45)
+#: Parts that rows of a hot parent, or of none, are dealt over.
+SALTS = 64
 #: Rounds of a permutation, and steps after which a point is surely back in range.
 ROUNDS, WALK = 3, 64
 
@@ -28,6 +30,7 @@ class ColumnProfile(NamedTuple):
     length_avg: int = 12
     length_p95: int = 12
     max_chars: int = 0
+    frequencies: tuple[int, int, int] = (1, 1, 1)  # median, 95th and 99th percentile of its values' frequencies
 
 
 def generation_plan(tables: DataFrame, scale: float, max_rows: int, prefix: str = "t") -> DataFrame:
@@ -57,7 +60,7 @@ def effective_distinct(estimated: Number | str, observed: Number | str, biased:
 
 
 def permute_index(index: Number | str, count: Number | str, salt: int = 0) -> Column:
-    """A one-to-one map of 0..count-1 for counts up to 2^31.
+    """A one-to-one map of 0..count-1 for counts up to 2^62.
 
     A round adds, folds, multiplies by an odd number and folds again within the power of two above the count; each step
     can be undone. Points that fall beyond the count go on until they are back, which they are after two steps on average.
@@ -66,32 +69,48 @@ def permute_index(index: Number | str, count: Number | str, salt: int = 0) -> Co
     bits = F.greatest(F.length(F.bin(F.greatest(n - 1, F.lit(1)))), F.lit(1))
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
     shift = F.greatest(div(bits, 2), F.lit(1)).cast("int")
+    half = (1 << 31) - 1
     rounds = F.array(*(F.struct(F.lit((salt * 40503 + k * 977) % (1 << 31)).cast("long").alias("add"), F.lit((0x9E3779B1 * (2 * k + 1) + 2 * salt) % (1 << 31) | 1).cast("long").alias("odd")) for k in range(ROUNDS)))
     folded = lambda v: v.bitwiseXOR(F.call_function("shiftright", v, shift))
 
+    def times(v: Column, odd: Column) -> Column:
+        """v * odd modulo 2^62, in halves of 31 bits, so that no product overflows."""
+        high = (F.call_function("shiftright", v, F.lit(31)) * odd).bitwiseAND(F.lit(half).cast("long"))
+        return v.bitwiseAND(F.lit(half).cast("long")) * odd + F.call_function("shiftleft", high, F.lit(31))
+
     def walk(x: Column) -> Column:
-        return F.aggregate(rounds, x, lambda v, c: folded((folded((v + c["add"]).bitwiseAND(mask)) * c["odd"]).bitwiseAND(mask)))
+        return F.aggregate(rounds, x, lambda v, c: folded(times(folded((v + c["add"]).bitwiseAND(mask)), c["odd"]).bitwiseAND(mask)))
 
     steps = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), walk(i), lambda x, _: F.when(x >= n, walk(x)).otherwise(x))
     return F.when(n <= 1, F.lit(0).cast("long")).otherwise(steps)
 
 
-def project_distribution(index: Number | str, rows: Number | str, distinct: int, top: float) -> Column:
-    """The domain value of a row, so that every value occurs and value 0 has the share `top`.
+def project_distribution(index: Number | str, rows: Number | str, distinct: Number | str, top: Number | str, p50: Number | str = 1, p95: Number | str = 1, p99: Number | str = 1) -> Column:
+    """The domain value of a row, for 0 <= index < rows, so that every value of 0..distinct-1 occurs; distinct is at most the rows.
 
-    The first `distinct` rows take each value once, the next ones fill the hot value's share, and what is left is dealt
-    over the other values, with half of it on the first fifth of them, the tail's skew, unless one of those would
-    then hold more than the hot value.
+    Frequencies are even, if the 99th percentile is at most twice the median and the top share is none or that of any
+    value: then equal values are runs. Else the first rows are value 0, with the share `top`; the next ones take every
+    other value once; and the rest is dealt by weights: half of the values have the weight p50, 45 % have p95 and the others p99.
+    Each argument may be a column; a NULL index gives NULL.
     """
-    i, n = _col(index).cast("long"), _col(rows).cast("long")
-    hot = F.greatest(F.floor(n * F.lit(float(top)) + 0.5).cast("long") - 1, F.lit(0))
-    rest = i - distinct - hot
-    others = max(distinct - 1, 1)
-    head = max(1, others // 5)
-    if (1 - top) / 2 * (1 / head + 1 / others) >= top:
-        head = others
-    tail = F.when(rest % 2 == 0, div(rest, 2) % head + 1).otherwise(div(rest, 2) % others + 1)
-    return F.when(i < distinct, i).when(rest < 0, F.lit(0).cast("long")).otherwise(tail if distinct > 1 else F.lit(0).cast("long"))
+    i, n, q50, q95, q99 = (_col(x).cast("long") for x in (index, rows, p50, p95, p99))
+    share = _col(top).cast("double")
+    domain = F.greatest(F.least(_col(distinct).cast("long"), n), F.lit(1).cast("long"))
+    even = (q99 <= q50 * 2) & ((share <= 0) | (F.abs(share - 1.0 / domain) <= 0.01))
+    length, longer = div(n, domain), n % domain  # so many runs are longer by one
+    edge = longer * (length + 1)
+    run = F.when(i < edge, div(i, length + 1)).otherwise(longer + div(i - edge, F.greatest(length, F.lit(1).cast("long"))))
+    others = domain - 1
+    hot = F.greatest(F.least(F.floor(n * share + 0.5).cast("long"), n - others), F.lit(1).cast("long"))
+    left = F.greatest(n - hot - others, F.lit(1).cast("long"))
+    few, some = (div(others * share, 100) for share in (TAIL[0], sum(TAIL)))
+    low, mid, high = (F.greatest(x, F.lit(1).cast("long")) for x in (q50, q95, q99))
+    first, second = few * low, few * low + (some - few) * mid
+    whole = second + (others - some) * high
+    at = F.least(F.floor((i - hot - others).cast("double") * whole / left).cast("long"), whole - 1)
+    dealt = F.when(at < first, div(at, low)).when(at < second, few + div(at - first, mid)).otherwise(some + div(at - second, high)) + 1
+    skewed = F.when((i < hot) | (others == 0), F.lit(0).cast("long")).when(i < hot + others, i - hot + 1).otherwise(dealt)
+    return F.when(i.isNotNull(), F.when(even, run).otherwise(skewed))
 
 
 def null_mask(table: str, column: str, index: Number | str, fraction: float) -> Column:
@@ -136,28 +155,55 @@ def gen_decimal(seed: Number | str, precision: int, scale: int) -> Column:
 
 
 def unique_prefix(index: Number | str, value: Column, max_chars: int, digits: int = 6) -> Column:
-    """A base-36 token of the row, _ and the value, cut to the width."""
-    token = F.lpad(F.lower(F.conv(_col(index).cast("string"), 10, 36)), digits, "0")
-    return F.substring(F.concat(token, F.lit("_"), value), 1, max_chars)
+    """A base-36 token of the row, _ and the value, cut to the width.
+
+    The token has `digits` digits or as many as it needs. Where it doesn't fit, its last digits stay: they differ for
+    36^max_chars rows in turn, which is all that the width can hold.
+    """
+    token = padded(F.lower(F.conv(_col(index).cast("string"), 10, 36)), digits)
+    return F.when(F.length(token) >= max_chars, F.substring(token, -max_chars, max_chars)).otherwise(F.substring(F.concat(token, F.lit("_"), value), 1, max_chars))
 
 
 #: Words of generated text.
 WORDS = ("alpha", "river", "stone", "green", "market", "window", "silver", "garden", "paper", "number", "orange", "travel", "winter", "camera", "planet", "bridge")
 
 
+def gen_year(seed: Number | str) -> Column:
+    return (DATE_YEAR + _col(seed) % (LAST_YEAR - DATE_YEAR + 1)).cast("int")
+
+
+def gen_bits(seed: Number | str, width: int) -> Column:
+    """Text of `width` binary digits, distinct for distinct seeds within the width (62 at most)."""
+    return F.lpad(F.bin(_col(seed).cast("long") % (1 << width)), width, "0")
+
+
 def gen_text(seed: Number | str, length: Number | str, style: str = "natural-text") -> Column:
-    """Text of a length in a style, distinct for distinct seeds as long as a token of the seed fits."""
-    s, n = _col(seed), _col(length)
+    """Text of `length` characters in a style: natural-text, utf8-text, hex, numeric-text, base64, json or xml.
+
+    It is distinct for distinct seeds as long as the seed, which comes first, fits. base64 is cut to whole groups of
+    four characters, one at least; json and xml are longer than asked if their frame is.
+    """
+    s, n = _col(seed).cast("long"), _col(length).cast("int")
     token = F.lower(F.conv(s.cast("string"), 10, 36))
     words = F.array(*map(F.lit, WORDS))
-    body = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), div(n, 5)), lambda k: F.element_at(words, (F.pmod(F.xxhash64(s, k), F.lit(len(WORDS))) + 1).cast("int"))), " ")
-    hexes = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), div(n, 64)), lambda k: F.sha2(F.concat_ws(":", s.cast("string"), k.cast("string")), 256)), "")
-    kinds = {"natural-text": F.concat(token, F.lit(" "), body), "hex": F.concat(F.lower(F.hex(s)), F.lit("g").substr(2, 1), hexes), "numeric-text": F.concat(s.cast("string"), F.regexp_replace(hexes, "[a-f]", "7")), "base64": F.base64(F.encode(F.concat(token, body), "utf-8"))}
+    body = F.array_join(F.transform(F.sequence(F.lit(0), div(n, 5).cast("int")), lambda k: F.element_at(words, (F.pmod(F.xxhash64(s, k), F.lit(len(WORDS))) + 1).cast("int"))), " ")
+    hexes = F.array_join(F.transform(F.sequence(F.lit(0), div(n, 64).cast("int")), lambda k: F.sha2(F.concat_ws(":", s.cast("string"), k.cast("string")), 256)), "")
+    fits = lambda taken: F.substring(body, F.lit(1), F.greatest(n - taken, F.lit(0)))
     if style == "json":
-        return F.to_json(F.struct(s.alias("id"), F.substring(body, 1, F.greatest(n.cast("int") - 20, F.lit(1))).alias("note")))
+        return F.concat(F.lit('{"id":'), s.cast("string"), F.lit(',"note":"'), fits(F.length(s.cast("string")) + 17), F.lit('"}'))
     if style == "xml":
-        return F.concat(F.lit("<r id='"), token, F.lit("'>"), F.substring(body, 1, F.greatest(n.cast("int") - 20, F.lit(1))), F.lit("</r>"))
-    return F.substring(kinds[style], F.lit(1), n.cast("int"))
+        return F.concat(F.lit("<r id='"), token, F.lit("'>"), fits(F.length(token) + 13), F.lit("</r>"))
+    if style == "base64":
+        taken = F.greatest(div(n, 4) * 3, F.lit(3)).cast("int")
+        raw = F.rpad(F.concat(token, F.lit(" "), body), taken, " ")  # ASCII, so characters are bytes
+        return F.regexp_replace(F.base64(F.encode(raw, "utf-8")), "[\r\n]", "")
+    kinds = {
+        "natural-text": F.concat(token, F.lit(" "), body),
+        "utf8-text": F.concat(token, F.lit(" "), F.translate(body, "aeiou", "äéîöü")),
+        "hex": F.concat(F.lower(F.hex(s)), hexes),
+        "numeric-text": F.concat(s.cast("string"), F.translate(hexes, "abcdef", "777777")),
+    }
+    return F.substring(kinds[style], F.lit(1), n)
 
 
 def gen_binary(seed: Number | str, length: Number | str, entropy: float = 1.0) -> Column:
@@ -177,10 +223,11 @@ def gen_vector(seed: Number | str, dimensions: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(dimensions)), lambda k: (F.pmod(F.xxhash64(_col(seed), k), F.lit(20_001)) / 10_000 - 1).cast("float"))
 
 
-def _value(p: ColumnProfile, domain: Column, index: Column, k: int) -> Column:
-    length = value_length(index, k, p.length_avg, p.length_p95, p.max_chars)
-    made = {"integer": gen_integer(domain), "decimal": gen_decimal(domain, 18, 2), "float": domain / 7.0, "boolean": domain % 2 == 1, "date": gen_date(domain), "timestamp": gen_timestamp(domain), "uuid": gen_uuid(domain), "binary": gen_binary(domain, length), "vector": gen_vector(domain, 8)}
-    return made[p.family] if p.family in made else gen_text(domain, F.lit(p.length_avg), {"text": "natural-text"}.get(p.family, p.family))
+def _value(p: ColumnProfile, domain: Column, k: int) -> Column:
+    """The value of a domain value. Its length, too, depends on nothing else, so that equal ones stay equal."""
+    length = value_length(domain, k, p.length_avg, p.length_p95, p.max_chars)
+    made = {"integer": gen_integer(domain), "decimal": gen_decimal(domain, 18, 2), "float": domain / 7.0, "boolean": domain % 2 == 1, "year": gen_year(domain), "bits": gen_bits(domain, 62), "date": gen_date(domain), "timestamp": gen_timestamp(domain), "uuid": gen_uuid(domain), "binary": gen_binary(domain, length), "vector": gen_vector(domain, 8)}
+    return made[p.family] if p.family in made else gen_text(domain, length, {"text": "natural-text"}.get(p.family, p.family))
 
 
 def generate_table(spark: SparkSession, table: str, rows: int, columns: Sequence[ColumnProfile], partitions: int | None = None) -> DataFrame:
@@ -188,19 +235,23 @@ def generate_table(spark: SparkSession, table: str, rows: int, columns: Sequence
     base = spark.range(0, rows, 1, partitions) if partitions else spark.range(rows)
     index = F.col("id")
     shuffled = base.select("id", *(permute_index(index, F.lit(rows), k + 1).alias(f"p{k}") for k in range(len(columns))))
-    domains = shuffled.select("id", *(project_distribution(f"p{k}", F.lit(rows), max(1, min(p.distinct, rows)), p.top_fraction).alias(f"d{k}") for k, p in enumerate(columns)))
-    return domains.select(*(F.when(~null_mask(table, p.name, index, p.null_fraction), _value(p, F.col(f"d{k}"), index, k)).alias(p.name) for k, p in enumerate(columns)))
+    domains = shuffled.select("id", *(project_distribution(f"p{k}", F.lit(rows), p.distinct, p.top_fraction, *p.frequencies).alias(f"d{k}") for k, p in enumerate(columns)))
+    return domains.select(*(F.when(~null_mask(table, p.name, index, p.null_fraction), _value(p, F.col(f"d{k}"), k)).alias(p.name) for k, p in enumerate(columns)))
 
 
-def gen_fk(child: DataFrame, index: str, child_rows: int, parent: DataFrame, parent_rows: int, coverage: float, hot: float, null_fraction: float = 0.0) -> DataFrame:
+def gen_fk(child: DataFrame, index: str, child_rows: int, parent: DataFrame, parent_rows: int, coverage: float, hot: float, null_fraction: float = 0.0, fan_out: tuple[int, int, int] = (1, 1, 1)) -> DataFrame:
     """child with the parent's row for each child row, or NULL: `coverage` of the parents occur and one has the share `hot`.
 
-    parent: (row_index, ...). Composite keys come from one parent row, as the join is by its number.
+    The others' fan-outs follow the median, 95th and 99th percentile given. parent: (row_index, ...). Composite keys come
+    from one parent row, as the join is by its number. Rows of the hot parent and those without are dealt over SALTS parts.
     """
     covered = max(1, min(parent_rows, round(parent_rows * coverage)))
-    at = project_distribution(permute_index(F.col(index), F.lit(child_rows), 7), F.lit(child_rows), min(covered, child_rows), hot)
+    at = project_distribution(permute_index(F.col(index), F.lit(child_rows), 7), F.lit(child_rows), min(covered, child_rows), hot, *fan_out)
     rows = child.withColumn("row_index", F.when(~null_mask("fk", "parent", F.col(index), null_fraction), at))
-    return rows.join(parent, "row_index", "left")
+    none = F.lit(0).cast("long")
+    salt = F.when(F.coalesce(F.col("row_index") == 0, F.lit(True)), F.pmod(F.xxhash64(index), F.lit(SALTS).cast("long"))).otherwise(none)
+    salts = F.when(F.col("row_index") == 0, F.sequence(none, F.lit(SALTS - 1).cast("long"))).otherwise(F.array(none))
+    return rows.withColumn("_salt", salt).join(parent.withColumn("_salt", F.explode(salts)), ["row_index", "_salt"], "left").drop("_salt")
 
 
 def calibrate_entropy(rows: DataFrame, key: str, measured_ratio: float, grid: Sequence[float] = (0.02, 0.06, 0.12, 0.22, 0.45, 0.75, 1.0)) -> DataFrame:
@@ -214,8 +265,8 @@ def calibrate_entropy(rows: DataFrame, key: str, measured_ratio: float, grid: Se
 
 
 def roundtrip_error(source: DataFrame, made: DataFrame) -> DataFrame:
-    """(column_name, null_error, distinct_error, top_error, length_error) of two column profiles with those measures."""
+    """(column_name, null_error, distinct_error, top_error, length_error, length_p95_error) of two column profiles with those measures."""
     both = source.alias("s").join(made.alias("m"), "column_name", "full")
     gap = lambda c: F.abs(F.col(f"s.{c}") - F.col(f"m.{c}"))
     relative = lambda c: gap(c) / F.greatest(F.col(f"s.{c}"), F.lit(1))
-    return both.select("column_name", gap("null_fraction").alias("null_error"), relative("observed_distinct").alias("distinct_error"), gap("top_value_fraction").alias("top_error"), relative("length_avg").alias("length_error"))
+    return both.select("column_name", gap("null_fraction").alias("null_error"), relative("observed_distinct").alias("distinct_error"), gap("top_value_fraction").alias("top_error"), relative("length_avg").alias("length_error"), relative("length_p95").alias("length_p95_error"))

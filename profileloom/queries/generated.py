@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from profileloom.operators import cells as C
@@ -37,12 +38,31 @@ def permute_index(spark, sf_dir):
     return p.agg(F.count("*").alias("n"), F.countDistinct("p").alias("n_distinct"), F.min("p").alias("least"), F.max("p").alias("greatest"))
 
 
-@query("SELECT count(*) AS n, CAST(40 AS BIGINT) AS n_distinct, CAST(floor(count(*) * 0.3 + 0.5) AS BIGINT) AS top FROM orders")
+def _domain_sql(i: str, n: str, d: str, top: str, p50: str, p95: str, p99: str) -> str:
+    """SQL for the domain value of row i of n: runs if frequencies are even, else the hot value, each other one once, and the rest by weights."""
+    d, o = f"least(greatest({d}, 1), {n})", f"(least(greatest({d}, 1), {n}) - 1)"
+    hot = f"greatest(least(CAST(floor({n} * {top} + 0.5) AS BIGINT), {n} - {o}), 1)"
+    few, some = f"({o} * 50 // 100)", f"({o} * 95 // 100)"
+    first, second = f"({few} * {p50})", f"({few} * {p50} + ({some} - {few}) * {p95})"
+    whole = f"({second} + ({o} - {some}) * {p99})"
+    at = f"least(CAST(floor(CAST({i} - {hot} - {o} AS DOUBLE) * {whole} / greatest({n} - {hot} - {o}, 1)) AS BIGINT), {whole} - 1)"
+    run = f"CASE WHEN {i} < {n} % {d} * ({n} // {d} + 1) THEN {i} // ({n} // {d} + 1) ELSE {n} % {d} + ({i} - {n} % {d} * ({n} // {d} + 1)) // ({n} // {d}) END"
+    dealt = f"CASE WHEN {at} < {first} THEN {at} // {p50} WHEN {at} < {second} THEN {few} + ({at} - {first}) // {p95} ELSE {some} + ({at} - {second}) // {p99} END + 1"
+    even = f"{p99} <= {p50} * 2 AND ({top} <= 0 OR abs({top} - 1.0::DOUBLE / {d}) <= 0.01)"
+    return f"CAST(CASE WHEN {even} THEN {run} WHEN {i} < {hot} OR {o} = 0 THEN 0 WHEN {i} < {hot} + {o} THEN {i} - {hot} + 1 ELSE {dealt} END AS BIGINT)"
+
+
+@query(f"""WITH g AS (SELECT l_suppkey, count(*) AS n, count(DISTINCT l_partkey) // 3 AS d, CASE WHEN l_suppkey % 3 = 0 THEN 0.0::DOUBLE ELSE 0.3::DOUBLE END AS t, CASE WHEN l_suppkey % 2 = 0 THEN 9 ELSE 2 END AS q FROM lineitem GROUP BY 1),
+r AS (SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS i FROM lineitem)
+SELECT l_orderkey, l_linenumber, {_domain_sql('i', 'n', 'd', 't', '1', '3', 'q')} AS v FROM r JOIN g USING (l_suppkey)""")
 def project_distribution(spark, sf_dir):
-    """Row numbers of orders on 40 values, of which one holds three tenths."""
-    rows, n = _numbered(spark, sf_dir)
-    v = rows.select(G.project_distribution("id", F.lit(n), 40, 0.3).alias("v")).groupBy("v").agg(F.count("*").alias("k"))
-    return v.agg(F.sum("k").alias("n"), F.count("*").alias("n_distinct"), F.max("k").alias("top"))
+    """The lines of each supplier over a third as many values as it has parts: skewed or even, with a hot value for two of three suppliers."""
+    lines = load(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey")
+    s = F.col("l_suppkey")
+    groups = lines.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.floor(F.countDistinct("l_partkey") / 3).alias("d"))
+    rows = lines.withColumn("i", F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")) - 1).join(groups, "l_suppkey")
+    v = G.project_distribution("i", "n", "d", F.when(s % 3 == 0, 0.0).otherwise(0.3), 1, 3, F.when(s % 2 == 0, 9).otherwise(2))
+    return rows.select("l_orderkey", "l_linenumber", v.alias("v"))
 
 
 @query()
@@ -56,9 +76,11 @@ def value_length(spark, sf_dir):
     return load(spark, sf_dir, "orders").select("o_orderkey", size(0).alias("n"), size(64).alias("capped"))
 
 
-@query()
+@query("""SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 2 = 1 THEN -(o_orderkey % 2147483648) ELSE o_orderkey % 2147483648 END AS BIGINT) AS i, CAST(CAST(o_orderkey % 1000000000000 AS DECIMAL(18,0)) * 0.01 AS DECIMAL(12,2)) AS d,
+  o_orderkey / 7.0::DOUBLE AS f, o_orderkey % 2 = 1 AS b, CAST(2020 + o_orderkey % 7980 AS INTEGER) AS y, right(lpad(bin(o_orderkey % 16777216), 24, '0'), 24) AS bits FROM orders""")
 def gen_numeric(spark, sf_dir):
-    return load(spark, sf_dir, "orders").select("o_orderkey", G.gen_integer("o_orderkey", 32, True).alias("i"), G.gen_decimal("o_orderkey", 12, 2).alias("d"), (F.col("o_orderkey") / 7.0).alias("f"), (F.col("o_orderkey") % 2 == 1).alias("b"))
+    k = F.col("o_orderkey")
+    return load(spark, sf_dir, "orders").select("o_orderkey", G.gen_integer(k, 32, True).alias("i"), G.gen_decimal(k, 12, 2).alias("d"), (k / 7.0).alias("f"), (k % 2 == 1).alias("b"), G.gen_year(k).alias("y"), G.gen_bits(k, 24).alias("bits"))
 
 
 @query("""SELECT o_orderkey, make_date(2020 + o_orderkey // 336, o_orderkey // 28 % 12 + 1, o_orderkey % 28 + 1) AS d,
@@ -71,7 +93,7 @@ def gen_temporal(spark, sf_dir):
 @query()
 def gen_text(spark, sf_dir):
     k = F.col("o_orderkey")
-    return load(spark, sf_dir, "orders").select("o_orderkey", *(G.gen_text(k, F.lit(48), s).alias(s.replace("-", "_")) for s in ("natural-text", "hex", "numeric-text", "base64", "json", "xml")))
+    return load(spark, sf_dir, "orders").select("o_orderkey", *(G.gen_text(k, F.lit(48), s).alias(s.replace("-", "_")) for s in ("natural-text", "utf8-text", "hex", "numeric-text", "base64", "json", "xml")))
 
 
 @query()
@@ -80,14 +102,16 @@ def gen_binary(spark, sf_dir):
     return load(spark, sf_dir, "orders").select("o_orderkey", F.hex(G.gen_binary(k, F.lit(96), 0.3)).alias("b"), G.gen_uuid(k).alias("u"), F.size(G.gen_vector(k, 8)).alias("dimensions"))
 
 
-@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS orphans, CAST(round(0.8 * (SELECT count(*) FROM customer)) AS BIGINT) AS parents FROM orders")
+@query(f"""WITH k AS (SELECT count(*) AS n, (SELECT CAST(round(0.8 * count(*)) AS BIGINT) FROM customer) AS d FROM orders),
+r AS (SELECT row_number() OVER () - 1 AS i FROM orders), v AS (SELECT {_domain_sql('i', 'n', 'least(d, n)', '0.05::DOUBLE', '2', '9', '30')} AS v FROM r, k),
+c AS (SELECT v, count(*) AS children FROM v GROUP BY 1) SELECT children, count(*) AS parents FROM c GROUP BY 1""")
 def gen_fk(spark, sf_dir):
-    """As many children as orders, over four fifths of as many parents as customers."""
+    """As many children as orders, over four fifths of as many parents as customers: how many parents have so many children."""
     child, n = _numbered(spark, sf_dir)
     customers = load(spark, sf_dir, "customer").count()
     parent = spark.range(customers).select(F.col("id").alias("row_index"), F.concat(F.lit("k"), "id").alias("key"))
-    rows = G.gen_fk(child, "id", n, parent, customers, 0.8, 0.05)
-    return rows.agg(F.count("*").alias("n"), F.sum(F.col("key").isNull().cast("long")).alias("orphans"), F.countDistinct("key").alias("parents"))
+    rows = G.gen_fk(child, "id", n, parent, customers, 0.8, 0.05, fan_out=(2, 9, 30))
+    return rows.groupBy("key").agg(F.count("*").alias("children")).groupBy("children").agg(F.count("*").alias("parents"))
 
 
 @query("SELECT p_partkey, substring(token || '_' || p_name, 1, 16) AS name FROM (SELECT *, lpad((CASE WHEN p_partkey // 46656 > 0 THEN substring(a, p_partkey // 46656 % 36 + 1, 1) ELSE '' END || CASE WHEN p_partkey // 1296 > 0 THEN substring(a, p_partkey // 1296 % 36 + 1, 1) ELSE '' END || CASE WHEN p_partkey // 36 > 0 THEN substring(a, p_partkey // 36 % 36 + 1, 1) ELSE '' END || substring(a, p_partkey % 36 + 1, 1)), 6, '0') AS token FROM part, (SELECT '0123456789abcdefghijklmnopqrstuvwxyz' AS a))")
@@ -100,13 +124,13 @@ def _events_profile(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, l
     profile = column_profile(events)
     families = {"user_id": "integer", "event_type": "text", "props": "json"}
     rows = profile.collect()  # a row for each column
-    return profile, rows[0].n_rows, [G.ColumnProfile(r.column_name, families[r.column_name], r.observed_distinct, r.null_fraction, r.top_value_fraction, r.length_avg, r.length_p95) for r in sorted(rows, key=lambda r: r.column_name)]
+    return profile, rows[0].n_rows, [G.ColumnProfile(r.column_name, families[r.column_name], r.observed_distinct, r.null_fraction, r.top_value_fraction, r.length_avg, r.length_p95, 0, (r.frequency_p50, r.frequency_p95, r.frequency_p99)) for r in sorted(rows, key=lambda r: r.column_name)]
 
 
 def column_profile(df: DataFrame) -> DataFrame:
     cells = C.long_cells(df)
     summary = P.column_summary(cells).withColumn("null_fraction", (F.col("n_rows") - F.col("non_null")) / F.col("n_rows"))
-    return summary.join(P.length_profile(cells), "column_name").select("column_name", "n_rows", "null_fraction", "observed_distinct", "top_value_fraction", "length_avg", "length_p95")
+    return summary.join(P.length_profile(cells), "column_name").select("column_name", "n_rows", "null_fraction", "observed_distinct", "top_value_fraction", "length_avg", "length_p95", "frequency_p50", "frequency_p95", "frequency_p99")
 
 
 @query()

@@ -191,6 +191,63 @@ def test_generated_table_keeps_the_profile(spark):
     assert top["count"] == 600 and made.select("t").distinct().count() <= 21
 
 
+def test_large_permutations_keep_their_places(spark):
+    n = (1 << 61) + 12345
+    at = spark.range(20_000).select((F.lit(n - 1) - F.col("id") * 1_000_003).alias("i"))
+    got = [r[0] for r in at.select(M.permute_index("i", F.lit(n), 3)).collect()]
+    assert len(set(got)) == 20_000 and 0 <= min(got) and max(got) < n and max(got) > n // 2
+
+
+def test_distribution_follows_its_quantiles(spark):
+    """Half of the other values are rare, 45 % are more frequent and 5 % most; even profiles are runs; every value occurs."""
+    def counts(*args):
+        rows = spark.range(args[0]).select(M.project_distribution("id", *map(F.lit, args)).alias("v")).groupBy("v").count().collect()
+        return {r.v: r["count"] for r in rows}
+
+    skewed = counts(10_000, 101, 0.2, 10, 100, 400)
+    assert len(skewed) == 101 and skewed[0] == 2000 and sum(skewed.values()) == 10_000
+    assert max(skewed[v] for v in range(1, 51)) < min(skewed[v] for v in range(51, 96)) and max(skewed[v] for v in range(51, 96)) < min(skewed[v] for v in range(96, 101))
+    assert set(counts(1000, 30, 0.0, 5, 6, 9).values()) == {33, 34}
+    assert counts(5, 9, 0.9) == {k: 1 for k in range(5)} and counts(4, 1, 1.0) == {0: 4} and counts(1, 0, 0.0) == {0: 1}
+    assert spark.range(1).select(M.project_distribution(F.lit(None).cast("long"), 5, 2, 0.5)).first()[0] is None
+
+
+def test_texts_have_their_lengths(spark):
+    import base64
+    import json
+
+    for style in ("natural-text", "utf8-text", "hex", "numeric-text", "base64", "json", "xml"):
+        for n in (1, 7, 40, 203):
+            got = [r[0] for r in spark.range(500).select(M.gen_text("id", F.lit(n), style)).collect()]
+            assert len(set(got)) == 500 or n < 5
+            for t in got:
+                least = {"base64": 4, "json": 20, "xml": 15}.get(style, 0)
+                assert len(t) == (max(n // 4 * 4, 4) if style == "base64" else n) or (n < least and len(t) <= least)
+                if style == "json":
+                    json.loads(t)
+                if style == "base64":
+                    base64.b64decode(t, validate=True)
+
+
+def test_generated_texts_have_a_tail(spark):
+    made = M.generate_table(spark, "x", 5000, [M.ColumnProfile("t", "text", 5000, 0.0, 0.0, 30, 90), M.ColumnProfile("u", "hex", 5000, 0.0, 0.0, 30, 90, 64)])
+    r = made.agg(F.countDistinct("t").alias("n"), F.max(F.length("t")).alias("t"), F.max(F.length("u")).alias("u"), F.avg(F.length("t")).alias("mean")).first()
+    assert (r.n, r.t, r.u) == (5000, 90, 64) and 28 < r.mean < 36
+
+
+def test_unique_prefixes_stay_unique(spark):
+    rows = spark.range(36**6 - 50, 36**6 + 50)
+    assert rows.select(M.unique_prefix("id", F.lit("v"), 20).alias("x")).distinct().count() == 100
+    assert spark.range(1000).select(M.unique_prefix("id", F.lit("v"), 3).alias("x")).distinct().count() == 1000
+
+
+def test_foreign_keys_without_and_with_one_parent(spark):
+    child, parent = spark.range(300), spark.range(5).select(F.col("id").alias("row_index"), (F.col("id") * 10).alias("key"))
+    rows = M.gen_fk(child, "id", 300, parent, 5, 1.0, 0.5, 0.4).collect()
+    assert len(rows) == 300 and 80 < sum(r.key is None for r in rows) < 160 and {r.key for r in rows} == {None, 0, 10, 20, 30, 40}
+    assert M.gen_fk(child, "id", 300, parent, 5, 0.0, 1.0).where("key = 0").count() == 300
+
+
 def test_write_profile(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1)], "column_name string, n long")
     files.write_profile({"columns": rows}, str(tmp_path), "r1")
