@@ -76,6 +76,19 @@ def stats_state(analyzed_at: Number | str, now: Number | str) -> Column:
     return F.when(at.isNull(), "never_analyzed").when(F.timestamp_diff("SECOND", at, _col(now)) <= 7 * 86400, "fresh").otherwise("stale")
 
 
+def evidence_state(applicable: Column, locked: Column, user_supplied: Column, analyzed_at: Column, stale: Column, reliable: Column) -> Column:
+    """The state of a table's optimizer statistics; the first that holds counts.
+
+    stale is what the source says of them, NULL if nothing; reliable: whether what it says can be used at all. NULL flags are false.
+    """
+    yes = lambda flag: F.coalesce(flag, F.lit(False))
+    states = [(~F.coalesce(applicable, F.lit(True)), "not-applicable"), (yes(locked), "locked"), (yes(user_supplied), "user-supplied"), (analyzed_at.isNull(), "never-analyzed"), (yes(stale), "known-stale"), (stale.isNotNull(), "current"), (yes(reliable), "possibly-stale")]
+    out = F
+    for holds, name in states:
+        out = out.when(holds, name)
+    return out.otherwise("unknown")
+
+
 def row_count_quality(external: Column, partitioned: Column, complete: Column, estimate: Column) -> Column:
     return F.when(external | partitioned, "unavailable").when(complete, "exact-read").when(estimate.isNotNull(), "estimate").otherwise("unavailable")
 

@@ -29,34 +29,72 @@ def fk_graph_summary(tables: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("table_id", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.col("touched").isNull().alias("island"))
 
 
-def fk_resolve(edges: DataFrame, keys: DataFrame) -> DataFrame:
+def fk_resolve(edges: DataFrame, keys: DataFrame, columns: DataFrame | None = None) -> DataFrame:
     """edges (edge_id, parent, parent_cols array<int> or NULL, width) with the parent's columns and whether they are an exact key.
 
-    Given columns must be as many as the child's. Without them, the first unique key of the width is taken. keys:
-    table_id, key_no, cols. resolved_cols is NULL where neither holds.
+    Given columns must be as many as the child's, and the parent must have them all. Without them (NULL or empty), the first
+    unique key of the width is taken. keys: table_id, key_no, cols. columns: table_id, cols, those that a table has; without it, given columns
+    are taken to exist. resolved_cols is NULL and exact_key false where nothing fits.
     """
-    keys = keys.select(F.col("table_id").alias("parent"), "key_no", F.col("cols").alias("key_cols"), F.size("cols").alias("key_width"))
+    c = F.col
+    named = F.size("parent_cols") > 0
+    keys = keys.select(c("table_id").alias("parent"), "key_no", c("cols").alias("key_cols"), F.size("cols").alias("key_width"))
     fits = edges.join(keys, (edges.parent == keys.parent) & (edges.width == keys.key_width), "left").drop(keys.parent)
-    exact = F.col("parent_cols").isNull() | (F.col("key_cols") == F.col("parent_cols"))
-    best = fits.withColumn("_k", F.when(F.col("key_cols").isNotNull() & exact, F.struct("key_no", "key_cols")))
+    exact = ~F.coalesce(named, F.lit(False)) | (c("key_cols") == c("parent_cols"))
+    best = fits.withColumn("_k", F.when(c("key_cols").isNotNull() & exact, F.struct("key_no", "key_cols")))
     best = best.groupBy("edge_id", "parent", "parent_cols", "width").agg(F.min("_k")["key_cols"].alias("key_cols"))
-    given = F.when(F.size("parent_cols") == F.col("width"), F.col("parent_cols"))
-    return best.select("edge_id", "parent", "width", F.when(F.col("parent_cols").isNotNull(), given).otherwise(F.col("key_cols")).alias("resolved_cols"), F.col("key_cols").isNotNull().alias("exact_key"))
+    known = F.lit(True)
+    if columns is not None:
+        best = best.join(columns.select(c("table_id").alias("parent"), c("cols").alias("has")), "parent", "left")
+        known = F.coalesce(F.size(F.array_except("parent_cols", "has")) == 0, F.lit(False))
+    given = F.when((F.size("parent_cols") == c("width")) & known, c("parent_cols"))
+    resolved = F.when(F.coalesce(named, F.lit(False)), given).otherwise(c("key_cols"))
+    return best.select("edge_id", "parent", "width", resolved.alias("resolved_cols"), (resolved.isNotNull() & c("key_cols").isNotNull()).alias("exact_key"))
 
 
 def fk_plan_status(edges: DataFrame, tables: DataFrame) -> DataFrame:
-    """(edge_id, status): external, unsupported or emitted. edges: edge_id, child, child_col, parent, width, parent_width.
+    """(edge_id, status) of the edges of planned children: external, unsupported or emitted.
+
+    edges: edge_id, child, child_cols array<int>, parent, parent_cols array<int>, the parent's resolved columns or NULL. tables: table_id, rows, cols.
+    An edge is external if its parent isn't planned. It is unsupported if the parent is empty but the child isn't, a child
+    column is unknown or there is none, the parent's columns aren't resolved or as many, or an emitted edge of a lower
+    id has claimed one of its child columns for another parent column. Edges of children that aren't planned have no row.
 
-    An edge is external if a table isn't planned, unsupported if its parent has no rows, the widths differ or an earlier
-    edge that is neither has claimed the child column for another parent.
+    Claims are settled in rounds: an edge that no open one of a lower id disagrees with is emitted, and those that
+    disagree with an emitted one go. The lowest open edge of each column goes in every round, mostly all of them in two.
     """
     c = F.col
-    planned = tables.select("table_id", "rows")
-    rows = edges.join(planned.select(c("table_id").alias("child"), F.lit(True).alias("has_child")), "child", "left").join(planned.select(c("table_id").alias("parent"), c("rows").alias("parent_rows")), "parent", "left")
-    basic = F.when(c("has_child").isNull() | c("parent_rows").isNull(), "external").when((c("parent_rows") == 0) | (c("width") != c("parent_width")), "unsupported").otherwise("emitted")
-    rows = rows.withColumn("basic", basic)
-    first = F.min(F.when(c("basic") == "emitted", F.struct("edge_id", "parent"))).over(W.partitionBy("child", "child_col"))
-    return rows.withColumn("claim", first).select("edge_id", F.when((c("basic") == "emitted") & (c("claim.parent") != c("parent")), "unsupported").otherwise(c("basic")).alias("status"))
+    ends = lambda side: tables.select(c("table_id").alias(side), c("rows").alias(f"{side}_rows"), c("cols").alias(f"{side}_has"))
+    rows = edges.join(ends("child"), "child").join(ends("parent"), "parent", "left")
+    empty = (c("child_rows") > 0) & (c("parent_rows") == 0)
+    unknown = (F.size("child_cols") < 1) | (F.size(F.array_except("child_cols", "child_has")) > 0)
+    arity = c("parent_cols").isNull() | (F.size("parent_cols") != F.size("child_cols"))
+    basic = F.when(c("parent_rows").isNull(), "external").when(F.coalesce(empty | unknown | arity, F.lit(True)), "unsupported").otherwise("emitted")
+    rows = _cut(rows.select("edge_id", "child", "child_cols", "parent", "parent_cols", basic.alias("status")))
+    links = rows.where("status = 'emitted'").select("edge_id", "child", "parent", F.explode(F.arrays_zip("child_cols", "parent_cols")).alias("m"))
+    open_ = _cut(links.select("edge_id", "child", c("m.child_cols").alias("col"), F.struct("parent", c("m.parent_cols").alias("col")).alias("target")))
+    at, decided = ["child", "col"], rows.select("edge_id", F.lit(True).alias("good")).where("false")
+    while open_.take(1):
+        firsts = open_.groupBy(*at, "target").agg(F.min("edge_id").alias("id"))
+        lead = firsts.groupBy(*at).agg(F.min(F.struct("id", "target")).alias("lead"))
+        other = firsts.join(lead, at).where(c("target") != c("lead.target")).groupBy(*at).agg(F.min("id").alias("other"))
+        seen = open_.join(lead, at).join(other, at, "left")
+        rival = F.when(c("target") == c("lead.target"), c("other")).otherwise(c("lead.id"))  # lowest id that wants another target
+        good = seen.groupBy("edge_id").agg(F.every(F.coalesce(rival >= c("edge_id"), F.lit(True))).alias("good")).where("good")
+        good = _cut(good)
+        taken = open_.join(good, "edge_id", "left_semi").select(*at, c("target").alias("taken")).distinct()
+        left = open_.join(good, "edge_id", "left_anti")
+        bad = left.join(taken, at).where(c("target") != c("taken")).select("edge_id").distinct().withColumn("good", F.lit(False))
+        decided = decided.union(good).union(bad)
+        open_ = _cut(left.join(bad, "edge_id", "left_anti"))
+    out = rows.join(decided, "edge_id", "left")
+    return out.select("edge_id", F.when(c("good") == F.lit(False), "unsupported").otherwise(c("status")).alias("status"))
+
+
+def fk_plan_summary(status: DataFrame) -> DataFrame:
+    """One row: source_edges, emitted, external and unsupported edges of fk_plan_status; zeros for no edges."""
+    count = lambda s: F.count(F.when(F.col("status") == s, 1)).alias(s)
+    return status.agg(F.count("*").alias("source_edges"), count("emitted"), count("external"), count("unsupported"))
 
 
 def _trimmed(links: DataFrame) -> DataFrame:

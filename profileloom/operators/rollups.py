@@ -47,7 +47,7 @@ def merge_cardinality(files: DataFrame, keys: list[str]) -> DataFrame:
     whole = F.count("observed_distinct") == F.count("*")
     pick = lambda c: F.when(whole, c)
     estimate = F.least(F.sum("estimated_distinct"), F.greatest(F.sum("non_null_rows"), F.max("observed_distinct")))
-    return files.groupBy(*keys).agg(pick(F.max("observed_distinct")).alias("observed_distinct"), pick(estimate).alias("estimated_distinct"), pick(F.max("top_value_fraction")).alias("top_value_fraction"), pick(F.max("frequency_max")).alias("frequency_max"), whole.alias("measured"), F.when(whole, "file-overlap-unknown").alias("bias_reason"))
+    return files.groupBy(*keys).agg(pick(F.max("observed_distinct")).alias("observed_distinct"), pick(estimate).alias("estimated_distinct"), pick(F.max("top_value_fraction")).alias("top_value_fraction"), *(pick(F.max(q)).alias(q) for q in ("frequency_p50", "frequency_p95", "frequency_p99", "frequency_max")), whole.alias("measured"), F.when(whole, "file-overlap-unknown").alias("bias_reason"))
 
 
 def merge_compression(files: DataFrame, keys: list[str]) -> DataFrame:

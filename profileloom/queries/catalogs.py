@@ -129,19 +129,29 @@ def fk_resolve(spark, sf_dir):
     return G.fk_resolve(edges, keys).withColumn("resolved_cols", F.to_json("resolved_cols"))
 
 
-@query("""WITH e AS (SELECT o_orderkey AS edge_id, o_custkey AS child, o_orderkey % 5 AS child_col, o_custkey % 11 + o_orderkey % 2 AS parent, o_orderkey % 17 = 0 AS odd FROM orders),
-b AS (SELECT *, CASE WHEN parent >= 10 OR child >= 100000 THEN 'external' WHEN parent = 4 OR odd THEN 'unsupported' ELSE 'emitted' END AS basic FROM e),
-c AS (SELECT *, first_value(parent) OVER (PARTITION BY child, child_col ORDER BY CASE WHEN basic = 'emitted' THEN 0 ELSE 1 END, edge_id) AS claim FROM b)
-SELECT edge_id, CASE WHEN basic = 'emitted' AND claim <> parent THEN 'unsupported' ELSE basic END AS status FROM c""")
+STATUS_SQL = """e AS (SELECT o_orderkey AS edge_id, o_custkey AS child, o_orderkey % 5 AS child_col, o_custkey % 11 + o_orderkey % 2 AS parent, o_orderkey % 17 = 0 AS odd, o_custkey % 10 = 0 AND o_orderkey % 5 = 4 AS no_column FROM orders WHERE o_custkey % 23 <> 0),
+b AS (SELECT *, CASE WHEN parent >= 10 THEN 'external' WHEN (parent = 4 AND child % 6 <> 0) OR odd OR no_column THEN 'unsupported' ELSE 'emitted' END AS basic FROM e),
+c AS (SELECT *, first_value(parent) OVER (PARTITION BY child, child_col ORDER BY CASE WHEN basic = 'emitted' THEN 0 ELSE 1 END, edge_id) AS claim FROM b),
+s AS (SELECT edge_id, CASE WHEN basic = 'emitted' AND claim <> parent THEN 'unsupported' ELSE basic END AS status FROM c)"""
+
+
+@query(f"WITH {STATUS_SQL} SELECT * FROM s")
 def fk_plan_status(spark, sf_dir):
-    """Orders as edges from customers to ten numbered tables, of which number 4 is empty."""
-    o = load(spark, sf_dir, "orders")
-    edges = o.select(F.col("o_orderkey").alias("edge_id"), F.col("o_custkey").alias("child"), (F.col("o_orderkey") % 5).alias("child_col"), (-(F.col("o_custkey") % 11 + F.col("o_orderkey") % 2) - 1).alias("parent"), F.lit(1).alias("width"), F.when(F.col("o_orderkey") % 17 == 0, 2).otherwise(1).alias("parent_width"))
-    tables = o.select(F.col("o_custkey").alias("table_id")).where("table_id < 100000").distinct().withColumn("rows", F.lit(5))
-    parents = spark.range(10).select((-F.col("id") - 1).alias("table_id"), F.when(F.col("id") == 4, 0).otherwise(9).alias("rows"))
+    """Orders as edges from customers, of whom every sixth is empty and every 23rd isn't planned, to ten numbered tables, of which number 4 is empty."""
+    o, k, child = load(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("table_id")
+    parent_cols = F.when(k % 17 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    edges = o.select(k.alias("edge_id"), F.col("o_custkey").alias("child"), F.array((k % 5).cast("int")).alias("child_cols"), (-(F.col("o_custkey") % 11 + k % 2) - 1).alias("parent"), parent_cols.alias("parent_cols"))
+    cols = F.when(child % 10 == 0, F.sequence(F.lit(0), F.lit(3))).otherwise(F.sequence(F.lit(0), F.lit(4)))
+    tables = o.select(F.col("o_custkey").alias("table_id")).where(child % 23 != 0).distinct().select("table_id", F.when(child % 6 == 0, 0).otherwise(5).alias("rows"), cols.alias("cols"))
+    parents = spark.range(10).select((-F.col("id") - 1).alias("table_id"), F.when(F.col("id") == 4, 0).otherwise(9).alias("rows"), F.array(F.lit(1), F.lit(2)).alias("cols"))
     return G.fk_plan_status(edges, tables.union(parents))
 
 
+@query(f"WITH {STATUS_SQL} SELECT count(*) AS source_edges, count(*) FILTER (status = 'emitted') AS emitted, count(*) FILTER (status = 'external') AS external, count(*) FILTER (status = 'unsupported') AS unsupported FROM s")
+def fk_plan_summary(spark, sf_dir):
+    return G.fk_plan_summary(fk_plan_status(spark, sf_dir))
+
+
 #: Links between customers: each one's first and last order, by key, points at another.
 GRAPH_SQL = """k AS (SELECT max(c_custkey) AS top FROM customer), o AS (SELECT o_custkey AS child, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders GROUP BY 1),
 g AS (SELECT child, lo % top + 1 AS parent FROM o, k UNION SELECT child, hi % top + 1 FROM o, k)"""
@@ -199,12 +209,15 @@ def object_edges(spark, sf_dir):
 
 
 @query("""SELECT c_custkey, CASE WHEN last IS NULL THEN 'never_analyzed' WHEN date_diff('second', last, TIMESTAMP '1998-08-02 00:00:00') <= 604800 THEN 'fresh' ELSE 'stale' END AS state,
+CASE WHEN c_custkey % 13 = 0 THEN 'not-applicable' WHEN c_custkey % 11 = 0 THEN 'locked' WHEN c_custkey % 7 = 0 THEN 'user-supplied' WHEN last IS NULL THEN 'never-analyzed' WHEN n > 12 THEN 'known-stale' WHEN n > 8 THEN 'current' WHEN c_custkey % 2 = 0 THEN 'possibly-stale' ELSE 'unknown' END AS evidence,
 CASE WHEN c_custkey % 13 = 0 OR c_custkey % 11 = 0 THEN 'unavailable' WHEN n < 10 THEN 'exact-read' WHEN n IS NOT NULL THEN 'estimate' ELSE 'unavailable' END AS quality
 FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey""")
 def stats_state(spark, sf_dir):
     rows = load(spark, sf_dir, "customer").select("c_custkey").join(load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("last"), F.count("*").alias("n")), "c_custkey", "left")
     quality = T.row_count_quality(F.col("c_custkey") % 13 == 0, F.col("c_custkey") % 11 == 0, F.coalesce(F.col("n") < 10, F.lit(False)), F.col("n"))
-    return rows.select("c_custkey", T.stats_state("last", F.lit("1998-08-02").cast("timestamp")).alias("state"), quality.alias("quality"))
+    k, stale = F.col("c_custkey"), F.when(F.col("n") > 12, True).when(F.col("n") > 8, False)
+    evidence = T.evidence_state(k % 13 != 0, k % 11 == 0, k % 7 == 0, F.col("last"), stale, k % 2 == 0)
+    return rows.select("c_custkey", T.stats_state("last", F.lit("1998-08-02").cast("timestamp")).alias("state"), evidence.alias("evidence"), quality.alias("quality"))
 
 
 @query("SELECT p_brand, CASE WHEN p_size % 4 = 0 THEN 'unavailable' WHEN p_size % 3 = 0 THEN 'exact-read' WHEN p_size > 10 THEN 'estimate' ELSE 'unavailable' END AS quality, count(*) AS n FROM part GROUP BY 1, 2")
@@ -237,47 +250,59 @@ def _h(total: str, n: str) -> str:
 
 
 @query(f"""WITH {COLUMNS_SQL}, k AS (SELECT user_id AS s, CAST(sum(points) AS BIGINT) AS points, count(*) AS nc, CAST(sum(CASE WHEN nf IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS ns, bool_or(biased) AS biased, bool_or(low) AS low FROM pts GROUP BY 1),
-t AS (SELECT user_id AS s, CAST(sum(CASE event_type WHEN 'click' THEN 100 WHEN 'view' THEN 60 END) AS BIGINT) AS fs, count(*) FILTER (event_type IN ('click', 'view')) AS fn, bool_or(event_type = 'view') AS stale FROM events GROUP BY 1),
+t AS (SELECT user_id AS s, CAST(sum(CASE event_id % 8 WHEN 0 THEN 100 WHEN 1 THEN 80 WHEN 2 THEN 75 WHEN 3 THEN 70 WHEN 4 THEN 60 WHEN 5 THEN 30 END) AS BIGINT) AS fs, count(*) FILTER (event_id % 8 < 6) AS fn, bool_or(event_id % 8 = 4) AS stale, bool_or(event_id % 8 = 1) AS possibly, bool_or(event_id % 8 = 5) AS never, bool_or(event_id % 8 = 3) AS locked, bool_or(event_id % 8 = 2) AS supplied FROM events GROUP BY 1),
 e AS (SELECT user_id AS s, CAST(sum(CASE WHEN event_id % 3 = 0 THEN 50 ELSE 100 END) AS BIGINT) AS ev, count(*) AS ne FROM events GROUP BY 1),
-b AS (SELECT *, CASE WHEN s % 3 = 0 THEN 'complete' WHEN s % 3 = 1 THEN 'incomplete' ELSE 'unknown' END AS st, CASE WHEN s % 3 = 0 THEN 100 WHEN s % 3 = 1 THEN 50 ELSE 25 END AS inv, CASE WHEN s % 2 = 0 THEN 100 ELSE 60 END AS top, CASE WHEN s % 5 = 0 THEN 100 ELSE 50 END AS siz FROM k JOIN t USING (s) JOIN e USING (s)),
+b AS (SELECT *, CASE WHEN s % 3 = 0 THEN 'complete' WHEN s % 3 = 1 THEN 'incomplete' ELSE 'unknown' END AS st, CASE WHEN s % 3 = 0 THEN 100 WHEN s % 3 = 1 THEN 50 ELSE 25 END AS inv, CASE WHEN s % 7 = 0 THEN CASE s % 3 WHEN 0 THEN 100 WHEN 1 THEN 50 ELSE 25 END WHEN s % 4 = 1 THEN 100 WHEN s % 4 = 2 THEN 60 ELSE 40 END AS top,
+  CASE WHEN s % 5 < 2 THEN 0 WHEN s % 3 = 0 THEN 25 WHEN s % 5 = 2 THEN 50 WHEN s % 4 = 0 THEN 25 WHEN s % 5 = 3 THEN 80 WHEN s % 2 = 0 THEN 100 ELSE 25 END AS art, CASE WHEN s % 5 = 0 THEN 100 ELSE 50 END AS siz FROM k JOIN t USING (s) JOIN e USING (s)),
 c AS (SELECT *, CASE WHEN fn > 0 THEN {_h('inv * ((300 + ' + _h('fs', 'fn') + ' + 2) // 4)', '100')} ELSE inv END AS rs FROM b),
 d AS (SELECT *, (3 * inv + top + 2) // 4 AS structure_score, (rs + siz + 1) // 2 AS sizing_score, {_h('points', 'nc')} AS column_score, {_h('ev', 'ne')} AS relationship_score FROM c),
-f AS (SELECT *, (structure_score * 30 + sizing_score * 25 + column_score * 30 + relationship_score * 10 + 80 * 5 + 50) // 100 AS overall_score FROM d)
+f AS (SELECT *, (structure_score * 30 + sizing_score * 25 + column_score * 30 + relationship_score * 10 + art * 5 + 50) // 100 AS overall_score FROM d)
 SELECT s AS source_id, CAST(structure_score AS BIGINT) AS structure_score, CAST(sizing_score AS BIGINT) AS sizing_score, CAST(column_score AS BIGINT) AS column_score, CAST(relationship_score AS BIGINT) AS relationship_score, CAST(overall_score AS BIGINT) AS overall_score,
   CASE WHEN overall_score >= 90 THEN 'high' WHEN overall_score >= 75 THEN 'good' WHEN overall_score >= 50 THEN 'moderate' ELSE 'low' END AS band,
-  array_to_string([x FOR x IN [CASE WHEN biased THEN 'biased-column-sampling' END, CASE WHEN low THEN 'cardinality-lower-bounds' END, CASE WHEN ns = 0 THEN 'column-statistics-not-sampled' END, CASE WHEN ns > 0 AND ns < nc THEN 'column-statistics-partial' END, CASE WHEN ev < 100 * ne THEN 'relationship-statistics-partial' END, CASE WHEN inv < 100 THEN 'row-count-coverage-not-complete' END, CASE WHEN siz < 100 THEN 'size-coverage-not-complete' END, CASE WHEN inv < 100 THEN 'table-inventory-not-complete' END, CASE WHEN stale THEN 'table-statistics-stale' END, CASE WHEN top = 60 THEN 'topology-visibility-partial' END] IF x IS NOT NULL], ',') AS limitations FROM f""")
+  array_to_string([x FOR x IN [CASE WHEN s % 5 > 0 AND s % 3 = 0 THEN 'artifact-inventory-incomplete' END, CASE WHEN s % 5 = 0 THEN 'artifact-inventory-not-requested' END, CASE WHEN biased THEN 'biased-column-sampling' END, CASE WHEN low THEN 'cardinality-lower-bounds' END, CASE WHEN ns = 0 THEN 'column-statistics-not-sampled' END, CASE WHEN ns > 0 AND ns < nc THEN 'column-statistics-partial' END, CASE WHEN ev < 100 * ne THEN 'relationship-statistics-partial' END, CASE WHEN inv < 100 THEN 'row-count-coverage-not-complete' END, CASE WHEN siz < 100 THEN 'size-coverage-not-complete' END, CASE WHEN inv < 100 THEN 'table-inventory-not-complete' END, CASE WHEN locked THEN 'table-statistics-locked' END, CASE WHEN never THEN 'table-statistics-never-analyzed' END, CASE WHEN possibly THEN 'table-statistics-possibly-stale' END, CASE WHEN stale THEN 'table-statistics-stale' END, CASE WHEN supplied THEN 'table-statistics-user-supplied' END, CASE WHEN s % 7 > 0 AND s % 4 = 2 THEN 'topology-visibility-partial' END, CASE WHEN s % 7 > 0 AND s % 4 IN (0, 3) THEN 'topology-visibility-unknown' END] IF x IS NOT NULL], ',') AS limitations FROM f""")
 def fidelity_score(spark, sf_dir):
     """Users as sources: their events as tables and edges, types of events as columns."""
     events, columns = load(spark, sf_dir, "events"), _profiled(spark, sf_dir)
     u = F.col("source_id")
     state = F.when(u % 3 == 0, "complete").when(u % 3 == 1, "incomplete").otherwise("unknown")
-    sources = events.select(F.col("user_id").alias("source_id")).distinct().select("source_id", state.alias("inventory"), state.alias("row_coverage"), F.when(u % 5 == 0, "complete").otherwise("incomplete").alias("size_coverage"), F.when(u % 2 == 0, "full").otherwise("partial").alias("topology"), F.lit(80).alias("artifact_points"))
-    tables = events.select(F.col("user_id").alias("source_id"), F.when(F.col("event_type") == "click", "current").when(F.col("event_type") == "view", "known-stale").otherwise("unknown").alias("statistics_state"))
+    detail = F.element_at(F.array(F.lit(None).cast("string"), *map(F.lit, ("none", "summary", "graph", "analyzed"))), (u % 5 + 1).cast("int"))
+    states = F.array(*map(F.lit, ("current", "possibly-stale", "user-supplied", "locked", "known-stale", "never-analyzed", "unknown", "not-applicable")))
+    sources = events.select(F.col("user_id").alias("source_id")).distinct().select("source_id", state.alias("inventory"), state.alias("row_coverage"), F.when(u % 5 == 0, "complete").otherwise("incomplete").alias("size_coverage"), F.when(u % 4 == 1, "full").when(u % 4 == 2, "partial").when(u % 4 == 3, "unknown").alias("topology"), F.when(u % 7 == 0, "parquet").otherwise("postgresql").alias("engine"), detail.alias("object_detail"), (u % 3 != 0).alias("objects_complete"), (u % 4 != 0).alias("dependencies_complete"), (u % 2 == 0).alias("analysis_complete"))
+    tables = events.select(F.col("user_id").alias("source_id"), F.element_at(states, (F.col("event_id") % 8 + 1).cast("int")).alias("statistics_state"))
     edges = events.select(F.col("user_id").alias("source_id"), (F.col("event_id") % 3 != 0).alias("has_statistics"))
     columns = columns.select(F.col("user_id").alias("source_id"), "points", F.col("null_fraction").isNotNull().alias("sampled"), "biased", "lower_bound")
     return Q.fidelity_score(sources, tables, columns, edges)
 
 
 @query("""WITH p AS (SELECT o_custkey AS id, count(*) AS n, CAST(sum(CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END) AS BIGINT) AS nn, count(DISTINCT o_orderpriority) AS d, max(o_orderkey) % 7 AS m FROM orders GROUP BY 1)
-SELECT id AS table_id, rule FROM p, (VALUES ('bias-needs-reason'), ('distinct-above-non-null'), ('estimate-below-observed'), ('fraction-out-of-range'), ('max-frequency-above-rows'), ('nothing-known-but-counted'), ('null-fraction-disagrees')) r(rule)
-WHERE CASE rule WHEN 'bias-needs-reason' THEN m = 3 WHEN 'distinct-above-non-null' THEN d > nn WHEN 'estimate-below-observed' THEN m <> 0 AND m < d WHEN 'nothing-known-but-counted' THEN nn = 0 AND m <> 0 WHEN 'fraction-out-of-range' THEN m > 4 WHEN 'max-frequency-above-rows' THEN m > nn ELSE m = 1 AND n >= 2 END""")
+SELECT id AS table_id, rule FROM p, (VALUES ('bias-needs-reason'), ('distinct-above-non-null'), ('estimate-below-observed'), ('fraction-out-of-range'), ('max-frequency-above-rows'), ('nothing-known-but-counted'), ('null-fraction-disagrees'), ('complete-read-disagrees'), ('above-exact-population')) r(rule)
+WHERE CASE rule WHEN 'complete-read-disagrees' THEN id % 4 = 0 AND (id % 8 = 0 OR id % 3 = 0 OR m > n + CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END) WHEN 'above-exact-population' THEN id % 5 = 0 AND m > n + CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END WHEN 'bias-needs-reason' THEN m = 3 WHEN 'distinct-above-non-null' THEN d > nn WHEN 'estimate-below-observed' THEN m <> 0 AND m < d WHEN 'nothing-known-but-counted' THEN nn = 0 AND m <> 0 WHEN 'fraction-out-of-range' THEN m > 4 WHEN 'max-frequency-above-rows' THEN m > nn ELSE m = 1 AND n >= 2 END""")
 def contract_violations(spark, sf_dir):
     """A profile for each customer, wrong in some ways by number."""
     m, n, nn, d = (F.col(k) for k in ("m", "n", "nn", "d"))
     p = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("table_id")).agg(F.count("*").alias("n"), F.sum((F.col("o_orderstatus") != "F").cast("long")).alias("nn"), F.countDistinct("o_orderpriority").alias("d"), (F.max("o_orderkey") % 7).alias("m"))
-    rows = p.select("table_id", n.alias("sample_rows"), nn.alias("non_null_rows"), d.alias("observed_distinct"), m.alias("estimated_distinct"), (m / 4).alias("top_value_fraction"), *(m.alias(f"frequency_{x}") for x in ("p50", "p95", "p99", "max")), F.when((m == 1) & (n >= 2), (n - nn) / n + 0.6).otherwise((n - nn) / n).alias("null_fraction"), (m == 3).alias("sampled_with_bias"), F.lit("").alias("bias_reason"))
+    rows = p.select("table_id", n.alias("sample_rows"), nn.alias("non_null_rows"), d.alias("observed_distinct"), m.alias("estimated_distinct"), (m / 4).alias("top_value_fraction"), *(m.alias(f"frequency_{x}") for x in ("p50", "p95", "p99", "max")), F.when((m == 1) & (n >= 2), (n - nn) / n + 0.6).otherwise((n - nn) / n).alias("null_fraction"), (m == 3).alias("sampled_with_bias"), F.lit("").alias("bias_reason"), (n + (F.col("table_id") % 3 == 0).cast("long")).alias("table_rows"), (F.col("table_id") % 4 == 0).alias("complete_source_read"), (F.col("table_id") % 8 != 0).alias("measured"), (F.col("table_id") % 5 == 0).alias("exact_population"))
     return Q.contract_violations(rows, ["table_id"], Q.cardinality_rules())
 
 
 @query("""WITH f AS (SELECT l_partkey AS edge_id, count(*) AS n, count(DISTINCT l_suppkey) AS d, CAST(sum(CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END) AS BIGINT) AS orphans FROM lineitem GROUP BY 1),
-r AS (SELECT edge_id, unnest([CASE WHEN d > n - orphans THEN 'parents-above-rows' END, CASE WHEN orphans > n - orphans THEN 'orphans-above-rows' END, CASE WHEN edge_id % 2 = 0 AND orphans > 0 THEN 'validated-with-orphans' END, CASE WHEN d / 10 > 1 THEN 'coverage-out-of-range' END]) AS rule FROM f) SELECT * FROM r WHERE rule IS NOT NULL""")
+r AS (SELECT edge_id, unnest([CASE WHEN d > n - orphans THEN 'parents-above-rows' END, CASE WHEN orphans > n - orphans THEN 'orphans-above-rows' END, CASE WHEN edge_id % 2 = 0 AND orphans > 0 THEN 'validated-with-orphans' END, CASE WHEN d / 10 > 1 THEN 'coverage-out-of-range' END, CASE WHEN edge_id % 3 = 0 THEN 'bias-needs-reason' END, CASE WHEN edge_id % 5 = 0 AND orphans > 0 THEN 'fan-out-above-rows' END, CASE WHEN edge_id % 7 > 3 OR CASE WHEN edge_id % 5 = 0 THEN n ELSE n - orphans END < 3 OR edge_id % 7 = 0 THEN 'fan-outs-out-of-order' END, CASE WHEN edge_id % 9 = 0 AND n - orphans > 20 THEN 'non-null-above-sample' END]) AS rule FROM f) SELECT * FROM r WHERE rule IS NOT NULL""")
 def relationship_violations(spark, sf_dir):
     """Parts as edges to ten suppliers; first lines of orders count as orphans."""
     f = load(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("edge_id")).agg(F.count("*").alias("n"), F.countDistinct("l_suppkey").alias("distinct_parents"), F.sum((F.col("l_linenumber") == 1).cast("long")).alias("orphan_rows"))
-    rows = f.select("edge_id", "distinct_parents", "orphan_rows", (F.col("n") - F.col("orphan_rows")).alias("non_null_rows"), (F.col("distinct_parents") / 10).alias("coverage"), (F.col("edge_id") % 2 == 0).alias("validated"))
+    rows = f.select("edge_id", "distinct_parents", "orphan_rows", (F.col("n") - F.col("orphan_rows")).alias("non_null_rows"), (F.col("distinct_parents") / 10).alias("coverage"), (F.col("edge_id") % 2 == 0).alias("validated"), F.when(F.col("edge_id") % 9 == 0, 20).otherwise(F.col("n")).alias("sample_rows"), F.lit(1).alias("fanout_p50"), (F.col("edge_id") % 7).alias("fanout_p95"), F.lit(3).alias("fanout_p99"), F.when(F.col("edge_id") % 5 == 0, F.col("n")).otherwise(F.col("n") - F.col("orphan_rows")).alias("fanout_max"), (F.col("edge_id") % 3 == 0).alias("sampled_with_bias"), F.lit("").alias("bias_reason"))
     return Q.contract_violations(rows, ["edge_id"], Q.relationship_rules())
 
 
+@query("""SELECT * FROM (SELECT o_orderkey AS edge_id, unnest([CASE WHEN o_orderkey % 4 = 1 AND o_custkey % 2 = 0 THEN 'deferred-not-deferrable' END, CASE WHEN o_orderpriority = '1-URGENT' THEN 'unknown-delete-action' END, CASE WHEN o_orderstatus = 'P' THEN 'unknown-match' END, CASE WHEN o_custkey % 7 = 6 THEN 'unknown-update-action' END]) AS rule FROM orders) WHERE rule IS NOT NULL""")
+def foreign_key_violations(spark, sf_dir):
+    """Orders as foreign keys, whose actions and matches follow from number, priority and status."""
+    k, u = F.col("o_orderkey"), F.col("o_custkey")
+    actions = F.array(*map(F.lit, (*Q.ACTIONS, "drop")))
+    rows = load(spark, sf_dir, "orders").select(k.alias("edge_id"), (k % 4 == 1).alias("initially_deferred"), (u % 2 == 1).alias("deferrable"), F.element_at(actions, (u % 7 + 1).cast("int")).alias("on_update"), F.when(F.col("o_orderpriority") == "1-URGENT", "erase").otherwise("cascade").alias("on_delete"), F.when(F.col("o_orderstatus") == "P", "some").otherwise("full").alias("match_type"))
+    return Q.contract_violations(rows, ["edge_id"], Q.foreign_key_rules())
+
+
 @query("""SELECT l_suppkey AS source_id, 'row-total-differs' AS rule FROM lineitem GROUP BY 1 HAVING l_suppkey % 6 = 0 UNION ALL SELECT l_suppkey, 'byte-total-differs' FROM lineitem GROUP BY 1 HAVING l_suppkey % 9 = 0""")
 def totals_violations(spark, sf_dir):
     """Suppliers' totals, some one too high, against the sums of their parts."""

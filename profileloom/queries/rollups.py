@@ -39,14 +39,14 @@ def schema_compatible(spark, sf_dir):
 
 
 FILES_SQL = """f AS (SELECT source, doc_id % 8 AS file, count(*) AS sample_rows, count(*) FILTER (doc_id % 5 <> 0) AS non_null_rows, CAST(avg(n_chars) AS BIGINT) AS length_avg, max(n_chars) AS length_p95, CAST(sum(n_chars) AS BIGINT) AS stored_bytes, CASE WHEN doc_id % 8 < 4 THEN 'SNAPPY' ELSE 'ZSTD' END AS codec,
-  count(DISTINCT lang) AS observed_distinct, count(DISTINCT lang) * 3 AS estimated_distinct, count(DISTINCT lang) / count(*) AS top_value_fraction, count(*) AS frequency_max FROM documents GROUP BY 1, 2, 8)"""
+  count(DISTINCT lang) AS observed_distinct, count(DISTINCT lang) * 3 AS estimated_distinct, count(DISTINCT lang) / count(*) AS top_value_fraction, count(*) AS frequency_max, count(*) // 4 AS frequency_p50, count(*) // 3 AS frequency_p95, count(*) // 2 AS frequency_p99 FROM documents GROUP BY 1, 2, 8)"""
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents dealt over eight files by source, each file with a profile."""
     file = F.col("doc_id") % 8
     langs = F.countDistinct("lang")
-    return load(spark, sf_dir, "documents").groupBy("source", file.alias("file"), F.when(file < 4, "SNAPPY").otherwise("ZSTD").alias("codec")).agg(F.count("*").alias("sample_rows"), F.sum((F.col("doc_id") % 5 != 0).cast("long")).alias("non_null_rows"), F.expr("cast(bround(avg(n_chars)) as bigint)").alias("length_avg"), F.max("n_chars").alias("length_p95"), F.sum("n_chars").alias("stored_bytes"), langs.alias("observed_distinct"), (langs * 3).alias("estimated_distinct"), (langs / F.count("*")).alias("top_value_fraction"), F.count("*").alias("frequency_max"))
+    return load(spark, sf_dir, "documents").groupBy("source", file.alias("file"), F.when(file < 4, "SNAPPY").otherwise("ZSTD").alias("codec")).agg(F.count("*").alias("sample_rows"), F.sum((F.col("doc_id") % 5 != 0).cast("long")).alias("non_null_rows"), F.expr("cast(bround(avg(n_chars)) as bigint)").alias("length_avg"), F.max("n_chars").alias("length_p95"), F.sum("n_chars").alias("stored_bytes"), langs.alias("observed_distinct"), (langs * 3).alias("estimated_distinct"), (langs / F.count("*")).alias("top_value_fraction"), F.count("*").alias("frequency_max"), *(F.expr(f"count(*) div {k}").alias(f"frequency_p{p}") for p, k in ((50, 4), (95, 3), (99, 2))))
 
 
 @query(f"WITH {FILES_SQL} SELECT source, count(*) AS files, CAST(sum(sample_rows) AS BIGINT) AS sample_rows, CAST(sum(non_null_rows) AS BIGINT) AS non_null_rows, CASE WHEN sum(non_null_rows) > 0 THEN CAST((sum(length_avg * non_null_rows) + sum(non_null_rows) // 2) // sum(non_null_rows) AS BIGINT) END AS length_avg, max(length_p95) AS length_p95, (sum(sample_rows) - sum(non_null_rows)) / sum(sample_rows) AS null_fraction, CAST(sum(stored_bytes) AS BIGINT) AS stored_bytes, array_to_string(list_sort(list(DISTINCT codec)), ',') AS codecs FROM f GROUP BY 1")
@@ -54,7 +54,7 @@ def merge_file_profiles(spark, sf_dir):
     return U.merge_file_profiles(_files(spark, sf_dir), ["source"])
 
 
-@query(f"WITH {FILES_SQL}, g AS (SELECT source, CASE WHEN file = 7 AND source = 'src2' THEN NULL ELSE observed_distinct END AS o, * FROM f) SELECT source, CASE WHEN count(o) = count(*) THEN max(o) END AS observed_distinct, CASE WHEN count(o) = count(*) THEN CAST(least(sum(estimated_distinct), greatest(sum(non_null_rows), max(o))) AS BIGINT) END AS estimated_distinct, CASE WHEN count(o) = count(*) THEN max(top_value_fraction) END AS top_value_fraction, CASE WHEN count(o) = count(*) THEN max(frequency_max) END AS frequency_max, count(o) = count(*) AS measured, CASE WHEN count(o) = count(*) THEN 'file-overlap-unknown' END AS bias_reason FROM g GROUP BY source")
+@query(f"WITH {FILES_SQL}, g AS (SELECT source, CASE WHEN file = 7 AND source = 'src2' THEN NULL ELSE observed_distinct END AS o, * FROM f) SELECT source, CASE WHEN count(o) = count(*) THEN max(o) END AS observed_distinct, CASE WHEN count(o) = count(*) THEN CAST(least(sum(estimated_distinct), greatest(sum(non_null_rows), max(o))) AS BIGINT) END AS estimated_distinct, CASE WHEN count(o) = count(*) THEN max(top_value_fraction) END AS top_value_fraction, CASE WHEN count(o) = count(*) THEN max(frequency_max) END AS frequency_max, CASE WHEN count(o) = count(*) THEN max(frequency_p50) END AS frequency_p50, CASE WHEN count(o) = count(*) THEN max(frequency_p95) END AS frequency_p95, CASE WHEN count(o) = count(*) THEN max(frequency_p99) END AS frequency_p99, count(o) = count(*) AS measured, CASE WHEN count(o) = count(*) THEN 'file-overlap-unknown' END AS bias_reason FROM g GROUP BY source")
 def merge_cardinality(spark, sf_dir):
     rows = _files(spark, sf_dir).withColumn("observed_distinct", F.when(~((F.col("file") == 7) & (F.col("source") == "src2")), F.col("observed_distinct")))
     return U.merge_cardinality(rows, ["source"])

@@ -149,6 +149,48 @@ def test_load_levels_have_no_cap(spark):
     assert {tuple(r) for r in G.fk_load_level(tables, edges).collect()} == {(k, k) for k in range(5)}
 
 
+def test_plan_status_settles_claims_in_order(spark):
+    """Edges of several columns against a walk over them in order, in which only emitted edges claim."""
+    import random
+
+    dice = random.Random(4)
+    tables = [(t, dice.choice((0, 5, 5, 5)), [1, 2, 3]) for t in range(5)]
+    edges = []
+    for e in range(120):
+        child_cols = dice.sample([1, 2, 3, 3, 9] if e % 9 == 0 else [1, 2, 3], dice.choice((1, 1, 2)))
+        parent_cols = None if e % 13 == 0 else dice.choices([1, 2], k=len(child_cols) if e % 11 else 3)
+        edges.append((e, dice.randrange(6), child_cols, dice.randrange(6), parent_cols))
+    has, claims, want = {t: (r, cols) for t, r, cols in tables}, {}, {}
+    for e, child, child_cols, parent, parent_cols in edges:
+        if child not in has:
+            continue
+        if parent not in has:
+            want[e] = "external"
+            continue
+        pairs = [((child, a), (parent, b)) for a, b in zip(child_cols, parent_cols or [], strict=False)]
+        bad = (has[child][0] and not has[parent][0]) or not set(child_cols) <= set(has[child][1]) or parent_cols is None or len(parent_cols) != len(child_cols)
+        if bad or any(claims.get(a, b) != b for a, b in pairs):
+            want[e] = "unsupported"
+            continue
+        want[e] = "emitted"
+        for a, b in pairs:
+            claims.setdefault(a, b)
+    df = spark.createDataFrame(edges, "edge_id int, child int, child_cols array<int>, parent int, parent_cols array<int>")
+    status = G.fk_plan_status(df, spark.createDataFrame(tables, "table_id int, rows int, cols array<int>"))
+    assert {tuple(r) for r in status.collect()} == set(want.items())
+    summary = G.fk_plan_summary(status).first()
+    assert summary.source_edges == len(want) and summary.external == list(want.values()).count("external")
+    assert tuple(G.fk_plan_summary(status.where("false")).first()) == (0, 0, 0, 0)
+
+
+def test_given_parent_columns_must_exist(spark):
+    edges = spark.createDataFrame([(1, "a", [1], 1), (2, "a", [7], 1), (3, "a", [], 1), (4, "b", [1], 1), (5, "b", None, 1)], "edge_id int, parent string, parent_cols array<int>, width int")
+    keys = spark.createDataFrame([("a", 1, [1]), ("a", 2, [2])], "table_id string, key_no int, cols array<int>")
+    columns = spark.createDataFrame([("a", [1, 2])], "table_id string, cols array<int>")
+    got = {r.edge_id: (r.resolved_cols, r.exact_key) for r in G.fk_resolve(edges, keys, columns).collect()}
+    assert got == {1: ([1], True), 2: (None, False), 3: ([1], True), 4: (None, False), 5: (None, False)}
+
+
 def test_bundles(spark):
     schema = "source_id string, relationship string, group_id string, group_complete boolean, succeeded boolean, scope string, table_count long, row_count long, table_bytes long, index_bytes long"
     rows = [("a", "independent", "g1", True, True, "complete", 1, 10, 100, 5), ("b", "replica", "g2", True, True, "complete", 2, 20, 200, 6), ("c", "replica", "g2", True, True, "complete", 2, 21, 200, 6), ("d", "shard", "g3", True, True, "complete", 3, 30, 300, 7), ("e", "shard", "g3", True, False, "complete", 3, 30, 300, 7)]
@@ -161,6 +203,7 @@ def test_bundles(spark):
 
 def test_violations(spark):
     rows = spark.createDataFrame([(1, 0.5, 10, 3, True), (2, 1.5, 2, 3, False)], "edge_id int, coverage double, non_null_rows long, orphan_rows long, validated boolean").withColumn("distinct_parents", F.lit(1))
+    rows = rows.withColumns({"sample_rows": F.lit(10), **{f"fanout_{q}": F.lit(1) for q in ("p50", "p95", "p99", "max")}, "sampled_with_bias": F.lit(None).cast("boolean"), "bias_reason": F.lit(None).cast("string")})
     got = {tuple(r) for r in Q.contract_violations(rows, ["edge_id"], Q.relationship_rules()).collect()}
     assert got == {(1, "validated-with-orphans"), (2, "coverage-out-of-range"), (2, "orphans-above-rows")}
 
