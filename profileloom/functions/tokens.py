@@ -15,7 +15,13 @@ COUNT_BANDS = ((1, 2, 5, 9, 17, 33), ("0", "1", "2-4", "5-8", "9-16", "17-32", "
 BYTE_BANDS = ((1, 256, 1024, 4096, 16384, 65536), ("0", "1-255", "256-1k", "1k-4k", "4k-16k", "16k-64k", "64k+"))
 PERCENT_BANDS = ((25, 50, 75, 100), ("under-25pct", "25-49pct", "50-74pct", "75-99pct", "full"))
 
-#: Native type names by family.
+GIB = 1 << 30
+CPU_BANDS = ((1, 2, 3, 5, 9, 17, 33, 65, 129), ("unknown", "1", "2", "3-4", "5-8", "9-16", "17-32", "33-64", "65-128", "129-plus"))
+MEMORY_BANDS = ((1, 2 * GIB, 4 * GIB, 8 * GIB, 16 * GIB, 32 * GIB, 64 * GIB, 128 * GIB, 256 * GIB, 512 * GIB), ("unknown", "under-2-gib", "2-4-gib", "4-8-gib", "8-16-gib", "16-32-gib", "32-64-gib", "64-128-gib", "128-256-gib", "256-512-gib", "512-gib-plus"))
+CONNECTION_BANDS = ((1, 2, 6, 21, 101, 501, 2001), ("none", "1", "2-5", "6-20", "21-100", "101-500", "501-2000", "2001-plus"))
+RATE_BANDS = ((1, 11, 101, 1001, 10001), ("under-1", "1-10", "11-100", "101-1000", "1001-10000", "10000-plus"))
+
+#: Native type names by family, of PostgreSQL, MySQL and SQL Server.
 TYPE_FAMILIES = {
     "boolean": ("boolean", "bool"),
     "smallint": ("smallint", "int2"),
@@ -33,6 +39,32 @@ TYPE_FAMILIES = {
     "binary": ("bytea", "binary"),
     "vector": ("vector",),
 }
+MYSQL_FAMILIES = {
+    "integer": ("tinyint", "smallint", "mediumint", "int", "integer", "bigint"),
+    "numeric": ("decimal", "numeric"),
+    "float": ("float", "real"),
+    "double": ("double",),
+    "boolean": ("bit", "bool", "boolean"),
+    "year": ("year",),
+    "date": ("date",),
+    "time": ("time",),
+    "timestamp": ("datetime", "timestamp"),
+    "json": ("json",),
+    "text": ("char", "varchar", "tinytext", "text", "mediumtext", "longtext", "enum", "set"),
+    "binary": ("binary", "varbinary", "tinyblob", "blob", "mediumblob", "longblob", "geometry", "point", "linestring", "polygon", "multipoint", "multilinestring", "multipolygon", "geometrycollection"),
+}
+MSSQL_FAMILIES = {
+    "integer": ("bigint", "int", "smallint", "tinyint"),
+    "numeric": ("decimal", "numeric", "money", "smallmoney"),
+    "float": ("float", "real"),
+    "boolean": ("bit",),
+    "text": ("varchar", "char", "nvarchar", "nchar", "text", "ntext", "xml"),
+    "binary": ("varbinary", "binary", "image", "geography", "geometry", "hierarchyid", "rowversion", "timestamp"),
+    "uuid": ("uniqueidentifier",),
+    "date": ("date",),
+    "timestamp": ("datetime", "datetime2", "smalldatetime", "datetimeoffset"),
+    "time": ("time",),
+}
 
 
 def band(x: Number | str, edges: Sequence[int], names: Sequence[str]) -> Column:
@@ -52,21 +84,61 @@ def byte_band(x: Number | str) -> Column:
     return band(x, *BYTE_BANDS)
 
 
+def cpu_band(x: Number | str) -> Column:
+    return band(x, *CPU_BANDS)
+
+
+def memory_band(x: Number | str) -> Column:
+    return band(x, *MEMORY_BANDS)
+
+
+def connection_band(x: Number | str) -> Column:
+    return band(x, *CONNECTION_BANDS)
+
+
+def rate_band(x: Number | str) -> Column:
+    """The band of a rate a second, rounded up from 1 on; none where nothing happens."""
+    x = _col(x)
+    return F.when(x <= 0, "none").otherwise(band(F.when(x < 1, 0).otherwise(F.ceil(x)), *RATE_BANDS))
+
+
 def sample_fraction_band(rows: Number | str, sample: Number | str) -> Column:
     rows, sample = _col(rows), _col(sample)
     share = div(sample.cast("decimal(20,0)") * 100, F.when(rows != 0, rows).cast("decimal(20,0)"))
     return band(share, *PERCENT_BANDS)
 
 
-def normalize_type(native: Number | str) -> Column:
-    """The family of a native type name: arguments are dropped, but numeric keeps its digits and arrays their element type."""
+def _family(head: Column, families: dict[str, tuple[str, ...]], out: Column | type) -> Column:
+    for family, names in families.items():
+        out = out.when(head.isin(*names), family)
+    return out.otherwise("user-defined")
+
+
+def normalize_type(native: Number | str, engine: Number | str = "postgresql") -> Column:
+    """The family of a native type name of postgresql, mysql or mssql; engine is one of these names or a column of them, others are user-defined.
+
+    Arguments are dropped, but numeric keeps its digits and arrays their element type in PostgreSQL, decimals their digits in SQL
+    Server, and in MySQL more than one bit is binary. NULL types are user-defined.
+    """
     text = F.lower(F.trim(_col(native)))
+    head = F.regexp_extract(text, "^[a-z0-9_]+", 0)
+    mysql = _family(head, MYSQL_FAMILIES, F.when((head == "bit") & text.rlike(r"\(\s*0*([2-9]|[1-9][0-9]+)\s*\)"), "binary"))
+    digits = text.rlike(r"^(decimal|numeric)\([0-9,\s]+\)$")
+    mssql = _family(head, MSSQL_FAMILIES, F.when(digits, F.regexp_replace(text, r"\s", "")))
+    known = {"postgresql": _postgresql_family(text), "mysql": mysql, "mssql": mssql}
+    if isinstance(engine, str) and engine in known:
+        return known[engine]
+    out = F
+    for name, family in known.items():
+        out = out.when(_col(engine) == name, family)
+    return out.otherwise("user-defined")
+
+
+def _postgresql_family(text: Column) -> Column:
     array, inner = text.endswith("[]"), F.regexp_replace(text, r"(\[\])+$", "")
     head = F.trim(F.regexp_replace(inner, r"(?s)\(.*$", ""))
     out = F.when(head.isin("numeric", "decimal"), F.when(inner.rlike(r"^(numeric|decimal)\([0-9, -]*\)$"), F.concat(F.lit("numeric"), F.regexp_replace(F.regexp_replace(inner, "^[a-z]+", ""), " ", ""))).otherwise("numeric"))
-    for family, names in TYPE_FAMILIES.items():
-        out = out.when(head.isin(*names), family)
-    out = out.otherwise("user-defined")
+    out = _family(head, TYPE_FAMILIES, out)
     return F.when(array, F.concat(F.lit("array<"), out, F.lit(">"))).otherwise(out)
 
 
@@ -135,8 +207,7 @@ def keyed_hash(domain: str, columns: Sequence[Column], key: bytes, namespace: st
 
 
 def letters(n: Number | str) -> Column:
-    """1 to A, 26 to Z, 27 to AA."""
-    n = _col(n).cast("long")
-    one = lambda x: F.char(x + 65)
-    high, low = div(n - 1, 26), (n - 1) % 26
-    return F.concat(F.when(high > 26, one(div(high - 1, 26) - 1)).otherwise(""), F.when(high > 0, one((high - 1) % 26)).otherwise(""), one(low))
+    """1 to A, 26 to Z, 27 to AA, and so on for any long; nothing for 0."""
+    step = lambda x, _: F.when(x["left"] > 0, F.struct(div(x["left"] - 1, 26).alias("left"), F.concat(F.char((x["left"] - 1) % 26 + 65), x["made"]).alias("made"))).otherwise(x)
+    start = F.struct(_col(n).cast("long").alias("left"), F.lit("").alias("made"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step)["made"]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from profileloom.functions.tokens import COUNT_BANDS, count_band
+from profileloom.functions.tokens import COUNT_BANDS, count_band, letters
 
 #: Features by the words that show them.
 FEATURES = {"branch": ("if", "case", "when", "elsif"), "loop": ("loop", "while", "for"), "join": ("join",), "aggregate": ("group", "having"), "set": ("union", "intersect", "except"), "write": ("insert", "update", "delete", "merge"), "cte": ("with", "recursive"), "dynamic": ("execute", "immediate"), "transaction": ("commit", "rollback"), "exception": ("exception", "raise")}
@@ -49,6 +49,21 @@ def anonymous_ids(df: DataFrame, kind: str, hash_: str) -> DataFrame:
     return numbered(df, kind, hash_).withColumn("object_id", label(F.col(kind), F.col("number"))).drop("number")
 
 
+def schema_ids(schemas: DataFrame, hash_: str) -> DataFrame:
+    """schemas, one row each, with schema_id: schema-A to schema-Z, schema-AA and so on by a keyed hash."""
+    numbered_ = numbered(schemas.withColumn("_all", F.lit("schema")), "_all", hash_)
+    return numbered_.withColumn("schema_id", F.concat(F.lit("schema-"), letters(F.col("number")))).drop("number", "_all")
+
+
+def column_id(ordinal: Column) -> Column:
+    return F.concat(F.lit("col-"), ordinal.cast("string"))
+
+
+def index_ids(indexes: DataFrame, table: str, hash_: str) -> DataFrame:
+    """indexes with index_id: idx-1 and so on within their table by a keyed hash."""
+    return numbered(indexes, table, hash_).withColumn("index_id", F.concat(F.lit("idx-"), F.col("number").cast("string"))).drop("number")
+
+
 def object_inventory(objects: DataFrame) -> DataFrame:
     """(object_id, kind, hash, status): ids by kind and hash; no requirements are complete only where none apply.
 

@@ -410,14 +410,25 @@ def anonymous_ids(spark, sf_dir):
     return O.anonymous_ids(customers, "c_mktsegment", "hash").select("c_custkey", "c_mktsegment", "object_id")
 
 
+@query("""WITH d AS (SELECT c_nationkey, c_mktsegment, count(*) AS k FROM customer GROUP BY 1, 2), h AS (SELECT *, sha256(c_nationkey || ':' || c_mktsegment) AS hash FROM d),
+n AS (SELECT *, row_number() OVER (ORDER BY hash) AS s, row_number() OVER (PARTITION BY c_nationkey ORDER BY hash) AS i FROM h)
+SELECT c_nationkey, c_mktsegment, 'schema-' || CASE WHEN s > 702 THEN chr(CAST(65 + ((s - 1) // 26 - 1) // 26 - 1 AS INTEGER)) ELSE '' END || CASE WHEN s > 26 THEN chr(CAST(65 + ((s - 1) // 26 - 1) % 26 AS INTEGER)) ELSE '' END || chr(CAST(65 + (s - 1) % 26 AS INTEGER)) AS schema_id, 'idx-' || i AS index_id, 'col-' || k AS column_id FROM n""")
+def anonymous_labels(spark, sf_dir):
+    """Segments of nations as schemas and, within their nation, as indexes; their customers' number as a column's ordinal."""
+    d = load(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("k"))
+    d = d.withColumn("hash", F.sha2(F.concat_ws(":", "c_nationkey", "c_mktsegment"), 256))
+    rows = O.index_ids(O.schema_ids(d, "hash"), "c_nationkey", "hash")
+    return rows.select("c_nationkey", "c_mktsegment", "schema_id", "index_id", O.column_id(F.col("k")).alias("column_id"))
+
+
 def _band_sql(x: str, bands: tuple) -> str:
     edges, names = bands
     return "CASE " + " ".join(f"WHEN {x} < {e} THEN '{n}'" for e, n in zip(edges, names, strict=False)) + f" ELSE '{names[-1]}' END"
 
 
-@query(f"SELECT doc_id, {_band_sql('strlen(text)', T.BYTE_BANDS)} AS bytes, {_band_sql('(doc_id % 50)', T.COUNT_BANDS)} AS count_band, {_band_sql('((doc_id % 130) * 100 // 120)', T.PERCENT_BANDS)} AS fraction FROM documents")
+@query(f"SELECT doc_id, {_band_sql('strlen(text)', T.BYTE_BANDS)} AS bytes, {_band_sql('(doc_id % 50)', T.COUNT_BANDS)} AS count_band, {_band_sql('((doc_id % 130) * 100 // 120)', T.PERCENT_BANDS)} AS fraction, {_band_sql('(doc_id % 200)', T.CPU_BANDS)} AS cpus, {_band_sql('(doc_id * 100000000)', T.MEMORY_BANDS)} AS memory, {_band_sql('doc_id', T.CONNECTION_BANDS)} AS connections, CASE WHEN doc_id = 0 THEN 'none' WHEN doc_id < 10 THEN 'under-1' ELSE {_band_sql('ceil(doc_id / 10)', T.RATE_BANDS)} END AS rate FROM documents")
 def bands(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", T.byte_band(F.octet_length("text")).alias("bytes"), T.count_band(F.col("doc_id") % 50).alias("count_band"), T.sample_fraction_band(F.lit(120), F.col("doc_id") % 130).alias("fraction"))
+    return load(spark, sf_dir, "documents").select("doc_id", T.byte_band(F.octet_length("text")).alias("bytes"), T.count_band(F.col("doc_id") % 50).alias("count_band"), T.sample_fraction_band(F.lit(120), F.col("doc_id") % 130).alias("fraction"), T.cpu_band(F.col("doc_id") % 200).alias("cpus"), T.memory_band(F.col("doc_id") * 100_000_000).alias("memory"), T.connection_band("doc_id").alias("connections"), T.rate_band(F.col("doc_id") / 10).alias("rate"))
 
 
 @query("""WITH n AS (SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'VARCHAR(' || p_size || ')' WHEN 1 THEN 'numeric(' || p_size || ', 2)' WHEN 2 THEN 'int4[]' WHEN 3 THEN ' TimestampTZ ' WHEN 4 THEN 'geometry' ELSE 'decimal' END AS native FROM part)

@@ -52,6 +52,17 @@ def test_letters_and_types(spark):
     assert [r[0] for r in rows.select(T.normalize_type("t")).collect()] == ["numeric(10,2)", "numeric", "array<bigint>", "user-defined", "timestamptz"]
 
 
+def test_letters_and_types_of_engines(spark):
+    assert values(spark, [0, 18278, 18279, 2**63 - 1], T.letters("x")) == [("",), ("ZZZ",), ("AAAA",), ("CRPXNLSKVLJFHG",)]
+    rows = spark.createDataFrame([("mysql", "INT(11) unsigned"), ("mysql", "bit(1)"), ("mysql", "bit(8)"), ("mysql", "year"), ("mysql", "enum('a')"), ("mssql", "Decimal(10, 2)"), ("mssql", "money"), ("mssql", "timestamp"), ("mssql", "sql_variant"), ("postgresql", "int8[]"), ("db", "int"), ("mysql", None)], "e string, t string")
+    got = [r[0] for r in rows.select(T.normalize_type("t", F.col("e"))).collect()]
+    assert got == ["integer", "boolean", "binary", "year", "text", "decimal(10,2)", "numeric", "binary", "user-defined", "array<bigint>", "user-defined", "user-defined"]
+    assert rows.select(T.normalize_type("t", "mysql")).first()[0] == "integer"
+    assert values(spark, [None, 0, 1, 128, 129], T.cpu_band("x"), T.connection_band("x")) == [("unknown", "unknown"), ("unknown", "none"), ("1", "1"), ("65-128", "101-500"), ("129-plus", "101-500")]
+    rates = spark.createDataFrame([(0.0,), (0.5,), (10.0,), (10.5,), (20000.0,), (None,)], "v double")
+    assert [r[0] for r in rates.select(T.rate_band("v")).collect()] == ["none", "under-1", "1-10", "11-100", "10000-plus", "unknown"]
+
+
 def test_styles(spark):
     texts = ["", "deadbeef" * 2, "QUJDREVGR0hJSktMTU5PUA==\n", "1,234.5e-6", '{"a": [1, 2]}', '{"a": [1, 2}', "<a>x</a>", "Some words that are plain enough to read.", "??", None, '{"a": "' + "x" * 4000 + '"}', '{"a": "' + '\\"' * 500 + '"}', '["' + "é" * 4096 + '": 1]', '{"a}": "\\"{"}', "<!x>", "<1>"]
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
