@@ -6,14 +6,18 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from profileloom.llm.common import load
+from profileloom.llm.conversation_repair import repair_damaged
 from profileloom.llm.exact_dedup import exact_duplicates
+from profileloom.llm.hard_negatives import hard_negatives, with_components
 from profileloom.llm.html_extract import extract_text
 from profileloom.llm.language_id import identify_languages
 from profileloom.llm.license_scan import scan_licenses
 from profileloom.llm.mixture import mix_sources
 from profileloom.llm.multiset_hash import document_fingerprints
+from profileloom.llm.neighbour_graph import nearest_neighbours
 from profileloom.llm.secret_scan import scan_secrets
 from profileloom.llm.sentencepiece_codec import encode_documents
 from profileloom.llm.simhash import near_duplicates
@@ -71,10 +75,24 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(load(spark, sf_dir, "documents"), MODEL_PATH)
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(with_components(rows.select("vec_id", label.alias("label"), "embedding")), F.col("vec_id") % 50 == 0)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_damaged(load(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_url_filter, op2_license_scan, op3_exact_dedup, op4_simhash, op5_fingerprints, op6_language_id, op7_mixture, op8_html_extract, op9_secret_scan, op10_sentencepiece)
+    own = (op1_url_filter, op2_license_scan, op3_exact_dedup, op4_simhash, op5_fingerprints, op6_language_id, op7_mixture, op8_html_extract, op9_secret_scan, op10_sentencepiece, op11_nearest_neighbours, op12_hard_negatives, op13_conversation_repair)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -100,7 +118,21 @@ SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, t.text_s
 """
 
 
+OP12_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op3_exact_dedup": OP3_SQL}
+    return {"op1_url_filter": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op12_hard_negatives": OP12_SQL}
 
 
