@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from profileloom.functions.rounding import Number, _col, div
 from profileloom.operators.objects import padded
+from profileloom.plans.permutation import permute_index, permuted
 
 #: The calendar of generated dates has 28 days in a month; first years of dates and timestamps.
 DAYS_PER_YEAR, DATE_YEAR, TIMESTAMP_YEAR, LAST_YEAR = 12 * 28, 2020, 2024, 9999
@@ -17,8 +19,8 @@ DAYS_PER_YEAR, DATE_YEAR, TIMESTAMP_YEAR, LAST_YEAR = 12 * 28, 2020, 2024, 9999
 TAIL = (50, 45)
 #: Parts that rows of a hot parent, or of none, are dealt over.
 SALTS = 64
-#: Rounds of a permutation, and steps after which a point is surely back in range.
-ROUNDS, WALK = 3, 64
+#: Bytes of a block of generated bytes, which is either drawn or the same everywhere, and of the bytes before them, which are the value's own.
+BLOCK, OWN = 32, 8
 
 
 class ColumnProfile(NamedTuple):
@@ -31,6 +33,7 @@ class ColumnProfile(NamedTuple):
     length_p95: int = 12
     max_chars: int = 0
     frequencies: tuple[int, int, int] = (1, 1, 1)  # median, 95th and 99th percentile of its values' frequencies
+    entropy: float | None = None  # 0 to 1: how far equal values are dealt, and how much of texts and bytes is drawn; None: all over, and as styles have it
 
 
 def generation_plan(tables: DataFrame, scale: float, max_rows: int, prefix: str = "t") -> DataFrame:
@@ -59,32 +62,6 @@ def effective_distinct(estimated: Number | str, observed: Number | str, biased:
     return F.least(F.greatest(F.when(near, F.greatest(e, wide)).otherwise(e), o), F.greatest(r, F.lit(1)))
 
 
-def permute_index(index: Number | str, count: Number | str, salt: int = 0) -> Column:
-    """A one-to-one map of 0..count-1 for counts up to 2^62.
-
-    A round adds, folds, multiplies by an odd number and folds again within the power of two above the count; each step
-    can be undone. Points that fall beyond the count go on until they are back, which they are after two steps on average.
-    """
-    i, n = _col(index).cast("long"), _col(count).cast("long")
-    bits = F.greatest(F.length(F.bin(F.greatest(n - 1, F.lit(1)))), F.lit(1))
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-    shift = F.greatest(div(bits, 2), F.lit(1)).cast("int")
-    half = (1 << 31) - 1
-    rounds = F.array(*(F.struct(F.lit((salt * 40503 + k * 977) % (1 << 31)).cast("long").alias("add"), F.lit((0x9E3779B1 * (2 * k + 1) + 2 * salt) % (1 << 31) | 1).cast("long").alias("odd")) for k in range(ROUNDS)))
-    folded = lambda v: v.bitwiseXOR(F.call_function("shiftright", v, shift))
-
-    def times(v: Column, odd: Column) -> Column:
-        """v * odd modulo 2^62, in halves of 31 bits, so that no product overflows."""
-        high = (F.call_function("shiftright", v, F.lit(31)) * odd).bitwiseAND(F.lit(half).cast("long"))
-        return v.bitwiseAND(F.lit(half).cast("long")) * odd + F.call_function("shiftleft", high, F.lit(31))
-
-    def walk(x: Column) -> Column:
-        return F.aggregate(rounds, x, lambda v, c: folded(times(folded((v + c["add"]).bitwiseAND(mask)), c["odd"]).bitwiseAND(mask)))
-
-    steps = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), walk(i), lambda x, _: F.when(x >= n, walk(x)).otherwise(x))
-    return F.when(n <= 1, F.lit(0).cast("long")).otherwise(steps)
-
-
 def project_distribution(index: Number | str, rows: Number | str, distinct: Number | str, top: Number | str, p50: Number | str = 1, p95: Number | str = 1, p99: Number | str = 1) -> Column:
     """The domain value of a row, for 0 <= index < rows, so that every value of 0..distinct-1 occurs; distinct is at most the rows.
 
@@ -119,7 +96,7 @@ def null_mask(table: str, column: str, index: Number | str, fraction: float) ->
 
 
 def value_length(index: Number | str, column: Number | str, avg: Number | str, p95: Number | str, cap: Number | str = 0) -> Column:
-    """A row's length: every 19th has the p95, and where row and column number sum to a multiple of 11 half the mean; else the mean."""
+    """A row's length, by the profile's definition (fixed values): every 19th has the p95, and where row and column number sum to a multiple of 11 half the mean; else the mean."""
     i, k, avg, p95, cap = (_col(x) for x in (index, column, avg, p95, cap))
     skewed = F.when(i % 19 == 0, p95).when((i + k) % 11 == 0, F.greatest(div(avg, 2), F.lit(1))).otherwise(avg)
     size = F.when(p95 > avg, skewed).otherwise(avg)
@@ -177,17 +154,38 @@ def gen_bits(seed: Number | str, width: int) -> Column:
     return F.lpad(F.bin(_col(seed).cast("long") % (1 << width)), width, "0")
 
 
-def gen_text(seed: Number | str, length: Number | str, style: str = "natural-text") -> Column:
+def _drawn(seed: Column, k: Column, share: Column) -> Column:
+    """Whether block k of a value is drawn: the start of a SHA-256 as a fraction falls under the share."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("/", seed.cast("string"), k.cast("string")), 256), 1, 4), 16, 10).cast("int") < share * 65_536
+
+
+def _hexes(seed: Column, digits: Column, share: Column) -> Column:
+    """At least so many hexadecimal digits: the value's own, then blocks that are drawn, with a probability, or the same for all."""
+    same = F.lit(hashlib.sha256(b"0").hexdigest())
+    block = lambda k: F.when(_drawn(seed, k, share), F.sha2(F.concat_ws(":", seed.cast("string"), k.cast("string")), 256)).otherwise(same)
+    blocks = F.transform(F.sequence(F.lit(0).cast("long"), div(digits.cast("long"), 2 * BLOCK)), block)
+    return F.concat(F.substring(F.sha2(seed.cast("string"), 256), 1, 2 * OWN), F.array_join(blocks, ""))
+
+
+def gen_text(seed: Number | str, length: Number | str, style: str = "natural-text", entropy: Number | str | None = None) -> Column:
     """Text of `length` characters in a style: natural-text, utf8-text, hex, numeric-text, base64, json or xml.
 
     It is distinct for distinct seeds as long as the seed, which comes first, fits. base64 is cut to whole groups of
     four characters, one at least; json and xml are longer than asked if their frame is.
+
+    entropy, 0 to 1: in hex and numeric text the share of blocks that are drawn, others being the same for all seeds; None is 1. In texts of
+    words, up to 0.5 twice the share of words that are drawn, others following a fixed order, and beyond it the share of drawn ones that are
+    made of letters at random; None is 0.5.
     """
     s, n = _col(seed).cast("long"), _col(length).cast("int")
+    e = F.least(F.greatest((F.lit(1.0 if style in ("hex", "numeric-text") else 0.5) if entropy is None else _col(entropy)).cast("double"), F.lit(0.0)), F.lit(1.0))
     token = F.lower(F.conv(s.cast("string"), 10, 36))
     words = F.array(*map(F.lit, WORDS))
-    body = F.array_join(F.transform(F.sequence(F.lit(0), div(n, 5).cast("int")), lambda k: F.element_at(words, (F.pmod(F.xxhash64(s, k), F.lit(len(WORDS))) + 1).cast("int"))), " ")
-    hexes = F.array_join(F.transform(F.sequence(F.lit(0), div(n, 64).cast("int")), lambda k: F.sha2(F.concat_ws(":", s.cast("string"), k.cast("string")), 256)), "")
+    any_word = lambda k: F.element_at(words, (F.pmod(F.xxhash64(s, k), F.lit(len(WORDS))) + 1).cast("int"))
+    any_letters = lambda k: F.translate(F.substring(F.sha2(F.concat_ws("-", s.cast("string"), k.cast("string")), 256), 1, 5), "0123456789", "ghijklmnop")
+    grid = lambda k, salt: F.pmod(F.xxhash64(s, k, F.lit(salt)), F.lit(65_536))
+    word = lambda k: F.when(grid(k, 1) >= e * 131_072, F.element_at(words, (k % len(WORDS) + 1).cast("int"))).when(grid(k, 2) < (e * 2 - 1) * 65_536, any_letters(k)).otherwise(any_word(k))
+    body = F.array_join(F.transform(F.sequence(F.lit(0), div(n, 5).cast("int")), word), " ")
     fits = lambda taken: F.substring(body, F.lit(1), F.greatest(n - taken, F.lit(0)))
     if style == "json":
         return F.concat(F.lit('{"id":'), s.cast("string"), F.lit(',"note":"'), fits(F.length(s.cast("string")) + 17), F.lit('"}'))
@@ -198,20 +196,18 @@ def gen_text(seed: Number | str, length: Number | str, style: str = "natural-tex
         raw = F.rpad(F.concat(token, F.lit(" "), body), taken, " ")  # ASCII, so characters are bytes
         return F.regexp_replace(F.base64(F.encode(raw, "utf-8")), "[\r\n]", "")
     kinds = {
-        "natural-text": F.concat(token, F.lit(" "), body),
-        "utf8-text": F.concat(token, F.lit(" "), F.translate(body, "aeiou", "äéîöü")),
-        "hex": F.concat(F.lower(F.hex(s)), hexes),
-        "numeric-text": F.concat(s.cast("string"), F.translate(hexes, "abcdef", "777777")),
+        "natural-text": lambda: F.concat(token, F.lit(" "), body),
+        "utf8-text": lambda: F.concat(token, F.lit(" "), F.translate(body, "aeiou", "äéîöü")),
+        "hex": lambda: F.concat(F.lower(F.hex(s)), _hexes(s, n, e)),
+        "numeric-text": lambda: F.concat(s.cast("string"), F.translate(_hexes(s, n, e), "abcdef", "777777")),
     }
-    return F.substring(kinds[style], F.lit(1), n)
+    return F.substring(kinds[style](), F.lit(1), n)
 
 
-def gen_binary(seed: Number | str, length: Number | str, entropy: float = 1.0) -> Column:
-    """Bytes of a length; the lower the entropy, the fewer blocks differ from the first."""
-    s, n = _col(seed), _col(length)
-    fresh = max(1, round(1 / max(entropy, 0.01)))
-    blocks = F.transform(F.sequence(F.lit(0).cast("long"), div(n, 32)), lambda k: F.sha2(F.concat_ws(":", s.cast("string"), F.when(k % fresh == 0, k).otherwise(0).cast("string")), 256))
-    return F.substring(F.unhex(F.array_join(blocks, "")), F.lit(1), n.cast("int"))
+def gen_binary(seed: Number | str, length: Number | str, entropy: Number | str = 1.0) -> Column:
+    """Bytes of a length: the value's own, then blocks that are drawn, with the entropy as probability, or the same for all seeds."""
+    s, n = _col(seed).cast("long"), _col(length)
+    return F.substring(F.unhex(_hexes(s, n * 2, _col(entropy).cast("double"))), F.lit(1), n.cast("int"))
 
 
 def gen_uuid(seed: Number | str) -> Column:
@@ -226,17 +222,23 @@ def gen_vector(seed: Number | str, dimensions: int) -> Column:
 def _value(p: ColumnProfile, domain: Column, k: int) -> Column:
     """The value of a domain value. Its length, too, depends on nothing else, so that equal ones stay equal."""
     length = value_length(domain, k, p.length_avg, p.length_p95, p.max_chars)
-    made = {"integer": gen_integer(domain), "decimal": gen_decimal(domain, 18, 2), "float": domain / 7.0, "boolean": domain % 2 == 1, "year": gen_year(domain), "bits": gen_bits(domain, 62), "date": gen_date(domain), "timestamp": gen_timestamp(domain), "uuid": gen_uuid(domain), "binary": gen_binary(domain, length), "vector": gen_vector(domain, 8)}
-    return made[p.family] if p.family in made else gen_text(domain, length, {"text": "natural-text"}.get(p.family, p.family))
+    bytes_ = gen_binary(domain, length, 1.0 if p.entropy is None else p.entropy)
+    made = {"integer": gen_integer(domain), "decimal": gen_decimal(domain, 18, 2), "float": domain / 7.0, "boolean": domain % 2 == 1, "year": gen_year(domain), "bits": gen_bits(domain, 62), "date": gen_date(domain), "timestamp": gen_timestamp(domain), "uuid": gen_uuid(domain), "binary": bytes_, "vector": gen_vector(domain, 8)}
+    return made[p.family] if p.family in made else gen_text(domain, length, {"text": "natural-text"}.get(p.family, p.family), p.entropy)
 
 
 def generate_table(spark: SparkSession, table: str, rows: int, columns: Sequence[ColumnProfile], partitions: int | None = None) -> DataFrame:
-    """A table of `rows` rows with the profiled nulls, distinct values, hot share and lengths; no shuffle, no state."""
+    """A table of `rows` rows with the profiled nulls, distinct values, hot share, lengths and entropy; no shuffle, no state."""
     base = spark.range(0, rows, 1, partitions) if partitions else spark.range(rows)
-    index = F.col("id")
-    shuffled = base.select("id", *(permute_index(index, F.lit(rows), k + 1).alias(f"p{k}") for k in range(len(columns))))
-    domains = shuffled.select("id", *(project_distribution(f"p{k}", F.lit(rows), p.distinct, p.top_fraction, *p.frequencies).alias(f"d{k}") for k, p in enumerate(columns)))
-    return domains.select(*(F.when(~null_mask(table, p.name, index, p.null_fraction), _value(p, F.col(f"d{k}"), k)).alias(p.name) for k, p in enumerate(columns)))
+    return table_values(base, table, rows, columns).select(*(p.name for p in columns))
+
+
+def table_values(base: DataFrame, table: str, rows: int, columns: Sequence[ColumnProfile]) -> DataFrame:
+    """The columns of a table for the row numbers `id` in base, beside what base has. Equal values stand as far apart as the entropy of a column allows."""
+    kept, index = [F.col(c) for c in base.columns], F.col("id")
+    shuffled = permuted(base, "id", {f"_p{k}": (F.lit(rows), k + 1, F.lit(1.0 if p.entropy is None else p.entropy)) for k, p in enumerate(columns)})
+    domains = shuffled.select(*kept, *(project_distribution(f"_p{k}", F.lit(rows), p.distinct, p.top_fraction, *p.frequencies).alias(f"_d{k}") for k, p in enumerate(columns)))
+    return domains.select(*kept, *(F.when(~null_mask(table, p.name, index, p.null_fraction), _value(p, F.col(f"_d{k}"), k)).alias(p.name) for k, p in enumerate(columns)))
 
 
 def gen_fk(child: DataFrame, index: str, child_rows: int, parent: DataFrame, parent_rows: int, coverage: float, hot: float, null_fraction: float = 0.0, fan_out: tuple[int, int, int] = (1, 1, 1)) -> DataFrame:
@@ -254,16 +256,6 @@ def gen_fk(child: DataFrame, index: str, child_rows: int, parent: DataFrame, par
     return rows.withColumn("_salt", salt).join(parent.withColumn("_salt", F.explode(salts)), ["row_index", "_salt"], "left").drop("_salt")
 
 
-def calibrate_entropy(rows: DataFrame, key: str, measured_ratio: float, grid: Sequence[float] = (0.02, 0.06, 0.12, 0.22, 0.45, 0.75, 1.0)) -> DataFrame:
-    """(entropy, ratio, error), best first: one job over a grid of entropies, each generated for the keys of `rows` and compressed."""
-    from profileloom.operators.compression import column_compression
-
-    cells = [F.struct(F.lit(str(e)).alias("column_name"), F.col(key).alias("row_id"), F.hex(gen_binary(F.col(key), F.lit(64), e)).alias("cell")) for e in grid]
-    ratios = column_compression(rows.select(F.explode(F.array(*cells)).alias("c")).select("c.*"))
-    error = F.abs(F.col("ratio") - F.lit(float(measured_ratio))) / F.lit(float(measured_ratio))
-    return ratios.select(F.col("column_name").cast("double").alias("entropy"), "ratio", error.alias("error")).orderBy("error", "entropy")
-
-
 def roundtrip_error(source: DataFrame, made: DataFrame) -> DataFrame:
     """(column_name, null_error, distinct_error, top_error, length_error, length_p95_error) of two column profiles with those measures."""
     both = source.alias("s").join(made.alias("m"), "column_name", "full")

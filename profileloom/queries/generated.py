@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from profileloom.operators import cells as C
 from profileloom.operators import columns as P
+from profileloom.plans import calibration as K
+from profileloom.plans import catalog as D
 from profileloom.plans import generation as G
+from profileloom.plans import permutation as R
 from profileloom.queries import load, query
 
 
@@ -139,12 +142,103 @@ def generate_table(spark, sf_dir):
     return G.generate_table(spark, "events", rows, columns)
 
 
-@query()
-def calibrate_entropy(spark, sf_dir):
-    return G.calibrate_entropy(load(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 3.0)
-
-
 @query()
 def roundtrip_error(spark, sf_dir):
     profile, rows, columns = _events_profile(spark, sf_dir)
     return G.roundtrip_error(profile, column_profile(G.generate_table(spark, "events", rows, columns)))
+
+
+@query("""WITH n AS (SELECT l_suppkey AS g, count(*) AS n FROM lineitem GROUP BY 1), e(e, p) AS (VALUES (0.0, 0.0::DOUBLE), (0.4, 0.4::DOUBLE), (1.0, 1.0::DOUBLE)),
+w AS (SELECT g, n, e, CAST(CASE WHEN e >= 1 THEN n ELSE least(ceil(pow(n, p)), n) END AS BIGINT) AS w FROM n, e)
+SELECT g, CAST(e AS DOUBLE) AS entropy, n, n AS n_distinct, CAST(0 AS BIGINT) AS least, n - 1 AS greatest, w AS window_size, CAST(0 AS BIGINT) AS n_outside FROM w""")
+def permuted_windows(spark, sf_dir):
+    """The lines of each supplier permuted at three entropies: every place is taken once, and none outside its window."""
+    lines = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("g"), "l_orderkey", "l_linenumber")
+    own = W.partitionBy("g")
+    rows = lines.select("g", (F.row_number().over(own.orderBy("l_orderkey", "l_linenumber")) - 1).cast("long").alias("i"), F.count("*").over(own).alias("n"))
+    rows = rows.withColumn("entropy", F.explode(F.array(*map(F.lit, (0.0, 0.4, 1.0)))))
+    size = R.window_size("n", "entropy")
+    moved = R.permuted(rows.withColumn("w", size), "i", {"p": (F.col("n"), 5, F.col("entropy"))})
+    outside = F.count(F.when(F.floor(F.col("p") / F.col("w")) != F.floor(F.col("i") / F.col("w")), 1))
+    return moved.groupBy("g", "entropy").agg(F.max("n").alias("n"), F.countDistinct("p").alias("n_distinct"), F.min("p").alias("least"), F.max("p").alias("greatest"), F.max("w").alias("window_size"), outside.alias("n_outside"))
+
+
+#: Tables of the catalog: columns by ordinal with their families, and unique keys.
+_TABLES = {
+    "region": ({1: ("r_regionkey", "integer"), 2: ("r_name", "text")}, [[1]]),
+    "nation": ({1: ("n_nationkey", "integer"), 2: ("n_name", "text"), 3: ("n_regionkey", "integer"), 4: ("n_leader", "integer")}, [[1]]),
+    "customer": ({1: ("c_custkey", "integer"), 2: ("c_name", "text"), 3: ("c_nationkey", "integer"), 4: ("c_mktsegment", "text"), 5: ("c_referrer", "integer")}, [[1], [2]]),
+    "supplier": ({1: ("s_suppkey", "integer"), 2: ("s_name", "text"), 3: ("s_nationkey", "integer")}, [[1]]),
+    "part": ({1: ("p_partkey", "integer"), 2: ("p_brand", "text")}, [[1]]),
+    "orders": ({1: ("o_orderkey", "integer"), 2: ("o_custkey", "integer"), 3: ("o_orderstatus", "text"), 4: ("o_orderdate", "timestamp")}, [[1]]),
+    "lineitem": ({1: ("l_orderkey", "integer"), 2: ("l_linenumber", "integer"), 3: ("l_partkey", "integer"), 4: ("l_suppkey", "integer"), 5: ("l_returnflag", "text")}, [[1, 2]]),
+    "returned": ({1: ("l_orderkey", "integer"), 2: ("l_linenumber", "integer"), 3: ("l_shipdate", "timestamp")}, []),
+    "offered": ({1: ("l_partkey", "integer"), 2: ("l_suppkey", "integer")}, [[1, 2]]),
+}
+#: Edges of the catalog: child and its columns, parent and its columns (None: its key), share of the parents that occur.
+_EDGES = {
+    1: ("nation", [3], "region", [1], 1.0), 2: ("customer", [3], "nation", None, 1.0), 3: ("supplier", [3], "nation", [1], 1.0), 4: ("orders", [2], "customer", [1], 0.5), 5: ("lineitem", [1], "orders", [1], 0.8),
+    6: ("lineitem", [3], "part", None, 0.9), 7: ("lineitem", [4], "supplier", [1], 0.9), 8: ("customer", [5], "customer", [1], 0.25), 9: ("nation", [4], "supplier", [1], 1.0), 10: ("returned", [1, 2], "lineitem", None, 0.5),
+    11: ("offered", [1], "part", [1], 1.0), 12: ("offered", [2], "supplier", [1], 1.0), 13: ("orders", [2], "supplier", [1], 1.0), 14: ("part", [2], "brand", [1], 1.0), 15: ("part", [2], "region", [1, 2], 1.0),
+}
+_HALF = "CAST(floor({} * 0.5 + 0.5) AS BIGINT)"
+
+
+def _catalog_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    lines = load(spark, sf_dir, "lineitem")
+    own = {t: load(spark, sf_dir, t) for t in ("region", "nation", "customer", "supplier", "part", "orders")}
+    own["nation"] = own["nation"].withColumn("n_leader", F.col("n_nationkey"))
+    own["customer"] = own["customer"].withColumn("c_referrer", F.col("c_nationkey"))
+    more = {"lineitem": lines, "returned": lines.where("l_returnflag = 'R'"), "offered": lines.select("l_partkey", "l_suppkey").distinct()}
+    return {t: df.select(*(name for name, _ in _TABLES[t][0].values())) for t, df in (own | more).items()}
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> tuple[D.CatalogPlan, dict, dict]:
+    """The plan of the catalog at half its rows, and profiles of its columns from the tables."""
+    found = []
+    for t, df in _catalog_tables(spark, sf_dir).items():
+        names = [name for name, _ in _TABLES[t][0].values()]
+        found.append(df.agg(F.count("*").alias("n"), F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.approx_count_distinct(c) for c in names))).alias("d")).withColumn("t", F.lit(t)))
+    counts = found[0]
+    for x in found[1:]:
+        counts = counts.union(x)
+    seen = {r.t: r for r in counts.collect()}  # a row for each table
+    columns = {t: {k: G.ColumnProfile(name, family, max(1, seen[t].d[name])) for k, (name, family) in cols.items()} for t, (cols, _) in _TABLES.items()}
+    tables = spark.createDataFrame([(t, seen[t].n, list(cols)) for t, (cols, _) in _TABLES.items()], "table_id string, rows long, cols array<int>")
+    keys = spark.createDataFrame([(t, k, key) for t, (_, own) in _TABLES.items() for k, key in enumerate(own)], "table_id string, key_no int, cols array<int>")
+    edges = spark.createDataFrame([(e, c, cc, p, pc) for e, (c, cc, p, pc, _) in _EDGES.items()], "edge_id int, child string, child_cols array<int>, parent string, parent_cols array<int>")
+    return D.catalog_plan(tables, keys, edges, 0.5), columns, {e: D.EdgeProfile(x[4]) for e, x in _EDGES.items()}
+
+
+_ROWS_SQL = " UNION ALL ".join(f"SELECT '{t}' AS t, {_HALF.format('count(*)')} AS n FROM {dict(returned=chr(40) + 'SELECT * FROM lineitem WHERE l_returnflag = ' + chr(39) + 'R' + chr(39) + ')', offered='(SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)').get(t, t)}" for t in _TABLES)
+
+
+@query(f"""WITH r AS ({_ROWS_SQL}), o(t, level, place) AS (VALUES ('part', 0, 1), ('region', 0, 2), ('nation', 1, 3), ('offered', 1, 0), ('supplier', 0, 0), ('customer', 2, 0), ('orders', 3, 0), ('lineitem', 4, 0), ('returned', 5, 0))
+SELECT t AS table_id, 't' || lpad(CAST(row_number() OVER (ORDER BY t) AS VARCHAR), 4, '0') AS name, n AS rows, CAST(level AS BIGINT) AS level, row_number() OVER (ORDER BY level, t) AS load_order FROM r JOIN o USING (t)""")
+def catalog_plan(spark, sf_dir):
+    """Load order of the catalog: nation and supplier refer to each other, so those edges come later and bind neither."""
+    plan, _, _ = _catalog(spark, sf_dir)
+    return plan.tables
+
+
+@query("""SELECT * FROM (VALUES (1, 'emitted'), (2, 'emitted'), (3, 'deferred'), (4, 'emitted'), (5, 'emitted'), (6, 'emitted'), (7, 'emitted'), (8, 'emitted'), (9, 'deferred'), (10, 'emitted'), (11, 'emitted'), (12, 'emitted'), (13, 'unsupported'), (14, 'external'), (15, 'unsupported')) AS t(edge_id, status), (SELECT count(*) AS n FROM nation) AS tables WHERE n > 0""".replace("SELECT *", "SELECT edge_id, status"))
+def catalog_edges(spark, sf_dir):
+    """What becomes of the catalog's edges: 13 would bind orders' customers to suppliers, too, 14 leads out of it, 15 has too few columns."""
+    plan, _, _ = _catalog(spark, sf_dir)
+    return plan.edges.select("edge_id", "status")
+
+
+@query(f"""WITH r AS ({_ROWS_SQL}), e(item, child) AS (VALUES {', '.join(f"('{e}', '{x[0]}')" for e, x in _EDGES.items() if e < 13)}), k(item, t) AS (VALUES {', '.join(f"('{k}', '{t}')" for t, (_, own) in _TABLES.items() for k in range(len(own)))})
+SELECT 'edge' AS kind, child AS table_id, item, n AS rows, n AS held FROM e JOIN r ON child = t UNION ALL SELECT 'key', t, item, n, CASE WHEN t = 'offered' THEN least(n, (SELECT product(n) FROM r WHERE t IN ('part', 'supplier'))::BIGINT) ELSE n END FROM k JOIN r USING (t)""")
+def generate_catalog(spark, sf_dir):
+    """All tables of the catalog at half their rows: every child has its parent, also by composite keys, by itself and in cycles, and unique keys tell rows apart."""
+    plan, columns, stats = _catalog(spark, sf_dir)
+    return D.check_catalog(plan, D.generate_catalog(spark, plan, columns, stats), columns)
+
+
+@query()
+def calibrate_entropy(spark, sf_dir):
+    """Entropies of a text, hex, JSON and binary column, as many rows and as long as those of events, for ratios measured on events and documents."""
+    events = load(spark, sf_dir, "events").agg(F.count("*").alias("n"), F.avg(F.length("props")).cast("int").alias("length")).first()
+    columns = [G.ColumnProfile(f"{f}_column", f, events.n, length_avg=max(48, events.length), length_p95=max(48, events.length)) for f in ("text", "hex", "json", "binary")]
+    return K.calibrate_entropy(spark, "events", events.n, columns, {"text_column": 4.0, "hex_column": 3.0, "json_column": 5.0, "binary_column": 2.5})

@@ -343,10 +343,21 @@ def compression_summary(spark, sf_dir):
     return Z.compression_summary(_ratios(spark, sf_dir)).select("n_tables", "raw_bytes", F.round("packed_bytes", 3).alias("packed_bytes"), "n_biased", F.round("ratio", 6).alias("ratio"), F.round("reduction_percent", 6).alias("reduction_percent"))
 
 
-@query(f"WITH {RATIO_SQL} SELECT table_id, ratio, CASE WHEN ratio <= 1.1 THEN 1.0 WHEN ratio >= 32 THEN 0.02 WHEN ratio >= 16 THEN 0.06 WHEN ratio >= 8 THEN 0.12 WHEN ratio >= 4 THEN 0.22 WHEN ratio >= 2 THEN 0.45 ELSE 0.75 END::DOUBLE AS entropy FROM t")
+_STEPS = "CASE WHEN {0} <= 1.1 THEN 1.0 WHEN {0} >= 32 THEN 0.02 WHEN {0} >= 16 THEN 0.06 WHEN {0} >= 8 THEN 0.12 WHEN {0} >= 4 THEN 0.22 WHEN {0} >= 2 THEN 0.45 ELSE 0.75 END::DOUBLE"
+
+
+@query(f"""WITH {RATIO_SQL}, k AS (SELECT t.table_id, d.lang AS column_name, CASE WHEN d.lang = 'en' THEN t.ratio END AS ratio, CASE WHEN t.biased THEN t.ratio * 4 END AS table_ratio,
+  count(*) % 3 = 0 AS is_text, count(*) % 3 = 1 AS is_binary, count(*) % 7 = 0 AS is_large FROM documents d JOIN t ON t.table_id = d.source GROUP BY ALL),
+n AS (SELECT table_id, count(*) FILTER (is_text) AS texts, count(*) FILTER (is_binary) AS bytes, count(*) FILTER (is_large) AS large FROM k GROUP BY 1)
+SELECT table_id, column_name, ratio, table_ratio, CASE WHEN ratio >= 1 THEN {_STEPS.format('ratio')} WHEN table_ratio >= 1 THEN {_STEPS.format('table_ratio')}
+  WHEN bytes > 0 AND texts = 0 THEN 0.75 WHEN large > 0 OR texts >= 4 THEN 0.35 WHEN texts > 0 THEN 0.5 ELSE 0.8 END::DOUBLE AS entropy FROM k JOIN n USING (table_id)""")
 def entropy_profile(spark, sf_dir):
-    rows = _ratios(spark, sf_dir).withColumn("is_text", F.lit(True))
-    return Z.entropy_profile(rows).select("table_id", "ratio", "entropy")
+    """Sources as tables with a column for each language: English has a ratio, tables of evenly many rows have one of their own, and counts decide on kinds."""
+    ratios = _ratios(spark, sf_dir).select(F.col("table_id").alias("source"), F.col("ratio").alias("own"), "biased")
+    n = load(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n")).join(ratios, "source")
+    kinds = [(F.col("n") % 3 == 0).alias("is_text"), (F.col("n") % 3 == 1).alias("is_binary"), (F.col("n") % 7 == 0).alias("is_large")]
+    rows = n.select(F.col("source").alias("table_id"), F.col("lang").alias("column_name"), F.when(F.col("lang") == "en", F.col("own")).alias("ratio"), F.when(F.col("biased"), F.col("own") * 4).alias("table_ratio"), *kinds)
+    return Z.entropy_profile(rows).select("table_id", "column_name", "ratio", "table_ratio", "entropy")
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
