@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from profileloom.functions import tokens as T
 from profileloom.operators import cells as C
+from profileloom.operators import census as N
+from profileloom.operators import complexity as X
 from profileloom.operators import graph as G
 from profileloom.operators import keys as K
 from profileloom.operators import objects as O
@@ -321,11 +323,101 @@ def object_inventory(spark, sf_dir):
     return O.object_inventory(load(spark, sf_dir, "part").select(kind.alias("kind"), F.sha2(F.col("p_partkey").cast("string"), 256).alias("hash"), F.when(size % 2 == 0, "complete").otherwise("partial").alias("requirement_status"), (size % 4).alias("n_requirements")))
 
 
-@query()
+_WORDS = (*sorted(N.VOCABULARY), "(", ")", ";", "%", "IDENT")
+_TOKENS_SQL = f"""w AS (SELECT doc_id, unnest(string_split_regex(text, '[ \t\n\r]+')) AS x, generate_subscripts(string_split_regex(text, '[ \t\n\r]+'), 1) AS place FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, doc_id % 4 AS d, place, ([{', '.join(f"'{x}'" for x in _WORDS)}])[(length(x) * 31 + CASE WHEN x = '' THEN 0 ELSE unicode(x) END) % {len(_WORDS)} + 1] AS t FROM w),
+n AS (SELECT *, {', '.join(f"lead(t, {k}) OVER o AS a{k}" for k in range(1, 12))}, lag(t) OVER o AS b1, lag(t, 2) OVER o AS b2, coalesce(sum(CASE WHEN t IN (';', 'BEGIN') THEN 1 END) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY place)),
+k AS (SELECT *, CASE WHEN t = '(' OR (coalesce(b1, '') <> 'END' AND (t IN ('BEGIN', 'CASE', 'LOOP') OR (d < 3 AND t = 'IF') OR (d = 2 AND t IN ('WHILE', 'REPEAT')))) THEN 1 ELSE 0 END - CASE WHEN t IN (')', 'END') THEN 1 ELSE 0 END AS step,
+  coalesce(bool_or(t = 'TRIGGER') OVER (PARTITION BY doc_id, s ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS tr FROM n),
+u AS (SELECT *, sum(step) OVER (PARTITION BY doc_id ORDER BY place) AS sofar FROM k),
+v AS (SELECT *, sofar - least(min(sofar) OVER (PARTITION BY doc_id ORDER BY place), 0) AS depth,
+  (coalesce(b1, '') IN ('BEFORE', 'AFTER') OR (coalesce(b1, '') = 'OF' AND coalesce(b2, '') = 'INSTEAD') OR (coalesce(b1, '') = 'OR' AND tr)) AS event,
+  t = 'PREPARE' OR t = 'SP_EXECUTESQL' OR (t = 'EXECUTE' AND coalesce(a1, '') NOT IN ('FUNCTION', 'PROCEDURE', 'AS')) OR (t = 'EXEC' AND a1 = '(') AS made, CASE WHEN a1 = 'RECURSIVE' THEN [a2, a3, a4, a5, a6, a7, a8, a9, a10, a11] ELSE [a1, a2, a3, a4, a5, a6, a7, a8, a9, a10] END AS ahead FROM u)"""
+
+
+def _sequence_sql(text: str) -> str:
+    first, *rest = text.split()
+    return " AND ".join([f"t = '{first}'", *(f"a{k} = '{w}'" for k, w in enumerate(rest, 1))])
+
+
+_FOUND_SQL = {f: f"t IN ({', '.join(repr(w) for w in ws)})" for f, ws in N.WORD_FEATURES.items()} | {f: " OR ".join(f"({_sequence_sql(p)})" for p in ps) for f, ps in N.SEQUENCE_FEATURES.items()} | {f: f"t = '{w}' AND NOT event" for f, w in N.CHANGES.items()} | {
+    "dynamic.sql": "made",
+    "query.cte": f"t = 'WITH' AND coalesce(ahead[1], '') NOT IN ({', '.join(repr(w) for w in N.NOT_CTE)}) AND NOT (coalesce(ahead[1], '') = 'EXECUTE' AND coalesce(ahead[2], '') = 'AS') AND contains(' ' || array_to_string([x FOR x IN ahead IF x IS NOT NULL], ' ') || ' ', ' AS ( ')",
+}
+
+
+@query(f"""WITH {_TOKENS_SQL}, c AS (SELECT doc_id, count(*) AS tokens, greatest(count(*) FILTER (t = ';'), 1) AS statements, greatest(max(depth), 0)::BIGINT AS nesting, count(*) FILTER ((t = 'IF' AND coalesce(b1, '') <> 'END') OR t IN ({', '.join(repr(w) for w in N.BRANCHES)})) AS branches,
+  count(*) FILTER (made) AS opaque, {', '.join(f'count(*) FILTER ({x}) AS "{f}"' for f, x in _FOUND_SQL.items())} FROM v GROUP BY 1)
+SELECT CAST(doc_id AS VARCHAR) AS key, tokens, statements, nesting, branches, opaque, array_to_string(list_sort([x FOR x IN [{', '.join(f"CASE WHEN \"{f}\" > 0 THEN '{f}=' || \"{f}\" END" for f in _FOUND_SQL)}, CASE WHEN "data.select" > 1 THEN 'query.subquery=' || ("data.select" - 1) END] IF x IS NOT NULL]), ',') AS features FROM c""")
+def token_measures(spark, sf_dir):
+    """The words of all documents, each as the word of the vocabulary that its length and first letter give."""
+    docs = load(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", r"[ \t\n\r]+")).alias("place", "x"))
+    letter = F.when(F.col("x") == "", 0).otherwise(F.ascii("x"))
+    token = F.element_at(F.array(*map(F.lit, _WORDS)), ((F.length("x") * 31 + letter) % len(_WORDS) + 1).cast("int"))
+    tokens = docs.select(F.col("doc_id").cast("string").alias("key"), F.element_at(F.array(*map(F.lit, N.DIALECTS)), (F.col("doc_id") % 4 + 1).cast("int")).alias("dialect"), "place", token.alias("token"))
+    flat = F.array_join(F.array_sort(F.transform(F.map_entries("features"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ",")
+    return N.token_measures(tokens).withColumn("features", flat)
+
+
+def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as objects: the text of each has so many branches and run-time statements as its size says, and words in comments that don't count."""
+    size = F.col("p_size")
+    text = F.concat(F.repeat(F.lit("IF a THEN SELECT 1; END IF; "), size % 4), F.repeat(F.lit("EXECUTE x; "), size % 2), F.lit("/* JOIN /* IF */ DELETE */ -- SELECT "), F.col("p_name"))
+    return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.when(size % 7 == 0, "cobol").otherwise("plpgsql").alias("dialect"), F.when(size % 11 != 0, text).alias("text"), (size % 5 != 0).alias("applicable"), size.alias("p_size"))
+
+
+_CENSUS_SQL = """p AS (SELECT *, p_size % 4 AS k, p_size % 2 AS m, CASE WHEN p_size % 5 = 0 THEN 'not_applicable' WHEN p_size % 7 = 0 OR p_size % 11 = 0 THEN 'unavailable' ELSE 'partial' END AS status,
+  strlen(repeat('IF a THEN SELECT 1; END IF; ', (p_size % 4)::INT) || repeat('EXECUTE x; ', (p_size % 2)::INT) || '/* JOIN /* IF */ DELETE */ -- SELECT ' || p_name) AS size FROM part)"""
+_N_BAND = "CASE WHEN {0} IS NULL THEN NULL WHEN {0} < 1 THEN '0' WHEN {0} < 2 THEN '1' WHEN {0} < 5 THEN '2-4' WHEN {0} < 9 THEN '5-8' WHEN {0} < 17 THEN '9-16' WHEN {0} < 33 THEN '17-32' ELSE '33+' END"
+
+
+@query(f"""WITH {_CENSUS_SQL}, q AS (SELECT p_partkey, status, CASE WHEN status = 'partial' THEN size END AS size, CASE WHEN status = 'partial' THEN greatest(2 * k + m, 1) END AS st, CASE WHEN status = 'partial' THEN 9 * k + 3 * m END AS tk, CASE WHEN status = 'partial' THEN least(k, 1) END AS ne, CASE WHEN status = 'partial' THEN k + 1 END AS cx, CASE WHEN status = 'partial' THEN m END AS op,
+  CASE WHEN status = 'partial' THEN least(k, 1) * 2 + CASE WHEN k > 1 THEN 1 ELSE 0 END + m END AS nf FROM p)
+SELECT CAST(p_partkey AS VARCHAR) AS key, status, CASE WHEN size < 256 THEN '1-255' WHEN size IS NOT NULL THEN 'more' END AS size_band, {_N_BAND.format('st')} AS statements_band, {_N_BAND.format('tk')} AS tokens_band, {_N_BAND.format('ne')} AS nesting_band, {_N_BAND.format('cx')} AS complexity_band, {_N_BAND.format('op')} AS opacity_band, CAST(nf AS BIGINT) AS n_features FROM q""")
 def definition_census(spark, sf_dir):
-    return O.definition_census(load(spark, sf_dir, "documents"), "doc_id", "text")
+    return N.language_census(_definitions(spark, sf_dir)).select("key", "status", "size_band", "statements_band", "tokens_band", "nesting_band", "complexity_band", "opacity_band", "n_features")
+
+
+def _object_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parts as objects, which depend on their suppliers' numbers, some of which aren't found, and require what their lines' flags say."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    visibility = F.when(size % 5 == 0, "not_applicable").when(size % 11 == 0, "withheld").otherwise("available")
+    status = F.element_at(F.array(*map(F.lit, ("complete", "partial", "not_applicable"))), (size % 3 + 1).cast("int"))
+    objects = load(spark, sf_dir, "part").select(key.alias("object_id"), (size % 10 == 9).alias("generated"), F.when(key % 50 == 0, F.lit(True)).alias("secondary"), visibility.alias("visibility"), status.alias("requirement_status"), (key % 4 == 0).alias("external"))
+    lines = load(spark, sf_dir, "lineitem")
+    edges = lines.select(F.col("l_partkey").alias("object_id"), F.when(F.col("l_suppkey") % 5 != 0, F.col("l_suppkey")).alias("target_id"))
+    needs = lines.select(F.col("l_partkey").alias("object_id"), F.concat(F.when(F.col("l_returnflag") == "R", "external.").otherwise("dialect."), F.col("l_returnflag"), F.col("l_linestatus")).alias("token")).distinct()
+    return objects, edges, needs
+
+
+_BUCKET = "CAST(" + " + ".join(f"CASE WHEN {{0}} >= {e} THEN 1 ELSE 0 END" for e in (1, 2, 5, 9, 17, 33)) + " AS INTEGER)"
+_ASSESS_SQL = f"""{_CENSUS_SQL}, e AS (SELECT l_partkey AS id, count(DISTINCT CASE WHEN l_suppkey % 5 <> 0 THEN l_suppkey END) + count(*) FILTER (l_suppkey % 5 = 0) AS n FROM lineitem GROUP BY 1),
+r AS (SELECT l_partkey AS id, count(DISTINCT l_linestatus) FILTER (l_returnflag = 'R') AS o, count(DISTINCT l_returnflag || l_linestatus) FILTER (l_returnflag <> 'R') AS i FROM lineitem GROUP BY 1),
+j AS (SELECT p.*, coalesce(e.n, 0) AS n, coalesce(r.o, 0) + CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END AS o, coalesce(r.i, 0) AS i, least(k, 1) * 2 + CASE WHEN k > 1 THEN 1 ELSE 0 END + m AS nf, CASE p_size % 3 WHEN 0 THEN 'assessed' WHEN 1 THEN 'unknown' ELSE 'not-applicable' END AS rs,
+  CASE status WHEN 'partial' THEN 'assessed' WHEN 'unavailable' THEN 'unknown' ELSE 'not-applicable' END AS ds FROM p LEFT JOIN e ON e.id = p_partkey LEFT JOIN r ON r.id = p_partkey WHERE p_size % 10 <> 9 AND p_partkey % 50 <> 0),
+s AS (SELECT p_partkey AS object_id, unnest([{{'d': 'volume', 's': ds, 'b': CAST(1 + CASE WHEN size >= 256 THEN 1 ELSE 0 END AS INTEGER)}}, {{'d': 'control-flow', 's': ds, 'b': {_BUCKET.format('(k + 1)')}}}, {{'d': 'feature-breadth', 's': ds, 'b': {_BUCKET.format('nf')}}}, {{'d': 'entanglement', 's': 'assessed', 'b': {_BUCKET.format('n')}}},
+  {{'d': 'environment-coupling', 's': rs, 'b': {_BUCKET.format('o')}}}, {{'d': 'opacity', 's': ds, 'b': {_BUCKET.format('m')}}}, {{'d': 'dialect-coupling', 's': rs, 'b': {_BUCKET.format('i')}}}]) AS x FROM j),
+o AS (SELECT object_id, x.d AS dimension, CASE WHEN x.s = 'assessed' THEN x.b END AS bucket, x.s AS state FROM s)"""
+
+
+def _assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.assess_objects(*_object_parts(spark, sf_dir), N.language_census(_definitions(spark, sf_dir)))
 
 
+@query(f"WITH {_ASSESS_SQL} SELECT * FROM o")
+def assess_objects(spark, sf_dir):
+    """Seven observations of each part as an object, from its text, dependencies and requirements."""
+    return _assessed(spark, sf_dir)
+
+
+@query("""WITH l AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_suppkey % 5 <> 0), o AS (SELECT a, count(*) AS n FROM l GROUP BY 1), i AS (SELECT b, count(*) AS n FROM l GROUP BY 1), u AS (SELECT l_partkey AS a, count(*) AS n FROM lineitem WHERE l_suppkey % 5 = 0 GROUP BY 1)
+SELECT p_partkey AS object_id, coalesce(o.n, 0) AS fan_out, coalesce(u.n, 0) AS unresolved, CAST(0 AS BIGINT) AS fan_in, CASE WHEN o.n IS NULL THEN 0 ELSE 1 END AS depth FROM part LEFT JOIN o ON o.a = p_partkey LEFT JOIN u ON u.a = p_partkey
+UNION ALL SELECT -1 - s_suppkey, 0, 0, coalesce(i.n, 0), 0 FROM supplier LEFT JOIN i ON i.b = s_suppkey""")
+def object_graph(spark, sf_dir):
+    """Parts and suppliers as objects, the latter by negative numbers: parts depend on their suppliers."""
+    objects, edges, _ = _object_parts(spark, sf_dir)
+    suppliers = load(spark, sf_dir, "supplier").select((-1 - F.col("s_suppkey")).alias("object_id"))
+    return X.object_graph(objects.select("object_id").union(suppliers), edges.withColumn("target_id", -1 - F.col("target_id")))
 
 
 _WORDS_SQL = r"len([x FOR x IN string_split_regex(lower(text), '[^\p{{L}}\p{{N}}_]+') IF x IN ({})])"
@@ -338,24 +430,14 @@ def feature_counts(spark, sf_dir):
     return O.feature_counts(load(spark, sf_dir, "documents"), "doc_id", "text", {"article": ("the", "a", "an"), "from-with": ("with", "from")})
 
 
-COMPLEX_SQL = """o AS (SELECT l_returnflag || l_linestatus AS dimension, CASE WHEN l_partkey % 10 = 0 AND l_returnflag <> 'A' THEN 'unknown' WHEN l_partkey % 10 = 1 THEN 'not-applicable' ELSE 'assessed' END AS state, l_quantity % 6 AS bucket FROM lineitem)"""
-
-
-@query(f"""WITH {COMPLEX_SQL}, h AS (SELECT dimension, {', '.join(f"count(*) FILTER (state = 'assessed' AND bucket = {k}) AS n_{k}" for k in range(7))}, count(*) FILTER (state = 'not-applicable') AS not_applicable, count(*) FILTER (state = 'unknown') AS unknown FROM o GROUP BY 1),
+@query(f"""WITH {_ASSESS_SQL}, h AS (SELECT dimension, {', '.join(f"count(*) FILTER (state = 'assessed' AND bucket = {k}) AS n_{k}" for k in range(7))}, count(*) FILTER (state = 'not-applicable') AS not_applicable, count(*) FILTER (state = 'unknown') AS unknown FROM o GROUP BY 1),
 l AS (SELECT *, CASE WHEN n_6 > 0 THEN 'very-high' WHEN n_5 + n_4 > 0 THEN 'high' WHEN n_3 > 0 THEN 'moderate' WHEN n_2 > 0 THEN 'low' ELSE 'trivial' END AS low FROM h)
 SELECT dimension, n_0, n_1, n_2, n_3, n_4, n_5, n_6, not_applicable, unknown, CASE WHEN unknown = 0 THEN 'complete' ELSE 'partial' END AS coverage, CASE WHEN unknown = 0 OR low = 'very-high' THEN low ELSE 'unknown' END AS band FROM l""")
 def complexity_profile(spark, sf_dir):
-    return O.complexity_profile(_observations(spark, sf_dir))
+    return O.complexity_profile(_assessed(spark, sf_dir))
 
 
-@query(f"""WITH {COMPLEX_SQL.replace("SELECT l_returnflag", "SELECT l_orderkey, l_returnflag")}, e AS (SELECT l_orderkey, bool_and(state <> 'unknown') AS a, bool_or(state <> 'unknown') AS s FROM o GROUP BY 1)
-SELECT count(*) AS eligible, count(*) FILTER (a) AS fully, count(*) FILTER (NOT a AND s) AS partially, count(*) FILTER (NOT s) AS unassessed, CASE WHEN count(*) = count(*) FILTER (a) THEN 'high' ELSE 'unknown' END AS overall_band FROM e""")
+@query(f"""WITH {_ASSESS_SQL}, f AS (SELECT object_id, bool_and(state <> 'unknown') AS a, bool_or(state <> 'unknown') AS s FROM o GROUP BY 1), h AS (SELECT max(bucket) AS top FROM o)
+SELECT count(*) AS eligible, count(*) FILTER (a) AS fully, count(*) FILTER (NOT a AND s) AS partially, count(*) FILTER (NOT s) AS unassessed, CASE WHEN max(top) = 6 THEN 'very-high' ELSE 'unknown' END AS overall_band FROM f, h""")
 def complexity_overall(spark, sf_dir):
-    return O.complexity_overall(_observations(spark, sf_dir))
-
-
-def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as observations of orders in six dimensions."""
-    k = F.col("l_partkey") % 10
-    state = F.when((k == 0) & (F.col("l_returnflag") != "A"), "unknown").when(k == 1, "not-applicable").otherwise("assessed")
-    return load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("object_id"), F.concat("l_returnflag", "l_linestatus").alias("dimension"), (F.col("l_quantity") % 6).alias("bucket"), state.alias("state"))
+    return O.complexity_overall(_assessed(spark, sf_dir))
