@@ -5,13 +5,14 @@ Groups of the data tables play the part of tables, columns, edges and objects, s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profileloom.functions import tokens as T
 from profileloom.operators import cells as C
 from profileloom.operators import census as N
 from profileloom.operators import complexity as X
+from profileloom.operators import contracts as R
 from profileloom.operators import graph as G
 from profileloom.operators import keys as K
 from profileloom.operators import objects as O
@@ -305,6 +306,45 @@ def foreign_key_violations(spark, sf_dir):
     return Q.contract_violations(rows, ["edge_id"], Q.foreign_key_rules())
 
 
+@query("""WITH t AS (SELECT l_suppkey AS s, l_partkey AS t, count(*) AS n, min(l_linenumber) AS least, max(l_linenumber) AS most, CAST(sum(l_orderkey) % 6 AS INTEGER) AS k FROM lineitem GROUP BY 1, 2), o AS (SELECT s, count(*) AS n FROM t GROUP BY 1),
+c AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS t, l_linenumber AS o FROM lineitem),
+x AS (SELECT s, 'tables' AS entity, t, CAST(t AS VARCHAR) AS item, unnest([CASE WHEN k = 5 THEN 'unknown-partitioning' END, CASE WHEN k = 1 AND most > n THEN 'largest-partition-above-rows' END, CASE WHEN k = 2 THEN 'partition-details-without-partitions' END, CASE WHEN NOT EXISTS (SELECT 1 FROM c WHERE c.s = t.s AND c.t = t.t AND c.o = least + 1) AND k IN (1, 2, 5) THEN 'partition-key-missing' END,
+    CASE WHEN k = 3 THEN 'bounded-read-disagrees' END, CASE WHEN k = 4 AND most < 4 THEN 'external-without-external-storage' END]) AS rule FROM t
+  UNION ALL SELECT s, 'columns', t, CAST(o AS VARCHAR), unnest([CASE WHEN o = 1 AND s % 4 = 1 THEN 'precision-above-limit' END, CASE WHEN o = 2 THEN 'members-missing' END, CASE WHEN o = 3 THEN 'default-kind-without-default' END, CASE WHEN o = 4 AND s % 4 IN (1, 2) THEN 'scale-out-of-range' END, CASE WHEN o = 5 THEN 'unknown-numeric-model' END, CASE WHEN o = 6 THEN 'decimal-float-inconsistent' END]) FROM c
+  UNION ALL SELECT s, 'scopes', NULL, CAST(s AS VARCHAR), unnest([CASE WHEN s % 3 = 1 THEN 'incomplete-without-limitation' END, CASE WHEN s % 5 = 4 THEN 'unknown-layout-with-coverage' END]) FROM o
+  UNION ALL SELECT s, 'inventories', NULL, CAST(s AS VARCHAR), unnest([CASE WHEN s % 4 = 2 THEN 'scope-disagrees-with-engine' END, CASE WHEN s % 3 = 2 THEN 'scope-disagrees-with-selection' END, CASE WHEN s % 2 = 1 THEN 'object-count-differs' END]) FROM o)
+SELECT s AS source_id, entity, CAST(t AS VARCHAR) AS table_id, item, rule FROM x WHERE rule IS NOT NULL""")
+def profile_violations(spark, sf_dir):
+    """Suppliers as sources, their parts as tables and line numbers as columns; numbers decide what is wrong."""
+    lines, s = load(spark, sf_dir, "lineitem"), F.col("source_id")
+    at, n = [F.col("l_suppkey").alias("source_id"), F.col("l_partkey").cast("string").alias("table_id")], F.col("l_linenumber").cast("int")
+    t = lines.groupBy(*at).agg(F.count("*").alias("rows"), F.min(n).alias("least"), F.max(n).alias("most"), (F.sum("l_orderkey") % 6).alias("k"))
+    k, none = F.col("k"), F.lit(None)
+    kinds = F.when(k == 1, "range").when(k == 5, "odd").when(k == 2, "none")
+    split = k.isin(1, 2, 5)
+    words = {"object_kind": F.when((k == 4) & (F.col("most") < 4), "external-table").otherwise("ordinary-table"), "storage_organization": F.lit("heap"), "partitioning": kinds, "segment_state": F.lit("created"), "row_count_method": F.when(k == 3, "bounded-complete-read").otherwise("parquet-footer"), "row_count_quality": F.lit("exact-counter"), "statistics_state": F.lit("current"), "refresh_age_band": F.lit("unknown"), "modification_ratio_band": F.lit("none"), "sample_fraction_band": F.lit("full"), "parent_table": F.lit("")}
+    lists = {"partition_key_cols": F.when(split, F.array(F.col("least") + 1)), "table_features": none.cast("array<string>"), "table_limitations": none.cast("array<string>"), "child_tables": none.cast("array<string>")}
+    tables = t.select("source_id", "table_id", "rows", F.when(split, 1).alias("partition_count"), F.when(k == 1, F.col("most")).alias("partition_rows_max"), *(x.alias(c) for c, x in (words | lists).items()))
+    o = F.col("ordinal")
+    models = {1: ("fixed-decimal", 66, 2, "decimal"), 4: ("fixed-decimal", 5, 6, "decimal"), 5: ("odd", None, None, None), 6: ("decimal-float", None, None, "binary")}
+
+    def numeric(i: int) -> Column:
+        out = F.lit(None)
+        for number, values in models.items():
+            out = F.when(o == number, F.lit(values[i])).otherwise(out)
+        return out
+
+    fields = {"value_source": none.cast("string"), "has_default": F.lit(False), "default_kind": F.when(o == 3, "constant"), "default_on_null": F.lit(False), "length_semantics": none.cast("string"), "type_kind": F.when(o == 2, "enum"), "member_count": none.cast("long"), "domain_has_check": none.cast("boolean"), "magnitude_min": none.cast("int"), "magnitude_max": none.cast("int"), "has_negative": none.cast("boolean"), "time_span": none.cast("string"), "time_recent_decade": none.cast("int"), "numeric_model": F.coalesce(numeric(0), F.lit("integer")), "numeric_precision": numeric(1).cast("int"), "numeric_scale": numeric(2).cast("int"), "numeric_precision_radix": numeric(3)}
+    columns = lines.select(*at, n.alias("ordinal")).distinct().select("source_id", "table_id", "ordinal", *(x.alias(c) for c, x in fields.items()))
+    sources = t.select("source_id").distinct().select("source_id", F.when(s % 4 == 1, "mysql").when(s % 4 == 2, "parquet").otherwise("postgresql").alias("engine"))
+    whole = F.when((s % 3 == 1) | (s % 3 == 2), "incomplete").otherwise("complete")
+    scopes = sources.select("source_id", F.when(s % 5 == 4, "unknown").otherwise("full-copy").alias("layout"), whole.alias("table_inventory_completeness"), F.lit("complete").alias("row_count_completeness"), F.lit("complete").alias("size_completeness"), F.lit("unknown").alias("row_count_method"), F.lit("mixed").alias("size_method"), F.when(s % 3 == 2, F.array(F.lit("selection-limited"))).alias("limitations"))
+    objects = t.select("source_id", F.when(F.col("rows") > 1, "mail").alias("external_class"))
+    counts = objects.groupBy("source_id").agg(F.count("*").alias("n"), F.count("external_class").alias("external_count"))
+    inventories = counts.select("source_id", F.lit("all-visible-schemas").alias("scope"), F.lit("summary").alias("detail"), F.lit("full").alias("visibility"), (F.col("n") + s % 2).alias("object_count"), "external_count", F.lit(False).alias("has_complexity"))
+    return R.profile_violations({"tables": tables, "columns": columns, "sources": sources, "scopes": scopes, "inventories": inventories, "objects": objects})
+
+
 @query("""SELECT l_suppkey AS source_id, 'row-total-differs' AS rule FROM lineitem GROUP BY 1 HAVING l_suppkey % 6 = 0 UNION ALL SELECT l_suppkey, 'byte-total-differs' FROM lineitem GROUP BY 1 HAVING l_suppkey % 9 = 0""")
 def totals_violations(spark, sf_dir):
     """Suppliers' totals, some one too high, against the sums of their parts."""
