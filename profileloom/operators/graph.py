@@ -3,22 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Checkpoints to the shared folder the cluster names; where it names none, to a folder of our own, but only on a local master."""
+def _cut(df: DataFrame, *counts: Column) -> DataFrame | tuple[DataFrame, dict[str, int]]:
+    """With counts, named aggregates, also their values, from the same job. Writes df as a table to the shared folder the cluster names and goes on from there; where it names none, to a folder of our own, but only on a local master.
+
+    A table has sizes of its own. Those of a checkpoint are estimated from what it came from, and estimates of iterated joins grow without bound.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if sc.getCheckpointDir() is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        named = sc.getCheckpointDir()
+    path = f"{named}/table-{uuid.uuid4().hex}"
+    seen = Observation()
+    (df.observe(seen, *counts) if counts else df).write.option("compression", "zstd").parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    return (written, seen.get) if counts else written
 
 
 def fk_graph_summary(tables: DataFrame, edges: DataFrame) -> DataFrame:
@@ -97,18 +108,69 @@ def fk_plan_summary(status: DataFrame) -> DataFrame:
     return status.agg(F.count("*").alias("source_edges"), count("emitted"), count("external"), count("unsupported"))
 
 
-def _trimmed(links: DataFrame) -> DataFrame:
-    """links (a, b) without those of nodes that nothing leads to or that lead nowhere, until none is left: what cycles and ways between them have."""
-    links = _cut(links)
-    n = links.count()
-    while n:
-        ends = links.select("a").intersect(links.select(F.col("b").alias("a")))
-        links = links.join(ends, "a", "left_semi").join(ends.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b")
-        links, before = _cut(links), n
-        n = links.count()
-        if n == before:
-            break
-    return links
+#: A graph is taken apart as long as one node in so many moves.
+FEW_MOVE = 4
+
+
+class _Round(NamedTuple):
+    links: DataFrame  # a, b, w: links at its start
+    nodes: DataFrame  # node, base, state (source, sink, into, on or stays), target, w
+
+
+def _ends(links: DataFrame) -> DataFrame:
+    """(node, n_out, n_in, next, last): how many links leave and enter a node, and the end of the only one where it is one."""
+    none = F.lit(None).cast(links.select(F.struct("b", "w")).schema[0].dataType)
+    out = links.select(F.col("a").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i"), F.struct("b", "w").alias("next"), none.alias("last"))
+    into = links.select(F.col("b").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"), none.alias("next"), F.struct(F.col("a").alias("b"), "w").alias("last"))
+    return out.union(into).groupBy("node").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"), F.max("next").alias("next"), F.max("last").alias("last"))
+
+
+def _contract(links: DataFrame, base: DataFrame | None = None) -> tuple[list[_Round], DataFrame, DataFrame | None, int]:
+    """Takes a graph apart: the rounds, what links and (node, base) they leave, and the last round in which a cycle closed (-1: none).
+
+    links: a, b, w. In a round, nodes without links in or out go, and about three eighths of those with one link in or out are merged into the node at its other end, chosen by hashes
+    so that none of those is merged itself. Ways of any length shrink by that share in each round, trees likewise, so rounds grow with the logarithm of their
+    size. What is left has two links in and out at every node; without base, it is also left when less than one node in FEW_MOVE moves, as a dense graph only frays then.
+
+    Weights add up along merged links, the greatest of parallel ones counts, and base (the greatest weight of ways from nodes that went) goes along, so that the longest ways stay what they are. Without base, weights are left alone.
+    """
+    rounds, closed = [], -1
+    links, base = _cut(links), base if base is None else _cut(base)
+    while True:
+        k = len(rounds)
+        coin = lambda c: F.pmod(F.xxhash64(c, F.lit(k)), F.lit(2)) == 1  # noqa: B023, E731
+        ends = _ends(links)
+        gone = F.when(F.col("n_in") == 0, "source").when(F.col("n_out") == 0, "sink")
+        on, into = (F.col("n_out") == 1) & ~coin(F.col("next.b")), (F.col("n_in") == 1) & ~coin(F.col("last.b"))
+        heads = gone.isNull() & coin(F.col("node"))
+        state = F.coalesce(gone, F.when(heads & on, "on").when(heads & into, "into"), F.lit("stays"))
+        other = F.when(F.col("state") == "on", F.col("next")).when(F.col("state") == "into", F.col("last"))
+        nodes = ends.withColumn("state", state).withColumn("other", other).select("node", "state", F.col("other.b").alias("target"), F.col("other.w").alias("w"), ((F.col("n_out") == 1) | (F.col("n_in") == 1)).alias("open"))
+        # whoever would be merged into a node that goes waits
+        going = nodes.where(F.col("state").isin("source", "sink")).select(F.col("node").alias("target"), F.lit(True).alias("late"))
+        nodes = nodes.join(going, "target", "left")
+        nodes = nodes.withColumn("base", F.lit(0).cast("long")) if base is None else nodes.join(base, "node", "left")
+        kept = F.col("late").isNull()
+        moves = F.count(F.when(F.col("open") | F.col("state").isin("source", "sink"), 1)).alias("moves")
+        nodes, seen = _cut(nodes.select("node", F.col("base"), F.when(kept, F.col("state")).otherwise("stays").alias("state"), F.when(kept, F.col("target")).alias("target"), F.when(kept, F.col("w")).alias("w"), "open"), moves, F.count("*").alias("all"))
+        if not seen.get("moves") or (base is None and seen["moves"] * FEW_MOVE < seen["all"]):
+            return rounds, links, base, closed
+        side = lambda s: nodes.select(F.col("node").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("base", "state", "target", "w")))  # noqa: B023, E731
+        rows = links.join(side("a"), "a").join(side("b"), "b")
+        rows = rows if base is None else _cut(rows)
+        a, b = F.col("a_state"), F.col("b_state")
+        before, after = F.when(a == "into", F.col("a_w")).otherwise(0), F.when(b == "on", F.col("b_w")).otherwise(0)
+        end = F.when(b == "on", F.col("b_target")).otherwise(F.col("b"))
+        stay = (a != "source") & (b != "sink") & (a != "on") & (b != "into")
+        merged = rows.where(stay).select(F.when(a == "into", F.col("a_target")).otherwise(F.col("a")).alias("a"), end.alias("b"), (F.col("w") + before + after).alias("w"))
+        rounds.append(_Round(links, nodes))
+        links, seen = _cut(merged.groupBy("a", "b").agg(F.max("w").alias("w")), F.count(F.when(F.col("a") == F.col("b"), 1)).alias("loops"))
+        links, closed = links.where("a <> b"), k if seen.get("loops") else closed
+        if base is None:
+            continue
+        pushed = rows.where((b != "sink") & a.isin("source", "on", "into")).select(F.when(a == "on", F.col("b")).otherwise(end).alias("node"), (F.col("a_base") + F.col("w") + F.when(a == "on", 0).otherwise(after)).alias("base"))
+        left = base.join(nodes.where("state <> 'stays'"), "node", "left_anti")
+        base = _cut(left.select("node", "base").union(pushed.join(left, "node", "left_semi")).groupBy("node").agg(F.max("base").alias("base")))
 
 
 def _spread(marks: DataFrame, links: DataFrame) -> DataFrame:
@@ -123,29 +185,54 @@ def _spread(marks: DataFrame, links: DataFrame) -> DataFrame:
     return marks
 
 
-def fk_cycles(edges: DataFrame) -> DataFrame:
-    """(child, parent) of edges within a cycle; a table's link to itself is none. NULL ends have no edge, repeated edges are one.
+def _core_components(links: DataFrame) -> DataFrame:
+    """(node, label) of the nodes on cycles of links (a, b), label being the same for those that reach each other.
 
-    Links outside cycles are trimmed. Then each node learns the greatest node that reaches it; nodes with one such
-    root that reach it back are a strongly connected component, whose links are in cycles. The rest goes to the next round. A round has as many
-    rows as there are links, never all pairs of a component.
+    Each node learns the greatest node that reaches it; nodes with one such root that reach it back are a component. The rest goes to the next round. A
+    round has as many rows as there are links, and as many steps as the longest way it looks at; _contract leaves it few and short ones.
     """
-    links = edges.select(F.col("child").alias("a"), F.col("parent").alias("b")).where("a <> b").distinct()
-    found = _cut(links.where("false"))
-    links = _trimmed(links)
+    links = _cut(links.select("a", "b"))
+    found = links.select(F.col("a").alias("node"), F.col("a").alias("label")).where("false")
     while links.take(1):
-        nodes = links.select(F.col("a").alias("node")).distinct()
+        nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
         roots = _spread(nodes.withColumn("mark", F.col("node")), links)
-        inner = links.join(roots.select(F.col("node").alias("a"), F.col("mark").alias("ra")), "a").join(roots.select(F.col("node").alias("b"), F.col("mark").alias("rb")), "b").where("ra = rb").select("a", "b", "ra")
+        inner = links.join(roots.select(F.col("node").alias("a"), F.col("mark").alias("ra")), "a").join(roots.select(F.col("node").alias("b"), F.col("mark").alias("rb")), "b").where("ra = rb").select("a", "b")
         inner = _cut(inner)
         # back from each root, over the links that stay among its nodes
         back = _spread(roots.select("node", (F.col("node") == F.col("mark")).cast("int").alias("mark")), inner.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        component = back.where("mark = 1").select("node")
-        hits = inner.join(component.select(F.col("node").alias("a")), "a", "left_semi").join(component.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
-        found = _cut(found.union(hits))
+        component = _cut(back.where("mark = 1").select("node").join(roots, "node").select("node", F.col("mark").alias("label")))
+        found = found.union(component)
         gone = component.select(F.col("node").alias("a"))
-        links = _trimmed(links.join(gone, "a", "left_anti").join(gone.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b"))
-    return found.select(F.col("a").alias("child"), F.col("b").alias("parent"))
+        links = _cut(links.join(gone, "a", "left_anti").join(gone.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b"))
+    return _cut(found)
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, label): nodes with one label reach each other; nodes without are alone, or give the others their label."""
+    rounds, core, _, closed = _contract(links.withColumn("w", F.lit(0).cast("long")))
+    labels, has_core = _core_components(core), bool(core.take(1))
+    for r in reversed(rounds if has_core else rounds[: closed + 1]):
+        now = r.nodes.select("node", "state", F.coalesce("target", "node").alias("at")).join(labels.select(F.col("node").alias("at"), "label"), "at", "left")
+        now = _cut(now.select("node", "state", F.coalesce("label", "at").alias("label")))
+        a, b = (now.select(F.col("node").alias(s), F.col("state").alias(f"{s}_state"), F.col("label").alias(f"{s}_label")) for s in ("a", "b"))
+        same = r.links.join(a, "a").join(b, "b").where("a_label = b_label")
+        # a merged node is on a cycle with its target if the links at its other side lead there
+        hits = same.where("b_state = 'on'").select(F.col("b").alias("node"), F.col("b_label").alias("label")).union(same.where("a_state = 'into'").select("a", "a_label"))
+        labels = labels.union(_cut(hits.distinct()))
+    return labels
+
+
+def fk_cycles(edges: DataFrame) -> DataFrame:
+    """(child, parent) of edges within a cycle; a table's link to itself is none. NULL ends have no edge, repeated edges are one.
+
+    Ways and trees are taken apart in rounds that grow with the logarithm of their size, what is left is searched from the greatest nodes, and the rounds are
+    then gone through backwards, if any closed a cycle. A round has as many rows as there are links, never all pairs of a component.
+    """
+    links = _cut(edges.select(F.col("child").alias("a"), F.col("parent").alias("b")).where("a <> b").distinct())
+    labels = _labels(links)
+    at = lambda s: labels.select(F.col("node").alias(s), F.col("label").alias(f"{s}_label"))
+    both = links.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("a_label", "a") == F.coalesce("b_label", "b"))
+    return _cut(both.select(F.col("a").alias("child"), F.col("b").alias("parent")))
 
 
 def _jumps(links: DataFrame, rows: int) -> DataFrame:
@@ -167,21 +254,28 @@ def hierarchy_cycles(links: DataFrame) -> DataFrame:
 
 
 def fk_load_level(tables: DataFrame, edges: DataFrame) -> DataFrame:
-    """(table_id, level): 0 without parents, else one above the highest parent; tables on or behind a cycle get none.
+    """(table_id, level): 0 without parents, else one above the highest parent; tables on or behind a cycle get none. Edges of other tables than `tables` don't count.
 
-    Each round places the tables all of whose parents are placed.
+    The longest way to a table is found as cycles are: ways are merged link by link, and levels come back in as many rounds. Cycles are one step that is longer than any way.
     """
-    links = _cut(edges.select("child", "parent").where(F.col("child") != F.col("parent")).distinct())
-    left, placed, level = _cut(tables.select("table_id").distinct()), None, 0
-    while True:
-        waiting = links.join(left.select(F.col("table_id").alias("parent")), "parent", "left_semi").select(F.col("child").alias("table_id")).distinct()
-        ready = left.join(waiting, "table_id", "left_anti")
-        now = _cut(ready.select("table_id", F.lit(level).cast("long").alias("level")))
-        if not now.take(1):
-            break
-        placed = now if placed is None else placed.union(now)
-        left, level = _cut(left.join(now, "table_id", "left_anti")), level + 1
-    return placed if placed is not None else left.select("table_id", F.lit(0).cast("long").alias("level"))
+    ids = _cut(tables.select(F.col("table_id").alias("node")).where("table_id IS NOT NULL").distinct())
+    own = ids.withColumnRenamed("node", "a")
+    links = edges.select(F.col("parent").alias("a"), F.col("child").alias("b")).where("a <> b").distinct().join(own, "a", "left_semi").join(own.withColumnRenamed("a", "b"), "b", "left_semi")
+    links = _cut(links.select("a", "b"))
+    cyclic = fk_cycles(links.select(F.col("a").alias("child"), F.col("b").alias("parent"))).select(F.col("child").alias("a"), F.col("parent").alias("b"))
+    never = 1 << 60
+    on_cycle = cyclic.select(F.col("a").alias("node")).distinct().withColumn("never", F.lit(never))
+    base = ids.join(on_cycle, "node", "left").select("node", F.coalesce("never", F.lit(0)).cast("long").alias("base"))
+    rounds, _, rest, _ = _contract(links.join(cyclic, ["a", "b"], "left_anti").withColumn("w", F.lit(1).cast("long")), base)
+    levels = rest.select("node", F.col("base").alias("level"))
+    for r in reversed(rounds):
+        went, at = r.nodes.where("state <> 'stays'"), levels.select(F.col("node").alias("target"), F.col("level").alias("above"))
+        first = went.where("state = 'source'").select("node", F.col("base").alias("level")).union(went.where("state = 'into'").join(at, "target").select("node", F.greatest("base", F.col("above") + F.col("w"))))
+        levels = levels.union(_cut(first))
+        ends = went.where(F.col("state").isin("sink", "on")).select(F.col("node").alias("b"), "base")
+        ways = r.links.join(ends, "b", "left_semi").join(levels.withColumnRenamed("node", "a"), "a").groupBy("b").agg(F.max(F.col("level") + F.col("w")).alias("way"))
+        levels = levels.union(_cut(ends.join(ways, "b").select(F.col("b").alias("node"), F.greatest("base", "way").alias("level"))))
+    return _cut(levels.where(F.col("level") < never).select(F.col("node").alias("table_id"), "level"))
 
 
 def partition_rollup(nodes: DataFrame) -> DataFrame:

@@ -23,20 +23,33 @@ from profileloom.queries.profiles import q_count, q_most
 from profileloom.sources import files
 
 
-@query()
+_SNAPSHOT_SQL = """t AS (SELECT l_suppkey AS s, l_partkey AS p, count(*) AS n FROM lineitem GROUP BY 1, 2), e AS (SELECT *, CASE s % 3 WHEN 0 THEN 'postgresql' WHEN 1 THEN 'mysql' ELSE 'sqlserver' END AS engine FROM t)"""
+
+
+@query(f"""WITH {_SNAPSHOT_SQL} SELECT CAST(s AS VARCHAR) AS snapshot_id, engine, '1.2.3' AS engine_version, CAST(count(*) AS BIGINT) AS n_tables, CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(n) * 80 AS BIGINT) AS table_bytes, CAST(count(*) * 3 AS BIGINT) AS n_columns, count(*) AS n_nullable, CAST(count(*) * 2 AS BIGINT) AS n_indexes,
+  CASE WHEN engine = 'postgresql' THEN 'bigint,text,user-defined' ELSE 'integer,text,user-defined' END AS families, CASE WHEN engine = 'sqlserver' THEN 'clustered,other' ELSE 'btree,other' END AS methods, '[2, 1],[3]' AS keys, count(*) AS n_edges, '[3, 2]->[2, 1]' AS edges FROM e GROUP BY s, engine""")
 def catalog_snapshot(spark, sf_dir):
-    """A snapshot of JSON for each supplier, with its parts as tables."""
-    rows = load(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("rows"))
-    column = F.array(F.struct(F.lit(1).alias("attnum"), F.lit("id").alias("name"), F.lit("bigint").alias("type"), F.lit(True).alias("not_null")), F.struct(F.lit(2).alias("attnum"), F.lit("note").alias("name"), F.lit("varchar(9)").alias("type"), F.lit(False).alias("not_null")))
-    index = F.array(F.struct(F.lit("pk").alias("name"), F.lit("btree").alias("method"), F.lit(True).alias("is_unique"), F.array(F.lit(1)).alias("cols")))
-    fk = F.array(F.struct((F.col("l_partkey") + 1).cast("string").alias("to_oid"), F.array(F.lit(1)).alias("cols"), F.array(F.lit(1)).alias("to_cols")))
-    table = F.struct(F.col("l_partkey").cast("string").alias("oid"), F.lit("public").alias("schema_name"), F.concat(F.lit("part"), "l_partkey").alias("table_name"), "rows", (F.col("rows") * 80).alias("table_bytes"), column.alias("columns"), index.alias("indexes"), fk.alias("fks"))
-    snapshots = rows.groupBy("l_suppkey").agg(F.to_json(F.struct(F.concat(F.lit("e"), F.first("l_suppkey")).alias("engine"), F.collect_list(table).alias("tables"))).alias("snapshot"))
-    sets = files.catalog_snapshot(snapshots)
-    tables = sets["tables"].groupBy("engine").agg(F.count("*").alias("n_tables"), F.sum("rows").alias("n_rows"))
-    columns = sets["columns"].groupBy("engine").agg(F.count("*").alias("n_columns"), F.sum(F.col("nullable").cast("long")).alias("n_nullable"))
-    edges = sets["fk_edges"].groupBy("engine").agg(F.count("*").alias("n_edges"))
-    return tables.join(columns, "engine").join(edges, "engine")
+    """A snapshot of JSON for each supplier, with its parts as tables; by supplier they have the shape of another engine, and its rows of key columns aren't in order."""
+    rows, s = load(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("rows")), F.col("l_suppkey") % 3
+    struct = lambda **x: F.struct(*(v.alias(k) if hasattr(v, "alias") else F.lit(v).alias(k) for k, v in x.items()))
+    types = [F.lit("bigint"), F.when(s == 0, "varchar(9)").when(s == 1, "enum('a')").otherwise("nvarchar(9)"), F.lit("odd")]
+    columns = F.array(*(struct(attnum=k + 1, name=f"c{k + 1}", type=t, not_null=k > 0) for k, t in enumerate(types)))
+    ints = lambda *x: F.array(*map(F.lit, x))
+    method = F.when(s == 2, "CLUSTERED").otherwise("BTREE")
+    whole = struct(columns=columns, indexes=F.array(struct(name="pk", method=method, unique=True, col_ords=ints(2, 1)), struct(name="x", method="odd", unique=False, col_ords=ints(3))), fks=F.array(struct(to_oid=(F.col("l_partkey") + 1).cast("string"), col_ords=ints(3, 2), to_col_ords=ints(2, 1))))
+    key = [("pk", 2, "c1"), ("x", 1, "c3"), ("pk", 1, "c2")]
+    parts = struct(columns=columns, indexes=F.array(*(struct(name=n, method=F.lit("odd") if n == "x" else method, unique=n == "pk", seq=k, col_name=c) for n, k, c in key)), fks=F.array(*(struct(to_oid=F.col("l_partkey").cast("string"), fk_id="f", position=k, col_name=c, to_col_name=p) for k, c, p in ((2, "c2", "c1"), (1, "c3", "c2")))))
+    table = lambda x: struct(oid=F.col("l_partkey").cast("string"), schema_name="public", table_name=F.concat(F.lit("part"), "l_partkey"), reltuples=F.col("rows"), table_bytes=F.col("rows") * 80, **{c: x[c] for c in ("columns", "indexes", "fks")})
+    body = F.when(s == 0, F.to_json(table(whole))).otherwise(F.to_json(table(parts)))
+    head = F.concat(F.lit('{"engine":"'), F.when(F.first(s) == 0, "postgresql").when(F.first(s) == 1, "mysql").otherwise("sqlserver"), F.lit('","engine_version":"v1.2.3 build","tables":['), F.array_join(F.collect_list(body), ","), F.lit("]}"))
+    sets = files.catalog_snapshot(rows.groupBy(F.col("l_suppkey").alias("snapshot_id")).agg(head.alias("snapshot")))
+    own = ["snapshot_id", "engine"]
+    seen = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    tables = sets["tables"].groupBy(*own, "engine_version").agg(F.count("*").alias("n_tables"), F.sum("rows").alias("n_rows"), F.sum("table_bytes").alias("table_bytes"))
+    of_columns = sets["columns"].groupBy(*own).agg(F.count("*").alias("n_columns"), F.sum(F.col("nullable").cast("long")).alias("n_nullable"), seen("family").alias("families"))
+    indexes = sets["indexes"].groupBy(*own).agg(F.count("*").alias("n_indexes"), seen("method").alias("methods"), seen(F.col("cols").cast("string")).alias("keys"))
+    edges = sets["fk_edges"].groupBy(*own).agg(F.count("*").alias("n_edges"), seen(F.concat(F.col("child_cols").cast("string"), F.lit("->"), F.col("parent_cols").cast("string"))).alias("edges"))
+    return tables.join(of_columns, own).join(indexes, own).join(edges, own)
 
 
 @query("SELECT user_id AS table_id, event_type AS name, CASE user_id % 5 WHEN 0 THEN 'generated' WHEN 1 THEN 'rowversion' ELSE 'plain' END AS kind, count(*) AS n FROM events WHERE user_id % 5 > 1 GROUP BY 1, 2, 3")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from profileloom.functions.tokens import normalize_type
 from profileloom.operators.objects import label
 
 
@@ -95,17 +96,70 @@ def write_profile(profile: dict[str, DataFrame], path: str, run_id: str, format:
         rows.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").format(format).save(f"{path}/{entity}")
 
 
+#: Index methods by engine; others are `other`.
+INDEX_METHODS = {
+    "postgresql": ("btree", "hash", "gin", "gist", "spgist", "brin"),
+    "mysql": ("btree", "hash", "fulltext", "spatial", "rtree"),
+    "sqlserver": ("heap", "clustered", "nonclustered", "xml", "spatial", "clustered columnstore", "nonclustered columnstore", "hash"),
+}
+#: Names that the type families know engines by.
+TYPE_ENGINES = {"sqlserver": "mssql"}
+
+
+def _field(v: str, kind: str, *paths: str) -> Column:
+    """The first of the paths in a variant that is there and can be read as the type."""
+    return F.coalesce(*(F.try_variant_get(v, f"$.{p}", kind) for p in paths))
+
+
+def _each(rows: DataFrame, v: str, path: str, *kept: str) -> DataFrame:
+    """kept, place and item: a row for each element of an array in a variant; none where it isn't an array."""
+    return rows.select(*kept, F.posexplode(F.try_variant_get(v, f"$.{path}", "array<variant>")).alias("place", "item"))
+
+
 def catalog_snapshot(snapshots: DataFrame) -> dict[str, DataFrame]:
-    """tables, columns, indexes and fk_edges from rows of JSON texts (column `snapshot`), one catalog each.
+    """tables, columns, indexes and fk_edges from rows of JSON texts (column `snapshot`), one catalog each, as PostgreSQL, MySQL or SQL Server give them.
 
-    A snapshot has schema, and tables with columns, indexes and fks in arrays, as databases' catalog queries return them.
+    A snapshot has engine, engine_version and tables, with oid, schema_name, table_name, reltuples or rows, table_bytes, index_bytes, last_analyze, columns (attnum, name, type,
+    not_null, avg_width), indexes and fks. Keys come whole, in col_ords or cols and to_col_ords or to_cols, or a row for each of their columns, with seq or position, col_name and
+    to_col_name; those are put together again, by name or fk_id and in order, and named columns get the ordinals of their tables. A key with
+    a column that isn't there is NULL there; rows below 0 are 0. What has another type than it should is NULL, and a text that isn't JSON has no rows. Snapshots are told apart by
+    snapshot_id, if `snapshots` has such a column, else by engine.
     """
-    shape = "struct<engine:string,tables:array<struct<oid:string,schema_name:string,table_name:string,rows:bigint,table_bytes:bigint,columns:array<struct<attnum:int,name:string,type:string,not_null:boolean>>,indexes:array<struct<name:string,method:string,is_unique:boolean,cols:array<int>>>,fks:array<struct<to_oid:string,cols:array<int>,to_cols:array<int>>>>>>"
-    tables = snapshots.select(F.from_json("snapshot", shape).alias("s")).select("s.engine", F.explode("s.tables").alias("t"))
-    at = [F.col("engine"), F.col("t.oid").alias("table_id")]
+    own = "snapshot_id" if "snapshot_id" in snapshots.columns else "_engine"
+    parsed = snapshots.withColumn("_v", F.try_parse_json("snapshot")).withColumn("_engine", _field("_v", "string", "engine"))
+    parsed = parsed.select(F.col(own).cast("string").alias("snapshot_id"), F.col("_engine").alias("engine"), F.regexp_extract(_field("_v", "string", "engine_version"), r"[0-9]+([.][0-9]+)+", 0).alias("engine_version"), F.col("_v").alias("v"))
+    at, key = ["snapshot_id", "engine", "table_id"], ["snapshot_id", "table_id"]
+    tables = _each(parsed, "v", "tables", "snapshot_id", "engine", "engine_version").select("snapshot_id", "engine", "engine_version", _field("item", "string", "oid").alias("table_id"), F.col("item").alias("t"))
+    columns = _each(tables, "t", "columns", *at).select(*at, _field("item", "int", "attnum").alias("ordinal"), _field("item", "string", "name").alias("name"), _field("item", "string", "type").alias("native_type"), (~_field("item", "boolean", "not_null")).alias("nullable"), _field("item", "long", "avg_width").alias("avg_width"))
+    engine = F.col("engine")
+    for name, known in TYPE_ENGINES.items():
+        engine = F.when(F.col("engine") == name, known).otherwise(engine)
+    columns = columns.withColumn("family", normalize_type("native_type", engine))
+    named = columns.select(*key, F.col("name").alias("_name"), F.col("ordinal").alias("_ordinal")).dropDuplicates([*key, "_name"])
+
+    def ordinals(rows: DataFrame, table: str, name: str, out: str) -> DataFrame:
+        """rows with the ordinal of the column of a table that is named in a row."""
+        match = named.select(F.col("snapshot_id").alias("_s"), F.col("table_id").alias("_t"), F.col("_name"), F.col("_ordinal").alias(out))
+        return rows.join(match, (F.col("snapshot_id") == F.col("_s")) & (F.col(table) == F.col("_t")) & (F.col(name) == F.col("_name")), "left").drop("_s", "_t", "_name")
+
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("seq", "place", F.col(c).alias("o")))), lambda x: x["o"])
+    # indexes: whole ones, and a row for each of their columns
+    items = _each(tables, "t", "indexes", *at).select(*at, "place", _field("item", "string", "name").alias("name"), F.lower(F.trim(_field("item", "string", "method"))).alias("method"), _field("item", "boolean", "unique", "is_unique").alias("is_unique"), _field("item", "array<int>", "col_ords", "cols").alias("cols"), _field("item", "int", "seq").alias("seq"), _field("item", "string", "col_name").alias("col_name"))
+    parts = ordinals(items.where("cols IS NULL AND col_name IS NOT NULL"), "table_id", "col_name", "_o")
+    parts = parts.groupBy(*at, "name").agg(F.min_by("method", "seq").alias("method"), F.max("is_unique").alias("is_unique"), ordered("_o").alias("cols"))
+    indexes = items.where("cols IS NOT NULL OR col_name IS NULL").select(*at, "name", "method", "is_unique", "cols").unionByName(parts)
+    method = F.lit("other")
+    for name, known in INDEX_METHODS.items():
+        method = F.when((F.col("engine") == name) & F.col("method").isin(*known), F.col("method")).otherwise(method)
+    method = F.when(F.col("engine").isin(*INDEX_METHODS), method).otherwise(F.col("method"))
+    # foreign keys likewise
+    items = _each(tables, "t", "fks", *at).select(*at, "place", _field("item", "string", "fk_name", "fk_id", "name").alias("name"), _field("item", "string", "to_oid").alias("parent"), _field("item", "array<int>", "col_ords", "cols").alias("child_cols"), _field("item", "array<int>", "to_col_ords", "to_cols").alias("parent_cols"), _field("item", "int", "position", "seq").alias("seq"), _field("item", "string", "col_name").alias("col_name"), _field("item", "string", "to_col_name").alias("to_col_name"))
+    parts = ordinals(ordinals(items.where("child_cols IS NULL AND col_name IS NOT NULL"), "table_id", "col_name", "_o"), "parent", "to_col_name", "_p")
+    parts = parts.groupBy(*at, "name", "parent").agg(ordered("_o").alias("child_cols"), ordered("_p").alias("parent_cols"))
+    edges = items.where("child_cols IS NOT NULL OR col_name IS NULL").select(*at, "name", "parent", "child_cols", "parent_cols").unionByName(parts)
     return {
-        "tables": tables.select(*at, "t.schema_name", "t.table_name", "t.rows", "t.table_bytes"),
-        "columns": tables.select(*at, F.explode("t.columns").alias("c")).select("engine", "table_id", F.col("c.attnum").alias("ordinal"), "c.name", F.col("c.type").alias("native_type"), (~F.col("c.not_null")).alias("nullable")),
-        "indexes": tables.select(*at, F.explode("t.indexes").alias("i")).select("engine", "table_id", "i.name", "i.method", "i.is_unique", "i.cols"),
-        "fk_edges": tables.select(*at, F.explode("t.fks").alias("f")).select("engine", F.col("table_id").alias("child"), F.col("f.to_oid").alias("parent"), F.col("f.cols").alias("child_cols"), F.col("f.to_cols").alias("parent_cols")),
+        "tables": tables.select("snapshot_id", "engine", "table_id", _field("t", "string", "schema_name").alias("schema_name"), _field("t", "string", "table_name").alias("table_name"), F.when(_field("t", "double", "reltuples", "rows") < 0, 0).otherwise(_field("t", "double", "reltuples", "rows")).cast("long").alias("rows"), _field("t", "long", "table_bytes").alias("table_bytes"), _field("t", "long", "index_bytes").alias("index_bytes"), F.try_to_timestamp(_field("t", "string", "last_analyze")).alias("analyzed_at"), "engine_version"),
+        "columns": columns,
+        "indexes": indexes.withColumn("method", method),
+        "fk_edges": edges.select("snapshot_id", "engine", F.col("table_id").alias("child"), "parent", "child_cols", "parent_cols", "name"),
     }
