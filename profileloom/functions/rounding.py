@@ -18,10 +18,12 @@ def div(a: Number | str, b: Number | str) -> Column:
 
 
 def round_to_bucket(x: Number | str, bucket: Number) -> Column:
-    """Nearest multiple of the bucket, halves up; a bucket of 0 leaves the value."""
+    """Nearest multiple of the bucket, halves up, but the one below where that is more than a long holds; a bucket of 0 leaves the value."""
     x, b = _col(x), _col(bucket)
-    whole = F.when(b == 0, F.lit(1)).otherwise(b)
-    return F.when(b == 0, x).otherwise(div(x + div(whole, 2), whole) * whole)
+    whole = F.when(b == 0, F.lit(1)).otherwise(b).cast("long")
+    below = div(x, whole) * whole
+    up = x - below >= whole - div(whole, 2)
+    return F.when(b == 0, x).otherwise(F.when(up, F.coalesce(F.try_add(below, whole), below)).otherwise(below))
 
 
 def round_rows(x: Number | str) -> Column:

@@ -48,5 +48,6 @@ def truncate_cells(df: DataFrame, limits: dict[str, int]) -> DataFrame:
 
 
 def transfer_columns(columns: DataFrame) -> DataFrame:
-    """Columns that can be loaded: not generated, computed, of system time or a row version; by ordinal and name."""
-    return columns.where(~F.col("kind").isin("generated", "computed", "system-time", "rowversion"))
+    """Columns that can be loaded: not generated, computed, of system time or a row version; by table, ordinal and name, as far as `columns` has them. A NULL kind is an ordinary column."""
+    order = [c for c in ("table_id", "ordinal", "name") if c in columns.columns]
+    return columns.where(~F.coalesce(F.col("kind"), F.lit("")).isin("generated", "computed", "system-time", "rowversion")).orderBy(*order)

@@ -141,16 +141,23 @@ def token_union(lists: DataFrame, keys: list[str], tokens: str) -> DataFrame:
 
 
 def select_scope(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
+    """Rows whose name is in the list, in any order and however often named. Names that the table doesn't have raise; an empty list selects nothing."""
+    if missing := [r[0] for r in missing_names(df, column, allowed).orderBy(column).limit(20).collect()]:
+        raise ValueError(f"no such {column}: {', '.join(missing)}")
     return df.where(F.col(column).isin(*sorted(set(allowed))))
 
 
 def missing_names(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
     """Names of the list that the table doesn't have."""
     names = df.sparkSession.createDataFrame([(n,) for n in sorted(set(allowed))], f"{column} string")
-    return names.join(df.select(column).distinct(), column, "left_anti")
+    return names.join(df.select(F.col(column).cast("string").alias(column)).distinct(), column, "left_anti")
 
 
-def select_sources(sources: DataFrame, engines: list[str] | None = None, tag: str | None = None) -> DataFrame:
-    """Sources of given engines that have a tag."""
+def select_sources(sources: DataFrame, engines: list[str] | None = None, tag: str | None = None, source_ids: list[str] | None = None, tables: DataFrame | None = None, table: str | None = None) -> DataFrame:
+    """Sources of given engines and ids that have a tag and a table; what isn't given doesn't select. tables: source_id, table_id. Ids that aren't there raise."""
     rows = sources.where(F.col("engine").isin(*engines)) if engines else sources
+    if source_ids is not None:
+        rows = select_scope(rows, "source_id", source_ids)
+    if table is not None:
+        rows = rows.join(tables.where(F.col("table_id") == table).select("source_id").distinct(), "source_id", "left_semi")
     return rows.where(F.array_contains("tags", tag)) if tag else rows

@@ -90,10 +90,30 @@ def storage_profile(df: DataFrame) -> DataFrame:
     return out.withColumn("length_avg", length).withColumn("ratio", F.when((F.col("raw_bytes") > 0) & (F.col("packed_bytes") > 0), F.col("raw_bytes") / F.col("packed_bytes")).otherwise(0.0))
 
 
+#: Folder of the manifest of a profile set: a row for each entity of each whole run.
+MANIFEST = "manifest"
+
+
 def write_profile(profile: dict[str, DataFrame], path: str, run_id: str, format: str = "parquet") -> None:
-    """Writes each entity of a profile set to its own folder, partitioned by run."""
+    """Writes each entity of a profile set to its own folder, partitioned by run; the run's lines in the manifest come last.
+
+    A run that is repeated takes the place of its rows, and of nothing else. One that failed half-way has no lines, so read_profile doesn't see it.
+    """
+    if MANIFEST in profile:
+        raise ValueError(f"{MANIFEST} can't be an entity")
+    put = lambda df, name: df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").format(format).save(f"{path}/{name}")
     for entity, rows in profile.items():
-        rows.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").format(format).save(f"{path}/{entity}")
+        put(rows, entity)
+    if profile:
+        spark = next(iter(profile.values())).sparkSession
+        put(spark.createDataFrame([(e,) for e in profile], "entity string").coalesce(1), MANIFEST)
+
+
+def read_profile(spark: SparkSession, path: str, entity: str, format: str = "parquet") -> DataFrame:
+    """Rows of an entity of the runs that are whole, with their run_id as text."""
+    runs = spark.read.format(format).load(f"{path}/{MANIFEST}").where(F.col("entity") == entity).select(F.col("run_id").cast("string").alias("run_id"))
+    rows = spark.read.format(format).load(f"{path}/{entity}")
+    return rows.withColumn("run_id", F.col("run_id").cast("string")).join(runs, "run_id", "left_semi")
 
 
 #: Index methods by engine; others are `other`.

@@ -2,7 +2,9 @@
 
 import json
 
+import pytest
 from profileloom.functions import rounding
+from profileloom.operators import cells, rollups
 from profileloom.sources import files
 from pyspark.sql import functions as F
 
@@ -44,3 +46,40 @@ def test_snapshots_with_gaps(spark):
     assert [(r.child_cols, r.parent_cols) for r in sets["fk_edges"].collect()] == [([None, None], [4, 4])]
     empty = files.catalog_snapshot(spark.createDataFrame([], "snapshot string"))
     assert all(df.collect() == [] for df in empty.values())
+
+
+def test_profiles_are_written_once(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "column_name string, n long")
+    for _ in range(2):
+        files.write_profile({"columns": rows, "tables": rows.limit(1)}, str(tmp_path), "2")
+    files.write_profile({"columns": rows.limit(2)}, str(tmp_path), "10")
+    assert {(r.run_id, r["count"]) for r in files.read_profile(spark, str(tmp_path), "columns").groupBy("run_id").count().collect()} == {("2", 3), ("10", 2)}
+    with pytest.raises(Exception, match="gone"):
+        files.write_profile({"columns": rows, "tables": rows.selectExpr("column_name", "raise_error('gone') AS n")}, str(tmp_path), "11")
+    assert spark.read.parquet(f"{tmp_path}/columns").where("run_id = 11").count() == 3
+    assert {r.run_id for r in files.read_profile(spark, str(tmp_path), "columns").collect()} == {"2", "10"}
+    assert files.read_profile(spark, str(tmp_path), "tables").count() == 1
+
+
+def test_buckets_stop_at_the_largest_long(spark):
+    top = (1 << 63) - 1
+    rows = spark.createDataFrame([(top, 100), (top, 7), (top - 5, 0), (150, 100), (149, 100), (7, 3), (8, 3), (None, 3)], "x long, b long")
+    got = [r[0] for r in rows.select(rounding.round_to_bucket("x", rows.b)).collect()]
+    assert got == [top // 100 * 100, top // 7 * 7, top - 5, 200, 100, 6, 9, None]
+
+
+def test_selectors(spark):
+    sources = spark.createDataFrame([("a", "mysql", ["x"]), ("b", "mysql", ["y"]), ("c", "oracle", ["x"])], "source_id string, engine string, tags array<string>")
+    tables = spark.createDataFrame([("a", "t1"), ("b", "t1"), ("b", "t2"), ("c", "t2")], "source_id string, table_id string")
+    ids = lambda df: sorted(r.source_id for r in df.collect())
+    assert ids(rollups.select_sources(sources, ["mysql"], "x")) == ["a"] and ids(rollups.select_sources(sources)) == ["a", "b", "c"]
+    assert ids(rollups.select_sources(sources, table="t1", tables=tables)) == ["a", "b"]
+    assert ids(rollups.select_sources(sources, source_ids=["c", "a", "c"], tables=tables, table="t2")) == ["c"]
+    with pytest.raises(ValueError, match="nowhere"):
+        rollups.select_sources(sources, source_ids=["a", "nowhere"])
+    assert rollups.select_scope(sources, "engine", []).count() == 0 and rollups.missing_names(sources, "engine", ["x", "mysql"]).first()[0] == "x"
+
+
+def test_transfer_columns_are_in_order(spark):
+    rows = spark.createDataFrame([(2, "b", None), (1, "z", "plain"), (2, "a", "plain"), (3, "c", "rowversion")], "ordinal int, name string, kind string")
+    assert [(r.ordinal, r.name) for r in cells.transfer_columns(rows).collect()] == [(1, "z"), (2, "a"), (2, "b")]
