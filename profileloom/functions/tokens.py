@@ -21,7 +21,7 @@ MEMORY_BANDS = ((1, 2 * GIB, 4 * GIB, 8 * GIB, 16 * GIB, 32 * GIB, 64 * GIB, 128
 CONNECTION_BANDS = ((1, 2, 6, 21, 101, 501, 2001), ("none", "1", "2-5", "6-20", "21-100", "101-500", "501-2000", "2001-plus"))
 RATE_BANDS = ((1, 11, 101, 1001, 10001), ("under-1", "1-10", "11-100", "101-1000", "1001-10000", "10000-plus"))
 
-#: Native type names by family, of PostgreSQL, MySQL and SQL Server.
+#: Native type names by family, of PostgreSQL.
 TYPE_FAMILIES = {
     "boolean": ("boolean", "bool"),
     "smallint": ("smallint", "int2"),
@@ -39,6 +39,7 @@ TYPE_FAMILIES = {
     "binary": ("bytea", "binary"),
     "vector": ("vector",),
 }
+#: Families of MySQL's type names.
 MYSQL_FAMILIES = {
     "integer": ("tinyint", "smallint", "mediumint", "int", "integer", "bigint"),
     "numeric": ("decimal", "numeric"),
@@ -53,6 +54,7 @@ MYSQL_FAMILIES = {
     "text": ("char", "varchar", "tinytext", "text", "mediumtext", "longtext", "enum", "set"),
     "binary": ("binary", "varbinary", "tinyblob", "blob", "mediumblob", "longblob", "geometry", "point", "linestring", "polygon", "multipoint", "multilinestring", "multipolygon", "geometrycollection"),
 }
+#: Families of SQL Server's type names.
 MSSQL_FAMILIES = {
     "integer": ("bigint", "int", "smallint", "tinyint"),
     "numeric": ("decimal", "numeric", "money", "smallmoney"),

@@ -238,7 +238,7 @@ def generate_catalog(spark, sf_dir):
 
 @query()
 def calibrate_entropy(spark, sf_dir):
-    """Entropies of a text, hex, JSON and binary column, as many rows and as long as those of events, for ratios measured on events and documents."""
+    """Entropies of a text, hex, JSON and binary column, as many rows and as long as those of events, for a ratio each."""
     events = load(spark, sf_dir, "events").agg(F.count("*").alias("n"), F.avg(F.length("props")).cast("int").alias("length")).first()
     columns = [G.ColumnProfile(f"{f}_column", f, events.n, length_avg=max(48, events.length), length_p95=max(48, events.length)) for f in ("text", "hex", "json", "binary")]
     return K.calibrate_entropy(spark, "events", events.n, columns, {"text_column": 4.0, "hex_column": 3.0, "json_column": 5.0, "binary_column": 2.5})
