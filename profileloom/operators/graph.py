@@ -185,13 +185,25 @@ def _spread(marks: DataFrame, links: DataFrame) -> DataFrame:
     return marks
 
 
+def _trimmed(links: DataFrame) -> DataFrame:
+    """links (a, b) without those of nodes that nothing leads to or that lead nowhere, until none is left."""
+    n = F.count("*").alias("n")
+    links, seen = _cut(links, n)
+    while before := seen.get("n"):
+        ends = links.select("a").intersect(links.select(F.col("b").alias("a")))
+        links, seen = _cut(links.join(ends, "a", "left_semi").join(ends.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b"), n)
+        if seen.get("n") == before:
+            break
+    return links
+
+
 def _core_components(links: DataFrame) -> DataFrame:
     """(node, label) of the nodes on cycles of links (a, b), label being the same for those that reach each other.
 
     Each node learns the greatest node that reaches it; nodes with one such root that reach it back are a component. The rest goes to the next round. A
     round has as many rows as there are links, and as many steps as the longest way it looks at; _contract leaves it few and short ones.
     """
-    links = _cut(links.select("a", "b"))
+    links = _trimmed(links.select("a", "b"))
     found = links.select(F.col("a").alias("node"), F.col("a").alias("label")).where("false")
     while links.take(1):
         nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
@@ -203,7 +215,7 @@ def _core_components(links: DataFrame) -> DataFrame:
         component = _cut(back.where("mark = 1").select("node").join(roots, "node").select("node", F.col("mark").alias("label")))
         found = found.union(component)
         gone = component.select(F.col("node").alias("a"))
-        links = _cut(links.join(gone, "a", "left_anti").join(gone.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b"))
+        links = _trimmed(links.join(gone, "a", "left_anti").join(gone.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b"))
     return _cut(found)
 
 

@@ -50,7 +50,7 @@ def graphs():
     yield [(a, b) for a in range(12) for b in range(12) if a != b and rng.random() < 0.3] + [(12, 3), (5, 13), (13, 14), (14, 13)]
     yield [(k, (k - 1) // 2) for k in range(1, 90)] + [(0, 89)]
     yield [(rng.randrange(60), rng.randrange(60)) for _ in range(70)] + [(None, 3), (3, None), (4, 4), (7, 8), (7, 8)]
-    yield [(a, b) for a in range(40) for b in range(a + 1, min(a + 4, 40))]
+    yield [(a, b) for a in range(16) for b in range(a + 1, min(a + 4, 16))]
 
 
 @pytest.mark.parametrize("edges", list(graphs()))
