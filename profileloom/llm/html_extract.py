@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -18,19 +19,20 @@ LEAST, DAMPING = 0.1, 0.9
 #: Prior of an element by its markup, and how many pages' evidence it is worth: the article itself, and what markup says
 #: nothing of. What markup calls noise goes whatever the pages say.
 ARTICLE, PLAIN = (1.0, 4.0), (0.5, 1.0)
-#: Elements nested deeper are taken for children of the last one within.
-DEPTH = 128
 #: Pages that a worker unpacks at a time, and removed nodes up to which they are broadcast (8 bytes each).
 SLICE, BROADCAST_NODES = 200, 1_000_000
 
 #: HTML elements by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object canvas select title head audio video".split())
+RAW = frozenset("script style template textarea iframe svg canvas select title head audio video".split())
 NOISE = frozenset("nav footer aside form menu button dialog".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-#: Words that class and id attributes use for what isn't the article.
+#: Words that class and id attributes use for what isn't the article; within it, only names that say so as a whole; and words
+#: that go with either.
 NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal newsletter subscribe subscription signup menu menus nav navbar navigation breadcrumb breadcrumbs sidebar widget widgets footer masthead toolbar share sharing social related recommended comments comment commentlist discussion disqus replies reply respond login search pagination pager copyright skip".split())
+INNER_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsored promo newsletter share sharing social-share share-buttons related related-posts related-articles comments comment-list commentlist comment-section disqus disqus_thread respond cookie-notice cookie-banner breadcrumb breadcrumbs pagination".split())
+WITH_NAMES = frozenset("main site page top bottom left right inner outer wrap wrapper container box bar block section area list item items header content primary secondary global post posts article entry form link links button buttons icon icons has is no js the thread".split())
 
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++)))?""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
@@ -45,14 +47,20 @@ def _hash(text: str, seed: int = 0) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), seed) >> 1
 
 
+def says_noise(name: str) -> bool:
+    """Whether a class or id name is a word of NAMES, alone or with words that say nothing of it: main-nav, but not social-studies."""
+    parts = [p for p in _PART.split(_DIGITS.sub("", name)) if p]
+    return name in NAMES or not NAMES.isdisjoint(parts) and all(p in NAMES or p in WITH_NAMES for p in parts)
+
+
 class Element:
     """A node of the page: its place in the merged tree of the site, and what its markup says of it."""
 
-    __slots__ = ("article", "children", "core", "depth", "noise", "parent", "path", "said", "soft", "tag")
+    __slots__ = ("article", "children", "core", "depth", "inner", "noise", "parent", "path", "said", "soft", "tag")
 
-    def __init__(self, tag: str, label: str, parent: Element | None, noise: bool = False, soft: bool = False, article: bool = False, site: int = 0):
+    def __init__(self, tag: str, label: str, parent: Element | None, noise: bool = False, soft: bool = False, article: bool = False, site: int = 0, inner: bool = False):
         self.tag, self.parent, self.noise, self.soft, self.article = tag, parent, noise, soft, article
-        self.core, self.children, self.said = False, [], None
+        self.core, self.children, self.said, self.inner = False, [], None, inner
         self.depth = parent.depth + 1 if parent else 0
         # elements of a site with the same labels down to them are one node of its tree
         self.path = _hash(label, parent.path if parent else site)
@@ -60,12 +68,12 @@ class Element:
             parent.children.append(label)
 
     def judged(self) -> tuple[bool, bool]:
-        """(noise, inside): whether markup calls the element or one above noise, and whether it is in the article."""
+        """(noise, inside): whether markup calls the element or one above noise, and whether it is in the article. Those above are judged first."""
         if self.said is None:
-            noise, inside = self.parent.judged() if self.parent else (False, False)
+            noise, inside = self.parent.said if self.parent else (False, False)
+            # a name or a header says little of an element that holds the article; in the article only names count that are told as a whole
+            named = self.inner if inside else self.soft
             inside = inside or self.article
-            # a name or a header says little of an element that holds the article, or of a header in it
-            named = self.soft and not (self.tag == "header" and inside)
             self.said = noise or not self.core and (self.noise or named), inside
         return self.said
 
@@ -93,29 +101,36 @@ def parse_page(page: str, site: int = 0) -> tuple[list[Element], list[tuple[Elem
     """(elements, blocks): the page's elements, and its texts in order with the block element that holds each.
 
     Character references are decoded and white space squeezed; what is never shown is left out. Time is linear in the
-    page: tags are found by plain searches, elements carry what is known of those above, and no search goes up more
-    than DEPTH elements.
+    page, however deep it nests: tags are found by plain searches, elements carry what is known of those above, and the
+    open elements of each tag are known by place, so nothing is searched for upwards.
     """
     root = Element("", "", None, site=site)
-    elements, blocks, stack, parts, flat = [root], [], [root], [], {}
+    elements, blocks, stack, parts = [root], [], [root], []
+    # places in the stack: of each tag's open elements, and of the open blocks
+    places: dict[str, list[int]] = {}
+    open_blocks: list[int] = []
     at, size, quotes = 0, len(page), True
 
     def flush() -> None:
         line = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         parts.clear()
         if line:
-            owner = stack[-1]
-            while owner.parent is not None and owner.tag not in BLOCKS:
-                owner = owner.parent
-            blocks.append((owner, line))
+            blocks.append((stack[open_blocks[-1]] if open_blocks else root, line))
+
+    def last(names: Iterable[str]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
+    def close_from(k: int) -> None:
+        while len(stack) > k:
+            tag = stack.pop().tag
+            places[tag].pop()
+            if tag in BLOCKS:
+                open_blocks.pop()
 
     def close_open(names: Iterable[str], within: Iterable[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in names:
-                del stack[k:]
-                return
-            if stack[k].tag in within:
-                return
+        k = last(names)
+        if k and k >= last(within):
+            close_from(k)
 
     while at < size:
         begin = page.find("<", at)
@@ -127,7 +142,7 @@ def parse_page(page: str, site: int = 0) -> tuple[list[Element], list[tuple[Elem
         if page.startswith("<!--", begin):
             at = page.find("-->", begin + 4) + 3
             if at < 3:
-                return elements, _finish(flush, blocks)
+                return _finish(elements, flush, blocks)
             continue
         closing = after == "/"
         name = _NAME.match(page, begin + 2) if closing else _NAME.match(page, begin + 1)
@@ -140,7 +155,7 @@ def parse_page(page: str, site: int = 0) -> tuple[list[Element], list[tuple[Elem
         else:
             end, quotes = _tag_end(page, name.end(), quotes)
         if end < 0:  # a tag without end, and all that follows, is never shown
-            return elements, _finish(flush, blocks)
+            return _finish(elements, flush, blocks)
         at = end + 1
         if name is None:
             continue
@@ -148,15 +163,9 @@ def parse_page(page: str, site: int = 0) -> tuple[list[Element], list[tuple[Elem
         if closing:
             if tag in BLOCKS:
                 flush()
-            if flat.get(tag):
-                flat[tag] -= 1
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag not in BLOCKS and stack[k].tag in BLOCKS:
-                    break
+            k = last((tag,))
+            if k and (tag in BLOCKS or not open_blocks or open_blocks[-1] < k):
+                close_from(k)
             continue
         attributes = page[name.end() : end]
         empty = attributes.rstrip().endswith("/")
@@ -177,30 +186,32 @@ def parse_page(page: str, site: int = 0) -> tuple[list[Element], list[tuple[Elem
         given = _attributes(attributes) if attributes else {}
         names = f"{given.get('class', '')} {given.get('id', '')}".lower().split()
         words = {p for n in names for p in (n, *_PART.split(n))}
-        soft = tag not in ("html", "body", "main", "article") and not NAMES.isdisjoint(words) or tag == "header"
+        soft = tag not in ("html", "body", "main", "article") and any(map(says_noise, names)) or tag == "header"
         soft = soft or tag == "article" and not words.isdisjoint(("comment", "comments", "reply"))
-        hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
-        noise = tag in NOISE or hidden or given.get("role", "").lower() in ROLES
+        inner = soft if tag == "article" else not INNER_NAMES.isdisjoint(names)
+        noise = tag in NOISE or given.get("role", "").lower() in ROLES
         article = tag in ("article", "main") and not soft or given.get("role") == "main"
         label = tag + "".join(f".{_DIGITS.sub('0', n)}" for n in sorted(names))
-        element = Element(tag, label, stack[-1], noise, soft, article)
+        element = Element(tag, label, stack[-1], noise, soft, article, inner=inner)
         elements.append(element)
         core = element if article else None
         while core is not None and not core.core:
             core.core, core = True, core.parent
         if not empty:
-            if len(stack) <= DEPTH:
-                stack.append(element)
-            else:
-                flat[tag] = flat.get(tag, 0) + 1
+            places.setdefault(tag, []).append(len(stack))
+            if tag in BLOCKS:
+                open_blocks.append(len(stack))
+            stack.append(element)
     if at < size:
         parts.append(page[at:])
-    return elements, _finish(flush, blocks)
+    return _finish(elements, flush, blocks)
 
 
-def _finish(flush: object, blocks: list) -> list:
+def _finish(elements: list[Element], flush: Callable[[], None], blocks: list) -> tuple[list[Element], list]:
     flush()
-    return blocks
+    for e in elements:
+        e.judged()
+    return elements, blocks
 
 
 def _raw_end(page: str, at: int, tag: str) -> int:
@@ -228,18 +239,25 @@ _PAGES = f"page_id long, url string, key binary, sign long, nodes {_NODES}, bloc
 def page_nodes(url: str, page: str) -> tuple[bytes, int, list[tuple], list[tuple]]:
     """(key, sign, nodes, blocks) of a page: see parsed_pages."""
     elements, texts = parse_page(page, _hash(_host(url)))
-    articles = any(owner.judged() == (False, True) for owner, _ in texts)
+    articles = any(owner.said == (False, True) for owner, _ in texts)
+    # a page whose article has no title of its own has it beside the article
+    titled = any(owner.said == (False, True) and owner.tag == "h1" for owner, _ in texts)
+    title = articles and not titled and next((o for o, _ in texts if o.tag == "h1" and o.said == (False, False)), None) or None
+    above = set()
+    while title is not None:
+        above.add(title)
+        title = title.parent
 
     def prior(e: Element) -> int:
-        noise, inside = e.judged()
+        noise, inside = e.said
         # in a page with an article, text beside it is noise; what holds the article isn't
-        return NOISY if noise or articles and not inside and not e.core else INSIDE if inside else UNSAID
+        return NOISY if noise or articles and not inside and not e.core and e not in above else INSIDE if inside else UNSAID
 
     nodes: dict[int, tuple] = {}
     for e in elements:
         _, _, _, style, leaf, _ = nodes.get(e.path, (0, 0, 0, 0, True, 0))
         nodes[e.path] = e.path, e.parent.path if e.parent else None, e.depth, _hash("\n".join(e.children), style), leaf and not e.children, prior(e)
-    blocks = [(o.path, _hash(text, o.path), NOISY if articles and not o.judged()[1] else prior(o), text) for o, text in texts]
+    blocks = [(o.path, _hash(text, o.path), NOISY if articles and not o.said[1] and not (o.tag == "h1" and o in above) else prior(o), text) for o, text in texts]
     key = xxhash.xxh3_128_digest(f"{url}\n{page}".encode("utf-8", "replace"))
     return key, _hash("\n".join(text for _, text in texts)), list(nodes.values()), blocks
 
@@ -291,7 +309,8 @@ def style_tree(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     1 - log(n) / log(m): 0 if all pages repeat it, 1 if one has it or if there is one page. An element's presentation
     importance is the entropy, base m, of its styles over pages. Its importance is that of what it holds, the mean of its
     texts and children weighted by text length, damped towards the presentation importance the more styles it has;
-    for an element of text alone it is the mean. Importances are composed level by level from the deepest elements up. Counts are
+    for an element of text alone it is the mean. Importances are composed from the deepest elements up, in rounds that grow with the
+    logarithm of the depth. Counts are
     combined before each shuffle, so that a large site is spread over tasks. Sites of one page, which lose nothing, are left out
     while the others can be broadcast (8 bytes each).
     """
@@ -309,20 +328,40 @@ def style_tree(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     contents = stored(texts.join(nodes.select("path", "pages"), "path").select("path", "content", "n", "size", "pages", same.alias("importance")))
     weight = (F.col("n") * F.col("size")).cast("double")
     held = contents.groupBy("path").agg(F.sum(weight).alias("weight"), F.sum(weight * F.col("importance")).alias("mass"))
-    nodes = cut(nodes.join(held, "path", "left").na.fill(0.0, ["weight", "mass"]))
-    done, below = None, None
-    for depth in range(nodes.agg(F.max("depth")).first()[0] or 0, -1, -1):
-        level = nodes.where(F.col("depth") == depth)
-        if below is not None:
-            level = level.join(below, "path", "left").na.fill(0.0, ["weight_below", "mass_below"])
-            level = level.withColumn("weight", F.col("weight") + F.col("weight_below")).withColumn("mass", F.col("mass") + F.col("mass_below"))
-        mean = F.when(F.col("weight") > 0, F.col("mass") / F.col("weight")).otherwise(1.0)
-        kept = F.pow(F.lit(DAMPING), F.col("styles"))
-        importance = F.when(F.col("leaf"), mean).otherwise((1 - kept) * F.col("shape") + kept * mean)
-        level = cut(level.select("path", "up", "depth", "pages", "weight", importance.alias("importance")))
-        below = level.groupBy(F.col("up").alias("path")).agg(F.sum("weight").alias("weight_below"), F.sum(F.col("weight") * F.col("importance")).alias("mass_below"))
-        done = level if done is None else done.union(level)
-    return done.select("path", "up", "depth", "pages", "importance"), contents.select("content", "pages", "importance")
+    kept = F.when(F.col("leaf"), 1.0).otherwise(F.pow(F.lit(DAMPING), F.col("styles")))
+    nodes = nodes.join(held, "path", "left").na.fill(0.0, ["weight", "mass"]).withColumn("kept", kept).withColumn("form", (1 - F.col("kept")) * F.col("shape"))
+    nodes = cut(nodes.select("path", "up", "depth", "pages", "kept", "form", "weight", "mass"))
+    sums = summed_up(nodes)
+    importance = F.when(F.col("total") > 0, F.col("gained") / F.col("total")).otherwise(F.col("form") + F.col("kept"))
+    done = nodes.join(sums, "path").select("path", "up", "depth", "pages", importance.alias("importance"))
+    return done, contents.select("content", "pages", "importance")
+
+
+def summed_up(nodes: DataFrame) -> DataFrame:
+    """(path, total, gained) of nodes (path, up, kept, form, weight, mass): the text below each, and that text times its importance.
+
+    With sums over the node's own texts and the branches below it, total = sum of weights and gained = form * total + kept *
+    sum of masses. That is linear, so a node passes both on to the one above by two factors, whose products along a way are two
+    factors again: each round nodes pass their sums to the node twice as far above, and the rounds grow with the
+    logarithm of the depth. A node passes on what nodes nearer than that have given it, so every branch is counted once.
+    """
+    gained = F.col("form") * F.col("weight") + F.col("kept") * F.col("mass")
+    at = nodes.select("path", F.col("weight").alias("total"), gained.alias("gained"), F.col("up").alias("to"))
+    # what is passed on to `to` counts there as `turn` times the weight and `share` times the mass
+    factors = nodes.select(F.col("path").alias("to"), F.col("form").alias("turn"), F.col("kept").alias("share"))
+    moving = at.where(F.col("to").isNotNull())
+    at = cut(at.join(salted_join(moving.select("path", "to"), factors, ["to"], hot_hashes(moving, ["to"]), ["path"]).drop("to"), "path", "left"))
+    while at.where(F.col("to").isNotNull()).take(1):
+        moving = at.where(F.col("to").isNotNull())
+        given = moving.groupBy(F.col("to").alias("path")).agg(F.sum("total").alias("more"), F.sum(F.col("turn") * F.col("total") + F.col("share") * F.col("gained")).alias("more_gained"))
+        far = at.where(F.col("to").isNotNull()).select(F.col("path").alias("to"), F.col("to").alias("next"), F.col("turn").alias("turn_next"), F.col("share").alias("share_next"))
+        ways = salted_join(moving.select("path", "to", "turn", "share"), far, ["to"], hot_hashes(moving, ["to"]), ["path"])
+        turn, share = F.col("turn_next") + F.col("share_next") * F.col("turn"), F.col("share_next") * F.col("share")
+        ways = ways.select("path", F.col("next").alias("to"), turn.alias("turn"), share.alias("share"))
+        sums = at.join(given, "path", "left").na.fill(0.0, ["more", "more_gained"])
+        sums = sums.select("path", (F.col("total") + F.col("more")).alias("total"), (F.col("gained") + F.col("more_gained")).alias("gained"))
+        at = cut(sums.join(ways, "path", "left"))
+    return at.select("path", "total", "gained")
 
 
 def unimportant(elements: DataFrame, contents: DataFrame) -> DataFrame:
@@ -357,7 +396,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     Branches and texts go whose importance is under LEAST. The pages of a site say how important they are: what most of
     them repeat isn't, and neither is a branch that mostly holds such text. What markup says is the prior: an article
     needs many more pages against it; and menus, headers, footers, sidebars, forms, notices, adverts, comments and what
-    stands beside the article of a page that has one go whatever the pages say. A header or name that holds the article itself doesn't count.
+    stands beside the article of a page that has one go whatever the pages say, but for its title if the article has none. A header or
+    name that holds the article itself doesn't count, and within it only names that say so as a whole do (INNER_NAMES). Hidden text is text.
 
     A null url belongs to the site without a host, null html gives empty text; ids may be null. Equal pages count once and get equal
     texts; pages may be of any length; an empty table gives no rows; columns other than page_id, url and html aren't read. Pages are
@@ -366,7 +406,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     parsed = stored(parsed_pages(pages))
     low = cut(unimportant(*style_tree(parsed)))
     if low.count() <= BROADCAST_NODES:
-        every = parsed.sparkSession.sparkContext.broadcast(frozenset(r.code for r in low.collect()))
+        codes = np.unique(np.array([r.code for r in low.collect()], np.int64))
+        every = parsed.sparkSession.sparkContext.broadcast(codes)
         rows = parsed.select("page_id", "url", "nodes", "blocks", F.lit(None).cast("array<long>").alias("low"))
     else:
         every = None
@@ -381,8 +422,12 @@ def extract_text(pages: DataFrame) -> DataFrame:
             out = []
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                for nodes, blocks, own in zip(*(part.column(c).to_pylist() for c in ("nodes", "blocks", "low")), strict=True):
-                    out.append(kept_text(nodes, blocks, every.value if every else set(own or ())))
+                lists = [part.column(c).to_pylist() for c in ("nodes", "blocks", "low")]
+                if every:  # of a million sorted numbers, those that the pages at hand have
+                    here = np.array([_code(n[c], n["prior"]) for pages, c in ((lists[0], "path"), (lists[1], "content")) for page in pages for n in page], np.int64)
+                    found = set(np.intersect1d(here, every.value).tolist())
+                for nodes, blocks, own in zip(*lists, strict=True):
+                    out.append(kept_text(nodes, blocks, found if every else set(own or ())))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     rows = rows.mapInArrow(run, "page_id long, url string, text string")

@@ -436,3 +436,20 @@ def test_stages_keep_one_of_repeated_rows(spark, sf_dir, docs):
     texts = Counter(ascii_lower(r.text or "") for r in near)
     assert max(texts.values()) == 1 and sum(r.doc_id is None for r in near) == 3
     assert {r.doc_id for r in near} == {None, 2, 4, 5, 7, 8, 9, 10, 11, 12, 13, 14, 40}
+
+
+def test_html_names_in_articles_titles_beside_them_and_deep_nesting(spark):
+    """Names that only contain a word of noise don't count, nor does depth; an article without title has the one beside it."""
+    inner = "<section id='discussion'><h2>Discussion</h2><p>We discuss</p></section><p class='social-studies'>Studies</p><p id='search-algorithms'>Search</p><p>Let <math><mi>x</mi></math> be</p><noscript>Plain</noscript>"
+    rows = [
+        (1, "http://n.org/1", f"<body><nav>Menu</nav><article>{inner}<div class='share-buttons'>Share</div><div id='comments'><p>Nice</p></div></article></body>"),
+        (2, "http://n.org/2", "<body><article><p>In</p></article>" + "<div>" * 300 + "<nav>" * 300 + "Menu" + "</nav>" * 300 + "</div>" * 300 + "</body>"),
+        (3, "http://n.org/3", "<body><header><h1>Site</h1></header><div class='top'><h1>Title</h1><p>Date</p></div><article><p>In</p></article></body>"),
+        (4, "http://n.org/4", "<body><h1>Other</h1><article><h1>Title</h1><p>In</p></article></body>"),
+        (5, "http://n.org/5", "<div>" * 5000 + "Deep" + "</div>" * 5000),
+        (6, "http://n.org/6", "<div class='site-footer'>Foot</div><div class='adam'>Text</div><p hidden>Shown later</p>"),
+    ]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "Discussion\nWe discuss\nStudies\nSearch\nLet x be\nPlain"
+    assert got[2] == "In" and got[3] == "Title\nIn" and got[4] == "Title\nIn"
+    assert got[5] == "Deep" and got[6] == "Text\nShown later"
