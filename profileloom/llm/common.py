@@ -67,6 +67,26 @@ def as_documents(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"), *more)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names made of `names` that no column of df has, in either case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        new = f"_{name}"
+        while new.lower() in taken:
+            new = f"_{new}"
+        out.append(new)
+    return out
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns, also of those that Spark doesn't hash (maps, variants), by their JSON."""
+    plain = [f.dataType.simpleString() for f in df.schema.fields]
+    odd = [any(word in t for word in ("map<", "variant")) for t in plain]
+    whole = [F.to_json(F.struct(F.col(f"`{c}`"))) if o else F.col(f"`{c}`") for c, o in zip(df.columns, odd, strict=True)]
+    return F.xxhash64(*whole)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; where it names none, a folder of our own, but only on a local master."""
     sc = spark.sparkContext

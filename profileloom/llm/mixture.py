@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from profileloom.llm.common import cut, hot_hashes, salted_join, text_or_empty
+from profileloom.llm.common import cut, hot_hashes, row_hash, salted_join, text_or_empty, unused
 
 #: Words in a block, and slots in a chunk of the schedule.
 BLOCK, CHUNK = 128, 1 << 16
@@ -19,6 +19,9 @@ CELLS = 1 << 12
 #: Documents that a bucket of the shuffled order has on average, and the least number of buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 4096, 256
 
+#: Slots in a shard of the mix.
+RUN = 1 << 13
+
 _BEFORE = (W.unboundedPreceding, -1)
 
 
@@ -47,14 +50,15 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, limit
     return sizes.select("source", "source_no", "source_size", target.alias("target"))
 
 
-def schedule(targets: DataFrame, slots: int, block: int) -> DataFrame:
-    """(source_no, block, times): how often each block of each source is drawn whole in `slots` slots.
+def schedule(targets: DataFrame, slots: int, limit: int) -> DataFrame:
+    """(source_no, block, times, places): how often each block of each source is drawn whole in `slots` slots, and at which slot in each round.
 
     Slot i has the point i * STEP mod MODULUS, which falls into one source's part of the cumulative targets. The rank
     of a slot among the slots of its source names the block it draws, round after round. Ranks are counted within
     chunks of the schedule and the chunks' totals summed first, so no task holds all slots of a source. The points
-    fall evenly, but not to the slot: a source stops at its quota of whole blocks, and blocks of the quota that the
-    slots left undrawn are drawn after them. targets: source_no, target, blocks, quota.
+    fall evenly, but not to the slot: a source stops at its quota of whole blocks (and one more if it gives part of a block), and
+    blocks of the quota that the slots left undrawn are drawn after them, in slots of their own. So the quotas say how much
+    of each source is in the mix, and the points where. targets: source_no, target, blocks, quota, part; places has `limit` items.
     """
     spark = targets.sparkSession
     upto = F.sum("target").over(W.orderBy("source_no"))
@@ -69,18 +73,20 @@ def schedule(targets: DataFrame, slots: int, block: int) -> DataFrame:
     drawn = drawn.where("point >= low and point < high").select("id", "chunk", "source_no")
     totals = cut(drawn.groupBy("source_no", "chunk").agg(F.count("*").alias("n")))
     before = F.coalesce(F.sum("n").over(W.partitionBy("source_no").orderBy("chunk").rowsBetween(*_BEFORE)), F.lit(0))
-    quotas = targets.where("quota > 0").select("source_no", "blocks", "quota")
+    quotas = targets.withColumn("draws", F.col("quota") + F.when(F.col("part") > 0, 1).otherwise(0)).where("draws > 0").select("source_no", "blocks", "quota", "draws")
     chunks = totals.select("source_no", "chunk", before.alias("before")).join(quotas, "source_no")
     rank = F.row_number().over(W.partitionBy("source_no", "chunk").orderBy("id")) - 1
     ranks = drawn.withColumn("rank", rank).join(chunks, ["source_no", "chunk"]).withColumn("rank", F.col("rank") + F.col("before"))
-    ranks = ranks.where("rank < quota").select("source_no", "blocks", "rank")
+    ranks = ranks.where("rank < draws").select("source_no", "blocks", "quota", "rank", F.col("id").alias("place"))
     got = quotas.join(totals.groupBy("source_no").agg(F.sum("n").alias("n")), "source_no", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    late = got.where("n < quota").select("source_no", "blocks", F.explode(F.expr("sequence(n, quota - 1)")).alias("rank"))
-    return ranks.union(late).groupBy("source_no", F.expr("rank % blocks").alias("block")).agg(F.count("*").alias("times"))
+    late = got.where("n < draws").select("source_no", "blocks", "quota", "n", F.explode(F.expr("sequence(n, draws - 1)")).alias("rank"))
+    late = late.select("source_no", "blocks", "quota", "rank", (F.col("rank") - F.col("n") + slots).alias("place"))
+    places = [F.min(F.when(F.expr("rank div blocks") == r, F.col("place"))) for r in range(limit)]
+    return ranks.union(late).groupBy("source_no", F.expr("rank % blocks").alias("block")).agg(F.count_if(F.expr("rank < quota")).alias("times"), F.array(*places).alias("places"))
 
 
 def _plan(docs: DataFrame, weights: Sequence[int], share: float, limit: int, block: int, seed: int) -> DataFrame:
-    """(row, doc_id, size, source_size, target, rounds array<long>): one row for each row of docs; equal rows share `row`."""
+    """(row, doc_id, size, source_size, target, rounds, places array<long>): one row for each row of docs; equal rows share `row`."""
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
     words = word_count(text_or_empty("text"))
     rows = docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), words.alias("size"))
@@ -98,7 +104,7 @@ def _plan(docs: DataFrame, weights: Sequence[int], share: float, limit: int, blo
     rest = F.expr("if(source_size > 0, give % source_size, 0)")
     quota = F.expr("if(source_size > 0, give div source_size, 0)") * F.col("blocks") + F.call_function("div", rest, F.lit(block))
     targets = cut(targets.withColumn("quota", quota).withColumn("part", rest % block))
-    n, slots = targets.agg(F.sum("n"), F.sum("quota")).first()
+    n, slots = targets.agg(F.sum("n"), F.sum("quota") + F.count_if(F.col("part") > 0)).first()
     buckets = max(LEAST_BUCKETS, (n or 0) // BUCKET_ROWS)
     given = targets.select("key", "source_no", "source_size", "target", "blocks", "quota", "part")
     rows = salted_join(rows, given, ["key"], hot_hashes(sizes, ["key"], F.col("n")), ["row"]).drop("key")
@@ -114,16 +120,17 @@ def _plan(docs: DataFrame, weights: Sequence[int], share: float, limit: int, blo
     rows = rows.withColumn("start", start).select(*kept)
     spans = F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")
     pieces = rows.where("size > 0").withColumn("block", F.explode(spans))
-    drawn = schedule(targets.select("source_no", "target", "blocks", "quota"), slots or 0, block)
+    drawn = schedule(targets.select("source_no", "target", "blocks", "quota", "part"), slots or 0, limit)
     pieces = pieces.join(drawn, ["source_no", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
     begin, end = F.greatest(F.col("start"), F.col("block") * block), F.col("start") + F.col("size")
     overlap = F.least(end, (F.col("block") + 1) * block) - begin
     last = F.when(F.col("quota") % F.col("blocks") == F.col("block"), F.col("part")).otherwise(0)
     partly = F.greatest(F.least(end, F.col("block") * block + last) - begin, F.lit(0))
-    taken = [F.sum(F.when(F.col("times") > r, overlap).when(F.col("times") == r, partly).otherwise(0)) for r in range(limit)]
-    some = pieces.groupBy(*kept).agg(F.array(*taken).alias("rounds"))
-    none = rows.where("size = 0").withColumn("rounds", F.array(*(F.lit(0).cast("long") for _ in range(limit))))
-    return some.union(none).select("row", "doc_id", "size", "source_size", "target", "rounds")
+    taken = [F.when(F.col("times") > r, overlap).when(F.col("times") == r, partly).otherwise(0) for r in range(limit)]
+    first = [F.min(F.when(t > 0, F.col("places")[r])) for r, t in enumerate(taken)]
+    some = pieces.groupBy(*kept).agg(F.array(*map(F.sum, taken)).alias("rounds"), F.array(*first).alias("places"))
+    none = rows.where("size = 0").withColumn("rounds", F.array(*(F.lit(0).cast("long") for _ in range(limit)))).withColumn("places", F.array(*(F.lit(None).cast("long") for _ in range(limit))))
+    return some.union(none).select("row", "doc_id", "size", "source_size", "target", "rounds", "places")
 
 
 def row_key() -> Column:
@@ -133,12 +140,13 @@ def row_key() -> Column:
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, limit: int = 2, block: int = BLOCK, seed: int = 42) -> DataFrame:
-    """doc_id, size, source_size, target, taken and round_1 ... round_<limit> for every row of `docs`.
+    """doc_id, size, source_size, target, taken, round_1 ... round_<limit> and place_1 ... place_<limit> for every row of `docs`.
 
     The documents of a source, in an order shuffled by hash, form one long row of words that is cut into blocks of
     `block` words; the schedule says how often each block is drawn, and the first words of one more block fill what is
     left, so a source of any size gives its target, to the word. taken is the number of the document's words so
-    drawn, repeats counted; round_r those drawn in round r, which are always the first words of the document. No
+    drawn, repeats counted; round_r those drawn in round r, which are always the first words of the document; place_r is
+    the slot that draws them first, its place in the mix, null where the round takes nothing. No
     document exceeds `limit` times its size. Running sums are taken within buckets of the shuffled order and over the
     buckets' totals, so a source with most rows is dealt over many tasks.
 
@@ -147,28 +155,34 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: floa
     places. An empty table gives no rows; columns other than doc_id, source and text aren't read.
     """
     plan = _plan(docs, weights, share, limit, block, seed)
-    rounds = [F.col("rounds")[r].alias(f"round_{r + 1}") for r in range(limit)]
+    rounds = [F.col("rounds")[r].alias(f"round_{r + 1}") for r in range(limit)] + [F.col("places")[r].alias(f"place_{r + 1}") for r in range(limit)]
     taken = F.aggregate("rounds", F.lit(0).cast("long"), lambda done, x: done + x)
     return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *rounds)
 
 
 def mixed_texts(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, limit: int = 2, block: int = BLOCK, seed: int = 42) -> DataFrame:
-    """The mix itself, with the columns of `docs`: for each round, every document with the words it takes in that round.
+    """The mix itself, with the columns of `docs`: for each round, every document with the words it takes in that round, in the schedule's order.
 
     A document that a round takes whole keeps its text as it is; one at the end of what its source gives is cut to
     the words taken, joined by spaces. n_chars, if there is one, follows the text. Null and empty texts take no words
     and aren't in the mix; null ids and sources are mixed like others. Of rows that are equal in doc_id, source and text, each
-    takes one of their shares, in an order by the hash of all columns, so reruns agree. An empty table gives no rows.
+    takes one of their shares, in an order by the hash of all columns, so reruns agree. Rows are dealt into shards of RUN
+    slots that follow each other, and stand in them by place, so each shard has the sources in their proportions. An empty table gives no
+    rows; columns of any name and type pass through.
     """
     plan = _plan(docs, weights, share, limit, block, seed)
-    taken = plan.groupBy(F.col("row").alias("_row")).agg(F.sort_array(F.collect_list("rounds"), False).alias("_shares"))
-    rows = docs.withColumn("_row", row_key())
-    rows = rows.withColumn("_copy", F.row_number().over(W.partitionBy("_row").orderBy(F.xxhash64(*docs.columns))))
-    rows = rows.join(taken, "_row").withColumn("_n", word_count(text_or_empty("text")))
-    rows = rows.withColumn("_take", F.explode(F.element_at("_shares", F.col("_copy")))).where("_take > 0")
+    row, copy, n, take, round_, place = unused(docs, "row", "copy", "n", "take", "round", "place")
+    # rows that equal each other are told apart by number on both sides, the plan's by their shares
+    shares = plan.withColumn(copy, F.row_number().over(W.partitionBy("row").orderBy(F.desc("rounds"), "places")))
+    shares = shares.select(F.col("row").alias(row), copy, F.explode(F.arrays_zip("rounds", "places")).alias(round_)).where(F.col(round_)["rounds"] > 0)
+    rows = docs.withColumn(row, row_key())
+    rows = rows.withColumn(copy, F.row_number().over(W.partitionBy(row).orderBy(row_hash(docs))))
+    rows = rows.join(shares, [row, copy]).withColumn(n, word_count(text_or_empty("text")))
+    rows = rows.withColumn(take, F.col(round_)["rounds"]).withColumn(place, F.col(round_)["places"])
     words = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    cut_text = F.array_join(F.slice(words, F.lit(1), F.col("_take").cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("_take") == F.col("_n"), F.col("text")).otherwise(cut_text))
+    cut_text = F.array_join(F.slice(words, F.lit(1), F.col(take).cast("int")), " ")
+    rows = rows.withColumn("text", F.when(F.col(take) == F.col(n), F.col("text")).otherwise(cut_text))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    rows = rows.repartition(F.expr(f"`{place}` div {RUN}")).sortWithinPartitions(place, row, copy)
     return rows.select(*docs.columns)
