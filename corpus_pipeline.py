@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from profileloom.llm.common import load, lower_ascii, stored, text_or_empty
+from profileloom.llm.common import load, lower_ascii, row_hash, stored, text_or_empty, unused
 from profileloom.llm.exact_dedup import exact_duplicates
 from profileloom.llm.language_id import with_known_language
 from profileloom.llm.mixture import mixed_texts
@@ -22,11 +22,15 @@ def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
     Of several rows with one doc_id and text, one is taken; ranking drops the others before the shuffle.
     """
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumn("_doc", F.col("doc_id").cast("long")).withColumn("_key", F.sha2(lower_ascii(text_or_empty("text")), 256))
-    rank = F.row_number().over(W.partitionBy("_doc", "_key").orderBy(F.xxhash64(*docs.columns)))
-    rows = rows.withColumn("_rank", rank).where("_rank = 1")
-    return rows.join(kept, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_sha")), "left_semi").select(*docs.columns)
+    doc, key, rank = unused(docs, "doc", "key", "rank")
+    # columns of other names than those of docs, so that nothing clashes
+    kept = kept.select(F.col("doc_id").alias(f"{doc}_kept"), F.col("text_sha256").alias(f"{key}_kept"))
+    kept = kept.toDF(*unused(docs, f"{doc}_kept", f"{key}_kept"))
+    rows = docs.withColumn(doc, F.col("doc_id").cast("long")).withColumn(key, F.sha2(lower_ascii(text_or_empty("text")), 256))
+    first = F.row_number().over(W.partitionBy(doc, key).orderBy(row_hash(docs)))
+    rows = rows.withColumn(rank, first).where(F.col(rank) == 1)
+    its_doc, its_key = (F.col(c) for c in kept.columns)
+    return rows.join(kept, F.col(doc).eqNullSafe(its_doc) & (F.col(key) == its_key), "left_semi").select(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
