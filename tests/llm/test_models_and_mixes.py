@@ -453,3 +453,46 @@ def test_html_names_in_articles_titles_beside_them_and_deep_nesting(spark):
     assert got[1] == "Discussion\nWe discuss\nStudies\nSearch\nLet x be\nPlain"
     assert got[2] == "In" and got[3] == "Title\nIn" and got[4] == "Title\nIn"
     assert got[5] == "Deep" and got[6] == "Text\nShown later"
+
+
+def test_points_decide_the_order_of_the_mix(spark, monkeypatch):
+    """By place, every stretch of the mix has the sources in the proportions of their targets; other points, another order."""
+    from profileloom.llm import mixture as MX
+
+    rows = [(k, f"w{k} " * 40, "abc"[k % 3]) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+    def placed():
+        plan = mix_sources(df, block=40).collect()
+        return plan, sorted((p, "abc"[r.doc_id % 3]) for r in plan for p in (r.place_1, r.place_2) if p is not None)
+
+    plan, line = placed()
+    assert all((r.place_1 is None) == (r.round_1 == 0) and (r.place_2 is None) == (r.round_2 == 0) for r in plan)
+    share = {"abc"[r.doc_id % 3]: r.target for r in plan}
+    for n in (50, 200, 500, len(line)):
+        seen = Counter(s for _, s in line[:n])
+        assert all(abs(seen[s] - n * share[s] / sum(share.values())) <= 4 for s in share)
+    got = [(r.doc_id, r.text) for r in mixed_texts(df, block=40).collect()]
+    place = {(r.doc_id, k): p for r in plan for k, p in enumerate((r.place_1, r.place_2)) if p is not None}
+    assert len(got) == len(place) and [i for i, _ in got] == [i for (i, _), p in sorted(place.items(), key=lambda x: x[1])]
+    monkeypatch.setattr(MX, "STEP", 1)
+    other, _ = placed()
+    assert {(r.doc_id, r.taken) for r in other} == {(r.doc_id, r.taken) for r in plan}
+    assert {(r.doc_id, r.place_1) for r in other} != {(r.doc_id, r.place_1) for r in plan}
+
+
+def test_stages_keep_columns_of_any_name_and_type(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+
+    names = ("_id", "_sha", "_key", "_doc", "_rank", "_row", "_n", "_copy", "_take", "_place", "__doc_kept")
+    rows = [(k, f"text of {k} with some words", "en", "a", *range(len(names)), {"k": k}) for k in (1, 1, 2)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, {', '.join(f'{n} int' for n in names)}, tags map<string,int>")
+    for stage in (corpus_pipeline.exact_stage, corpus_pipeline.near_stage, corpus_pipeline.mixing_stage):
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        assert {tuple(r[n] for n in names) for r in out.collect()} == {tuple(range(len(names)))}
+        assert stage(spark, docs.limit(0), sf_dir).collect() == []
+        assert {r.doc_id for r in out.select("doc_id").collect()} == {1, 2}
+        assert out.where(F.col("tags")["k"] == F.col("doc_id")).count() == out.count()
