@@ -80,14 +80,15 @@ def index_prefix_exact(spark, sf_dir):
     return K.index_prefix_exact(load(spark, sf_dir, "lineitem"), ["l_suppkey", "l_partkey", "l_orderkey"])
 
 
-@query("""WITH p AS (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey % 10 <> 0),
-f AS (SELECT l_orderkey, count(*) AS fan, p.o_orderkey IS NOT NULL AS found FROM lineitem LEFT JOIN p ON l_orderkey = p.o_orderkey GROUP BY 1, 3),
+@query("""WITH p AS (SELECT DISTINCT o_orderkey FROM orders), c AS (SELECT CASE WHEN l_partkey % 10 = 0 THEN -l_orderkey ELSE l_orderkey END AS k FROM lineitem),
+f AS (SELECT k, count(*) AS fan, p.o_orderkey IS NOT NULL AS found FROM c LEFT JOIN p ON k = p.o_orderkey GROUP BY 1, 3),
 r AS (SELECT fan, row_number() OVER (ORDER BY fan) AS r, count(*) OVER () AS k FROM f WHERE found)
 SELECT (SELECT count(*) FROM lineitem) AS child_rows, (SELECT count(*) FROM p) AS parent_rows, CAST(sum(fan) AS BIGINT) AS non_null_rows, count(*) FILTER (found) AS distinct_parents, CAST(coalesce(sum(fan) FILTER (NOT found), 0) AS BIGINT) AS orphan_rows, count(*) FILTER (found) / (SELECT count(*) FROM p) AS coverage,
   (SELECT min(fan) FROM r WHERE r >= (50 * k + 99) // 100) AS fan_p50, (SELECT min(fan) FROM r WHERE r >= (95 * k + 99) // 100) AS fan_p95, (SELECT min(fan) FROM r WHERE r >= (99 * k + 99) // 100) AS fan_p99, (SELECT max(fan) FROM r) AS fan_max FROM f""")
 def relationship_measured(spark, sf_dir):
-    parents = load(spark, sf_dir, "orders").where("o_orderkey % 10 <> 0")
-    return K.relationship_measured(load(spark, sf_dir, "lineitem"), ["l_orderkey"], parents, ["o_orderkey"])
+    """All lines as children of all orders; lines of every tenth part name an order that doesn't exist."""
+    children = load(spark, sf_dir, "lineitem").select(F.expr("CASE WHEN l_partkey % 10 = 0 THEN -l_orderkey ELSE l_orderkey END").alias("k"))
+    return K.relationship_measured(children, ["k"], load(spark, sf_dir, "orders"), ["o_orderkey"])
 
 
 INFERRED_SQL = f"""WITH c AS (SELECT o_custkey AS id, count(*) AS n, CAST(sum(CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END) AS BIGINT) AS nn, count(DISTINCT o_orderpriority) AS d, count(DISTINCT o_orderstatus) AS d2 FROM orders GROUP BY 1),
@@ -116,21 +117,21 @@ def relationship_inferred(spark, sf_dir):
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers linked to the nations that share an order's weekday: a graph that grows with orders, child and parent."""
-    orders = load(spark, sf_dir, "orders")
-    return orders.select(F.concat(F.lit("c"), (F.col("o_custkey") % 997)).alias("child"), F.concat(F.lit("p"), (F.col("o_orderkey") % 89)).alias("parent"))
+    """Orders linked to the parts that they hold, child and parent: a graph whose tables and edges grow with the lines."""
+    return load(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("child"), F.concat(F.lit("p"), "l_partkey").alias("parent"))
 
 
-LINKS_SQL = "links AS (SELECT 'c' || (o_custkey % 997) AS child, 'p' || (o_orderkey % 89) AS parent FROM orders)"
+LINKS_SQL = "links AS (SELECT 'o' || l_orderkey AS child, 'p' || l_partkey AS parent FROM lineitem)"
 
 
-@query(f"""WITH {LINKS_SQL}, t AS (SELECT DISTINCT 'c' || (c_custkey % 2003) AS table_id FROM customer UNION SELECT DISTINCT parent FROM links),
+@query(f"""WITH {LINKS_SQL}, t AS (SELECT 'o' || o_orderkey AS table_id FROM orders UNION SELECT 'p' || p_partkey FROM part UNION SELECT 'c' || c_custkey FROM customer),
 d AS (SELECT parent, count(*) AS n FROM links GROUP BY 1)
 SELECT table_id, coalesce(n, 0) AS in_degree, table_id NOT IN (SELECT child FROM links UNION SELECT parent FROM links) AS island FROM t LEFT JOIN d ON t.table_id = d.parent""")
 def fk_graph_summary(spark, sf_dir):
-    links = _links(spark, sf_dir)
-    tables = load(spark, sf_dir, "customer").select(F.concat(F.lit("c"), (F.col("c_custkey") % 2003)).alias("table_id")).union(links.select("parent"))
-    return G.fk_graph_summary(tables, links)
+    """Orders and parts by their lines; customers, which no edge names here, are islands."""
+    named = (("o", "orders", "o_orderkey"), ("p", "part", "p_partkey"), ("c", "customer", "c_custkey"))
+    orders, parts, customers = (load(spark, sf_dir, table).select(F.concat(F.lit(letter), key).alias("table_id")) for letter, table, key in named)
+    return G.fk_graph_summary(orders.union(parts).union(customers), _links(spark, sf_dir))
 
 
 @query("""SELECT o_orderkey AS edge_id, 'p' || (o_custkey % 7) AS parent, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS width,

@@ -328,3 +328,24 @@ def test_footers(spark, tmp_path, monkeypatch):
     assert near["t"].nulls == 250 and near["id"].values == 1000 and near["id"].row_groups == 3 and near["t"].ratio > 0
     monkeypatch.setattr(files, "RANGE_SCHEMES", ())
     assert {r.column_name: r for r in files.storage_profile(df).collect()} == near
+
+
+def test_values_are_counted_without_their_texts(spark):
+    """Values of all lengths, nulls, empty and alike ones by Counter; long values aren't shuffled."""
+    from collections import Counter
+
+    from profileloom.operators import columns
+
+    long = "x" * 5000
+    values = ["", "", None, None, "a", "a", "b", "x" * 24, "x" * 24, "x" * 25, "x" * 25, "x" * 26, long, long, long + "y", long + "z", "é" * 12, "é" * 13, "é" * 13, "A" + long[1:]]
+    cells = spark.createDataFrame([("c", v) for v in values] + [("d", v) for v in values[:3]], "column_name string, cell string")
+    counts = columns.value_counts(cells)
+    got = Counter((r.column_name, r.missing, r.frequency) for r in counts.collect())
+    want = Counter((name, v is None, n) for name, vs in (("c", values), ("d", values[:3])) for v, n in Counter(vs).items())
+    assert got == want
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    exchange = next(line for line in plan.splitlines() if "Exchange" in line)
+    assert "cell" not in exchange and "short" in exchange
+    histogram = Counter({(r.column_name, r.frequency): r.n_values for r in columns.frequency_histogram(cells).collect()})
+    assert histogram == Counter((name, n) for name, missing, n in want.elements() if not missing)
+    assert columns.value_counts(cells.limit(0)).collect() == []
