@@ -312,6 +312,28 @@ def partition_rollup(nodes: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("up").alias("root")).agg(F.count("*").alias("leaves"), F.max("rows").alias("largest_leaf"))
 
 
+def ancestor_flags(nodes: DataFrame) -> DataFrame:
+    """(node, any_ancestor) of each node: whether any node above it, at any distance, has the flag. nodes: node, parent, flag; one parent for each node.
+
+    Each round a node takes over what the node it points at has seen and points twice as far, so rounds grow with the
+    logarithm of the depth; a node that has seen the flag or the top stops. A node in a cycle is above itself. A NULL flag is false, and so
+    is a parent that isn't among the nodes. A parent of very many nodes is split by adaptive execution, as nodes are the left side of the joins.
+    """
+    c = F.col
+    flags = nodes.select(c("node").alias("up"), F.coalesce("flag", F.lit(False)).alias("has"), F.lit(True).alias("known"))
+    seen = F.coalesce("has", F.lit(False))
+    first = nodes.select("node", c("parent").alias("up")).join(flags, "up", "left")
+    onward = F.count_if(c("up").isNotNull()).alias("open")
+    at, left = _cut(first.select("node", F.when(~seen & c("known"), c("up")).alias("up"), seen.alias("seen")), onward, F.count("*").alias("n"))
+    steps, n = 1, left["n"]
+    while left["open"] and steps <= n:
+        far = at.select(c("node").alias("up"), c("up").alias("next"), c("seen").alias("more"))
+        moved = at.join(far, "up", "left").select("node", F.when(~c("more"), c("next")).alias("up"), (c("seen") | F.coalesce("more", F.lit(False))).alias("seen"))
+        at, left = _cut(moved, onward)
+        steps *= 2
+    return at.select("node", c("seen").alias("any_ancestor"))
+
+
 def resolve_object_edges(edges: DataFrame, objects: DataFrame, tables: DataFrame) -> DataFrame:
     """(object_id, target_id, reason): a dependency's identity as object, else as table, else why it is neither.
 

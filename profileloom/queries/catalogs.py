@@ -207,6 +207,12 @@ def partition_rollup(spark, sf_dir):
     return G.partition_rollup(_tree(spark, sf_dir))
 
 
+@query(f"""WITH RECURSIVE {TREE_SQL}, w AS (SELECT node, parent AS up FROM tree WHERE parent IS NOT NULL UNION SELECT w.node, t.parent FROM w JOIN tree t ON t.node = w.up WHERE t.parent IS NOT NULL)
+SELECT t.node, coalesce(bool_or(a.rows % 7 = 3), false) AS any_ancestor FROM tree t LEFT JOIN w ON w.node = t.node LEFT JOIN tree a ON a.node = w.up GROUP BY 1""")
+def ancestor_flags(spark, sf_dir):
+    return G.ancestor_flags(_tree(spark, sf_dir).withColumn("flag", F.col("rows") % 7 == 3))
+
+
 @query(f"""WITH RECURSIVE {TREE_SQL}, w AS (SELECT node AS table_id, 0 AS level FROM tree WHERE parent IS NULL UNION ALL SELECT t.node, w.level + 1 FROM w JOIN tree t ON t.parent = w.table_id)
 SELECT table_id, CAST(max(level) AS BIGINT) AS level FROM w GROUP BY 1""")
 def fk_load_level(spark, sf_dir):

@@ -82,3 +82,24 @@ def test_strings_and_nothing(spark):
     tables = spark.createDataFrame([(x,) for x in "abcde"], "table_id string")
     assert {tuple(r) for r in G.fk_load_level(tables, edges).collect()} == {("e", 0), ("d", 1)}
     assert G.fk_cycles(edges.where("false")).collect() == [] and G.fk_load_level(tables.where("false"), edges).collect() == []
+
+
+def test_ancestor_flags(spark):
+    """By walking up: long chains, cycles, nulls, flags of one's own, parents that aren't there."""
+    import random
+
+    pick = random.Random(4)
+    rows = [(k, k - 1 if k % 97 else None, pick.choice([True, False, False, False, None]) if k % 97 < 3 else None) for k in range(970)]
+    rows += [(2000, 2001, True), (2001, 2002, False), (2002, 2000, False), (2003, 2002, False), (3000, 3001, None), (3001, 3000, False), (4000, 9999, True), (4001, 4000, False)]
+    up, flag = {k: p for k, p, _ in rows}, {k: bool(f) for k, _, f in rows}
+
+    def above(k):
+        seen, p = set(), up[k]
+        while p in up and p not in seen:
+            seen.add(p)
+            p = up[p]
+        return any(flag[p] for p in seen)
+
+    nodes = spark.createDataFrame(rows, "node long, parent long, flag boolean")
+    assert {r.node: r.any_ancestor for r in G.ancestor_flags(nodes).collect()} == {k: above(k) for k in up}
+    assert G.ancestor_flags(nodes.limit(0)).collect() == []
