@@ -86,8 +86,8 @@ def gen_numeric(spark, sf_dir):
     return load(spark, sf_dir, "orders").select("o_orderkey", G.gen_integer(k, 32, True).alias("i"), G.gen_decimal(k, 12, 2).alias("d"), (k / 7.0).alias("f"), (k % 2 == 1).alias("b"), G.gen_year(k).alias("y"), G.gen_bits(k, 24).alias("bits"))
 
 
-@query("""SELECT o_orderkey, make_date(2020 + o_orderkey // 336, o_orderkey // 28 % 12 + 1, o_orderkey % 28 + 1) AS d,
-  make_timestamp(2024 + (o_orderkey * 977) // 86400 // 336, (o_orderkey * 977) // 86400 // 28 % 12 + 1, (o_orderkey * 977) // 86400 % 28 + 1, (o_orderkey * 977) // 3600 % 24, (o_orderkey * 977) // 60 % 60, (o_orderkey * 977) % 60) AS ts,
+@query("""SELECT o_orderkey, make_date(2020 + o_orderkey // 336 % 7980, o_orderkey // 28 % 12 + 1, o_orderkey % 28 + 1) AS d,
+  make_timestamp(2024 + (o_orderkey * 977) // 86400 // 336 % 7976, (o_orderkey * 977) // 86400 // 28 % 12 + 1, (o_orderkey * 977) // 86400 % 28 + 1, (o_orderkey * 977) // 3600 % 24, (o_orderkey * 977) // 60 % 60, (o_orderkey * 977) % 60) AS ts,
   lpad(CAST(o_orderkey // 3661 % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST(o_orderkey // 61 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') AS t FROM orders""")
 def gen_temporal(spark, sf_dir):
     return load(spark, sf_dir, "orders").select("o_orderkey", G.gen_date("o_orderkey").alias("d"), G.gen_timestamp(F.col("o_orderkey") * 977).alias("ts"), G.gen_time("o_orderkey").alias("t"))

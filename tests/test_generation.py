@@ -180,3 +180,15 @@ def test_entropy_by_kinds(spark):
     rows = spark.createDataFrame([("a", None, None, True, False, None), ("a", 8.0, None, True, False, False), ("b", None, None, False, True, False), ("c", None, 40.0, False, False, None), ("d", None, 0.5, False, False, None), ("e", None, None, True, False, True), (None, 2.5, None, False, False, False)], "table_id string, ratio double, table_ratio double, is_text boolean, is_binary boolean, is_large boolean")
     got = sorted((r.table_id or "", r.ratio or 0, r.entropy) for r in Z.entropy_profile(rows).collect())
     assert got == [("", 2.5, 0.45), ("a", 0, 0.5), ("a", 8.0, 0.12), ("b", 0, 0.75), ("c", 0, 0.02), ("d", 0, 0.8), ("e", 0, 0.35)]
+
+
+def test_sql_of_gen_temporal_follows_the_calendar_past_its_last_year(spark, tmp_path):
+    import duckdb
+    from profileloom import queries
+
+    keys = (0, 335, 336, 2_681_279, 2_681_280, 9_000_000, 240_000_000_000)  # the last year is 9999; then the first comes again
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(map(tuple, queries.queries()["gen_temporal"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    assert got == sorted(con.execute(queries.oracle_sql()["gen_temporal"]).fetchall())
