@@ -160,7 +160,10 @@ def permuted_windows(spark, sf_dir):
     size = R.window_size("n", "entropy")
     moved = R.permuted(rows.withColumn("w", size), "i", {"p": (F.col("n"), 5, F.col("entropy"))})
     outside = F.count(F.when(F.floor(F.col("p") / F.col("w")) != F.floor(F.col("i") / F.col("w")), 1))
-    return moved.groupBy("g", "entropy").agg(F.max("n").alias("n"), F.countDistinct("p").alias("n_distinct"), F.min("p").alias("least"), F.max("p").alias("greatest"), F.max("w").alias("window_size"), outside.alias("n_outside"))
+    # places are told apart by a bit each, in words of 64
+    bit = F.expr("shiftleft(1L, cast(pmod(p, 64) as int))")
+    words = moved.groupBy("g", "entropy", F.floor(F.col("p") / 64).alias("word")).agg(F.max("n").alias("n"), F.bit_or(bit).alias("bits"), F.min("p").alias("least"), F.max("p").alias("greatest"), F.max("w").alias("w"), outside.alias("outside"))
+    return words.groupBy("g", "entropy").agg(F.max("n").alias("n"), F.sum(F.bit_count("bits").cast("long")).alias("n_distinct"), F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.max("w").alias("window_size"), F.sum("outside").alias("n_outside"))
 
 
 #: Tables of the catalog: columns by ordinal with their families, and unique keys.

@@ -192,3 +192,11 @@ def test_sql_of_gen_temporal_follows_the_calendar_past_its_last_year(spark, tmp_
     con = duckdb.connect()
     con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
     assert got == sorted(con.execute(queries.oracle_sql()["gen_temporal"]).fetchall())
+
+
+def test_permuted_places_are_told_apart_by_bits(spark, sf_dir, capsys):
+    from profileloom import queries
+
+    queries.queries()["permuted_windows"](spark, sf_dir).explain()
+    plan = capsys.readouterr().out
+    assert "bit_or" in plan and "p#" in plan and plan.count("Exchange hashpartitioning") == 1
