@@ -247,22 +247,22 @@ def fk_cycles(edges: DataFrame) -> DataFrame:
     return _cut(both.select(F.col("a").alias("child"), F.col("b").alias("parent")))
 
 
-def _jumps(links: DataFrame, rows: int) -> DataFrame:
-    """(node, up): each node's parent's parent and so on, at least `rows` steps up; nodes whose way ends before have none."""
-    jumps, steps = _cut(links), 1
-    while steps < rows and jumps.take(1):
-        jumps = _cut(jumps.select("node", F.col("up").alias("m")).join(jumps.select(F.col("node").alias("m"), "up"), "m").select("node", "up"))
-        steps *= 2
-    return jumps
-
-
 def hierarchy_cycles(links: DataFrame) -> DataFrame:
     """Nodes whose chain of parents returns to them. links: node, parent; of several parents of a node the least counts, NULL is none.
 
-    Steps double each round, as many rows as nodes; whoever is still above someone after as many steps as there are nodes is on a cycle.
+    Steps double each round, and only nodes stay that another one's steps lead to and whose own lead to one that stays, so rounds shrink. When none goes any more, each
+    is where exactly one other's steps end: what is left are the cycles. Joins go by shuffles, as broadcasts would bring every round to the driver.
     """
+    n = F.count("*").alias("n")
     up = links.where(F.col("node").isNotNull() & F.col("parent").isNotNull()).groupBy("node").agg(F.min("parent").alias("up"))
-    return _jumps(up, up.count()).select(F.col("up").alias("node")).distinct()
+    jumps, seen = _cut(up, n)
+    while before := seen.get("n"):
+        led_to = jumps.select(F.col("up").alias("node")).distinct().hint("merge")
+        kept = jumps.join(led_to, "node", "left_semi")
+        jumps, seen = _cut(kept.select("node", F.col("up").alias("m")).join(jumps.select(F.col("node").alias("m"), "up").hint("merge"), "m").select("node", "up"), n)
+        if seen.get("n") == before:
+            break
+    return jumps.select("node")
 
 
 def fk_load_level(tables: DataFrame, edges: DataFrame) -> DataFrame:

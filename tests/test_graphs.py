@@ -103,3 +103,22 @@ def test_ancestor_flags(spark):
     nodes = spark.createDataFrame(rows, "node long, parent long, flag boolean")
     assert {r.node: r.any_ancestor for r in G.ancestor_flags(nodes).collect()} == {k: above(k) for k in up}
     assert G.ancestor_flags(nodes.limit(0)).collect() == []
+
+
+def test_rounds_of_hierarchies_shrink_and_stay_off_the_driver(spark, capsys, monkeypatch):
+    cut, rows = G._cut, []
+
+    def seen(df, *counts):
+        df.explain()
+        out = cut(df, *counts)
+        rows.append((out[0] if counts else out).count())
+        return out
+
+    monkeypatch.setattr(G, "_cut", seen)
+    ring = [(k, k % 5 + 1) for k in range(1, 6)]
+    way = [(k, k - 1) for k in range(6, 400)]  # ends at the ring
+    loose = [(k, k + 1) for k in range(1000, 1300)] + [(7000, 7000), (None, 1), (2, None)]
+    found = G.hierarchy_cycles(spark.createDataFrame(ring + way + loose, "node int, parent int"))
+    assert sorted(r.node for r in found.collect()) == [1, 2, 3, 4, 5, 7000]
+    assert rows == sorted(rows, reverse=True) and rows[-1] == 6 and len(rows) < 13
+    assert "Broadcast" not in capsys.readouterr().out
