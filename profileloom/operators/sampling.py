@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from profileloom.functions.rounding import div
 from profileloom.operators.cells import encoded_size
 
+#: Bits of a hash by which rows of a reservoir are counted.
+BUCKET_BITS = 16
+
 
 def sample_first_n(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:
     """The first n rows by a key: a top-n, which keeps n rows in each task."""
@@ -43,10 +46,15 @@ def sample_key_ranges(df: DataFrame, key: str, n: int, windows: int = 4) -> Data
 def sample_reservoir(cells: DataFrame, k: int = 8192, seed: int = 42) -> DataFrame:
     """A uniform sample of k cells of each column, the least hashes of (row, seed): the same in any order, and samples of parts merge.
 
-    cells: (column_name, row_id, cell). Ranking drops all but k rows of a column in each task before the shuffle.
+    cells: (column_name, row_id, cell). Counts by the first BUCKET_BITS bits of the hash tell how far the k least can reach, so that only those rows
+    are sorted and shuffled: k of a column and what else is in the last bucket.
     """
     h = F.xxhash64("column_name", "row_id", F.lit(seed))
-    rows = cells.where(F.col("cell").isNotNull()).withColumn("_h", h)
+    rows = cells.where(F.col("cell").isNotNull()).withColumn("_h", h).withColumn("_b", F.shiftright("_h", 64 - BUCKET_BITS))
+    buckets = rows.groupBy(F.col("column_name").alias("_c"), F.col("_b").alias("_of")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_c").orderBy("_of").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    reach = buckets.withColumn("_before", before).where(F.col("_before") < k).groupBy("_c").agg(F.max("_of").alias("_last"))
+    rows = rows.join(F.broadcast(reach), F.col("column_name").eqNullSafe(F.col("_c")) & (F.col("_b") <= F.col("_last"))).drop("_b", "_c", "_last")
     return rows.withColumn("_k", F.row_number().over(W.partitionBy("column_name").orderBy("_h", "row_id"))).where(F.col("_k") <= k).drop("_h", "_k")
 
 

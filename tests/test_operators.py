@@ -349,3 +349,13 @@ def test_values_are_counted_without_their_texts(spark):
     histogram = Counter({(r.column_name, r.frequency): r.n_values for r in columns.frequency_histogram(cells).collect()})
     assert histogram == Counter((name, n) for name, missing, n in want.elements() if not missing)
     assert columns.value_counts(cells.limit(0)).collect() == []
+
+
+def test_reservoir_sorts_only_rows_that_can_be_in_it(spark, capsys):
+    cells = spark.range(5000).selectExpr("id % 3 = 0 AS third", "id AS row_id").selectExpr("CASE WHEN third THEN NULL ELSE 'a' END AS column_name", "row_id", "CAST(row_id AS STRING) AS cell")
+    sample = S.sample_reservoir(cells, 40)
+    sample.explain()
+    assert "_last" in capsys.readouterr().out  # the join by which far rows go before they are sorted
+    h = cells.selectExpr("*", "xxhash64(column_name, row_id, 42) AS h").collect()
+    wanted = {(c, r.row_id) for c in (None, "a") for r in sorted((x for x in h if x.column_name == c), key=lambda x: x.h)[:40]}
+    assert {(r.column_name, r.row_id) for r in sample.collect()} == wanted
