@@ -14,6 +14,8 @@ from profileloom.operators.graph import _cut
 
 #: Raw bytes of a block whose ratio varies, and rows of a frame.
 BLOCK_BYTES, FRAME_ROWS = 64 << 10, 1000
+#: Groups of eight blocks in a task: 64 MB of cells.
+TASK_GROUPS = 128
 
 
 def _zstd(raw: bytes) -> int:
@@ -26,11 +28,13 @@ def column_compression(cells: DataFrame) -> DataFrame:
     """(column_name, raw_bytes, packed_bytes, ratio, ratio_stddev): ratios by zstd over blocks of at most BLOCK_BYTES, and their spread.
 
     cells: (column_name, row_id, cell). Cells are dealt by (column, hash of row) into as many groups as the column's
-    bytes need, so no task gets a whole column; within a group they are packed in row order, block by block.
+    bytes need, so no task gets a whole column; within a group they are packed in row order, block by block. There are as many tasks as leave each
+    about TASK_GROUPS groups, however large the input.
     """
     size = F.octet_length("cell") + 1
     totals = cells.groupBy("column_name").agg(F.ceil(F.sum(F.coalesce(size, F.lit(1))) / (8 * BLOCK_BYTES)).alias("groups"))
-    rows = cells.join(totals, "column_name").withColumn("part", F.pmod(F.xxhash64("row_id"), F.col("groups")))
+    totals, seen = _cut(totals, F.sum("groups").alias("groups"))  # a row for each column
+    rows = cells.join(F.broadcast(totals), "column_name").withColumn("part", F.pmod(F.xxhash64("row_id"), F.col("groups")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, block, held, at = [], [], 0, (None, None)
@@ -59,7 +63,9 @@ def column_compression(cells: DataFrame) -> DataFrame:
         flush()
         yield pd.DataFrame(out, columns=["column_name", "raw", "packed"])
 
-    rows = rows.repartition("column_name", "part").sortWithinPartitions("column_name", "part", "row_id", "cell").select("column_name", "part", "cell")
+    tasks = (seen.get("groups") or 0) // TASK_GROUPS + 1
+    many = tasks > int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = (rows.repartition(tasks, "column_name", "part") if many else rows.repartition("column_name", "part")).sortWithinPartitions("column_name", "part", "row_id", "cell").select("column_name", "part", "cell")
     blocks = rows.mapInPandas(run, "column_name string, raw long, packed long")
     out = blocks.groupBy("column_name").agg(F.sum("raw").alias("raw_bytes"), F.sum("packed").alias("packed_bytes"), F.coalesce(F.stddev_pop(F.col("raw") / F.col("packed")), F.lit(0.0)).alias("ratio_stddev"))
     return out.select("column_name", "raw_bytes", "packed_bytes", (F.col("raw_bytes") / F.col("packed_bytes")).alias("ratio"), "ratio_stddev")

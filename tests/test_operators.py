@@ -359,3 +359,16 @@ def test_reservoir_sorts_only_rows_that_can_be_in_it(spark, capsys):
     h = cells.selectExpr("*", "xxhash64(column_name, row_id, 42) AS h").collect()
     wanted = {(c, r.row_id) for c in (None, "a") for r in sorted((x for x in h if x.column_name == c), key=lambda x: x.h)[:40]}
     assert {(r.column_name, r.row_id) for r in sample.collect()} == wanted
+
+
+def test_compressed_columns_are_dealt_by_their_bytes(spark, capsys, monkeypatch):
+    cells = spark.range(3000).selectExpr("'c' AS column_name", "id AS row_id", "repeat(sha2(CAST(id AS STRING), 256), 16) AS cell")
+    expected = Z.column_compression(cells).collect()
+    monkeypatch.setattr(Z, "TASK_GROUPS", 1)
+    spread = Z.column_compression(cells)
+    spread.explain()
+    plan = capsys.readouterr().out
+    assert "REPARTITION_BY_NUM" in plan and "SortMergeJoin" not in plan
+    (one,), (other,) = spread.collect(), expected
+    assert (one.raw_bytes, one.packed_bytes) == (other.raw_bytes, other.packed_bytes) and one.raw_bytes == 3000 * 1025
+    assert abs(one.ratio_stddev - other.ratio_stddev) < 1e-12
