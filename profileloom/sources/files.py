@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profileloom.functions.tokens import normalize_type
+from profileloom.operators.graph import _cut
 from profileloom.operators.objects import label
 
 
@@ -126,14 +127,25 @@ INDEX_METHODS = {
 TYPE_ENGINES = {"sqlserver": "mssql"}
 
 
-def _field(v: str, kind: str, *paths: str) -> Column:
+def _field(v: Column | str, kind: str, *paths: str) -> Column:
     """The first of the paths in a variant that is there and can be read as the type."""
     return F.coalesce(*(F.try_variant_get(v, f"$.{p}", kind) for p in paths))
 
 
-def _each(rows: DataFrame, v: str, path: str, *kept: str) -> DataFrame:
-    """kept, place and item: a row for each element of an array in a variant; none where it isn't an array."""
-    return rows.select(*kept, F.posexplode(F.try_variant_get(v, f"$.{path}", "array<variant>")).alias("place", "item"))
+#: What a snapshot's tables hold, and the items of their arrays.
+_OF_TABLE = {"table_id": ("string", "oid"), "schema_name": ("string", "schema_name"), "table_name": ("string", "table_name"), "rows": ("double", "reltuples", "rows"), "table_bytes": ("long", "table_bytes"), "index_bytes": ("long", "index_bytes"), "last_analyze": ("string", "last_analyze")}
+_ITEMS = {
+    "columns": "attnum int, name string, type string, not_null boolean, avg_width long",
+    "indexes": "name string, method string, unique boolean, is_unique boolean, col_ords array<int>, cols array<int>, seq int, col_name string",
+    "fks": "fk_name string, fk_id string, name string, to_oid string, col_ords array<int>, cols array<int>, to_col_ords array<int>, to_cols array<int>, position int, seq int, col_name string, to_col_name string",
+}
+
+
+def _items(v: str, path: str) -> Column:
+    """An array in a variant as structs; what has another type than it should is NULL. Only where that is so items are read field by field."""
+    fields = [f.split() for f in _ITEMS[path].split(", ")]
+    whole = F.try_variant_get(v, f"$.{path}", f"array<struct<{', '.join(f'{c}:{kind}' for c, kind in fields)}>>")
+    return F.coalesce(whole, F.transform(F.try_variant_get(v, f"$.{path}", "array<variant>"), lambda x: F.struct(*(_field(x, kind, c).alias(c) for c, kind in fields))))
 
 
 def catalog_snapshot(snapshots: DataFrame) -> dict[str, DataFrame]:
@@ -144,41 +156,62 @@ def catalog_snapshot(snapshots: DataFrame) -> dict[str, DataFrame]:
     to_col_name; those are put together again, by name or fk_id and in order, and named columns get the ordinals of their tables. A key with
     a column that isn't there is NULL there; rows below 0 are 0. What has another type than it should is NULL, and a text that isn't JSON has no rows. Snapshots are told apart by
     snapshot_id, if `snapshots` has such a column, else by engine.
+
+    Each text is parsed once and its tables are kept with their columns, indexes and keys, put together within each table. What follows reads those; only columns named of
+    a key's parent take a join, of a row for each table.
     """
     own = "snapshot_id" if "snapshot_id" in snapshots.columns else "_engine"
     parsed = snapshots.withColumn("_v", F.try_parse_json("snapshot")).withColumn("_engine", _field("_v", "string", "engine"))
     parsed = parsed.select(F.col(own).cast("string").alias("snapshot_id"), F.col("_engine").alias("engine"), F.regexp_extract(_field("_v", "string", "engine_version"), r"[0-9]+([.][0-9]+)+", 0).alias("engine_version"), F.col("_v").alias("v"))
     at, key = ["snapshot_id", "engine", "table_id"], ["snapshot_id", "table_id"]
-    tables = _each(parsed, "v", "tables", "snapshot_id", "engine", "engine_version").select("snapshot_id", "engine", "engine_version", _field("item", "string", "oid").alias("table_id"), F.col("item").alias("t"))
-    columns = _each(tables, "t", "columns", *at).select(*at, _field("item", "int", "attnum").alias("ordinal"), _field("item", "string", "name").alias("name"), _field("item", "string", "type").alias("native_type"), (~_field("item", "boolean", "not_null")).alias("nullable"), _field("item", "long", "avg_width").alias("avg_width"))
+    tables = parsed.select("snapshot_id", "engine", "engine_version", F.explode(F.try_variant_get("v", "$.tables", "array<variant>")).alias("t"))
+    read = tables.select("snapshot_id", "engine", "engine_version", *(_items("t", c).alias(f"_{c}") for c in _ITEMS), *(_field("t", kind, *paths).alias(c) for c, (kind, *paths) in _OF_TABLE.items()))
+    columns_of = F.transform("_columns", lambda x: F.struct(x["attnum"].alias("ordinal"), x["name"].alias("name"), x["type"].alias("native_type"), (~x["not_null"]).alias("nullable"), x["avg_width"].alias("avg_width")))
+    known = F.col("snapshot_id").isNotNull() & F.col("table_id").isNotNull()
+    read = read.withColumns({"columns": columns_of, "_names": F.when(known, F.col("_columns.name")), "_ordinals": F.col("_columns.attnum")})
+    ordinal = lambda names, ordinals, name: F.get(ordinals, (F.array_position(names, name) - 1).cast("int"))
+    own_ordinal = lambda x: ordinal(F.col("_names"), F.col("_ordinals"), x["col_name"]).alias("o")
+    in_parts = lambda x, *cols: F.coalesce(*(x[c] for c in cols)).isNull() & x["col_name"].isNotNull()
+
+    def grouped(parts: str, made: Callable[[Column, Column], Column], *by: str) -> Column:
+        """For each of the values of `by` among parts (seq, place, ...), what is made of them and its parts in order."""
+        of = lambda x: F.struct(*(x[c].alias(c) for c in by))
+        return F.transform(F.array_distinct(F.transform(parts, of)), lambda g: F.transform(F.array(F.filter(parts, lambda x: of(x) == g)), lambda own: made(g, own))[0])
+
+    # indexes: whole ones, and a row for each of their columns
+    whole = F.transform(F.filter("_indexes", lambda x: ~in_parts(x, "col_ords", "cols")), lambda x: F.struct(x["name"].alias("name"), F.lower(F.trim(x["method"])).alias("method"), F.coalesce(x["unique"], x["is_unique"]).alias("is_unique"), F.coalesce(x["col_ords"], x["cols"]).alias("cols")))
+    part = lambda x, place: F.when(in_parts(x, "col_ords", "cols"), F.struct(x["seq"].alias("seq"), place.alias("place"), x["name"].alias("name"), F.lower(F.trim(x["method"])).alias("method"), F.coalesce(x["unique"], x["is_unique"]).alias("is_unique"), own_ordinal(x)))
+    index_parts = F.array_sort(F.filter(F.transform("_indexes", part), lambda x: x.isNotNull()))
+    # foreign keys likewise
+    whole_fks = F.transform(F.filter("_fks", lambda x: ~in_parts(x, "col_ords", "cols")), lambda x: F.struct(F.coalesce(x["fk_name"], x["fk_id"], x["name"]).alias("name"), x["to_oid"].alias("parent"), F.coalesce(x["col_ords"], x["cols"]).alias("child_cols"), F.coalesce(x["to_col_ords"], x["to_cols"]).alias("parent_cols")))
+    part_fk = lambda x, place: F.when(in_parts(x, "col_ords", "cols"), F.struct(F.coalesce(x["position"], x["seq"]).alias("seq"), place.alias("place"), F.coalesce(x["fk_name"], x["fk_id"], x["name"]).alias("name"), x["to_oid"].alias("parent"), own_ordinal(x), x["to_col_name"].alias("to_col_name")))
+    fk_parts = F.array_sort(F.filter(F.transform("_fks", part_fk), lambda x: x.isNotNull()))
+    read = read.withColumns({"whole": whole, "index_parts": index_parts, "fks": whole_fks, "fk_parts": fk_parts})
+    put = grouped("index_parts", lambda g, own: F.struct(g["name"].alias("name"), F.get(F.filter(own, lambda x: x["seq"].isNotNull()), F.lit(0))["method"].alias("method"), F.array_max(own["is_unique"]).alias("is_unique"), own["o"].alias("cols")), "name")
+    put_fks = grouped("fk_parts", lambda g, own: F.struct(g["name"].alias("name"), g["parent"].alias("parent"), own["o"].alias("child_cols"), own["to_col_name"].alias("to_names")), "name", "parent")
+    kept = _cut(read.select("snapshot_id", "engine", "engine_version", *_OF_TABLE, "columns", "_names", "_ordinals", F.concat(F.coalesce("whole", F.array()), F.coalesce(put, F.array())).alias("indexes"), "fks", put_fks.alias("open_fks")))
+    each = lambda c: kept.select(*at, F.explode(c).alias("x")).select(*at, "x.*")
+    columns, indexes, put = each("columns"), each("indexes"), each("open_fks")
     engine = F.col("engine")
     for name, known in TYPE_ENGINES.items():
         engine = F.when(F.col("engine") == name, known).otherwise(engine)
-    columns = columns.withColumn("family", normalize_type("native_type", engine))
-    named = columns.select(*key, F.col("name").alias("_name"), F.col("ordinal").alias("_ordinal")).dropDuplicates([*key, "_name"])
-
-    def ordinals(rows: DataFrame, table: str, name: str, out: str) -> DataFrame:
-        """rows with the ordinal of the column of a table that is named in a row."""
-        match = named.select(F.col("snapshot_id").alias("_s"), F.col("table_id").alias("_t"), F.col("_name"), F.col("_ordinal").alias(out))
-        return rows.join(match, (F.col("snapshot_id") == F.col("_s")) & (F.col(table) == F.col("_t")) & (F.col(name) == F.col("_name")), "left").drop("_s", "_t", "_name")
-
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("seq", "place", F.col(c).alias("o")))), lambda x: x["o"])
-    # indexes: whole ones, and a row for each of their columns
-    items = _each(tables, "t", "indexes", *at).select(*at, "place", _field("item", "string", "name").alias("name"), F.lower(F.trim(_field("item", "string", "method"))).alias("method"), _field("item", "boolean", "unique", "is_unique").alias("is_unique"), _field("item", "array<int>", "col_ords", "cols").alias("cols"), _field("item", "int", "seq").alias("seq"), _field("item", "string", "col_name").alias("col_name"))
-    parts = ordinals(items.where("cols IS NULL AND col_name IS NOT NULL"), "table_id", "col_name", "_o")
-    parts = parts.groupBy(*at, "name").agg(F.min_by("method", "seq").alias("method"), F.max("is_unique").alias("is_unique"), ordered("_o").alias("cols"))
-    indexes = items.where("cols IS NOT NULL OR col_name IS NULL").select(*at, "name", "method", "is_unique", "cols").unionByName(parts)
+    # families are found once for each type
+    types = _cut(columns.select("engine", "native_type").distinct().withColumn("family", normalize_type("native_type", engine)))
+    types = types.select(F.col("engine").alias("_e"), F.col("native_type").alias("_type"), "family")
+    columns = columns.join(types, F.col("engine").eqNullSafe(F.col("_e")) & F.col("native_type").eqNullSafe(F.col("_type")), "left").drop("_e", "_type")
     method = F.lit("other")
     for name, known in INDEX_METHODS.items():
         method = F.when((F.col("engine") == name) & F.col("method").isin(*known), F.col("method")).otherwise(method)
     method = F.when(F.col("engine").isin(*INDEX_METHODS), method).otherwise(F.col("method"))
-    # foreign keys likewise
-    items = _each(tables, "t", "fks", *at).select(*at, "place", _field("item", "string", "fk_name", "fk_id", "name").alias("name"), _field("item", "string", "to_oid").alias("parent"), _field("item", "array<int>", "col_ords", "cols").alias("child_cols"), _field("item", "array<int>", "to_col_ords", "to_cols").alias("parent_cols"), _field("item", "int", "position", "seq").alias("seq"), _field("item", "string", "col_name").alias("col_name"), _field("item", "string", "to_col_name").alias("to_col_name"))
-    parts = ordinals(ordinals(items.where("child_cols IS NULL AND col_name IS NOT NULL"), "table_id", "col_name", "_o"), "parent", "to_col_name", "_p")
-    parts = parts.groupBy(*at, "name", "parent").agg(ordered("_o").alias("child_cols"), ordered("_p").alias("parent_cols"))
-    edges = items.where("child_cols IS NOT NULL OR col_name IS NULL").select(*at, "name", "parent", "child_cols", "parent_cols").unionByName(parts)
+    # tables by (snapshot, id), which keys in parts name columns of; a repeated id has the columns of all
+    named = kept.where("size(_ordinals) > 0 AND _names IS NOT NULL").groupBy(F.col("snapshot_id").alias("_s"), F.col("table_id").alias("_t")).agg(F.array_sort(F.collect_list(F.struct(F.col("_names").alias("n"), F.col("_ordinals").alias("o")))).alias("c"))
+    named = named.select("_s", "_t", F.flatten("c.n").alias("_n"), F.flatten("c.o").alias("_o"))
+    put = put.join(named, (F.col("snapshot_id") == F.col("_s")) & (F.col("parent") == F.col("_t")), "left")
+    put = put.select(*at, "name", "parent", "child_cols", F.transform("to_names", lambda n: ordinal(F.col("_n"), F.col("_o"), n)).alias("parent_cols"))
+    edges = each("fks").unionByName(put)
+    rows = F.when(F.col("rows") < 0, 0).otherwise(F.col("rows")).cast("long")
     return {
-        "tables": tables.select("snapshot_id", "engine", "table_id", _field("t", "string", "schema_name").alias("schema_name"), _field("t", "string", "table_name").alias("table_name"), F.when(_field("t", "double", "reltuples", "rows") < 0, 0).otherwise(_field("t", "double", "reltuples", "rows")).cast("long").alias("rows"), _field("t", "long", "table_bytes").alias("table_bytes"), _field("t", "long", "index_bytes").alias("index_bytes"), F.try_to_timestamp(_field("t", "string", "last_analyze")).alias("analyzed_at"), "engine_version"),
+        "tables": kept.select("snapshot_id", "engine", "table_id", "schema_name", "table_name", rows.alias("rows"), "table_bytes", "index_bytes", F.try_to_timestamp("last_analyze").alias("analyzed_at"), "engine_version"),
         "columns": columns,
         "indexes": indexes.withColumn("method", method),
         "fk_edges": edges.select("snapshot_id", "engine", F.col("table_id").alias("child"), "parent", "child_cols", "parent_cols", "name"),

@@ -83,3 +83,14 @@ def test_selectors(spark):
 def test_transfer_columns_are_in_order(spark):
     rows = spark.createDataFrame([(2, "b", None), (1, "z", "plain"), (2, "a", "plain"), (3, "c", "rowversion")], "ordinal int, name string, kind string")
     assert [(r.ordinal, r.name) for r in cells.transfer_columns(rows).collect()] == [(1, "z"), (2, "a"), (2, "b")]
+
+
+def test_snapshots_are_parsed_once(spark, capsys):
+    text = '{"engine":"mysql","tables":[{"oid":1,"columns":[{"attnum":2,"name":"a","type":"int"},{"attnum":3,"name":"b","type":"int"},{"attnum":"x","name":"c","type":"int"}],"indexes":[{"name":"i","seq":2,"col_name":"a"},{"name":"j","cols":[3]},{"name":"i","seq":1,"col_name":"b"}],"fks":[{"fk_id":"f","to_oid":1,"seq":1,"col_name":"b","to_col_name":"a"},{"fk_id":"g","to_oid":9,"seq":1,"col_name":"a","to_col_name":"a"}]}]}'
+    sets = files.catalog_snapshot(spark.createDataFrame([(text,)], "snapshot string"))
+    for df in sets.values():
+        df.explain()
+    assert "parse_json" not in capsys.readouterr().out.lower()
+    assert sorted((r.name, r.cols) for r in sets["indexes"].collect()) == [("i", [3, 2]), ("j", [3])]
+    assert sorted((r.name, r.child_cols, r.parent_cols) for r in sets["fk_edges"].collect()) == [("f", [3], [2]), ("g", [2], [None])]
+    assert sorted(((r.name, r.ordinal, r.family) for r in sets["columns"].collect())) == [("a", 2, "integer"), ("b", 3, "integer"), ("c", None, "integer")]
