@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from operator import or_
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +17,10 @@ from profileloom.operators.graph import _cut
 from profileloom.operators.objects import label
 
 
+#: Scheme and host of a path.
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
 def scan_dataset(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
     """A file or folder of Parquet, Avro, JSON, CSV or ORC files."""
     reader = spark.read.format(format)
@@ -21,11 +29,20 @@ def scan_dataset(spark: SparkSession, path: str, format: str = "parquet") -> Dat
     return reader.load(path)
 
 
-def profile_per_file(df: DataFrame) -> DataFrame:
-    """(table_id, file, n_rows): one logical table for each input file, numbered in path order. There is a row for each file, not for each row."""
+def profile_per_file(df: DataFrame, inputs: Sequence[str] = ()) -> DataFrame:
+    """(table_id, file, n_rows): one logical table for each input file, numbered in path order. There is a row for each file, not for each row.
+
+    A table that a writer split lies in a folder of as many files as it had tasks. A folder among inputs, the paths that df was read from, is one such table, and its
+    files are parts of it; files of no such folder are tables of their own.
+    """
     from pyspark.sql import Window as W
 
-    files = df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n_rows"))
+    path = F.regexp_replace(F.col("_metadata.file_path"), _SCHEME, "")
+    within = F.lit(None).cast("string")
+    for root in sorted((re.sub(_SCHEME, "", p).rstrip("/") for p in inputs), key=len):  # the innermost folder counts
+        either = [path.startswith(f"{r}/") for r in dict.fromkeys((root, quote(root)))]  # paths are given as they are or encoded
+        within = F.when(reduce(or_, either), root).otherwise(within)
+    files = df.groupBy(F.coalesce(within, F.col("_metadata.file_path")).alias("file")).agg(F.count("*").alias("n_rows"))
     number = F.row_number().over(W.orderBy("file"))
     return files.select(label("table", number).alias("table_id"), F.element_at(F.split("file", "/"), -1).alias("file"), "n_rows")
 

@@ -94,3 +94,16 @@ def test_snapshots_are_parsed_once(spark, capsys):
     assert sorted((r.name, r.cols) for r in sets["indexes"].collect()) == [("i", [3, 2]), ("j", [3])]
     assert sorted((r.name, r.child_cols, r.parent_cols) for r in sets["fk_edges"].collect()) == [("f", [3], [2]), ("g", [2], [None])]
     assert sorted(((r.name, r.ordinal, r.family) for r in sets["columns"].collect())) == [("a", 2, "integer"), ("b", 3, "integer"), ("c", None, "integer")]
+
+
+def test_parts_of_a_folder_are_one_table(spark, tmp_path):
+    from profileloom import queries
+
+    root = f"{tmp_path}/a b"
+    spark.range(10).selectExpr("id AS doc_id").repartition(3).write.parquet(f"{root}/documents.parquet")
+    spark.range(4).selectExpr("id AS doc_id").coalesce(1).write.parquet(f"{root}/documents.parquet.more")
+    assert list(map(tuple, queries.queries()["profile_per_file"](spark, root).collect())) == [("table-001", "documents.parquet", 10)]
+    both = [f"{root}/documents.parquet", f"file:{root}/documents.parquet.more/"]
+    got = files.profile_per_file(spark.read.parquet(*both), both).collect()
+    assert sorted((r.file, r.n_rows) for r in got) == [("documents.parquet", 10), ("documents.parquet.more", 4)]
+    assert files.profile_per_file(spark.read.parquet(*both), both[1:]).count() == 4 == files.profile_per_file(spark.read.parquet(*both)).count()
