@@ -125,6 +125,11 @@ def _ends(links: DataFrame) -> DataFrame:
     return out.union(into).groupBy("node").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"), F.max("next").alias("next"), F.max("last").alias("last"))
 
 
+def _far(df: DataFrame) -> DataFrame:
+    """A side of a join that goes by a shuffle. A broadcast brings its rows to the driver first, and rounds of them add up."""
+    return df.hint("merge")
+
+
 def _contract(links: DataFrame, base: DataFrame | None = None) -> tuple[list[_Round], DataFrame, DataFrame | None, int]:
     """Takes a graph apart: the rounds, what links and (node, base) they leave, and the last round in which a cycle closed (-1: none).
 
@@ -148,15 +153,15 @@ def _contract(links: DataFrame, base: DataFrame | None = None) -> tuple[list[_Ro
         nodes = ends.withColumn("state", state).withColumn("other", other).select("node", "state", F.col("other.b").alias("target"), F.col("other.w").alias("w"), ((F.col("n_out") == 1) | (F.col("n_in") == 1)).alias("open"))
         # whoever would be merged into a node that goes waits
         going = nodes.where(F.col("state").isin("source", "sink")).select(F.col("node").alias("target"), F.lit(True).alias("late"))
-        nodes = nodes.join(going, "target", "left")
-        nodes = nodes.withColumn("base", F.lit(0).cast("long")) if base is None else nodes.join(base, "node", "left")
+        nodes = nodes.join(_far(going), "target", "left")
+        nodes = nodes.withColumn("base", F.lit(0).cast("long")) if base is None else nodes.join(_far(base), "node", "left")
         kept = F.col("late").isNull()
         moves = F.count(F.when(F.col("open") | F.col("state").isin("source", "sink"), 1)).alias("moves")
         nodes, seen = _cut(nodes.select("node", F.col("base"), F.when(kept, F.col("state")).otherwise("stays").alias("state"), F.when(kept, F.col("target")).alias("target"), F.when(kept, F.col("w")).alias("w"), "open"), moves, F.count("*").alias("all"))
         if not seen.get("moves") or (base is None and seen["moves"] * FEW_MOVE < seen["all"]):
             return rounds, links, base, closed
         side = lambda s: nodes.select(F.col("node").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("base", "state", "target", "w")))  # noqa: B023, E731
-        rows = links.join(side("a"), "a").join(side("b"), "b")
+        rows = links.join(_far(side("a")), "a").join(_far(side("b")), "b")
         rows = rows if base is None else _cut(rows)
         a, b = F.col("a_state"), F.col("b_state")
         before, after = F.when(a == "into", F.col("a_w")).otherwise(0), F.when(b == "on", F.col("b_w")).otherwise(0)
@@ -169,8 +174,8 @@ def _contract(links: DataFrame, base: DataFrame | None = None) -> tuple[list[_Ro
         if base is None:
             continue
         pushed = rows.where((b != "sink") & a.isin("source", "on", "into")).select(F.when(a == "on", F.col("b")).otherwise(end).alias("node"), (F.col("a_base") + F.col("w") + F.when(a == "on", 0).otherwise(after)).alias("base"))
-        left = base.join(nodes.where("state <> 'stays'"), "node", "left_anti")
-        base = _cut(left.select("node", "base").union(pushed.join(left, "node", "left_semi")).groupBy("node").agg(F.max("base").alias("base")))
+        left = base.join(_far(nodes.where("state <> 'stays'")), "node", "left_anti")
+        base = _cut(left.select("node", "base").union(pushed.join(_far(left), "node", "left_semi")).groupBy("node").agg(F.max("base").alias("base")))
 
 
 def _spread(marks: DataFrame, links: DataFrame) -> DataFrame:
@@ -179,7 +184,7 @@ def _spread(marks: DataFrame, links: DataFrame) -> DataFrame:
     changed = marks
     while changed.take(1):
         sent = changed.join(links, changed.node == links.a).groupBy(F.col("b").alias("node")).agg(F.max("mark").alias("sent"))
-        both = marks.join(sent, "node", "left").select("node", F.greatest("mark", "sent").alias("mark"), (F.col("sent") > F.col("mark")).alias("more"))
+        both = marks.join(_far(sent), "node", "left").select("node", F.greatest("mark", "sent").alias("mark"), (F.col("sent") > F.col("mark")).alias("more"))
         both = _cut(both)
         marks, changed = both.select("node", "mark"), both.where("more").select("node", "mark")
     return marks
@@ -191,7 +196,7 @@ def _trimmed(links: DataFrame) -> DataFrame:
     links, seen = _cut(links, n)
     while before := seen.get("n"):
         ends = links.select("a").intersect(links.select(F.col("b").alias("a")))
-        links, seen = _cut(links.join(ends, "a", "left_semi").join(ends.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b"), n)
+        links, seen = _cut(links.join(_far(ends), "a", "left_semi").join(_far(ends.select(F.col("a").alias("b"))), "b", "left_semi").select("a", "b"), n)
         if seen.get("n") == before:
             break
     return links
@@ -208,7 +213,7 @@ def _core_components(links: DataFrame) -> DataFrame:
     while links.take(1):
         nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
         roots = _spread(nodes.withColumn("mark", F.col("node")), links)
-        inner = links.join(roots.select(F.col("node").alias("a"), F.col("mark").alias("ra")), "a").join(roots.select(F.col("node").alias("b"), F.col("mark").alias("rb")), "b").where("ra = rb").select("a", "b")
+        inner = links.join(_far(roots.select(F.col("node").alias("a"), F.col("mark").alias("ra"))), "a").join(_far(roots.select(F.col("node").alias("b"), F.col("mark").alias("rb"))), "b").where("ra = rb").select("a", "b")
         inner = _cut(inner)
         # back from each root, over the links that stay among its nodes
         back = _spread(roots.select("node", (F.col("node") == F.col("mark")).cast("int").alias("mark")), inner.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -224,10 +229,10 @@ def _labels(links: DataFrame) -> DataFrame:
     rounds, core, _, closed = _contract(links.withColumn("w", F.lit(0).cast("long")))
     labels, has_core = _core_components(core), bool(core.take(1))
     for r in reversed(rounds if has_core else rounds[: closed + 1]):
-        now = r.nodes.select("node", "state", F.coalesce("target", "node").alias("at")).join(labels.select(F.col("node").alias("at"), "label"), "at", "left")
+        now = r.nodes.select("node", "state", F.coalesce("target", "node").alias("at")).join(_far(labels.select(F.col("node").alias("at"), "label")), "at", "left")
         now = _cut(now.select("node", "state", F.coalesce("label", "at").alias("label")))
         a, b = (now.select(F.col("node").alias(s), F.col("state").alias(f"{s}_state"), F.col("label").alias(f"{s}_label")) for s in ("a", "b"))
-        same = r.links.join(a, "a").join(b, "b").where("a_label = b_label")
+        same = r.links.join(_far(a), "a").join(_far(b), "b").where("a_label = b_label")
         # a merged node is on a cycle with its target if the links at its other side lead there
         hits = same.where("b_state = 'on'").select(F.col("b").alias("node"), F.col("b_label").alias("label")).union(same.where("a_state = 'into'").select("a", "a_label"))
         labels = labels.union(_cut(hits.distinct()))
@@ -243,7 +248,7 @@ def fk_cycles(edges: DataFrame) -> DataFrame:
     links = _cut(edges.select(F.col("child").alias("a"), F.col("parent").alias("b")).where("a <> b").distinct())
     labels = _labels(links)
     at = lambda s: labels.select(F.col("node").alias(s), F.col("label").alias(f"{s}_label"))
-    both = links.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("a_label", "a") == F.coalesce("b_label", "b"))
+    both = links.join(_far(at("a")), "a", "left").join(_far(at("b")), "b", "left").where(F.coalesce("a_label", "a") == F.coalesce("b_label", "b"))
     return _cut(both.select(F.col("a").alias("child"), F.col("b").alias("parent")))
 
 

@@ -122,3 +122,17 @@ def test_rounds_of_hierarchies_shrink_and_stay_off_the_driver(spark, capsys, mon
     assert sorted(r.node for r in found.collect()) == [1, 2, 3, 4, 5, 7000]
     assert rows == sorted(rows, reverse=True) and rows[-1] == 6 and len(rows) < 13
     assert "Broadcast" not in capsys.readouterr().out
+
+
+def test_rounds_of_cycles_stay_off_the_driver(spark, capsys, monkeypatch):
+    cut = G._cut
+
+    def seen(df, *counts):
+        df.explain()
+        return cut(df, *counts)
+
+    monkeypatch.setattr(G, "_cut", seen)
+    links = [(k, k % 8 + 1) for k in range(1, 9)] + [(k, k - 1) for k in range(9, 20)]
+    found = G.fk_cycles(spark.createDataFrame(links, "child int, parent int"))
+    assert sorted(map(tuple, found.collect())) == sorted(links[:8])
+    assert "Broadcast" not in capsys.readouterr().out
