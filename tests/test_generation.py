@@ -200,3 +200,30 @@ def test_permuted_places_are_told_apart_by_bits(spark, sf_dir, capsys):
     queries.queries()["permuted_windows"](spark, sf_dir).explain()
     plan = capsys.readouterr().out
     assert "bit_or" in plan and "p#" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 97, 1000])
+def test_batches_are_permuted_and_keep_null(spark, n):
+    rows = spark.range(n + 5).select(F.when(F.col("id") < n, F.col("id")).alias("i"))
+    got = rows.select("i", R.permute_batch("i", n, 5).alias("p")).collect()
+    assert sorted(r.p for r in got if r.i is not None) == list(range(n)) and all(r.p is None for r in got if r.i is None)
+    top = spark.range(3000).select(R.permute_batch(F.lit((1 << 62) - 1) - F.col("id") * 7, 1 << 62, n).alias("p")).collect()
+    assert len({r.p for r in top}) == 3000 and min(r.p for r in top) >= 0 and max(r.p for r in top) < 1 << 62
+
+
+def test_catalogs_are_made_in_batches(spark, capsys):
+    plan = planned(spark, selected=["c", "a"], scale=0.1)
+    D.generate_catalog(spark, plan, COLUMNS)["c"].explain()
+    assert "ArrowEvalPython" in capsys.readouterr().out
+
+
+def test_edges_are_checked_without_joins(spark, capsys):
+    columns = {t: {1: M.ColumnProfile("id", "integer", 3)} for t in "pc"}
+    edges = spark.createDataFrame([(1, "c", [1], "p", [1])], "edge_id int, child string, child_cols array<int>, parent string, parent_cols array<int>").withColumn("status", F.lit("emitted"))
+    keys = spark.createDataFrame([], "table_id string, key_no int, cols array<int>")
+    tables = spark.createDataFrame([("p", 2)], "table_id string, rows long")
+    made = {"p": spark.createDataFrame([(1,), (1,), (2,), (None,)], "id long"), "c": spark.createDataFrame([(1,), (1,), (2,), (3,), (None,)], "id long")}
+    checked = D.check_catalog(D.CatalogPlan(tables, edges, keys), made, columns)
+    assert [tuple(r) for r in checked.collect()] == [("edge", "c", "1", 4, 3)]
+    checked.explain()
+    assert "Join" not in capsys.readouterr().out
