@@ -129,15 +129,20 @@ def token_measures(tokens: DataFrame) -> DataFrame:
     """
     own = W.partitionBy("key").orderBy("place")
     t, after, before = F.col("token"), lambda k: F.lead("token", k).over(own), lambda k: F.lag("token", k).over(own)
-    openers = F.array_contains(F.element_at(F.create_map(*(x for d, ws in OPENERS.items() for x in (F.lit(d), F.array(*map(F.lit, ws)).cast("array<string>")))), F.col("dialect")), t)
-    opens = (t == "(") | (~_is(before(1), "END") & (_is(t, "BEGIN", "CASE", "LOOP") | F.coalesce(openers, F.lit(False))))
-    ends = F.sum(_is(t, ";", "BEGIN").cast("int")).over(own.rowsBetween(W.unboundedPreceding, -1))
-    ahead = F.collect_list("token").over(own.rowsBetween(1, CTE_WORDS + 1))
-    rows = tokens.select("key", "place", t, *(after(k).alias(f"a{k}") for k in range(1, 5)), before(1).alias("b1"), before(2).alias("b2"), opens.cast("int").alias("opens"), _is(t, ")", "END").cast("int").alias("closes"), F.coalesce(ends, F.lit(0)).alias("statement"), F.when(t == "WITH", ahead).alias("ahead"))
-    # depth that never falls below nothing: the sum so far above its least so far
-    rows = rows.withColumn("sum", F.sum(F.col("opens") - F.col("closes")).over(own))
-    head = W.partitionBy("key", "statement").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("depth", F.col("sum") - F.least(F.min("sum").over(own), F.lit(0))).withColumn("in_trigger", F.coalesce(F.max(t == "TRIGGER").over(head), F.lit(False)))
+    openers = F.lit(False)
+    for d, ws in OPENERS.items():
+        openers = openers | (_is(F.col("dialect"), d) & _is(t, *ws)) if ws else openers
+    opens = (t == "(") | (~_is(before(1), "END") & (_is(t, "BEGIN", "CASE", "LOOP") | openers))
+    # a statement ends with ; or BEGIN, so its head has had a TRIGGER if that is the last of these words
+    mark = F.last(F.when(_is(t, ";", "BEGIN", "TRIGGER"), t), ignorenulls=True).over(own.rowsBetween(W.unboundedPreceding, -1))
+    rows = tokens.select("key", "place", t, *(after(k).alias(f"a{k}") for k in range(1, 5)), before(1).alias("b1"), before(2).alias("b2"), opens.cast("int").alias("opens"), _is(t, ")", "END").cast("int").alias("closes"), _is(mark, "TRIGGER").alias("in_trigger"))
+    # depth that never falls below nothing: the sum so far above its least so far; places of AS ( so far
+    upto = own.rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("sum", F.sum(F.col("opens") - F.col("closes")).over(upto)).withColumn("n_as", F.sum((_is(t, "AS") & _is(F.col("a1"), "(")).cast("int")).over(upto))
+    # past the last word there are no more
+    ahead, every = lambda k: F.lead("n_as", k).over(own), F.max("n_as").over(W.partitionBy("key"))
+    rows = rows.withColumn("depth", F.col("sum") - F.least(F.min("sum").over(upto), F.lit(0)))
+    rows = rows.withColumn("as_1", ahead(1)).withColumn("as_near", F.coalesce(ahead(CTE_WORDS - 1), every)).withColumn("as_far", F.coalesce(ahead(CTE_WORDS), every))
 
     def sequence(text: str) -> Column:
         words = text.split()
@@ -150,10 +155,10 @@ def token_measures(tokens: DataFrame) -> DataFrame:
     long_zone = _is(F.col("b1"), "TIMESTAMP") & sequence("WITH LOCAL TIME ZONE")
     event = _is(F.col("b1"), "BEFORE", "AFTER") | (_is(F.col("b1"), "OF") & _is(F.col("b2"), "INSTEAD")) | (_is(F.col("b1"), "OR") & F.col("in_trigger"))
     made = _is(t, "PREPARE", "SP_EXECUTESQL") | (_is(t, "EXECUTE") & ~_is(F.col("a1"), "FUNCTION", "PROCEDURE", "AS")) | (_is(t, "EXEC") & _is(F.col("a1"), "("))
-    start = F.when(F.col("a1") == "RECURSIVE", F.slice("ahead", 2, CTE_WORDS)).otherwise(F.slice("ahead", 1, CTE_WORDS))
-    first = F.try_element_at(start, F.lit(1))
-    runs = (first == "EXECUTE") & (F.try_element_at(start, F.lit(2)) == "AS")
-    cte = (t == "WITH") & ~_is(first, *NOT_CTE) & ~F.coalesce(runs, F.lit(False)) & F.coalesce(F.contains(F.concat(F.lit(" "), F.array_join(start, " "), F.lit(" ")), F.lit(" AS ( ")), F.lit(False))
+    recursive = _is(F.col("a1"), "RECURSIVE")
+    first, second = (F.when(recursive, F.col(f"a{k + 1}")).otherwise(F.col(f"a{k}")) for k in (1, 2))
+    follows = F.when(recursive, F.col("as_far") > F.col("as_1")).otherwise(F.col("as_near") > F.col("n_as"))
+    cte = (t == "WITH") & ~_is(first, *NOT_CTE) & ~(_is(first, "EXECUTE") & _is(second, "AS")) & F.coalesce(follows, F.lit(False))
     found = {f: _is(t, *ws) for f, ws in WORD_FEATURES.items()}
     for f, parts in SEQUENCE_FEATURES.items():
         hit = F.lit(False)

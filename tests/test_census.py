@@ -101,3 +101,13 @@ def test_assessment(spark):
     assert O.complexity_overall(hidden).first().unassessed == 2
     assert O.complexity_overall(X.assess_objects(objects, edges, needs, census_)).first().overall_band == "very-high"
     assert X.assess_objects(objects.where("false"), edges, needs, census_).collect() == []
+
+
+def test_measures_sort_once_and_hold_no_lists(spark, capsys):
+    tokens = N.sql_tokens(spark.createDataFrame([("k", "tsql", "CREATE TRIGGER t ON x AFTER INSERT OR UPDATE AS BEGIN WITH q AS (SELECT 1) DELETE FROM x END", None)], "key string, dialect string, text string, applicable boolean"))
+    out = N.token_measures(tokens)
+    got = out.first().features
+    assert got["query.cte"] == 1 and got["data.delete"] == 1 and "data.insert" not in got and "data.update" not in got
+    out.explain()
+    shown = capsys.readouterr().out
+    assert "collect_list" not in shown and shown.count("Sort [") == 1
