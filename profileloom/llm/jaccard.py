@@ -21,6 +21,9 @@ LIKE = (4, 5)
 SLICE, KEYS_AT_ONCE = 200, 200_000
 #: Members of a bucket that meet each other in one part of a join.
 PART = 256
+#: Members over which a bucket is compared in blocks, sets by sets; nodes in a block on average, and those of a bucket that a block has at least
+#: on average, as blocks that hardly share a bucket aren't worth comparing whole; shingles that a block's table has at a time.
+LARGE, BLOCK, LEAST_SHARED, COLUMNS = 32, 256, 8, 8192
 #: Rounds in which buckets compare their members with one of them only.
 STAR_ROUNDS = 1
 #: Two fingerprints of near copies, of 64 bits each, differ in at most so many bits. At a similarity of just 0.8 one in seven bits
@@ -161,14 +164,21 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "node long, hashes array<long>")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are near copies. Sets are made of one text of each node that stands in a pair."""
-    p, q = LIKE
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _sets_of(ends: DataFrame, docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, hashes) of the nodes in `ends`, made of one text of each."""
     few = cut(nodes.join(ends, "node", "left_semi").select(F.col("row.doc_id").alias("_id"), F.col("row.text_sha256").alias("_sha")))
     some = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
     texts = _named(docs).join(some, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_sha256") == F.col("_sha")), "left_semi")
-    sets = stored(_sets(texts, width).dropDuplicates(["node"]))
+    return stored(_sets(texts, width).dropDuplicates(["node"]))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are near copies."""
+    p, q = LIKE
     size = sets.agg(F.sum(F.size("hashes"))).first()[0] or 0
     small = F.broadcast if 8 * size <= BROADCAST_BYTES else lambda rows: rows
     one = pairs.join(small(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))), "a")
@@ -177,13 +187,110 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int)
     return both.where(common * (p + q) >= (F.size("x") + F.size("y")) * p).select("a", "b")
 
 
+def _placed(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((node, block) of the nodes in large buckets, (low, high) of the blocks to compare, (key) of the buckets that these stand for).
+
+    rows: key, node, members. A node's home is the largest of its buckets, so that groups of alike texts share few homes; homes are split by hash into
+    blocks. Two blocks are compared if they share a bucket. Buckets that are scattered over blocks of few of their members are left out.
+    """
+    large = rows.where(F.col("members") > LARGE)
+    homes = large.groupBy("node").agg(F.max(F.struct("members", "key"))["key"].alias("home"))
+    n = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("k"))
+    block = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("k")))
+    placed = cut(salted_join(homes, n, ["home"], hot_hashes(homes, ["home"]), ["node"]).select("node", block.alias("block")))
+    met = salted_join(large.select("key", "node"), placed, ["node"], hot_hashes(large, ["node"]), ["key"]).groupBy("key", "block").agg(F.count("*").alias("n"))
+    met = cut(met)
+    whole = cut(met.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("blocks")).where(F.col("n") >= LEAST_SHARED * F.col("blocks")).select("key"))
+    low = met.join(whole, "key", "left_semi").select("key", F.col("block").alias("low"))
+    meet = low.join(low.withColumnRenamed("low", "high"), "key").where("low <= high").select("low", "high").distinct()
+    return placed, cut(meet), whole
+
+
+def block_links(low: list[np.ndarray], high: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in low, then high) of links that join what all near copies between the sets of two blocks would join, at most one for each set.
+
+    Shingles that both blocks have are columns of a table for each, and the product of the tables counts what two sets have in common.
+    """
+    (p, q), sizes = LIKE, [np.array([len(x) for x in side], np.int64) for side in (low, high)]
+    flat, owner = [np.concatenate([*side, np.zeros(0, np.uint64)]) for side in (low, high)], [np.repeat(np.arange(len(n)), n) for n in sizes]
+    shared = np.intersect1d(*flat)
+    for k in range(2):
+        at = np.searchsorted(shared, flat[k])
+        inside = np.flatnonzero(shared[np.minimum(at, len(shared) - 1)] == flat[k]) if len(shared) else at[:0]
+        order = inside[np.argsort(at[inside], kind="stable")]
+        flat[k], owner[k] = at[order], owner[k][order]
+    common = np.zeros((len(low), len(high)), np.float32)
+    for start in range(0, len(shared), COLUMNS):
+        tables = []
+        for k, side in enumerate((low, high)):
+            i, j = np.searchsorted(flat[k], (start, start + COLUMNS))
+            table = np.zeros((len(side), min(COLUMNS, len(shared) - start)), np.float32)
+            table[owner[k][i:j], flat[k][i:j] - start] = 1
+            tables.append(table)
+        common += tables[0] @ tables[1].T
+    near = common.astype(np.int64) * (p + q) >= (sizes[0][:, None] + sizes[1][None, :]) * p
+    a, b = np.nonzero(near)
+    b += len(low)
+    label = np.arange(len(low) + len(high))
+    link_a, link_b = [], []
+    while len(a):  # each round every label that meets a lower one goes to the lowest of them, over one link
+        x, y = label[a], label[b]
+        different = x != y
+        a, b, x, y = a[different], b[different], x[different], y[different]
+        if not len(a):
+            break
+        to, of = np.minimum(x, y), np.maximum(x, y)
+        order = np.lexsort((to, of))
+        first = order[np.r_[True, of[order][1:] != of[order][:-1]]]
+        link_a.append(a[first])
+        link_b.append(b[first])
+        new = np.arange(len(label))
+        new[of[first]] = to[first]
+        while not np.array_equal(further := new[new], new):
+            new = further
+        label = new[label]
+    return np.concatenate([*link_a, np.zeros(0, np.int64)]), np.concatenate([*link_b, np.zeros(0, np.int64)])
+
+
+def _within_blocks(placed: DataFrame, meet: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join what near copies among the nodes of the blocks that meet would join; a task holds the sets of two blocks."""
+    members = cut(placed.join(sets, "node"))
+    rows = [meet.join(members.withColumnRenamed("block", side), side).select("low", "high", F.lit(k).alias("side"), "node", "hashes") for k, side in enumerate(("low", "high"))]
+    rows = rows[0].union(rows[1].where("low <> high")).repartition("low", "high").sortWithinPartitions("low", "high", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, sides = None, ([], []), ([], [])
+
+        def links() -> pa.RecordBatch:
+            low, high = sides[0], sides[1] if now[0] != now[1] else sides[0]
+            name = np.array([*nodes[0], *(nodes[1] if now[0] != now[1] else nodes[0])], np.int64)
+            a, b = block_links(low, high)
+            a, b = np.minimum(name[a], name[b]), np.maximum(name[a], name[b])
+            return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
+
+        for batch in batches:
+            lows, highs, which, names = (batch.column(c).to_pylist() for c in ("low", "high", "side", "node"))
+            lists = batch.column("hashes")
+            for i in range(batch.num_rows):
+                if now != (lows[i], highs[i]):
+                    if now:
+                        yield links()
+                    now, nodes, sides = (lows[i], highs[i]), ([], []), ([], [])
+                nodes[which[i]].append(names[i])
+                sides[which[i]].append(lists[i].values.to_numpy(zero_copy_only=False).view(np.uint64))
+        if now:
+            yield links()
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def near_links(docs: DataFrame, width: int, proposed: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """((doc_id, text_sha256, node, n, fp, fp2) of every row, links (a, b) of nodes): links join what near copies would join.
 
     proposed gives links between fingerprints (fp), which are confirmed first. Then each bucket of nodes that share a
     part of their shingles compares its members with one of them, by a hash that is the same in all buckets, so that a
     group of near copies compares with few; and last, of what no link has joined by then, all pairs. Pairs are compared by size, then by fingerprint (NEAR_BITS), and those that are left are confirmed by their
-    sets, no pair twice.
+    sets, no pair twice. Large buckets are compared in blocks instead, each two blocks once, whatever the buckets they share, by their sets.
     """
     rows = stored(_nodes(docs, width))
     nodes = cut(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.min(F.struct("doc_id", "text_sha256")).alias("row")))
@@ -192,12 +299,13 @@ def near_links(docs: DataFrame, width: int, proposed: Callable[[DataFrame], Data
     first = ends.join(prints.select(F.col("fp").alias("a"), F.col("one").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("one").alias("y")), "b").select("x", "y")
     first = first.union(nodes.join(prints, "fp").select(F.col("one").alias("x"), F.col("node").alias("y"))).where("x <> y")
     first = cut(first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    links, tried = cut(_confirmed(first, docs, nodes, width)), first
+    links, tried = cut(_confirmed(first, _sets_of(_ends(first).distinct(), docs, nodes, width))), first
     buckets = cut(_buckets(docs, width))
     buckets = cut(salted_join(buckets, nodes.select("node", "n", "fp", "fp2"), ["node"], hot_hashes(buckets, ["node"]), ["key"]))
     p, q = LIKE
     for turn in range(STAR_ROUNDS + 1):
         roots = connected_components(links)
+        placed = None
         open_ = cut(buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
         counts = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node"), "node", "n", "fp", "fp2", "root")).alias("one"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
         counts = counts.where("low <> high").select("key", "one.node", "one.n", "one.fp", "one.fp2", "one.root", "members").withColumnsRenamed({"node": "b", "n": "bn", "fp": "bfp", "fp2": "bfp2", "root": "broot"})
@@ -206,12 +314,19 @@ def near_links(docs: DataFrame, width: int, proposed: Callable[[DataFrame], Data
         else:
             # a bucket of many members is split by hash in parts; each member meets part by part
             rest = salted_join(open_, counts.select("key", "members"), ["key"], hot_hashes(open_, ["key"]), ["node"])
-            rest = cut(rest.withColumn("k", F.ceil(F.col("members") / PART)).drop("members"))
+            rest = cut(rest)
+            if rest.where(F.col("members") > LARGE).take(1):
+                placed, meet, whole = _placed(rest.select("key", "node", "members"))
+                rest = cut(salted_join(rest, whole, ["key"], hot_hashes(rest, ["key"]), ["node"], "left_anti"))
+            rest = rest.withColumn("k", F.ceil(F.col("members") / PART)).drop("members")
             left = rest.withColumn("part", F.explode(F.expr("sequence(0L, k - 1)"))).drop("k")
             right = rest.select("key", F.pmod(F.xxhash64("node"), F.col("k")).alias("part"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("fp").alias("bfp"), F.col("fp2").alias("bfp2"), F.col("root").alias("broot"))
             pairs = left.join(right, ["key", "part"])
         close = F.expr(f"least(n, bn) * {q} >= greatest(n, bn) * {p} and (least(n, bn) < {FEW} or bit_count(fp ^ bfp) + bit_count(fp2 ^ bfp2) <= {NEAR_BITS})")
         pairs = pairs.where((F.col("root") != F.col("broot")) & close).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
         pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        links, tried = cut(links.union(_confirmed(pairs, docs, nodes, width))), tried.union(pairs)
+        ends = _ends(pairs) if placed is None else _ends(pairs).union(placed.select("node"))
+        sets = _sets_of(ends.distinct(), docs, nodes, width)
+        links, tried = links.union(_confirmed(pairs, sets)), tried.union(pairs)
+        links = cut(links if placed is None else links.union(_within_blocks(placed, meet, sets)))
     return rows, links

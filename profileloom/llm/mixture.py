@@ -85,13 +85,13 @@ def schedule(targets: DataFrame, slots: int, limit: int) -> DataFrame:
     return ranks.union(late).groupBy("source_no", F.expr("rank % blocks").alias("block")).agg(F.count_if(F.expr("rank < quota")).alias("times"), F.array(*places).alias("places"))
 
 
-def _plan(docs: DataFrame, weights: Sequence[int], share: float, limit: int, block: int, seed: int) -> DataFrame:
-    """(row, doc_id, size, source_size, target, rounds, places array<long>): one row for each row of docs; equal rows share `row`."""
+def _plan(docs: DataFrame, weights: Sequence[int], share: float, limit: int, block: int, seed: int, rest: Column | None = None) -> DataFrame:
+    """(row, rest, doc_id, size, source_size, target, rounds, places array<long>): one row for each row of docs; equal rows share `row` and what they have in `rest`."""
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
     words = word_count(text_or_empty("text"))
-    rows = docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), words.alias("size"))
+    rows = docs.select(row_key().alias("row"), (F.lit(0).cast("long") if rest is None else rest).alias("rest"), F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), words.alias("size"))
     # rows that repeat in full are one row here, which stands for all of them
-    rows = cut(rows.groupBy("row", "doc_id", "key", "size").agg(F.count("*").alias("copies")))
+    rows = cut(rows.groupBy("row", "rest", "doc_id", "key", "size").agg(F.count("*").alias("copies")))
     totals = rows.groupBy("key").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count("*").alias("n"))
     source = F.when(F.col("key") != "", F.substring("key", 2, 2**31 - 1))
     sizes = cut(totals.withColumn("source", source).select("key", "source", "source_size", "n"))
@@ -101,9 +101,9 @@ def _plan(docs: DataFrame, weights: Sequence[int], share: float, limit: int, blo
     # a source gives `give` words: whole rounds of its blocks, then `quota` blocks in all and `part` words of the next
     give = F.round("target").cast("long")
     targets = targets.withColumn("give", give).withColumn("blocks", F.ceil(F.col("source_size") / block))
-    rest = F.expr("if(source_size > 0, give % source_size, 0)")
-    quota = F.expr("if(source_size > 0, give div source_size, 0)") * F.col("blocks") + F.call_function("div", rest, F.lit(block))
-    targets = cut(targets.withColumn("quota", quota).withColumn("part", rest % block))
+    over = F.expr("if(source_size > 0, give % source_size, 0)")
+    quota = F.expr("if(source_size > 0, give div source_size, 0)") * F.col("blocks") + F.call_function("div", over, F.lit(block))
+    targets = cut(targets.withColumn("quota", quota).withColumn("part", over % block))
     n, slots = targets.agg(F.sum("n"), F.sum("quota") + F.count_if(F.col("part") > 0)).first()
     buckets = max(LEAST_BUCKETS, (n or 0) // BUCKET_ROWS)
     given = targets.select("key", "source_no", "source_size", "target", "blocks", "quota", "part")
@@ -112,11 +112,11 @@ def _plan(docs: DataFrame, weights: Sequence[int], share: float, limit: int, blo
     rows = rows.withColumn("mass", F.col("size") * F.col("copies"))
     before = F.coalesce(F.sum("in_bucket").over(W.partitionBy("source_no").orderBy("bucket").rowsBetween(*_BEFORE)), F.lit(0))
     ahead = rows.groupBy("source_no", "bucket").agg(F.sum("mass").alias("in_bucket")).select("source_no", "bucket", before.alias("before"))
-    within = F.sum("mass").over(W.partitionBy("source_no", "bucket").orderBy("h", "row").rowsBetween(W.unboundedPreceding, 0)) - F.col("mass")
+    within = F.sum("mass").over(W.partitionBy("source_no", "bucket").orderBy("h", "row", "rest").rowsBetween(W.unboundedPreceding, 0)) - F.col("mass")
     rows = rows.withColumn("within", within).join(ahead, ["source_no", "bucket"])
     rows = rows.withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)")))
     start = F.col("before") + F.col("within") + F.col("copy") * F.col("size")
-    kept = ["row", "copy", "doc_id", "size", "source_no", "source_size", "target", "start", "blocks", "quota", "part"]
+    kept = ["row", "rest", "copy", "doc_id", "size", "source_no", "source_size", "target", "start", "blocks", "quota", "part"]
     rows = rows.withColumn("start", start).select(*kept)
     spans = F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")
     pieces = rows.where("size > 0").withColumn("block", F.explode(spans))
@@ -130,7 +130,7 @@ def _plan(docs: DataFrame, weights: Sequence[int], share: float, limit: int, blo
     first = [F.min(F.when(t > 0, F.col("places")[r])) for r, t in enumerate(taken)]
     some = pieces.groupBy(*kept).agg(F.array(*map(F.sum, taken)).alias("rounds"), F.array(*first).alias("places"))
     none = rows.where("size = 0").withColumn("rounds", F.array(*(F.lit(0).cast("long") for _ in range(limit)))).withColumn("places", F.array(*(F.lit(None).cast("long") for _ in range(limit))))
-    return some.union(none).select("row", "doc_id", "size", "source_size", "target", "rounds", "places")
+    return some.union(none).select("row", "rest", "doc_id", "size", "source_size", "target", "rounds", "places")
 
 
 def row_key() -> Column:
@@ -139,6 +139,15 @@ def row_key() -> Column:
     return F.unhex(F.sha2(F.concat(*(F.concat(F.length(c).cast("string"), F.lit(":"), c) for c in framed), text_or_empty("text")), 256))
 
 
+def _whole(docs: DataFrame) -> Column:
+    """A hash of a row's columns besides doc_id, source and text; by their JSON too, as the plain hash passes over nulls."""
+    named = [c for c in docs.columns if c.lower() not in ("doc_id", "source", "text")]
+    if not named:
+        return F.lit(0).cast("long")
+    columns = [F.col(f"`{c}`") for c in named]
+    return F.xxhash64(row_hash(docs.select(*columns)), F.to_json(F.struct(*columns)))
+
+
 def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, limit: int = 2, block: int = BLOCK, seed: int = 42) -> DataFrame:
     """doc_id, size, source_size, target, taken, round_1 ... round_<limit> and place_1 ... place_<limit> for every row of `docs`.
 
@@ -166,23 +175,23 @@ def mixed_texts(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: floa
     A document that a round takes whole keeps its text as it is; one at the end of what its source gives is cut to
     the words taken, joined by spaces. n_chars, if there is one, follows the text. Null and empty texts take no words
     and aren't in the mix; null ids and sources are mixed like others. Of rows that are equal in doc_id, source and text, each
-    takes one of their shares, in an order by the hash of all columns, so reruns agree. Rows are dealt into shards of RUN
+    takes one of their shares, in an order by a hash of the other columns, so reruns agree. Rows are dealt into shards of RUN
     slots that follow each other, and stand in them by place, so each shard has the sources in their proportions. An empty table gives no
     rows; columns of any name and type pass through.
     """
-    plan = _plan(docs, weights, share, limit, block, seed)
-    row, copy, n, take, round_, place = unused(docs, "row", "copy", "n", "take", "round", "place")
-    # rows that equal each other are told apart by number on both sides, the plan's by their shares
-    shares = plan.withColumn(copy, F.row_number().over(W.partitionBy("row").orderBy(F.desc("rounds"), "places")))
-    shares = shares.select(F.col("row").alias(row), copy, F.explode(F.arrays_zip("rounds", "places")).alias(round_)).where(F.col(round_)["rounds"] > 0)
-    rows = docs.withColumn(row, row_key())
-    rows = rows.withColumn(copy, F.row_number().over(W.partitionBy(row).orderBy(row_hash(docs))))
-    rows = rows.join(shares, [row, copy]).withColumn(n, word_count(text_or_empty("text")))
+    plan = _plan(docs, weights, share, limit, block, seed, _whole(docs))
+    row, rest, rank, n, take, round_, place = unused(docs, "row", "rest", "rank", "n", "take", "round", "place")
+    shares = plan.select(F.col("row").alias(row), F.col("rest").alias(rest), F.explode(F.arrays_zip("rounds", "places")).alias(round_))
+    shares = shares.where(F.col(round_)["rounds"] > 0)
+    # of rows that are equal in all columns one is joined with all their shares, so the window's is the only shuffle of texts before the last
+    rows = docs.withColumn(row, row_key()).withColumn(rest, _whole(docs))
+    rows = rows.withColumn(rank, F.row_number().over(W.partitionBy(row, rest).orderBy(rest))).where(F.col(rank) == 1)
+    rows = rows.join(shares, [row, rest]).withColumn(n, word_count(text_or_empty("text")))
     rows = rows.withColumn(take, F.col(round_)["rounds"]).withColumn(place, F.col(round_)["places"])
     words = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     cut_text = F.array_join(F.slice(words, F.lit(1), F.col(take).cast("int")), " ")
     rows = rows.withColumn("text", F.when(F.col(take) == F.col(n), F.col("text")).otherwise(cut_text))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    rows = rows.repartition(F.expr(f"`{place}` div {RUN}")).sortWithinPartitions(place, row, copy)
+    rows = rows.repartition(F.expr(f"`{place}` div {RUN}")).sortWithinPartitions(place, row, rest, take)
     return rows.select(*docs.columns)

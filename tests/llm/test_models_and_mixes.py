@@ -1,3 +1,5 @@
+import itertools
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -8,12 +10,13 @@ import pytest
 import sentencepiece
 from profileloom.llm.components import connected_components
 from profileloom.llm import html_extract as HE
+from profileloom.llm import jaccard
 from profileloom.llm.html_extract import extract_text, parse_page, parsed_pages, style_tree, unimportant
 from profileloom.llm.language_id import identify_languages, learn
 from profileloom.llm.mixture import mix_sources, mixed_texts, row_key
 from profileloom.llm.queries import MODEL_PATH, URL_RULES
 from profileloom.llm.sentencepiece_codec import Codec, SentencePiece, Vocabulary, encode_documents, read_vocabulary
-from profileloom.llm.simhash import bit_planes, fingerprint_links, within_radius
+from profileloom.llm.simhash import bit_planes, fingerprint_links, first_of_near_copies, within_radius
 from profileloom.llm.url_filter import judge_urls
 from pyspark.sql import functions as F
 from text_rows import ascii_lower
@@ -496,3 +499,54 @@ def test_stages_keep_columns_of_any_name_and_type(spark, sf_dir):
         assert stage(spark, docs.limit(0), sf_dir).collect() == []
         assert {r.doc_id for r in out.select("doc_id").collect()} == {1, 2}
         assert out.where(F.col("tags")["k"] == F.col("doc_id")).count() == out.count()
+
+
+def test_large_groups_of_texts_less_alike_are_compared_in_blocks(spark, monkeypatch):
+    """Edits of one text that are hardly near copies of each other: no pair for each two of them, and the same groups as by brute force."""
+    rng, m = random.Random(5), 120
+    base, texts = [f"w{i}" for i in range(150)], []
+    for i in range(m):
+        words = list(base)
+        for at in rng.sample(range(150), 2 + i % 3):
+            words[at] = f"e{i}x{at}"
+        texts.append(" ".join(words))
+    monkeypatch.setattr(jaccard, "LARGE", 4, raising=False)
+    monkeypatch.setattr(jaccard, "LEAST_SHARED", 2, raising=False)
+    seen, confirmed = [], jaccard._confirmed
+    monkeypatch.setattr(jaccard, "_confirmed", lambda pairs, *rest: (seen.append(pairs.count()), confirmed(pairs, *rest))[1])
+    kept = {r.doc_id for r in first_of_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert seen[-1] < m * m / 8, seen
+    sets, root = [set(jaccard.shingle_set(t).tolist()) for t in texts], list(range(m))
+    for a, b in itertools.combinations(range(m), 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+    assert kept == set(root) and 1 < len(kept) < m
+
+
+@pytest.mark.parametrize("columns", [5, 8192])
+def test_block_links_join_what_brute_force_joins(monkeypatch, columns):
+    monkeypatch.setattr(jaccard, "COLUMNS", columns)
+    rng = np.random.default_rng(3)
+    for n_low, n_high in ((30, 40), (0, 5), (3, 0), (1, 1)):
+        made = [np.unique(rng.choice(30, rng.integers(0, 30))).astype(np.uint64) for _ in range(n_low + n_high)]
+        a, b = jaccard.block_links(made[:n_low], made[n_low:])
+        root, by_links = np.arange(n_low + n_high), np.arange(n_low + n_high)
+        for i, j in itertools.product(range(n_low), range(n_low, n_low + n_high)):
+            x, y = set(made[i].tolist()), set(made[j].tolist())
+            if 5 * len(x & y) >= 4 * len(x | y):
+                root[root == root[j]] = root[i]
+        for i, j in zip(a, b, strict=True):
+            assert by_links[i] != by_links[j]  # a forest
+            by_links[by_links == by_links[j]] = by_links[i]
+        assert len({*zip(root.tolist(), by_links.tolist(), strict=True)}) == len(set(root.tolist())) == len(set(by_links.tolist()))
+
+
+def test_mixed_texts_shuffles_texts_twice_at_most(spark):
+    df = spark.createDataFrame([(1, "a", "a b c", 5), (1, "a", "a b c", None), (1, "a", "a b c", 5), (2, None, "d e", 1)], "doc_id long, source string, text string, more int")
+    out = mixed_texts(df)
+    plan = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    moved = [part for part in plan.split("\n\n") if re.match(r"\(\d+\) Exchange\b", part.strip()) and re.search(r"\btext#", part)]
+    assert len(moved) <= 2, plan
+    shares = mix_sources(df).where("doc_id = 1").agg({"round_1": "sum", "round_2": "sum"}).first()
+    assert sum(len(r.text.split()) for r in out.where("doc_id = 1").collect()) == sum(shares)
