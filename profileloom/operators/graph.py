@@ -243,9 +243,12 @@ def fk_cycles(edges: DataFrame) -> DataFrame:
     """(child, parent) of edges within a cycle; a table's link to itself is none. NULL ends have no edge, repeated edges are one.
 
     Ways and trees are taken apart in rounds that grow with the logarithm of their size, what is left is searched from the greatest nodes, and the rounds are
-    then gone through backwards, if any closed a cycle. A round has as many rows as there are links, never all pairs of a component.
+    then gone through backwards, if any closed a cycle. A round has as many rows as there are links, never all pairs of a component. Links from nodes that
+    nothing leads to, or to nodes that lead nowhere, are left out first, so that graphs of two levels need no round.
     """
     links = _cut(edges.select(F.col("child").alias("a"), F.col("parent").alias("b")).where("a <> b").distinct())
+    led_to, leads = links.select(F.col("b").alias("a")).distinct(), links.select(F.col("a").alias("b")).distinct()
+    links = _cut(links.join(_far(led_to), "a", "left_semi").join(_far(leads), "b", "left_semi").select("a", "b"))
     labels = _labels(links)
     at = lambda s: labels.select(F.col("node").alias(s), F.col("label").alias(f"{s}_label"))
     both = links.join(_far(at("a")), "a", "left").join(_far(at("b")), "b", "left").where(F.coalesce("a_label", "a") == F.coalesce("b_label", "b"))

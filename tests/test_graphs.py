@@ -136,3 +136,12 @@ def test_rounds_of_cycles_stay_off_the_driver(spark, capsys, monkeypatch):
     found = G.fk_cycles(spark.createDataFrame(links, "child int, parent int"))
     assert sorted(map(tuple, found.collect())) == sorted(links[:8])
     assert "Broadcast" not in capsys.readouterr().out
+
+
+def test_two_levels_leave_no_links_to_search_for_cycles(spark, monkeypatch):
+    from profileloom.operators import graph
+
+    seen, labels = [], graph._labels
+    monkeypatch.setattr(graph, "_labels", lambda links: (seen.append(links.count()), labels(links))[1])
+    edges = spark.createDataFrame([(k, -1 - k % 3) for k in range(20)] + [(0, -2)], "child long, parent long")
+    assert graph.fk_cycles(edges).collect() == [] and seen == [0]
