@@ -16,6 +16,19 @@ from profileloom.llm.queries import MODEL_PATH
 from profileloom.llm.sentencepiece_codec import encode_documents
 from profileloom.llm.simhash import first_of_near_copies
 
+#: Rows of an Arrow batch while texts go to Python. An executor holds a batch several times over for each of its tasks.
+TEXTS_AT_ONCE = 1000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to TEXTS_AT_ONCE rows, unless they are smaller (Spark takes zero and less as no limit).
+
+    The setting outlasts the stage, since what a stage returns runs later. No result depends on it.
+    """
+    if not 0 < int(spark.conf.get(_ARROW_ROWS)) <= TEXTS_AT_ONCE:
+        spark.conf.set(_ARROW_ROWS, str(TEXTS_AT_ONCE))
+
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """One row of docs for each row of kept (doc_id, text_sha256 as of exact_duplicates), which are distinct.
@@ -35,6 +48,7 @@ def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs whose language can be told, with that language as lang; null and empty texts and those without letters go."""
+    _small_batches(spark)
     return with_known_language(docs)
 
 
@@ -45,6 +59,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts of 5-word Jaccard similarity 0.8, that of the smallest doc_id; ids and repeats as in exact_stage."""
+    _small_batches(spark)
     return _only(docs, first_of_near_copies(docs))
 
 
@@ -55,6 +70,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids and n_tokens of every row; null text counts as empty, repeated rows are repeated."""
+    _small_batches(spark)
     return encode_documents(docs, MODEL_PATH)
 
 

@@ -7,7 +7,6 @@ import heapq
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
 from typing import NamedTuple
 
 import ahocorasick
@@ -90,7 +89,8 @@ class Codec:
         for i, normal in enumerate(v.normal):
             if not normal and i not in set(v.byte_ids):
                 self.bytes[i] = b" \xe2\x81\x87 " if i == v.unknown else b""
-        self.kept = Remembered(self.encode_segment, KEPT_SEGMENTS)
+        self.kind = np.dtype(np.uint16 if len(v.pieces) <= 1 << 16 else np.int32)
+        self.kept = Remembered(self._packed, KEPT_SEGMENTS)
 
     def _rank(self, piece: str) -> float:
         i = self.ids.get(piece)
@@ -218,11 +218,15 @@ class Codec:
             at -= len(last[at])
         return tuple(reversed(out))
 
+    def _packed(self, text: str) -> bytes:
+        """Ids of a segment in as few bytes as the vocabulary allows, which is how a worker keeps them."""
+        return np.array(self.encode_segment(text), self.kind).tobytes()
+
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
         text = SPACE + text.replace(" ", SPACE)
-        return np.fromiter(chain.from_iterable(map(self.kept.__getitem__, self.segment.findall(text))), np.int32)
+        return np.frombuffer(b"".join(map(self.kept.__getitem__, self.segment.findall(text))), self.kind).astype(np.int32)
 
     def decode(self, ids: Iterable[int]) -> str:
         text = b"".join(map(self.bytes.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", "replace")
@@ -235,9 +239,13 @@ class SentencePiece:
     def __init__(self, spark: SparkSession, model_path: str, bpe: bool = True):
         self.shared, self.name = spark.sparkContext.broadcast(read_vocabulary(model_path, bpe)), f"{model_path}:{uuid.uuid4().hex}"
 
-    def _with_columns(self, df: DataFrame, source: str, types: list[tuple[str, DataType, pa.DataType]], make: Callable[[Codec, list], list[list]]) -> DataFrame:
-        """df with columns (name, type, Arrow type) that `make` gives for slices of a column; the other columns pass as they are."""
+    def _with_columns(self, df: DataFrame, source: str, types: list[tuple[str, DataType, pa.DataType]], make: Callable[[Codec, list], list[list]], drop: bool = False) -> DataFrame:
+        """df with columns (name, type, Arrow type) that `make` gives for slices of a column; the other columns pass as they are.
+
+        With `drop` the source column isn't sent back. A worker holds one batch at a time, none while it waits for the next.
+        """
         shared, name, at = self.shared, self.name, df.columns.index(source)
+        passed = [k for k in range(len(df.columns)) if k != at or not drop]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codec = on_worker(name, lambda: Codec(shared.value))
@@ -246,9 +254,11 @@ class SentencePiece:
                     part = batch.slice(k, SLICE)
                     made = make(codec, part.column(at).to_pylist())
                     new = [pa.array(values, kind) for values, (_, _, kind) in zip(made, types, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *(t[0] for t in types)])
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in passed), *new], [*(part.schema.names[c] for c in passed), *(t[0] for t in types)])
+                    del part, made, new
+                del batch
 
-        schema = StructType([*df.schema.fields])
+        schema = StructType([df.schema.fields[c] for c in passed])
         for n, kind, _ in types:
             schema = schema.add(n, kind)
         return df.mapInArrow(run, schema)
@@ -260,13 +270,13 @@ class SentencePiece:
         return self._with_columns(df, ids, [(text, StringType(), pa.string())], lambda codec, rows: [[codec.decode(r or ()) for r in rows]])
 
     def round_trip(self, df: DataFrame, text: str, ids: str, decoded_sha256: str) -> DataFrame:
-        """encode() and decode() in one pass; of the decoded text its SHA-256 is returned."""
+        """encode() and decode() in one pass, without the text; of the decoded text its SHA-256 is returned."""
 
         def make(codec: Codec, texts: list) -> list[list]:
             encoded = [codec.encode(t or "") for t in texts]
             return [encoded, [hashlib.sha256(codec.decode(e).encode("utf-8", "replace")).hexdigest() for e in encoded]]
 
-        return self._with_columns(df, text, [(ids, ArrayType(IntegerType()), pa.list_(pa.int32())), (decoded_sha256, StringType(), pa.string())], make)
+        return self._with_columns(df, text, [(ids, ArrayType(IntegerType()), pa.list_(pa.int32())), (decoded_sha256, StringType(), pa.string())], make, drop=True)
 
 
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:

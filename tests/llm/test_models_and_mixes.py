@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from profileloom.llm.components import connected_components
@@ -310,6 +311,27 @@ def test_codec_equals_the_library(spark, sf_dir, docs, no_docs):
     assert all(r.n_tokens == len(r.ids) for r in got) and encode_documents(no_docs, MODEL_PATH).collect() == []
 
 
+def test_few_texts_reach_a_worker_at_once(spark, docs):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, stages, seen = spark.conf.get(name), dict(corpus_pipeline.STAGES), {}
+    many = docs.select("doc_id", "text").crossJoin(spark.range(2500 // docs.count() + 1).select()).coalesce(1)
+    try:
+        for had in ("10000", "0", "7"):
+            for stage in ("language_id", "simhash_near_dedup", "sentencepiece"):
+                spark.conf.set(name, had)
+                out = stages[stage](spark, docs, "")
+                sizes = many.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+                assert max(r.n for r in sizes) == (7 if had == "7" else corpus_pipeline.TEXTS_AT_ONCE) and sum(r.n for r in sizes) == many.count()
+            seen[had] = Counter((r.doc_id, r.n_tokens, tuple(r.ids), r.decoded_sha256) for r in out.collect())
+    finally:
+        spark.conf.set(name, before)
+    assert seen["7"] == seen["0"] == seen["10000"] and sum(seen["7"].values()) == docs.count()
+    # the text doesn't come back from the workers, and ids are kept in two bytes each
+    assert SentencePiece(spark, MODEL_PATH).round_trip(docs.select("doc_id", "text", "source"), "text", "ids", "sha").columns == ["doc_id", "source", "ids", "sha"]
+    codec = Codec(read_vocabulary(MODEL_PATH))
+    assert len(codec.encode("a longer text")) == sum(map(len, codec.kept.values())) // 2 > 0
+
+
 def test_unigram_takes_the_best_sum():
     pieces, scores = ["<unk>", "▁", "a", "b", "ab", "▁a", "bab", "abab"], [0.0, -2.0, -3.0, -3.0, -4.0, -4.5, -3.5, -20.0]
     codec = Codec(Vocabulary(pieces, scores, [False] + [True] * 7, [], 0, False))
