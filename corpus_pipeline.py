@@ -19,58 +19,63 @@ from profileloom.llm.simhash import first_of_near_copies
 #: Rows of an Arrow batch while texts go to Python. An executor holds a batch several times over for each of its tasks.
 TEXTS_AT_ONCE = 1000
 _ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Removes the shuffle files of a query when it ends. Else they stay until the driver collects its garbage, which a large heap may never do in a stage.
+_SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def _small_batches(spark: SparkSession) -> None:
-    """Sets the session's Arrow batches to TEXTS_AT_ONCE rows, unless they are smaller (Spark takes zero and less as no limit).
+def _settings(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to TEXTS_AT_ONCE rows, unless they are smaller (Spark takes zero and less as no limit), and _SHUFFLES_GO.
 
-    The setting outlasts the stage, since what a stage returns runs later. No result depends on it.
+    The settings outlast the stage, since what a stage returns runs later. No result depends on them.
     """
     if not 0 < int(spark.conf.get(_ARROW_ROWS)) <= TEXTS_AT_ONCE:
         spark.conf.set(_ARROW_ROWS, str(TEXTS_AT_ONCE))
+    spark.conf.set(_SHUFFLES_GO, "true")
 
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """One row of docs for each row of kept (doc_id, text_sha256 as of exact_duplicates), which are distinct.
 
-    Of several rows with one doc_id and text, one is taken; ranking drops the others before the shuffle.
+    Of several rows with one doc_id and text, one is taken; ranking drops the others before the shuffle. Ranks and the join deal
+    rows out by the same columns, none of them null, so texts are shuffled once.
     """
-    doc, key, rank = unused(docs, "doc", "key", "rank")
-    # columns of other names than those of docs, so that nothing clashes
-    kept = kept.select(F.col("doc_id").alias(f"{doc}_kept"), F.col("text_sha256").alias(f"{key}_kept"))
-    kept = kept.toDF(*unused(docs, f"{doc}_kept", f"{key}_kept"))
-    rows = docs.withColumn(doc, F.col("doc_id").cast("long")).withColumn(key, F.sha2(lower_ascii(text_or_empty("text")), 256))
-    first = F.row_number().over(W.partitionBy(doc, key).orderBy(row_hash(docs)))
+    doc, null, key, rank = unused(docs, "doc", "null", "key", "rank")
+    known = lambda c: (F.coalesce(c.cast("long"), F.lit(0).cast("long")), c.isNull())
+    kept = kept.select(*(c.alias(n) for c, n in zip((*known(F.col("doc_id")), F.col("text_sha256")), (doc, null, key), strict=True)))
+    value, is_null = known(F.col("doc_id"))
+    rows = docs.withColumns({doc: value, null: is_null, key: F.sha2(lower_ascii(text_or_empty("text")), 256)})
+    first = F.row_number().over(W.partitionBy(doc, null, key).orderBy(row_hash(docs)))
     rows = rows.withColumn(rank, first).where(F.col(rank) == 1)
-    its_doc, its_key = (F.col(c) for c in kept.columns)
-    return rows.join(kept, F.col(doc).eqNullSafe(its_doc) & (F.col(key) == its_key), "left_semi").select(*docs.columns)
+    return rows.join(kept, [doc, null, key], "left_semi").select(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs whose language can be told, with that language as lang; null and empty texts and those without letters go."""
-    _small_batches(spark)
+    _settings(spark)
     return with_known_language(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each distinct text, that of the largest doc_id; of repeated rows one stays, a null id only where no row has another."""
+    _settings(spark)
     return _only(docs, exact_duplicates(docs).where("kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts of 5-word Jaccard similarity 0.8, that of the smallest doc_id; ids and repeats as in exact_stage."""
-    _small_batches(spark)
+    _settings(spark)
     return _only(docs, first_of_near_copies(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for each round that takes words of a document, with those words; texts without words aren't in it."""
+    _settings(spark)
     return mixed_texts(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids and n_tokens of every row; null text counts as empty, repeated rows are repeated."""
-    _small_batches(spark)
+    _settings(spark)
     return encode_documents(docs, MODEL_PATH)
 
 

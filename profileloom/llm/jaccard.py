@@ -21,9 +21,10 @@ LIKE = (4, 5)
 SLICE, KEYS_AT_ONCE = 200, 200_000
 #: Members of a bucket that meet each other in one part of a join.
 PART = 256
-#: Members over which a bucket is compared in blocks, sets by sets; nodes in a block on average, and those of a bucket that a block has at least
-#: on average, as blocks that hardly share a bucket aren't worth comparing whole; shingles that a block's table has at a time.
-LARGE, BLOCK, LEAST_SHARED, COLUMNS = 32, 256, 8, 8192
+#: Members over which a bucket is compared in blocks, sets by sets; nodes and shingles in a block on average, whichever are reached first, and those
+#: of a bucket that a block has at least on average, as blocks that hardly share a bucket aren't worth comparing whole; shingles that a block's table
+#: has at a time. A set is sent to each block that its own meets, so blocks are as large as a task can hold.
+LARGE, BLOCK, BLOCK_SHINGLES, LEAST_SHARED, COLUMNS = 32, 512, 1 << 18, 8, 8192
 #: Rounds in which buckets compare their members with one of them only.
 STAR_ROUNDS = 1
 #: Two fingerprints of near copies, of 64 bits each, differ in at most so many bits. At a similarity of just 0.8 one in seven bits
@@ -190,12 +191,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _placed(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """((node, block) of the nodes in large buckets, (low, high) of the blocks to compare, (key) of the buckets that these stand for).
 
-    rows: key, node, members. A node's home is the largest of its buckets, so that groups of alike texts share few homes; homes are split by hash into
+    rows: key, node, n, members. A node's home is the largest of its buckets, so that groups of alike texts share few homes; homes are split by hash into
     blocks. Two blocks are compared if they share a bucket. Buckets that are scattered over blocks of few of their members are left out.
     """
     large = rows.where(F.col("members") > LARGE)
-    homes = large.groupBy("node").agg(F.max(F.struct("members", "key"))["key"].alias("home"))
-    n = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("k"))
+    homes = large.groupBy("node").agg(F.max(F.struct("members", "key"))["key"].alias("home"), F.max("n").alias("n"))
+    n = homes.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("k"))
+    homes = homes.drop("n")
     block = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("k")))
     placed = cut(salted_join(homes, n, ["home"], hot_hashes(homes, ["home"]), ["node"]).select("node", block.alias("block")))
     met = salted_join(large.select("key", "node"), placed, ["node"], hot_hashes(large, ["node"]), ["key"]).groupBy("key", "block").agg(F.count("*").alias("n"))
@@ -301,12 +303,13 @@ def near_links(docs: DataFrame, width: int, proposed: Callable[[DataFrame], Data
     first = cut(first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     links, tried = cut(_confirmed(first, _sets_of(_ends(first).distinct(), docs, nodes, width))), first
     buckets = cut(_buckets(docs, width))
-    buckets = cut(salted_join(buckets, nodes.select("node", "n", "fp", "fp2"), ["node"], hot_hashes(buckets, ["node"]), ["key"]))
+    hot = hot_hashes(buckets, ["node"])
     p, q = LIKE
     for turn in range(STAR_ROUNDS + 1):
         roots = connected_components(links)
         placed = None
-        open_ = cut(buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        known = nodes.select("node", "n", "fp", "fp2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_ = cut(salted_join(buckets, known, ["node"], hot, ["key"]))
         counts = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node"), "node", "n", "fp", "fp2", "root")).alias("one"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
         counts = counts.where("low <> high").select("key", "one.node", "one.n", "one.fp", "one.fp2", "one.root", "members").withColumnsRenamed({"node": "b", "n": "bn", "fp": "bfp", "fp2": "bfp2", "root": "broot"})
         if turn < STAR_ROUNDS:
@@ -316,7 +319,7 @@ def near_links(docs: DataFrame, width: int, proposed: Callable[[DataFrame], Data
             rest = salted_join(open_, counts.select("key", "members"), ["key"], hot_hashes(open_, ["key"]), ["node"])
             rest = cut(rest)
             if rest.where(F.col("members") > LARGE).take(1):
-                placed, meet, whole = _placed(rest.select("key", "node", "members"))
+                placed, meet, whole = _placed(rest.select("key", "node", "n", "members"))
                 rest = cut(salted_join(rest, whole, ["key"], hot_hashes(rest, ["key"]), ["node"], "left_anti"))
             rest = rest.withColumn("k", F.ceil(F.col("members") / PART)).drop("members")
             left = rest.withColumn("part", F.explode(F.expr("sequence(0L, k - 1)"))).drop("k")
@@ -327,6 +330,8 @@ def near_links(docs: DataFrame, width: int, proposed: Callable[[DataFrame], Data
         pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
         ends = _ends(pairs) if placed is None else _ends(pairs).union(placed.select("node"))
         sets = _sets_of(ends.distinct(), docs, nodes, width)
-        links, tried = links.union(_confirmed(pairs, sets)), tried.union(pairs)
-        links = cut(links if placed is None else links.union(_within_blocks(placed, meet, sets)))
+        # one after the other, so that the shuffles of both aren't on disk at once
+        links, tried = cut(links.union(_confirmed(pairs, sets))), tried.union(pairs)
+        if placed is not None:
+            links = cut(links.union(_within_blocks(placed, meet, sets)))
     return rows, links

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 import re
@@ -332,6 +333,24 @@ def test_few_texts_reach_a_worker_at_once(spark, docs):
     assert len(codec.encode("a longer text")) == sum(map(len, codec.kept.values())) // 2 > 0
 
 
+def test_texts_are_shuffled_once_and_shuffles_go(spark, docs):
+    name, stages = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", dict(corpus_pipeline.STAGES)
+    before = spark.conf.get(name)
+    try:
+        for stage in stages:
+            spark.conf.set(name, "false")
+            stages[stage](spark, docs, "")
+            assert spark.conf.get(name) == "true"
+    finally:
+        spark.conf.set(name, before)
+    kept = spark.createDataFrame([(i, hashlib.sha256(ascii_lower(t or "").encode()).hexdigest()) for i, t in ((12, docs.where("doc_id = 12").first().text), (None, "a row without id and with some words"), (4, None), (0, "a row without id and with some words"))], "doc_id long, text_sha256 string").repartition(3)
+    out = corpus_pipeline._only(docs.repartition(3), kept)
+    plan = out._jdf.queryExecution().sparkPlan().toString() + out._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "_doc" in line]
+    assert len(shuffles) == 2 and all("ENSURE_REQUIREMENTS" in line for line in shuffles)  # of texts, and of what is kept
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter((r.doc_id, r.text) for r in docs.where("doc_id = 12 AND text LIKE 'AKIA%' OR doc_id IS NULL OR doc_id = 4").distinct().collect())
+
+
 def test_unigram_takes_the_best_sum():
     pieces, scores = ["<unk>", "▁", "a", "b", "ab", "▁a", "bab", "abab"], [0.0, -2.0, -3.0, -3.0, -4.0, -4.5, -3.5, -20.0]
     codec = Codec(Vocabulary(pieces, scores, [False] + [True] * 7, [], 0, False))
