@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -111,6 +112,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(*tables: DataFrame) -> None:
+    """Takes the rows of tables of stored() that nothing reads any more off the disk, by writing none over them. Later reads of them fail."""
+    for table in tables:
+        for folder in {unquote(f).rpartition("/")[0] for f in table.inputFiles()}:
+            table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(folder)
+
+
 def hot_hashes(df: DataFrame, keys: list[str], rows: Column | None = None, total: Callable[[], int] | None = None) -> list[int]:
     """Hashes of the keys that hold over 1/HOT_SHARE of the rows: HOT_SHARE values at most, whatever the input.
 

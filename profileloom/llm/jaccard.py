@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profileloom.llm.common import cut, hot_hashes, lower_ascii, salted_join, stored, text_or_empty
+from profileloom.llm.common import cut, hot_hashes, lower_ascii, removed, salted_join, stored, text_or_empty
 from profileloom.llm.components import connected_components
 from profileloom.llm.shingles import majority_bits, shingle_hashes
 
@@ -31,6 +31,8 @@ STAR_ROUNDS = 1
 #: differs on average (the angle of the sets over pi), and more than 38 of 128 in about one pair of 100,000; of alike texts in fewer yet.
 #: Sets of fewer shingles, whose majorities are often ties, aren't compared by fingerprint.
 NEAR_BITS, FEW = 38, 8
+#: The same for nodes of large buckets, before their sets are sent to other blocks: beyond it are fewer than one of a billion near copies.
+BLOCK_BITS = 46
 #: Rows of candidates, and bytes of their sets, up to which they are broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8 << 20
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -254,11 +256,60 @@ def block_links(low: list[np.ndarray], high: list[np.ndarray]) -> tuple[np.ndarr
     return np.concatenate([*link_a, np.zeros(0, np.int64)]), np.concatenate([*link_b, np.zeros(0, np.int64)])
 
 
-def _within_blocks(placed: DataFrame, meet: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) that join what near copies among the nodes of the blocks that meet would join; a task holds the sets of two blocks."""
-    members = cut(placed.join(sets, "node"))
-    rows = [meet.join(members.withColumnRenamed("block", side), side).select("low", "high", F.lit(k).alias("side"), "node", "hashes") for k, side in enumerate(("low", "high"))]
-    rows = rows[0].union(rows[1].where("low <> high")).repartition("low", "high").sortWithinPartitions("low", "high", "side")
+def _per_pair(meet: DataFrame, members: DataFrame) -> DataFrame:
+    """(low, high, side, ...) for the members (block, ...) of the blocks that meet, those of two blocks together in a task; side 1 only of different blocks."""
+    rows = [meet.join(members.withColumnRenamed("block", side), side).withColumn("side", F.lit(k)) for k, side in enumerate(("low", "high"))]
+    rows = rows[0].unionByName(rows[1].where("low <> high"))
+    return rows.repartition("low", "high").sortWithinPartitions("low", "high", "side")
+
+
+def alike(low: list[np.ndarray], high: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which nodes of two blocks, given as n, fp, fp2 and root, may be near copies of one of the other block that no link has joined to them."""
+    p, q = LIKE
+    (n, fp, fp2, root), (bn, bfp, bfp2, broot) = [x[:, None] for x in low], [x[None, :] for x in high]
+    least, bits = np.minimum(n, bn), np.bitwise_count(fp ^ bfp).astype(np.int16) + np.bitwise_count(fp2 ^ bfp2)
+    good = (root != broot) & (least * q >= np.maximum(n, bn) * p) & ((least < FEW) | (bits <= BLOCK_BITS))
+    return good.any(axis=1), good.any(axis=0)
+
+
+def _candidates(placed: DataFrame, meet: DataFrame, known: DataFrame) -> DataFrame:
+    """(low, high, side, node): of the blocks that meet, the nodes whose sets are to be compared. known: node, n, fp, fp2, root of all nodes."""
+    columns = ["node", "n", "fp", "fp2", "root"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[pa.RecordBatch] = []
+
+        def chosen(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            low, high, side = (rows.column(c).to_numpy() for c in ("low", "high", "side"))
+            starts = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+            values = [rows.column(c).to_numpy() for c in columns]
+            values[2:4] = (x.view(np.uint64) for x in values[2:4])
+            for i, j in zip(starts, [*starts[1:], len(low)], strict=True):
+                k = i + int(np.searchsorted(side[i:j], 1))
+                own, other = [x[i:k] for x in values[1:]], [x[k:j] for x in values[1:]]
+                a, b = alike(own, other if low[i] != high[i] else own)
+                at = np.r_[i + np.flatnonzero(a), k + np.flatnonzero(b)] if low[i] != high[i] else i + np.flatnonzero(a)
+                yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (low, high, side, values[0])], ["low", "high", "side", "node"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = pa.Table.from_batches([*left, batch])
+            low, high = (whole.column(c).to_numpy() for c in ("low", "high"))
+            last = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])])[-1]  # the last two blocks may go on in the next batch
+            if last:
+                yield from chosen(whole.slice(0, last))
+            left = whole.slice(last).to_batches()
+        if left:
+            yield from chosen(pa.Table.from_batches(left))
+
+    rows = _per_pair(meet, cut(placed.join(known.select(*columns), "node")))
+    return cut(rows.select("low", "high", "side", *columns).mapInArrow(run, "low long, high long, side int, node long"))
+
+
+def _within_blocks(candidates: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join what near copies among the candidates of two blocks would join; a task holds their sets."""
+    rows = candidates.join(sets, "node").select("low", "high", "side", "node", "hashes").repartition("low", "high").sortWithinPartitions("low", "high", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nodes, sides = None, ([], []), ([], [])
@@ -292,7 +343,8 @@ def near_links(docs: DataFrame, width: int, proposed: Callable[[DataFrame], Data
     proposed gives links between fingerprints (fp), which are confirmed first. Then each bucket of nodes that share a
     part of their shingles compares its members with one of them, by a hash that is the same in all buckets, so that a
     group of near copies compares with few; and last, of what no link has joined by then, all pairs. Pairs are compared by size, then by fingerprint (NEAR_BITS), and those that are left are confirmed by their
-    sets, no pair twice. Large buckets are compared in blocks instead, each two blocks once, whatever the buckets they share, by their sets.
+    sets, no pair twice. Large buckets are compared in blocks instead, each two blocks once, whatever the buckets they share, first by fingerprint
+    (BLOCK_BITS), then by the sets of those that are left.
     """
     rows = stored(_nodes(docs, width))
     nodes = cut(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.min(F.struct("doc_id", "text_sha256")).alias("row")))
@@ -301,15 +353,18 @@ def near_links(docs: DataFrame, width: int, proposed: Callable[[DataFrame], Data
     first = ends.join(prints.select(F.col("fp").alias("a"), F.col("one").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("one").alias("y")), "b").select("x", "y")
     first = first.union(nodes.join(prints, "fp").select(F.col("one").alias("x"), F.col("node").alias("y"))).where("x <> y")
     first = cut(first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    links, tried = cut(_confirmed(first, _sets_of(_ends(first).distinct(), docs, nodes, width))), first
-    buckets = cut(_buckets(docs, width))
+    sets = _sets_of(_ends(first).distinct(), docs, nodes, width)
+    links, tried = cut(_confirmed(first, sets)), first
+    removed(sets)
+    buckets = stored(_buckets(docs, width))
     hot = hot_hashes(buckets, ["node"])
     p, q = LIKE
     for turn in range(STAR_ROUNDS + 1):
         roots = connected_components(links)
-        placed = None
+        candidates = None
         known = nodes.select("node", "n", "fp", "fp2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = cut(salted_join(buckets, known, ["node"], hot, ["key"]))
+        done: list[DataFrame] = []
+        open_ = stored(salted_join(buckets, known, ["node"], hot, ["key"]))
         counts = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node"), "node", "n", "fp", "fp2", "root")).alias("one"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
         counts = counts.where("low <> high").select("key", "one.node", "one.n", "one.fp", "one.fp2", "one.root", "members").withColumnsRenamed({"node": "b", "n": "bn", "fp": "bfp", "fp2": "bfp2", "root": "broot"})
         if turn < STAR_ROUNDS:
@@ -317,10 +372,13 @@ def near_links(docs: DataFrame, width: int, proposed: Callable[[DataFrame], Data
         else:
             # a bucket of many members is split by hash in parts; each member meets part by part
             rest = salted_join(open_, counts.select("key", "members"), ["key"], hot_hashes(open_, ["key"]), ["node"])
-            rest = cut(rest)
+            rest = stored(rest)
+            done = [rest]
             if rest.where(F.col("members") > LARGE).take(1):
                 placed, meet, whole = _placed(rest.select("key", "node", "n", "members"))
-                rest = cut(salted_join(rest, whole, ["key"], hot_hashes(rest, ["key"]), ["node"], "left_anti"))
+                candidates = _candidates(placed, meet, known)
+                rest = stored(salted_join(rest, whole, ["key"], hot_hashes(rest, ["key"]), ["node"], "left_anti"))
+                done.append(rest)
             rest = rest.withColumn("k", F.ceil(F.col("members") / PART)).drop("members")
             left = rest.withColumn("part", F.explode(F.expr("sequence(0L, k - 1)"))).drop("k")
             right = rest.select("key", F.pmod(F.xxhash64("node"), F.col("k")).alias("part"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("fp").alias("bfp"), F.col("fp2").alias("bfp2"), F.col("root").alias("broot"))
@@ -328,10 +386,13 @@ def near_links(docs: DataFrame, width: int, proposed: Callable[[DataFrame], Data
         close = F.expr(f"least(n, bn) * {q} >= greatest(n, bn) * {p} and (least(n, bn) < {FEW} or bit_count(fp ^ bfp) + bit_count(fp2 ^ bfp2) <= {NEAR_BITS})")
         pairs = pairs.where((F.col("root") != F.col("broot")) & close).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
         pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        ends = _ends(pairs) if placed is None else _ends(pairs).union(placed.select("node"))
+        removed(open_, *done)
+        ends = _ends(pairs) if candidates is None else _ends(pairs).union(candidates.select("node"))
         sets = _sets_of(ends.distinct(), docs, nodes, width)
         # one after the other, so that the shuffles of both aren't on disk at once
         links, tried = cut(links.union(_confirmed(pairs, sets))), tried.union(pairs)
-        if placed is not None:
-            links = cut(links.union(_within_blocks(placed, meet, sets)))
+        if candidates is not None:
+            links = cut(links.union(_within_blocks(candidates, sets)))
+        removed(sets)
+    removed(buckets)
     return rows, links

@@ -591,3 +591,26 @@ def test_mixed_texts_shuffles_texts_twice_at_most(spark):
     assert len(moved) <= 2, plan
     shares = mix_sources(df).where("doc_id = 1").agg({"round_1": "sum", "round_2": "sum"}).first()
     assert sum(len(r.text.split()) for r in out.where("doc_id = 1").collect()) == sum(shares)
+
+
+def test_blocks_send_few_sets_and_leave_no_tables(spark, monkeypatch):
+    """Sets go only to blocks where a fingerprint is near theirs, no near copy is missed, and tables of buckets are emptied."""
+    monkeypatch.setattr(jaccard, "LARGE", 4)
+    monkeypatch.setattr(jaccard, "LEAST_SHARED", 1)
+    rnd, common = random.Random(5), " ".join(f"common{k}" for k in range(14))
+    texts = [f"{common} " + " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60)) for _ in range(40)]
+    texts += [t.rsplit(" ", 3)[0] for t in texts[:6]]
+    sent, tables, within, keep = [], [], jaccard._within_blocks, jaccard.stored
+    monkeypatch.setattr(jaccard, "_within_blocks", lambda candidates, sets: (sent.append(candidates.count()), within(candidates, sets))[1])
+    monkeypatch.setattr(jaccard, "stored", lambda df: (tables.append(keep(df)), tables[-1])[1])
+    rows, links = jaccard.near_links(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, lambda fps: fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0))
+    node = {r.doc_id: r.node for r in rows.collect()}
+    roots = {r.node: r.root for r in connected_components(links).collect()}
+    assert all(roots[node[k]] == roots[node[40 + k]] for k in range(6)) and len(set(roots.values())) == 6 and len(roots) == 12
+    assert sum(sent) < 20
+    left = [t for t in tables if spark.read.parquet(t.inputFiles()[0].rpartition("/")[0]).count()]
+    assert [t.columns for t in left] == [rows.columns]
+    sides = [np.array(x) for x in ([100, 100, 9], [0, 0, 0], [0, 0, 0], [1, 2, 3])]
+    sides = [sides[0], *(x.astype(np.uint64) for x in sides[1:3]), sides[3]]
+    far = [np.array([100, 7]), np.array([2**47 - 1, 0], np.uint64), np.zeros(2, np.uint64), np.array([1, 4])]
+    assert [x.tolist() for x in jaccard.alike(sides, sides)] == [[True, True, False]] * 2 and [x.tolist() for x in jaccard.alike(sides, far)] == [[False, False, False], [False, False]]
