@@ -10,6 +10,7 @@ from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from profileloom.functions.tokens import normalize_type
@@ -35,8 +36,6 @@ def profile_per_file(df: DataFrame, inputs: Sequence[str] = ()) -> DataFrame:
     A table that a writer split lies in a folder of as many files as it had tasks. A folder among inputs, the paths that df was read from, is one such table, and its
     files are parts of it; files of no such folder are tables of their own.
     """
-    from pyspark.sql import Window as W
-
     path = F.regexp_replace(F.col("_metadata.file_path"), _SCHEME, "")
     within = F.lit(None).cast("string")
     for root in sorted((re.sub(_SCHEME, "", p).rstrip("/") for p in inputs), key=len):  # the innermost folder counts
@@ -198,11 +197,11 @@ def catalog_snapshot(snapshots: DataFrame) -> dict[str, DataFrame]:
     # indexes: whole ones, and a row for each of their columns
     whole = F.transform(F.filter("_indexes", lambda x: ~in_parts(x, "col_ords", "cols")), lambda x: F.struct(x["name"].alias("name"), F.lower(F.trim(x["method"])).alias("method"), F.coalesce(x["unique"], x["is_unique"]).alias("is_unique"), F.coalesce(x["col_ords"], x["cols"]).alias("cols")))
     part = lambda x, place: F.when(in_parts(x, "col_ords", "cols"), F.struct(x["seq"].alias("seq"), place.alias("place"), x["name"].alias("name"), F.lower(F.trim(x["method"])).alias("method"), F.coalesce(x["unique"], x["is_unique"]).alias("is_unique"), own_ordinal(x)))
-    index_parts = F.array_sort(F.filter(F.transform("_indexes", part), lambda x: x.isNotNull()))
+    index_parts = F.sort_array(F.filter(F.transform("_indexes", part), lambda x: x.isNotNull()))
     # foreign keys likewise
     whole_fks = F.transform(F.filter("_fks", lambda x: ~in_parts(x, "col_ords", "cols")), lambda x: F.struct(F.coalesce(x["fk_name"], x["fk_id"], x["name"]).alias("name"), x["to_oid"].alias("parent"), F.coalesce(x["col_ords"], x["cols"]).alias("child_cols"), F.coalesce(x["to_col_ords"], x["to_cols"]).alias("parent_cols")))
     part_fk = lambda x, place: F.when(in_parts(x, "col_ords", "cols"), F.struct(F.coalesce(x["position"], x["seq"]).alias("seq"), place.alias("place"), F.coalesce(x["fk_name"], x["fk_id"], x["name"]).alias("name"), x["to_oid"].alias("parent"), own_ordinal(x), x["to_col_name"].alias("to_col_name")))
-    fk_parts = F.array_sort(F.filter(F.transform("_fks", part_fk), lambda x: x.isNotNull()))
+    fk_parts = F.sort_array(F.filter(F.transform("_fks", part_fk), lambda x: x.isNotNull()))
     read = read.withColumns({"whole": whole, "index_parts": index_parts, "fks": whole_fks, "fk_parts": fk_parts})
     put = grouped("index_parts", lambda g, own: F.struct(g["name"].alias("name"), F.get(F.filter(own, lambda x: x["seq"].isNotNull()), F.lit(0))["method"].alias("method"), F.array_max(own["is_unique"]).alias("is_unique"), own["o"].alias("cols")), "name")
     put_fks = grouped("fk_parts", lambda g, own: F.struct(g["name"].alias("name"), g["parent"].alias("parent"), own["o"].alias("child_cols"), own["to_col_name"].alias("to_names")), "name", "parent")
@@ -220,9 +219,12 @@ def catalog_snapshot(snapshots: DataFrame) -> dict[str, DataFrame]:
     for name, known in INDEX_METHODS.items():
         method = F.when((F.col("engine") == name) & F.col("method").isin(*known), F.col("method")).otherwise(method)
     method = F.when(F.col("engine").isin(*INDEX_METHODS), method).otherwise(F.col("method"))
-    # tables by (snapshot, id), which keys in parts name columns of; a repeated id has the columns of all
-    named = kept.where("size(_ordinals) > 0 AND _names IS NOT NULL").groupBy(F.col("snapshot_id").alias("_s"), F.col("table_id").alias("_t")).agg(F.array_sort(F.collect_list(F.struct(F.col("_names").alias("n"), F.col("_ordinals").alias("o")))).alias("c"))
-    named = named.select("_s", "_t", F.flatten("c.n").alias("_n"), F.flatten("c.o").alias("_o"))
+    # tables by (snapshot, id), which keys in parts name columns of; a repeated id has the columns of all. Ids hardly repeat, so a window, whose one sort
+    # the join takes over, is cheaper than grouping them before and after the shuffle
+    named = kept.where("size(_ordinals) > 0 AND _names IS NOT NULL").select(F.col("snapshot_id").alias("_s"), F.col("table_id").alias("_t"), F.col("_names").alias("n"), F.col("_ordinals").alias("o"))
+    same = W.partitionBy("_s", "_t").orderBy("n", "o")
+    every = F.collect_list(F.struct("n", "o")).over(same.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    named = named.withColumns({"c": every, "_r": F.row_number().over(same)}).where("_r = 1").select("_s", "_t", F.flatten("c.n").alias("_n"), F.flatten("c.o").alias("_o"))
     put = put.join(named, (F.col("snapshot_id") == F.col("_s")) & (F.col("parent") == F.col("_t")), "left")
     put = put.select(*at, "name", "parent", "child_cols", F.transform("to_names", lambda n: ordinal(F.col("_n"), F.col("_o"), n)).alias("parent_cols"))
     edges = each("fks").unionByName(put)

@@ -96,6 +96,16 @@ def test_snapshots_are_parsed_once(spark, capsys):
     assert sorted(((r.name, r.ordinal, r.family) for r in sets["columns"].collect())) == [("a", 2, "integer"), ("b", 3, "integer"), ("c", None, "integer")]
 
 
+def test_keys_find_columns_of_repeated_tables_without_grouping(spark, capsys):
+    one = lambda k, *names: {"oid": "t", "columns": [{"attnum": k + i, "name": n} for i, n in enumerate(names)]}
+    fks = [{"fk_id": "f", "to_oid": "t", "seq": i, "col_name": "a", "to_col_name": c} for i, c in enumerate("abcd")]
+    text = json.dumps({"engine": "mysql", "tables": [one(5, "b", "c"), one(1, "a", "b"), one(9, "b", "c"), {"oid": "u", "columns": [{"attnum": 7, "name": "a"}], "fks": fks}]})
+    edges = files.catalog_snapshot(spark.createDataFrame([(text,)], "snapshot string"))["fk_edges"]
+    assert [(r.child, r.child_cols, r.parent_cols) for r in edges.collect()] == [("u", [7] * 4, [1, 2, 6, None])]
+    edges.explain()
+    assert "Aggregate" not in capsys.readouterr().out
+
+
 def test_parts_of_a_folder_are_one_table(spark, tmp_path):
     from profileloom import queries
 
